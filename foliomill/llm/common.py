@@ -32,11 +32,42 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+class Scratch:
+    """Tables in the shared folder for the passes of one job.
+
+    A written table cuts lineage, and a lost executor costs nothing. ``drop`` removes a table
+    that no later pass reads and lets Spark clean up the shuffle files behind it; what is left
+    goes at the end, but for tables written with ``keep``.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.drop(*list(self.paths))
+
+    def written(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        if not keep:
+            self.paths[out] = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        jvm = self.spark.sparkContext._jvm
+        for df in tables:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(df))
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        jvm.System.gc()  # shuffle files stay on disk until the driver collects the plans that made them
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back: lineage is cut, lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes ``df`` to the shared folder and reads it back."""
+    return Scratch(df.sparkSession).written(df, name, keep=True)
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:

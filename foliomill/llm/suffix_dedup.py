@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RollingHash, buffers, mixed, slices, table, texts, written
+from .common import RollingHash, Scratch, buffers, mixed, slices, table, texts
 
 GRAM, CELL = 32, 32
 #: Bytes of text hashed at once; it bounds the memory of a task, not the length of a text.
@@ -147,37 +147,49 @@ def _cut_cells(width: int, block: int):
     return run
 
 
-def _shared(df: DataFrame, group: str, member: str) -> DataFrame:
-    """The values of ``group`` that stand with two or more different values of ``member``."""
-    return df.groupBy(group).agg(F.min(member).alias("_a"), F.max(member).alias("_b")).filter("_a < _b").select(group)
+def _unsettled(df: DataFrame, digit: str, text: str) -> DataFrame:
+    """Rows whose ``digit`` stands more than once; ``open`` tells whether different values of ``text`` share it.
+
+    Where they do not, all rows of the digit are equal, and settled.
+    """
+    groups = df.groupBy(digit).agg(F.count("*").alias("_n"), F.min(text).alias("_a"), F.max(text).alias("_b")).filter("_n > 1")
+    return df.join(groups.select(digit, F.expr("_a < _b").alias("open")), digit)
 
 
 def repeated_spans(docs: DataFrame, width: int = 400, block: int = BLOCK) -> DataFrame:
-    """(row, spans) for rows of ``docs`` (row long, text) with repeated windows; a span is (start, count of window starts)."""
-    runs = written(docs.select("row", "text").mapInArrow(_find_runs(width, block), RUNS), "runs")
-    kinds = runs.groupBy("gram", "run").agg(F.count("*").alias("copies"), F.min(F.struct("row", "start", "n", "back")).alias("one"))
-    look = kinds.join(_shared(kinds, "gram", "run"), "gram", "left_semi").select("run", "one.*")
-    todo = look.groupBy("row").agg(F.collect_list(F.struct("run", "start", "n", "back")).alias("runs"))
-    cells = written(docs.select("row", "text").join(todo, "row").select("text", "runs").mapInArrow(_cut_cells(width, block), CELLS), "cells")
-
-    wholes = cells.groupBy("core", "whole").agg(F.count("*").alias("copies"), F.first(F.struct("lead", "left", "right")).alias("one"))
-    unsure = wholes.join(_shared(wholes, "core", "whole"), "core", "left_semi").select("core", "whole", "one.*")
-    # A window t bytes before the core takes the last t bytes on its left and the first CELL - 1 - t on its right.
-    lead = F.col("lead")
-    windows = unsure.withColumn("t", F.explode(F.sequence(F.lit(CELL - 1) - F.length("right"), lead)))
-    windows = windows.select(
-        "whole", (lead - F.col("t")).alias("bit"),
-        F.xxhash64("core", "t", F.expr("substring(left, length(left) - t + 1, t)"), F.expr(f"substring(right, 1, {CELL - 1} - t)")).alias("window"),
-    )
-    again = _shared(windows, "window", "whole")
-    some = windows.join(again, "window", "left_semi").groupBy("whole").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
-    full = F.lit((1 << CELL) - 1).cast("long")
-    settled = wholes.select("whole", "copies").join(some, "whole", "left").select("whole", F.when(F.col("copies") > 1, full).otherwise(F.col("bits")).alias("bits")).filter("bits is not null")
-    partly = cells.select("run", "first", "whole", (F.col("lead") + 1 - (F.lit(CELL - 1) - F.length("right"))).alias("n")).join(settled, "whole").groupBy("run").agg(F.collect_list(F.struct("first", "n", "bits")).alias("cells"))
-    verdict = kinds.groupBy("run").agg(F.sum("copies").alias("copies")).join(partly, "run", "left").filter("copies > 1 or cells is not null").select("run", F.when(F.col("copies") == 1, F.col("cells")).alias("cells"))
-    spans = runs.select("row", "run", "start", "n").join(verdict, "run")
-    whole = F.array(F.struct(F.lit(0).alias("first"), F.col("n"), F.lit(-1).cast("long").alias("bits")))
-    return spans.groupBy("row").agg(F.collect_list(F.struct("start", F.coalesce("cells", whole).alias("cells"))).alias("spans"))
+    """(row, spans) for rows of ``docs`` (row long, text) with repeated windows; a span is (start, cells (first, n, bits)).
+
+    Each pass is written to the shared folder and its inputs are dropped, so that
+    the disk holds about one pass at a time.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        runs = scratch.written(docs.select("row", "text").mapInArrow(_find_runs(width, block), RUNS), "runs")
+        kept = scratch.written(_unsettled(runs, "gram", "run").drop("gram"), "kept")
+        scratch.drop(runs)
+        kinds = kept.filter("open").groupBy("run").agg(F.count("*").alias("copies"), F.min(F.struct("row", "start", "n", "back")).alias("one"))
+        todo = kinds.select("run", "one.*").groupBy("row").agg(F.collect_list(F.struct("run", "start", "n", "back")).alias("runs"))
+        found = docs.select("row", "text").join(todo, "row").select("text", "runs").mapInArrow(_cut_cells(width, block), CELLS)
+        every = scratch.written(found, "every")
+        n = F.col("lead") + 2 - CELL + F.length("right")
+        cells = scratch.written(_unsettled(every, "core", "whole").select("run", "first", n.alias("n"), "whole", "core", "lead", *(F.when(F.col("open"), F.col(c)).alias(c) for c in ("left", "right")), "open"), "cells")
+        scratch.drop(every)
+
+        wholes = cells.filter("open").groupBy("core", "whole").agg(F.count("*").alias("copies"), F.first(F.struct("lead", "left", "right")).alias("one")).select("core", "whole", "copies", "one.*")
+        # A window t bytes before the core takes the last t bytes on its left and the first CELL - 1 - t on its right.
+        windows = wholes.withColumn("t", F.explode(F.sequence(F.lit(CELL - 1) - F.length("right"), F.col("lead")))).select(
+            "whole", (F.col("lead") - F.col("t")).alias("bit"),
+            F.xxhash64("core", "t", F.expr("substring(left, length(left) - t + 1, t)"), F.expr(f"substring(right, 1, {CELL - 1} - t)")).alias("window"),
+        )
+        again = windows.groupBy("window").agg(F.min("whole").alias("_a"), F.max("whole").alias("_b")).filter("_a < _b").select("window")
+        some = windows.join(again, "window", "left_semi").groupBy("whole").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+        full = F.lit(-1).cast("long")
+        settled = wholes.select("whole", "copies").join(some, "whole", "left").select("whole", F.when(F.col("copies") > 1, full).otherwise(F.col("bits")).alias("bits")).filter("bits is not null")
+        hits = cells.filter("not open").select("run", "first", "n", full.alias("bits")).unionByName(cells.filter("open").select("run", "first", "n", "whole").join(settled, "whole").drop("whole"))
+        partly = hits.groupBy("run").agg(F.collect_list(F.struct("first", "n", "bits")).alias("cells"))
+        verdict = kinds.select("run", "copies").join(partly, "run", "left").filter("copies > 1 or cells is not null").select("run", F.when(F.col("copies") == 1, F.col("cells")).alias("cells"))
+        spans = kept.filter("open").select("row", "run", "start", "n").join(verdict, "run").drop("run").unionByName(kept.filter("not open").select("row", "start", "n"), allowMissingColumns=True)
+        whole = F.array(F.struct(F.lit(0).alias("first"), F.col("n"), full.alias("bits")))
+        return scratch.written(spans.groupBy("row").agg(F.collect_list(F.struct("start", F.coalesce("cells", whole).alias("cells"))).alias("spans")), "spans", keep=True)
 
 
 def _marks(size: int, spans: pa.Array, width: int) -> np.ndarray:
