@@ -147,13 +147,14 @@ def _cut_cells(width: int, block: int):
     return run
 
 
-def _unsettled(df: DataFrame, digit: str, text: str) -> DataFrame:
+def _unsettled(scratch: Scratch, df: DataFrame, digit: str, text: str) -> DataFrame:
     """Rows whose ``digit`` stands more than once; ``open`` tells whether different values of ``text`` share it.
 
-    Where they do not, all rows of the digit are equal, and settled.
+    Where they do not, all rows of the digit are equal, and settled. The groups are written
+    first: a join whose two sides both come from a shuffle can split a hot digit.
     """
     groups = df.groupBy(digit).agg(F.count("*").alias("_n"), F.min(text).alias("_a"), F.max(text).alias("_b")).filter("_n > 1")
-    return df.join(groups.select(digit, F.expr("_a < _b").alias("open")), digit)
+    return df.join(scratch.written(groups.select(digit, F.expr("_a < _b").alias("open")), "groups"), digit)
 
 
 def repeated_spans(docs: DataFrame, width: int = 400, block: int = BLOCK) -> DataFrame:
@@ -164,14 +165,14 @@ def repeated_spans(docs: DataFrame, width: int = 400, block: int = BLOCK) -> Dat
     """
     with Scratch(docs.sparkSession) as scratch:
         runs = scratch.written(docs.select("row", "text").mapInArrow(_find_runs(width, block), RUNS), "runs")
-        kept = scratch.written(_unsettled(runs, "gram", "run").drop("gram"), "kept")
+        kept = scratch.written(_unsettled(scratch, runs, "gram", "run").drop("gram"), "kept")
         scratch.drop(runs)
         kinds = kept.filter("open").groupBy("run").agg(F.count("*").alias("copies"), F.min(F.struct("row", "start", "n", "back")).alias("one"))
         todo = kinds.select("run", "one.*").groupBy("row").agg(F.collect_list(F.struct("run", "start", "n", "back")).alias("runs"))
         found = docs.select("row", "text").join(todo, "row").select("text", "runs").mapInArrow(_cut_cells(width, block), CELLS)
         every = scratch.written(found, "every")
         n = F.col("lead") + 2 - CELL + F.length("right")
-        cells = scratch.written(_unsettled(every, "core", "whole").select("run", "first", n.alias("n"), "whole", "core", "lead", *(F.when(F.col("open"), F.col(c)).alias(c) for c in ("left", "right")), "open"), "cells")
+        cells = scratch.written(_unsettled(scratch, every, "core", "whole").select("run", "first", n.alias("n"), "whole", "core", "lead", *(F.when(F.col("open"), F.col(c)).alias(c) for c in ("left", "right")), "open"), "cells")
         scratch.drop(every)
 
         wholes = cells.filter("open").groupBy("core", "whole").agg(F.count("*").alias("copies"), F.first(F.struct("lead", "left", "right")).alias("one")).select("core", "whole", "copies", "one.*")
