@@ -140,3 +140,50 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(29))
     x = x * np.uint64(0xA0761D6478BD642F)
     return x ^ (x >> np.uint64(32))
+
+
+#: True at the white space of the word pattern.
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def word_hashes(data: np.ndarray, hashes: RollingHash, lower: bool = True, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of each word of a UTF-8 buffer; long buffers go through in blocks cut at white space."""
+    found, starts, at = [], [], 0
+    while at < len(data):
+        end = min(at + block, len(data))
+        while end < len(data) and not SPACE[data[end - 1]] and end - at < hashes.up.size - 2:
+            gap = np.flatnonzero(SPACE[data[end : end + 4096]])
+            end = min(end + (int(gap[0]) + 1 if len(gap) else 4096), len(data))
+        part = data[at:end]
+        edge = np.diff(np.r_[True, SPACE[part], True].astype(np.int8))
+        first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        own = hashes if len(part) < hashes.up.size else RollingHash(len(part))
+        sums = own.prefix(_LOWER[part] if lower else part)
+        found.append(own.of(sums, first, last))
+        starts.append(first + at)
+        at = end
+    return np.concatenate(found or [np.zeros(0, np.uint64)]), np.concatenate(starts or [np.zeros(0, np.int64)])
+
+
+def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of ``edges`` (a, b), the component named by its smallest node.
+
+    Large-star and small-star rounds: every step is a minimum by key and an equi-join,
+    so that no neighbourhood is ever collected, and the number of rounds is logarithmic.
+    """
+    turned = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+    stars, seen = scratch.written(turned, "stars"), None
+    while True:
+        state = tuple(stars.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+        if state == seen or not state[0]:
+            return stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        seen = state
+        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = scratch.written(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        moved = large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        stars = scratch.written(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "stars")

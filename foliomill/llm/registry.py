@@ -1,8 +1,8 @@
 """Queries and oracle SQL of the training-data operators."""
 
-from . import suffix_dedup
+from . import ngram_join, suffix_dedup
 
-MODULES = (suffix_dedup,)
+MODULES = (suffix_dedup, ngram_join)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
