@@ -149,9 +149,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_hashes(data: np.ndarray, hashes: RollingHash, lower: bool = True, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of each word of a UTF-8 buffer; long buffers go through in blocks cut at white space."""
-    found, starts, at = [], [], 0
+def word_hashes(data: np.ndarray, hashes: RollingHash, lower: bool = True, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of each word of a UTF-8 buffer; long buffers go through in blocks cut at white space."""
+    found, starts, stops, at = [], [], [], 0
     while at < len(data):
         end = min(at + block, len(data))
         while end < len(data) and not SPACE[data[end - 1]] and end - at < hashes.up.size - 2:
@@ -164,8 +164,10 @@ def word_hashes(data: np.ndarray, hashes: RollingHash, lower: bool = True, block
         sums = own.prefix(_LOWER[part] if lower else part)
         found.append(own.of(sums, first, last))
         starts.append(first + at)
+        stops.append(last + at)
         at = end
-    return np.concatenate(found or [np.zeros(0, np.uint64)]), np.concatenate(starts or [np.zeros(0, np.int64)])
+    none = np.zeros(0, np.int64)
+    return np.concatenate(found or [none.astype(np.uint64)]), np.concatenate(starts or [none]), np.concatenate(stops or [none])
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ def _bags(batch: pa.RecordBatch, n: int, hashes: RollingHash) -> Iterator[np.nda
     data, ends = buffers(batch.column(batch.schema.get_field_index("text")))
     # A space at each end keeps words inside their texts.
     spaced = np.insert(data, ends[1:], 32)
-    words, starts = word_hashes(spaced, hashes)
+    words, starts, _ = word_hashes(spaced, hashes)
     cut = np.searchsorted(starts, ends + np.arange(len(ends)))
     for i in range(batch.num_rows):
         yield shingles(words[cut[i] : cut[i + 1]], n)

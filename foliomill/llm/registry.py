@@ -1,8 +1,8 @@
 """Queries and oracle SQL of the training-data operators."""
 
-from . import ngram_join, suffix_dedup
+from . import language_id, ngram_join, packing, quality_cnn, quality_rules, secret_scan, suffix_dedup, toxicity
 
-MODULES = (suffix_dedup, ngram_join)
+MODULES = (suffix_dedup, ngram_join, toxicity, packing, quality_cnn, quality_rules, secret_scan, packing, quality_cnn, language_id)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
