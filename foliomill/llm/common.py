@@ -170,6 +170,46 @@ def word_hashes(data: np.ndarray, hashes: RollingHash, lower: bool = True, block
     return np.concatenate(found or [none.astype(np.uint64)]), np.concatenate(starts or [none]), np.concatenate(stops or [none])
 
 
+class IdMemory:
+    """Ids of words by the words' hashes; a task that has seen ``most`` words starts anew."""
+
+    def __init__(self, most: int = 400_000):
+        self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.at, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def unknown(self, keys: np.ndarray) -> np.ndarray:
+        """Which of the ascending ``keys`` have to be added; all of them once the memory is full."""
+        if len(self.keys) > self.most:
+            self.forget()
+        if not len(self.keys):
+            return np.ones(len(keys), bool)
+        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] != keys
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """``ids`` end to end, ``size`` of them for each of the ascending new ``keys``."""
+        place = np.searchsorted(self.keys, keys)
+        self.at = np.insert(self.at, place, len(self.ids) + np.cumsum(size) - size)
+        self.keys, self.size, self.ids = np.insert(self.keys, place, keys), np.insert(self.size, place, size), np.concatenate([self.ids, ids.astype(np.int32)])
+
+    def spell(self, names: np.ndarray, which: np.ndarray, of: np.ndarray, texts: int, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, offsets); word i is names[which[i]] and stands in text of[i]; ``end`` closes every text."""
+        if not len(which):
+            closed = np.full(texts if end is not None else 0, end or 0, np.int32)
+            return closed, np.arange(texts + 1) * (end is not None)
+        place = np.searchsorted(self.keys, names)
+        size, source = self.size[place][which], self.at[place][which]
+        total = np.bincount(of, size, texts).astype(np.int64) + (end is not None)
+        offsets = np.r_[0, np.cumsum(total)]
+        out = np.full(offsets[-1], end or 0, np.int32)
+        low = np.cumsum(size) - size
+        spread = np.arange(int(size.sum())) - np.repeat(low, size)
+        out[np.repeat(low + of * (end is not None), size) + spread] = self.ids[np.repeat(source, size) + spread]
+        return out, offsets
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b), the component named by its smallest node.
 

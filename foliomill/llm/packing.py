@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import RollingHash, Scratch, buffers, slices, table, texts, word_hashes
+from .common import IdMemory, RollingHash, Scratch, buffers, slices, table, texts, word_hashes
 
 #: Words remembered by a task before it starts anew.
 REMEMBERED = 400_000
@@ -41,61 +41,25 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class WordIds:
-    """Ids of words by hash, learned as words turn up."""
-
-    def __init__(self, path: str):
-        self.path = path
-        self.forget()
-
-    def forget(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-
-    def learn(self, keys: np.ndarray, words: list[str]) -> None:
-        """``keys`` ascend."""
-        if len(self.keys) > REMEMBERED:
-            self.forget()
-        found = [x.ids for x in _tokenizer(self.path).encode_batch_fast(words, add_special_tokens=False)]
-        size = np.array([len(x) for x in found], np.int64)
-        at = len(self.ids) + np.cumsum(size) - size
-        place = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.size = np.insert(self.keys, place, keys), np.insert(self.at, place, at), np.insert(self.size, place, size)
-        self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], np.uint32)])
-
-    def known(self, keys: np.ndarray) -> np.ndarray:
-        place = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        return self.keys[place] == keys if len(self.keys) else np.zeros(len(keys), bool)
-
-
-def token_ids(data: np.ndarray, ends: np.ndarray, hashes: RollingHash, memory: WordIds) -> tuple[np.ndarray, np.ndarray]:
+def token_ids(data: np.ndarray, ends: np.ndarray, hashes: RollingHash, memory: IdMemory, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts end to end, each closed by END; the n + 1 offsets)."""
     spaced, at = np.insert(data, ends[1:], 32), ends + np.arange(len(ends))
     keys, starts, stops = word_hashes(spaced, hashes, lower=False)
     names, first, which = np.unique(keys, return_index=True, return_inverse=True)
-    new = ~memory.known(names)
+    new = memory.unknown(names)
     if new.any():
-        if len(memory.keys) > REMEMBERED:
-            new[:] = True
         raw = spaced.tobytes()
-        memory.learn(names[new], [raw[a:b].decode() for a, b in zip(starts[first[new]], stops[first[new]])])
-    place = np.searchsorted(memory.keys, names)
-    size, source = memory.size[place][which], memory.at[place][which]
-    of = np.searchsorted(at, starts, "right") - 1
-    total = np.bincount(of, size, len(ends) - 1).astype(np.int64) + 1
-    offsets = np.r_[0, np.cumsum(total)]
-    out = np.full(offsets[-1], END, np.uint32)
-    to = np.cumsum(size) - size + of  # an end id for each text before
-    spread = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    out[np.repeat(to, size) + spread] = memory.ids[np.repeat(source, size) + spread]
-    return out, offsets
+        words = [raw[a:b].decode() for a, b in zip(starts[first[new]], stops[first[new]])]
+        found = [x.ids for x in _tokenizer(path).encode_batch_fast(words, add_special_tokens=False)]
+        memory.add(names[new], np.array([i for x in found for i in x], np.int32), np.array([len(x) for x in found], np.int64))
+    return memory.spell(names, which, np.searchsorted(at, starts, "right") - 1, len(ends) - 1, END)
 
 
 def _cut(path: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, memory = RollingHash(1 << 21), WordIds(path)
+        hashes, memory = RollingHash(1 << 21), IdMemory(REMEMBERED)
         for batch in slices(batches, "text", 1 << 20):
-            ids, offsets = token_ids(*buffers(batch.column(1)), hashes, memory)
+            ids, offsets = token_ids(*buffers(batch.column(1)), hashes, memory, path)
             total = np.diff(offsets)
             pieces = -(-total // window)
             of = np.repeat(np.arange(len(total)), pieces)
