@@ -3,16 +3,55 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from foliomill.llm.common import written
+from foliomill.llm.language_id import keep_identified
+from foliomill.llm.ngram_join import keep_one
+from foliomill.llm.packing import pack, tokenizer_path
+from foliomill.llm.secret_scan import redact
+from foliomill.llm.suffix_dedup import without_repeats
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """n_chars after a change of texts."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or unlike every language learned, go."""
+    return keep_identified(docs)
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents stays: five words a shingle, similarity 0.8 or more."""
+    return keep_one(docs, 5, 80)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes in strings of 400 that stand elsewhere go."""
+    return _counted(without_repeats(docs, 400))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A mark takes the place of each secret."""
+    return _counted(redact(docs))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the token sequences."""
+    return pack(docs, tokenizer_path(), 2048)
+
+
+STAGES = [("language_id", language_id), ("ngram_join", ngram_join), ("suffix_dedup", suffix_dedup), ("secret_scan", secret_scan), ("packing", packing)]
 
 #: SQL cannot express the stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to the documents table."""
+    """Applies STAGES to the documents table; each stage is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -30,7 +30,7 @@ SAMPLE, NEIGHBOURS = 8_000, 16
 #: Rows a part should hold, most parts, and rows of a block or queries of a chunk.
 PART_ROWS, PARTS, BLOCK = 2_000, 128, 2_048
 #: A query visits parts until their probability reaches MASS, at least LEAST of them.
-MASS, LEAST = 0.97, 3
+MASS, LEAST = 0.98, 3
 
 
 def usable(vectors: DataFrame) -> DataFrame:

@@ -115,11 +115,23 @@ def _learned(docs: DataFrame) -> dict[str, list[int]]:
     return learn_profiles(texts(docs, "lang").filter(~held_out(3, 1) & F.col("lang").isNotNull()))
 
 
+def _keep(profiles: dict[str, list[int]], least: float):
+    judge = _judge(profiles, PROFILE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 4 << 20):
+            pair = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(k)) for k in ("doc_id", "text")], ["doc_id", "text"])
+            found = list(judge(iter([pair])))
+            good = [lang != "und" and score >= least for b in found for lang, score in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
 def keep_identified(docs: DataFrame, least: float = 0.1) -> DataFrame:
-    """Rows of ``docs`` whose language is known and whose likeness to it is ``least`` or more."""
-    names = docs.columns
-    found = identify(docs.select("doc_id", "text"), _learned(docs)).filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return docs.join(found.select(F.col("doc_id").alias("_id")).distinct(), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").select(names)
+    """Rows of ``docs``, with all their columns, whose language is known and whose likeness to it is ``least`` or more."""
+    rows = texts(docs, *[c for c in docs.columns if c not in ("doc_id", "text")])
+    return rows.mapInArrow(_keep(_learned(docs), least), rows.schema).select(docs.columns)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,19 +185,22 @@ PAIRS = "a long, b long"
 
 
 def link_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """One row per document: doc_id, n_shingles and component_id, the smallest doc_id reachable by links."""
+    """One row per document: doc_id, n_shingles and component_id, the smallest doc_id reachable by links.
+
+    ``row`` (a hash of id and text) and ``stays`` follow: one row, or its copies, stays for each component.
+    """
     rows = texts(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     with Scratch(docs.sparkSession) as scratch:
         every = scratch.written(rows.mapInArrow(_describe(n, percent, False), "doc_id long, row long, n long, set long, point binary, buckets array<long>"), "every")
-        sizes = scratch.written(every.select("doc_id", "n", "set"), "sizes", keep=True)
-        one = scratch.written(every.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("row", "point", "buckets")).alias("x")).select("set", "doc_id", "x.*"), "one")
+        sizes = scratch.written(every.select("doc_id", "row", "n", "set"), "sizes", keep=True)
+        one = scratch.written(every.filter("n > 0").groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "row")).alias("head"), F.first(F.struct("point", "buckets")).alias("x")).select("set", "head", "x.*"), "one")
         scratch.drop(every)
         spread = one.select("set", F.explode("buckets").alias("bucket"))
         shared = scratch.written(spread.groupBy("bucket").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low < high"), "shared")
         near = scratch.written(spread.join(shared, "bucket"), "near")
         scratch.drop(shared)
-        points = scratch.written(one.select("set", "row", "point"), "points")
-        names = scratch.written(one.select("set", "doc_id"), "names")
+        points = scratch.written(one.select("set", "head.row", "point"), "points")
+        names = scratch.written(one.select("set", "head"), "names")
         scratch.drop(one)
         stars = near.select("set", F.explode(F.array("low", "high")).alias("end")).filter("set <> end").select(F.least("set", "end").alias("a"), F.greatest("set", "end").alias("b")).distinct()
 
@@ -220,11 +223,21 @@ def link_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
         again = scratch.written(_crossing(near, found, points, percent), "crossing")
         if not again.isEmpty():
             found = components(scratch, links.unionByName(verify(again, "tree")))
-        found = names.join(found.withColumnRenamed("node", "set"), "set", "left").select("set", "doc_id", F.coalesce("component", "set").alias("component"))
-        least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-        named = scratch.written(found.join(least, "component").select("set", "component_id"), "named", keep=True)
+        found = names.join(found.withColumnRenamed("node", "set"), "set", "left").select("set", "head", F.coalesce("component", "set").alias("component"))
+        least = found.groupBy("component").agg(F.min("head").alias("least"))
+        named = scratch.written(found.join(least, "component").select("set", "least"), "named", keep=True)
     alone = F.col("n") == 0
-    return sizes.join(named, "set", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return sizes.join(named, "set", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"),
+        "row", (alone | (F.col("row") == F.col("least.row"))).alias("stays"),
+    )
+
+
+def keep_one(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """Rows of ``docs``, with all their columns: one of each group of linked documents."""
+    stays = link_components(docs, n, percent).filter("stays").select(F.col("row").alias("_row")).distinct()
+    row = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return docs.withColumn("_row", row).join(stays, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns)
 
 
 def _crossing(near: DataFrame, found: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -244,7 +257,7 @@ def _crossing(near: DataFrame, found: DataFrame, points: DataFrame, percent: int
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_components(table(spark, sf_dir, "documents"), 3, 90)
+    return link_components(table(spark, sf_dir, "documents"), 3, 90).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES = {"op2_ngram_join": op2_ngram_join}

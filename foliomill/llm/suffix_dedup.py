@@ -211,39 +211,66 @@ def _marks(size: int, spans: pa.Array, width: int) -> np.ndarray:
     return np.cumsum(step[:size]) > 0
 
 
-def _remove(width: int, keep_text: bool):
+def _remove(width: int):
+    """Rows (doc_id, text, spans) to the sizes and the hash of what is left."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8 * BLOCK):
             data, ends = buffers(batch.column(1))
-            spans, out = batch.column(2), []
-            for i in range(batch.num_rows):
-                text = data[ends[i] : ends[i + 1]]
-                own = spans[i].values if spans[i].is_valid else None
-                if own is None:
-                    kept, removed, n = text.tobytes(), 0, 0
-                else:
-                    mark = _marks(len(text), own, width)
-                    kept, removed, n = text[~mark].tobytes(), int(mark.sum()), int(np.count_nonzero(np.diff(np.r_[False, mark].astype(np.int8)) == 1))
-                out.append((len(text), removed, n, kept.decode("utf-8", "ignore") if keep_text else hashlib.sha256(kept).hexdigest()))
+            out = []
+            for text, own in _left(data, ends, batch.column(2), width):
+                n = int(np.count_nonzero(np.diff(np.r_[False, own].astype(np.int8)) == 1)) if own is not None else 0
+                kept = text if own is None else text[~own]
+                out.append((len(text), len(text) - len(kept), n, hashlib.sha256(kept.tobytes()).hexdigest()))
             columns = list(zip(*out)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 400, keep_text: bool = False, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans and ``kept``, the SHA-256 of the bytes left.
+def _left(data: np.ndarray, ends: np.ndarray, spans: pa.Array, width: int):
+    """(bytes, removed bytes or None) of each text."""
+    for i in range(len(ends) - 1):
+        text = data[ends[i] : ends[i + 1]]
+        yield text, _marks(len(text), spans[i].values, width) if spans[i].is_valid else None
 
-    With ``keep_text`` the column ``kept`` is the text that is left instead; code points
-    of which a cut leaves only some bytes go with it.
-    """
-    rows = texts(docs).withColumn("row", F.xxhash64("doc_id", "text"))
-    joined = rows.join(repeated_spans(rows, width, block), "row", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_remove(width, keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept string")
+
+def _shorten(width: int):
+    """Rows with ``text`` and ``spans`` to rows with the text that is left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 8 * BLOCK):
+            at = batch.schema.get_field_index("text")
+            data, ends = buffers(batch.column(at))
+            kept = [(text if own is None else text[~own]).tobytes().decode("utf-8", "ignore") for text, own in _left(data, ends, batch.column(batch.num_columns - 1), width)]
+            columns = batch.columns[:-1]
+            columns[at] = pa.array(kept, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    return run
+
+
+def _with_spans(docs: DataFrame, width: int, block: int) -> DataFrame:
+    rows = texts(docs, *[c for c in docs.columns if c not in ("doc_id", "text")])
+    keyed = rows.withColumn("_row", F.xxhash64("doc_id", "text"))
+    found = repeated_spans(keyed.select(F.col("_row").alias("row"), "text"), width, block).select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
+    return keyed.join(found, "_row", "left").select(*rows.columns, "_spans")
+
+
+def remove_repeats(docs: DataFrame, width: int = 400, block: int = BLOCK) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the bytes left."""
+    joined = _with_spans(docs.select("doc_id", "text"), width, block)
+    return joined.mapInArrow(_remove(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame, width: int = 400, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs``, with all their columns, and the text that is left; code points that a cut breaks go with it."""
+    joined = _with_spans(docs, width, block)
+    return joined.mapInArrow(_shorten(width), joined.drop("_spans").schema).select(docs.columns)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), 400).withColumnRenamed("kept", "kept_sha256")
+    return remove_repeats(table(spark, sf_dir, "documents"), 400)
 
 
 QUERIES = {"op1_suffix_dedup": op1_suffix_dedup}

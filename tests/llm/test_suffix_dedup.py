@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from foliomill.llm.suffix_dedup import remove_repeats
+from foliomill.llm.suffix_dedup import remove_repeats, without_repeats
 
 
 def brute(rows, width):
@@ -59,7 +59,9 @@ def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_kept_text(spark):
+def test_text_that_is_left(spark):
     a = "0123456789" * 40
-    rows = spark.createDataFrame([(1, a + "tail"), (2, a)], "doc_id long, text string")
-    assert {x.doc_id: x.kept for x in remove_repeats(rows, 400, keep_text=True).collect()} == {1: "tail", 2: ""}
+    rows = spark.createDataFrame([(1, a + "tail", "x"), (2, a, None), (3, None, "y")], "doc_id long, text string, lang string")
+    out = without_repeats(rows, 400)
+    assert out.columns == rows.columns
+    assert sorted(tuple(x) for x in out.collect()) == [(1, "tail", "x"), (2, "", None), (3, "", "y")]
