@@ -6,10 +6,13 @@ the coordinate minima of their points; an R-tree bounds it for whole boxes of po
 
 How the work is spread:
 
-1. Equal sets are one node; only one of them takes part.
-2. For sets of a size level, tokens also fall into one group more than two linked sets
-   can have differing tokens, so at least one group is the same in both (pigeonhole).
-   A group's content is a bucket. Buckets with one set are dropped.
+1. Equal sets are one node; only one of them takes part from step 3 on.
+2. Two linked sets differ in at most d tokens, d known from the smaller size. Tokens of a
+   large set fall into groups of a few; sets emit the contents of their first d + 1 groups
+   that hold tokens, and at least one of these is the same in both (pigeonhole). Small sets
+   emit d + 1 tokens, common ones last. These are the buckets, kept apart by size level;
+   a set close to the lower bound of its level emits for the level below as well.
+   Buckets with one set are dropped.
 3. Each set is paired with the least and the greatest set of its buckets, pairs pass the
    count-vector bound, survivors are verified on their tokens, and components are found.
 4. Buckets that still hold several components are searched by the R-tree: every set
@@ -39,17 +42,11 @@ from .common import RollingHash, Scratch, buffers, components, mixed, slices, ta
 DIMENSIONS = 32
 #: Sets searched together in step 4, and entries of an R-tree node.
 BLOCK, NODE = 2048, 32
+#: Sets from this size on emit groups of tokens; documents and tokens of the list of common ones.
+GROUPED, SAMPLE, COMMON = 256, 8_192, 4_096
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def levels(percent: int, most: int) -> list[int]:
-    """First sizes of the size levels: linked sets are in the same level or in neighbouring ones."""
-    out = [1]
-    while out[-1] <= most:
-        out.append(out[-1] * 100 // percent + 1)
-    return out
-
-
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
     """Sorted distinct hashes of the n-word windows; a shorter text is one window."""
     if not len(words):
@@ -75,31 +72,63 @@ def _point(bag: np.ndarray) -> np.ndarray:
     return np.bincount((bag >> np.uint64(59)).astype(np.int64), minlength=DIMENSIONS).astype(np.int32)
 
 
-def _buckets(bag: np.ndarray, percent: int, steps: list[int]) -> np.ndarray:
-    level, out = int(np.searchsorted(steps, len(bag), "right")) - 1, []
-    for k in (level - 1, level):
-        most = (steps[k + 1] - 1) * (100 - percent) // percent if k >= 0 else 0
-        if most:
+def differing(n: int, percent: int) -> int:
+    """Most tokens that stand in one only of two linked sets, of which the smaller has ``n``."""
+    return n * (100 - percent) // percent
+
+
+def _buckets(bag: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
+    n, need, out = len(bag), differing(len(bag), percent) + 1, []
+    if need == 1:
+        return np.zeros(0, np.uint64)
+    level = n.bit_length() - 1
+    for k in (level, level - 1) if n * percent < 100 << level else (level,):
+        if 1 << k < GROUPED:
+            late = np.isin(bag, common, assume_unique=True)
+            keys = np.concatenate([bag[~late], bag[late]])[:need]
+        else:
+            # 15 % more groups than could be needed: that too many of them are empty has a chance below 1e-9.
+            groups = (differing(2 << k, percent) + 1) * 115 // 100
             spread = mixed(bag + _STEP)
-            sums = np.zeros(most + 1, np.uint64)
-            np.add.at(sums, (spread % np.uint64(most + 1)).astype(np.int64), mixed(spread))
-            out.append(mixed(sums + np.arange(most + 1, dtype=np.uint64) * _STEP + np.uint64(k)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            of = (spread % np.uint64(groups)).astype(np.int64)
+            sums = np.zeros(groups, np.uint64)
+            np.add.at(sums, of, mixed(spread))
+            held = np.flatnonzero(np.bincount(of, minlength=groups))[:need]
+            keys = sums[held] + held.astype(np.uint64) * _STEP
+        out.append(mixed(keys + np.uint64(k + 1)))
+    return np.concatenate(out)
+
+
+def _tokens(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = RollingHash(1 << 21)
+        for batch in slices(batches, "text", 1 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*_bags(batch, n, hashes), np.zeros(0, np.uint64)]).view(np.int64))], ["token"])
+
+    return run
+
+
+def common_tokens(rows: DataFrame, n: int) -> np.ndarray:
+    """Tokens of many documents, at most COMMON, from a sample of SAMPLE documents: they only order the tokens, so any answer is right."""
+    picked = rows.select("row").orderBy(F.xxhash64("row", F.lit(1)), "row").limit(SAMPLE)
+    sample = rows.join(F.broadcast(picked), "row", "left_semi").select("text")  # SAMPLE keys at most
+    counts = sample.mapInArrow(_tokens(n), "token long").groupBy("token").agg(F.count("*").alias("c")).filter(F.col("c") > SAMPLE // 1000)
+    return np.sort(np.array([r.token for r in counts.orderBy(F.desc("c"), "token").limit(COMMON).collect()], np.int64).view(np.uint64))
 
 
-def _describe(n: int, percent: int, wanted: bool):
+def _describe(n: int, percent: int, wanted: bool, common: np.ndarray | None = None):
     """Texts to sets: with ``wanted``, the tokens; else size, name, point and buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, steps = RollingHash(1 << 21), levels(percent, 1 << 31)
+        hashes = RollingHash(1 << 21)
         for batch in slices(batches, "text", 1 << 20):
             bags = list(_bags(batch, n, hashes))
             if wanted:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.tobytes() for b in bags], pa.binary())], ["set", "tokens"])
                 continue
             names = np.array([xxhash.xxh3_64_intdigest(b.tobytes()) for b in bags], np.uint64).view(np.int64)
-            keys = [_buckets(b, percent, steps) for b in bags]
-            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, keys)]).astype(np.int32), pa.array(np.concatenate(keys).view(np.int64)))
+            keys = [_buckets(b, percent, common) for b in bags]
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, keys)]).astype(np.int32), pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([len(b) for b in bags], pa.int64()), pa.array(names), pa.array([_point(b).tobytes() for b in bags], pa.binary()), lists],
                 ["doc_id", "row", "n", "set", "point", "buckets"],
@@ -191,17 +220,16 @@ def link_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     """
     rows = texts(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     with Scratch(docs.sparkSession) as scratch:
-        every = scratch.written(rows.mapInArrow(_describe(n, percent, False), "doc_id long, row long, n long, set long, point binary, buckets array<long>"), "every")
+        described = rows.mapInArrow(_describe(n, percent, False, common_tokens(rows, n)), "doc_id long, row long, n long, set long, point binary, buckets array<long>")
+        every = scratch.written(described, "every")
         sizes = scratch.written(every.select("doc_id", "row", "n", "set"), "sizes", keep=True)
-        one = scratch.written(every.filter("n > 0").groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "row")).alias("head"), F.first(F.struct("point", "buckets")).alias("x")).select("set", "head", "x.*"), "one")
-        scratch.drop(every)
-        spread = one.select("set", F.explode("buckets").alias("bucket"))
+        head = F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "row")).alias("head")
+        names = scratch.written(every.filter("n > 0").groupBy("set").agg(head, F.min("point").alias("point")), "names")
+        points = names.select("set", "head.row", "point")
+        spread = every.select("set", F.explode("buckets").alias("bucket"))
         shared = scratch.written(spread.groupBy("bucket").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low < high"), "shared")
-        near = scratch.written(spread.join(shared, "bucket"), "near")
-        scratch.drop(shared)
-        points = scratch.written(one.select("set", "head.row", "point"), "points")
-        names = scratch.written(one.select("set", "head"), "names")
-        scratch.drop(one)
+        near = scratch.written(spread.join(shared, "bucket").groupBy("bucket", "set").agg(F.min("low").alias("low"), F.min("high").alias("high")), "near")
+        scratch.drop(every, shared)
         stars = near.select("set", F.explode(F.array("low", "high")).alias("end")).filter("set <> end").select(F.least("set", "end").alias("a"), F.greatest("set", "end").alias("b")).distinct()
 
         def bound(pairs: DataFrame) -> DataFrame:
@@ -223,7 +251,7 @@ def link_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
         again = scratch.written(_crossing(near, found, points, percent), "crossing")
         if not again.isEmpty():
             found = components(scratch, links.unionByName(verify(again, "tree")))
-        found = names.join(found.withColumnRenamed("node", "set"), "set", "left").select("set", "head", F.coalesce("component", "set").alias("component"))
+        found = names.select("set", "head").join(found.withColumnRenamed("node", "set"), "set", "left").select("set", "head", F.coalesce("component", "set").alias("component"))
         least = found.groupBy("component").agg(F.min("head").alias("least"))
         named = scratch.written(found.join(least, "component").select("set", "least"), "named", keep=True)
     alone = F.col("n") == 0

@@ -6,12 +6,12 @@ import numpy as np
 from foliomill.llm.ngram_join import CountTree, keep_one, link_components
 
 
-def brute(rows):
+def brute(rows, n=3, percent=90):
     sets = []
     for _, t in rows:
         low = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
         w = re.findall(r"[^\x20\x09-\x0D]+", low)
-        sets.append({tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set())
+        sets.append({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())
     root = list(range(len(rows)))
 
     def find(i):
@@ -21,7 +21,7 @@ def brute(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
     ids = {}
     for i in range(len(rows)):
@@ -35,7 +35,7 @@ def test_against_brute_force(spark):
     vocab = ["w%d" % i for i in range(40)]
     d = 100
     for _ in range(25):
-        base = [r.choice(vocab) for _ in range(r.choice([9, 11, 12, 20, 21, 60, 200]))]
+        base = [r.choice(vocab) for _ in range(r.choice([9, 11, 12, 20, 21, 60, 140, 200, 300]))]
         rows.append((d, " ".join(base)))
         chain = base
         for _ in range(r.randint(0, 6)):
@@ -49,6 +49,7 @@ def test_against_brute_force(spark):
         d += 1
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "5 as n", "6 as row", "7 as set")
     assert sorted(tuple(x)[:3] for x in link_components(df).collect()) == brute(rows)
+    assert sorted(tuple(x)[:3] for x in link_components(df, 2, 60).collect()) == brute(rows, 2, 60)
 
 
 def test_tree_finds_what_the_bound_allows():
