@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Python's ``[^\x20\x09-\x0D]+``, the word pattern of the query contracts.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,7 +72,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id and text (null: empty) and the named columns, whatever else the table carries."""
+    """doc_id and text (null: empty) and the named columns, whatever else the table carries.
+
+    Texts are long rows: Arrow batches are kept to BATCH_ROWS of them.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 

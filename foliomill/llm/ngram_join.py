@@ -13,8 +13,8 @@ How the work is spread:
    emit d + 1 tokens, common ones last. These are the buckets, kept apart by size level;
    a set close to the lower bound of its level emits for the level below as well.
    Buckets with one set are dropped.
-3. Each set is paired with the least and the greatest set of its buckets, pairs pass the
-   count-vector bound, survivors are verified on their tokens, and components are found.
+3. Each set is paired with one set: of the least and greatest sets of its buckets, the one that
+   shares most buckets with it. Pairs pass the count-vector bound, survivors are verified on their tokens, and components are found.
 4. Buckets that still hold several components are searched by the R-tree: every set
    outside the bucket's main component is looked up among all sets of the bucket,
    in blocks of bounded size, and survivors are verified. Pairs inside a component are
@@ -101,8 +101,8 @@ def _buckets(bag: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
 
 def _tokens(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = RollingHash(1 << 21)
-        for batch in slices(batches, "text", 1 << 20):
+        hashes = RollingHash(1 << 20)
+        for batch in slices(batches, "text", 1 << 19):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*_bags(batch, n, hashes), np.zeros(0, np.uint64)]).view(np.int64))], ["token"])
 
     return run
@@ -120,8 +120,8 @@ def _describe(n: int, percent: int, wanted: bool, common: np.ndarray | None = No
     """Texts to sets: with ``wanted``, the tokens; else size, name, point and buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = RollingHash(1 << 21)
-        for batch in slices(batches, "text", 1 << 20):
+        hashes = RollingHash(1 << 20)
+        for batch in slices(batches, "text", 1 << 19):
             bags = list(_bags(batch, n, hashes))
             if wanted:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.tobytes() for b in bags], pa.binary())], ["set", "tokens"])
@@ -227,10 +227,16 @@ def link_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
         names = scratch.written(every.filter("n > 0").groupBy("set").agg(head, F.min("point").alias("point")), "names")
         points = names.select("set", "head.row", "point")
         spread = every.select("set", F.explode("buckets").alias("bucket"))
-        shared = scratch.written(spread.groupBy("bucket").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low < high"), "shared")
-        near = scratch.written(spread.join(shared, "bucket").groupBy("bucket", "set").agg(F.min("low").alias("low"), F.min("high").alias("high")), "near")
+        shared = scratch.written(spread.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket"), "shared")
+        scratch.drop()
+        held = scratch.written(spread.join(shared, "bucket", "left_semi").groupBy("bucket", "set").agg(F.lit(1).alias("_")).drop("_"), "held")
         scratch.drop(every, shared)
-        stars = near.select("set", F.explode(F.array("low", "high")).alias("end")).filter("set <> end").select(F.least("set", "end").alias("a"), F.greatest("set", "end").alias("b")).distinct()
+        ends = scratch.written(held.groupBy("bucket").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low < high"), "ends")
+        near = scratch.written(held.join(ends, "bucket"), "near")
+        scratch.drop(held, ends)
+        # For each set, of the ends of its buckets the one with which it shares most.
+        shares = near.select("set", F.explode(F.array("low", "high")).alias("end")).filter("set <> end").groupBy("set", "end").agg(F.count("*").alias("c"))
+        stars = shares.groupBy("set").agg(F.max(F.struct("c", "end")).alias("best")).select(F.least("set", "best.end").alias("a"), F.greatest("set", "best.end").alias("b")).distinct()
 
         def bound(pairs: DataFrame) -> DataFrame:
             p, q = points.select(F.col("set").alias("a"), F.col("point").alias("p")), points.select(F.col("set").alias("b"), F.col("point").alias("q"))

@@ -57,8 +57,8 @@ def token_ids(data: np.ndarray, ends: np.ndarray, hashes: RollingHash, memory: I
 
 def _cut(path: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, memory = RollingHash(1 << 21), IdMemory(REMEMBERED)
-        for batch in slices(batches, "text", 1 << 20):
+        hashes, memory = RollingHash(1 << 20), IdMemory(REMEMBERED)
+        for batch in slices(batches, "text", 1 << 19):
             ids, offsets = token_ids(*buffers(batch.column(1)), hashes, memory, path)
             total = np.diff(offsets)
             pieces = -(-total // window)

@@ -38,7 +38,7 @@ def chunk_starts(size: int) -> np.ndarray:
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 4 << 20):
+    for batch in slices(batches, "text", 1 << 19):
         ids, labels, data = batch.column(0).to_pylist(), batch.column(1), []
         for doc, text in zip(ids, batch.column(2).to_pylist()):
             raw = text.encode()
@@ -119,7 +119,7 @@ def probabilities(data: np.ndarray, ends: np.ndarray, p: dict[str, np.ndarray])
 
 def _score(p: dict[str, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 19):
             data, ends = buffers(batch.column(1))
             if len(data) <= 4 << 20:
                 found = probabilities(data, ends, p)

@@ -59,8 +59,8 @@ def _sums(flags: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = RollingHash(1 << 21)
-    for batch in slices(batches, "text", 1 << 20):
+    hashes = RollingHash(1 << 20)
+    for batch in slices(batches, "text", 1 << 19):
         raw, at = buffers(batch.column(1))
         # A line end after each text keeps words and lines inside their texts.
         data, ends = np.insert(raw, at[1:], 10), at + np.arange(len(at))

@@ -71,7 +71,7 @@ class Pieces:
         self.single = np.unique(np.concatenate([c for c in codes if len(c) == 1]))
         self.in_model = np.zeros(0x110000, bool)
         self.in_model[self.single] = True
-        self.hasher, self.memory = RollingHash(1 << 21), IdMemory(REMEMBERED)
+        self.hasher, self.memory = RollingHash(1 << 20), IdMemory(REMEMBERED)
         self.left, self.right = np.full(n, -1), np.full(n, -1)
         self._splits(codes, plain)
         self.known_pairs, self.known_fits = np.zeros(0, np.int64), np.zeros(0, bool)
@@ -243,7 +243,7 @@ def pieces(path: str) -> Pieces:
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 19):
             ids, offsets = pieces(path).encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
 
@@ -280,7 +280,7 @@ def _both(path: str):
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 19):
             model, given = pieces(path), batch.column(1).to_pylist()
             ids, offsets = model.encode(given)
             same = [d == t.replace("▁", " ") for d, t in zip(model.decode(ids, offsets), given)]

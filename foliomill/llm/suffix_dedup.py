@@ -39,7 +39,7 @@ from .common import RollingHash, Scratch, buffers, mixed, slices, table, texts
 
 GRAM, CELL = 32, 32
 #: Bytes of text hashed at once; it bounds the memory of a task, not the length of a text.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _PLACE = np.uint64(24)
 
 RUNS = "row long, gram long, run long, start long, n int, back int"
