@@ -140,9 +140,9 @@ rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FR
 cov AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, i + k AS p FROM rep, range(0, 5) t(k)) GROUP BY r),
 lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
 dup AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
-m AS (SELECT doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, x -> length(x))), 0)::BIGINT AS word_chars,
+m AS (SELECT doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines,
-  coalesce(n_repeat_words, 0) AS n_repeat_words, len(list_filter(words, x -> regexp_matches(x, '[A-Za-z]|[^\x00-\xBF]')))::BIGINT AS n_letter_words
+  coalesce(n_repeat_words, 0) AS n_repeat_words, len(list_filter(words, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\xBF]')))::BIGINT AS n_letter_words
   FROM w LEFT JOIN dup USING (r) LEFT JOIN cov USING (r)),
 l AS (SELECT *, (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
   + 8 * (word_chars < 2 * n_words)::BIGINT + 16 * (word_chars > 14 * n_words)::BIGINT + 32 * (100 * n_dup_lines > 60 * n_lines)::BIGINT + 64 * (2 * n_letter_words < n_words)::BIGINT AS failures FROM m)
