@@ -36,7 +36,7 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 #: Phrases in which a lexicon word is harmless.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "stupid mistake", "idiot proof")
 _TABLE = str.maketrans(HOMOGLYPHS)
-_SIGNS = re.compile(r"(?<=[a-z])[013457@$!]+(?=[a-z])|(?<![a-z0-9])[013457@$]+(?=[a-z]{2})|(?<=[a-z]{2})[013457]+(?![a-z0-9])")
+_SIGNS = re.compile(r"(?<=[a-z])[013457@$!]+(?=[a-z])|(?<![a-z0-9])[013457@$]+(?=[a-z])|(?<=[a-z]{2})[013457]+(?![a-z0-9])")
 _SIGN_TABLE = str.maketrans(DIGITS)
 _WORD = re.compile(r"[a-z]+")
 
