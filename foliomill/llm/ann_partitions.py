@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Rows that the index is fitted on (chosen by a hash of their id) and neighbours in its graph.
-SAMPLE, NEIGHBOURS = 8_000, 16
+SAMPLE, NEIGHBOURS = 6_000, 16
 #: Rows a part should hold, most parts, and rows of a block or queries of a chunk.
 PART_ROWS, PARTS, BLOCK = 2_000, 128, 2_048
 #: A query visits parts until their probability reaches MASS, at least LEAST of them.
@@ -43,10 +43,10 @@ def usable(vectors: DataFrame) -> DataFrame:
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """Numbers of the k rows of greatest inner product with each row, itself left out."""
     out = []
-    for at in range(0, len(x), 1024):
-        scores = x[at : at + 1024] @ x.T
+    for at in range(0, len(x), 256):
+        scores = x[at : at + 256] @ x.T
         scores[np.arange(len(scores)), np.arange(at, at + len(scores))] = -np.inf
-        out.append(np.argpartition(-scores, min(k, len(x) - 1) - 1, axis=1)[:, :k])
+        out.append(np.argpartition(-scores, min(k, len(x) - 1) - 1, axis=1)[:, :k].copy())
     return np.concatenate(out)
 
 
@@ -195,15 +195,16 @@ def _blocks(rows: DataFrame, name: str) -> DataFrame:
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest rows found for each query (vec_id, embedding)."""
     rows, asked = usable(vectors), usable(queries)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    picked = rows.select("vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
+    sample = [np.array(r.embedding) for r in rows.join(F.broadcast(picked.distinct()), "vec_id", "left_semi").select("embedding").toLocalIterator()]  # SAMPLE ids at most
     shape = "query_id long, vec_id long, score double"
     if not sample:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    lengths = [len(r.embedding) for r in sample]
+    lengths = [len(x) for x in sample]
     size = max(sorted(set(lengths)), key=lengths.count)
     rows, asked = (df.filter(F.size("embedding") == size) for df in (rows, asked))
     parts = max(1, min(PARTS, rows.count() // PART_ROWS, SAMPLE // 32))
-    router, scale = train(np.array([r.embedding for r in sample if len(r.embedding) == size]), parts)
+    router, scale = train(np.array([x for x in sample if len(x) == size]), parts)
     columns = "vec_id long, embedding array<double>, part int"
     held = _blocks(rows.mapInArrow(_route(router, scale, False), columns), "held")
     wanted = _blocks(asked.mapInArrow(_route(router, scale, True), columns), "asked")

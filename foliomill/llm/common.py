@@ -150,8 +150,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 #: True at the white space of the word pattern.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def word_hashes(data: np.ndarray, hashes: RollingHash, lower: bool = True, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,7 +166,7 @@ def word_hashes(data: np.ndarray, hashes: RollingHash, lower: bool = True, block
         edge = np.diff(np.r_[True, SPACE[part], True].astype(np.int8))
         first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         own = hashes if len(part) < hashes.up.size else RollingHash(len(part))
-        sums = own.prefix(_LOWER[part] if lower else part)
+        sums = own.prefix(LOWER[part] if lower else part)
         found.append(own.of(sums, first, last))
         starts.append(first + at)
         stops.append(last + at)

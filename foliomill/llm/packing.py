@@ -24,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import IdMemory, RollingHash, Scratch, buffers, slices, table, texts, word_hashes
+from .common import LOWER, SPACE, IdMemory, RollingHash, Scratch, buffers, slices, table, texts, word_hashes
 
 #: Words remembered by a task before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 END = 1
+_STOP, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)
+_STOP[list(b".,;:!?")] = True
+_PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 #: Groups that pieces of one length are numbered in, at least; rows of a group, about.
 SALTS, SALT_ROWS = 64, 200_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -41,24 +44,50 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _units(data: np.ndarray, hashes: RollingHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of the words; stops and commas after a letter or digit are words of their own, as the tokenizer has it."""
+    if len(data) >= hashes.up.size:
+        return word_hashes(data, hashes, lower=False)
+    edge = np.diff(np.r_[True, SPACE[data], True].astype(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    cut = end.copy()
+    for _ in range(3):
+        cut -= (cut > start + 1) & _STOP[data[cut - 1]]
+    two = (cut < end) & _PLAIN[data[cut - 1]]
+    at = np.concatenate([start, cut[two]])
+    order = np.argsort(at, kind="stable")
+    start, end = at[order], np.concatenate([np.where(two, cut, end), end[two]])[order]
+    return hashes.of(hashes.prefix(data), start, end), start, end
+
+
 def token_ids(data: np.ndarray, ends: np.ndarray, hashes: RollingHash, memory: IdMemory, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts end to end, each closed by END; the n + 1 offsets)."""
     spaced, at = np.insert(data, ends[1:], 32), ends + np.arange(len(ends))
-    keys, starts, stops = word_hashes(spaced, hashes, lower=False)
+    raw = spaced.tobytes()
+    if b"<|" not in raw:  # the names of special tokens keep their case
+        spaced = LOWER[spaced]
+        raw = spaced.tobytes()
+    keys, starts, stops = _units(spaced, hashes)
     names, first, which = np.unique(keys, return_index=True, return_inverse=True)
     new = memory.unknown(names)
     if new.any():
-        raw = spaced.tobytes()
-        words = [raw[a:b].decode() for a, b in zip(starts[first[new]], stops[first[new]])]
-        found = [x.ids for x in _tokenizer(path).encode_batch_fast(words, add_special_tokens=False)]
-        memory.add(names[new], np.array([i for x in found for i in x], np.int32), np.array([len(x) for x in found], np.int64))
+        words = [raw[a:b] for a, b in zip(starts[first[new]].tolist(), stops[first[new]].tolist())]
+        ids, size = [], []
+        for low in range(0, len(words), 2000):
+            some = words[low : low + 2000]
+            found = _tokenizer(path).encode(b" ".join(some).decode(), add_special_tokens=False)
+            lengths = np.array([len(w.decode()) + 1 for w in some])
+            owner = np.searchsorted(np.cumsum(lengths), np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0], "right")
+            ids.append(np.array(found.ids, np.int32))
+            size.append(np.bincount(owner, minlength=len(some)))
+        memory.add(names[new], np.concatenate(ids), np.concatenate(size))
     return memory.spell(names, which, np.searchsorted(at, starts, "right") - 1, len(ends) - 1, END)
 
 
 def _cut(path: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, memory = RollingHash(1 << 20), IdMemory(REMEMBERED)
-        for batch in slices(batches, "text", 1 << 19):
+        hashes, memory = RollingHash(1 << 21), IdMemory(REMEMBERED)
+        for batch in slices(batches, "text", 1 << 20):
             ids, offsets = token_ids(*buffers(batch.column(1)), hashes, memory, path)
             total = np.diff(offsets)
             pieces = -(-total // window)

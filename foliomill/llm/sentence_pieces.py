@@ -29,8 +29,9 @@ from .common import IdMemory, RollingHash, mixed, slices, table, texts
 
 MARK = 0x2581
 #: Words remembered by a task before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 _STEP = np.uint64(0x100000001B3)
+_SLOTS = np.uint64((1 << 21) - 1)
 
 
 def _powers(n: int) -> np.ndarray:
@@ -65,16 +66,19 @@ class Pieces:
         keys = mixed(raw[plain] + self.length[plain].astype(np.uint64))
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], plain[order]
+        # Most substrings are no pieces: a bit for each slot of keys saves them the search.
+        self.maybe = np.zeros(int(_SLOTS) + 1, bool)
+        self.maybe[(keys & _SLOTS).astype(np.int64)] = True
         # Rank by score, best first: merges are taken in this order, the leftmost of equal ones first.
         self.rank = np.empty(n, np.int64)
         self.rank[np.lexsort((np.arange(n), -score))] = np.arange(n)
         self.single = np.unique(np.concatenate([c for c in codes if len(c) == 1]))
         self.in_model = np.zeros(0x110000, bool)
         self.in_model[self.single] = True
-        self.hasher, self.memory = RollingHash(1 << 20), IdMemory(REMEMBERED)
+        self.hasher, self.memory = RollingHash(1 << 21), IdMemory(REMEMBERED)
         self.left, self.right = np.full(n, -1), np.full(n, -1)
         self._splits(codes, plain)
-        self.known_pairs, self.known_fits = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.pair_of, self.pair_fits = np.zeros(1 << 21, np.int64), np.zeros(1 << 21, bool)
         self.spelling: np.ndarray | None = None
 
     def raw(self, codes: np.ndarray) -> np.uint64:
@@ -83,8 +87,12 @@ class Pieces:
     def find(self, raw: np.ndarray, length) -> np.ndarray:
         """Ids of substrings by hash and length; -1 where there is no such piece."""
         key = mixed(raw + np.asarray(length).astype(np.uint64))
-        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[place] == key, self.ids[place], -1)
+        out = np.full(len(key), -1, np.int64)
+        some = np.flatnonzero(self.maybe[(key & _SLOTS).astype(np.int64)])
+        place = np.minimum(np.searchsorted(self.keys, key[some]), len(self.keys) - 1)
+        good = self.keys[place] == key[some]
+        out[some[good]] = self.ids[place[good]]
+        return out
 
     def joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Id of the piece that two pieces give together, -1 if none."""
@@ -116,20 +124,17 @@ class Pieces:
                 self.left[i], self.right[i] = last
 
     def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether merging the texts of pieces a and b gives back a and b; pairs are remembered."""
-        pair = a * len(self.names) + b
-        names, which = np.unique(pair, return_inverse=True)
-        place = np.minimum(np.searchsorted(self.known_pairs, names), max(len(self.known_pairs) - 1, 0))
-        new = self.known_pairs[place] != names if len(self.known_pairs) else np.ones(len(names), bool)
-        if new.any():
-            fresh = names[new]
-            good = self._fit(fresh // len(self.names), fresh % len(self.names))
-            if len(self.known_pairs) > 4_000_000:
-                self.known_pairs, self.known_fits = np.zeros(0, np.int64), np.zeros(0, bool)
-                return self._fit(names // len(self.names), names % len(self.names))[which]
-            place = np.searchsorted(self.known_pairs, fresh)
-            self.known_pairs, self.known_fits = np.insert(self.known_pairs, place, fresh), np.insert(self.known_fits, place, good)
-        return self.known_fits[np.searchsorted(self.known_pairs, names)][which]
+        """Whether merging the texts of pieces a and b gives back a and b; a table remembers the last pairs of each slot."""
+        pair = a * len(self.names) + b + 1
+        slot = (mixed(pair.astype(np.uint64)) & np.uint64(len(self.pair_of) - 1)).astype(np.int64)
+        out = self.pair_fits[slot]
+        new = np.flatnonzero(self.pair_of[slot] != pair)
+        if len(new):
+            out[new] = good = self._fit(a[new], b[new])
+            # Of pairs that meet in a slot one wins in both tables: the last, by position.
+            where, last = np.unique(slot[new][::-1], return_index=True)
+            self.pair_of[where], self.pair_fits[where] = pair[new][::-1][last], good[::-1][last]
+        return out
 
     def _fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Takes the two pieces apart, latest merge first; a merge across the border that was open then, and came earlier, spoils the pair.
@@ -189,16 +194,23 @@ class Pieces:
 
     def _words(self, code: np.ndarray, start: np.ndarray, size: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, count of ids) of the words at ``start``: equal lengths advance together, unknown characters are bytes."""
-        found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(start)
+        order, ids, count = [], [], []
         for length in np.unique(size[known[start]]):
             some = np.flatnonzero((size == length) & known[start])
-            ids, count = self.encode_words(code[start[some][:, None] + np.arange(length)])
-            for w, x in zip(some.tolist(), np.split(ids, np.cumsum(count)[:-1])):
-                found[w] = x
+            found, each = self.encode_words(code[start[some][:, None] + np.arange(length)])
+            order.append(some)
+            ids.append(found)
+            count.append(each)
         for w in np.flatnonzero(~known[start]).tolist():
             raw = code[start[w] : start[w] + size[w]].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
-            found[w] = self.bytes[np.frombuffer(raw, np.uint8)]
-        return np.concatenate(found), np.array(list(map(len, found)), np.int64)
+            order.append(np.array([w]))
+            ids.append(self.bytes[np.frombuffer(raw, np.uint8)])
+            count.append(np.array([len(raw)]))
+        back = np.argsort(np.concatenate(order))
+        flat, each = np.concatenate(ids), np.concatenate(count)
+        low = (np.cumsum(each) - each)[back]
+        each = each[back]
+        return flat[np.repeat(low - np.cumsum(each) + each, each) + np.arange(int(each.sum()))], each
 
     def encode(self, texts_: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, the n + 1 offsets)."""
@@ -243,7 +255,7 @@ def pieces(path: str) -> Pieces:
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 19):
+        for batch in slices(batches, "text", 1 << 20):
             ids, offsets = pieces(path).encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
 
@@ -280,7 +292,7 @@ def _both(path: str):
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 19):
+        for batch in slices(batches, "text", 1 << 20):
             model, given = pieces(path), batch.column(1).to_pylist()
             ids, offsets = model.encode(given)
             same = [d == t.replace("▁", " ") for d, t in zip(model.decode(ids, offsets), given)]
