@@ -40,6 +40,8 @@ from pyspark.sql import functions as F
 from .common import RollingHash, Scratch, buffers, components, mixed, slices, table, texts, word_hashes
 
 DIMENSIONS = 32
+#: Groups of the finer point that a pair has to pass before its tokens are fetched.
+FINE = 512
 #: Sets searched together in step 4, and entries of an R-tree node.
 BLOCK, NODE = 2048, 32
 #: Sets from this size on emit groups of tokens; documents and tokens of the list of common ones.
@@ -72,6 +74,12 @@ def _point(bag: np.ndarray) -> np.ndarray:
     return np.bincount((bag >> np.uint64(59)).astype(np.int64), minlength=DIMENSIONS).astype(np.int32)
 
 
+def _fine(bag: np.ndarray) -> bytes:
+    """The same over FINE groups; empty where a count is too large to store, and then nothing is ruled out."""
+    counts = np.bincount((bag >> np.uint64(55)).astype(np.int64), minlength=FINE)
+    return counts.astype(np.uint16).tobytes() if counts.max() < 1 << 16 else b""
+
+
 def differing(n: int, percent: int) -> int:
     """Most tokens that stand in one only of two linked sets, of which the smaller has ``n``."""
     return n * (100 - percent) // percent
@@ -130,8 +138,8 @@ def _describe(n: int, percent: int, wanted: bool, common: np.ndarray | None = No
             keys = [_buckets(b, percent, common) for b in bags]
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, keys)]).astype(np.int32), pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(b) for b in bags], pa.int64()), pa.array(names), pa.array([_point(b).tobytes() for b in bags], pa.binary()), lists],
-                ["doc_id", "row", "n", "set", "point", "buckets"],
+                [batch.column(0), batch.column(1), pa.array([len(b) for b in bags], pa.int64()), pa.array(names), pa.array([_point(b).tobytes() for b in bags], pa.binary()), pa.array([_fine(b) for b in bags], pa.binary()), lists],
+                ["doc_id", "row", "n", "set", "point", "fine", "buckets"],
             )
 
     return run
@@ -142,19 +150,16 @@ def _need(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _points(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int32).reshape(-1, DIMENSIONS)
-
-
 def _bounded(percent: int):
-    """Pairs (a, b, pa, pb) whose summed coordinate minima allow a link."""
+    """Pairs (a, b, fine points of both) whose summed coordinate minima allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                p, q = _points(batch.column(2)), _points(batch.column(3))
-                good = np.minimum(p, q).sum(1) >= _need(p.sum(1), q.sum(1), percent)
-                yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(good)) for i in (0, 1)], ["a", "b"])
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                p, q = (np.frombuffer(v.as_buffer(), np.uint16) for v in (x, y))
+                good.append(not len(p) or not len(q) or int(np.minimum(p, q).sum(dtype=np.int64)) >= _need(int(p.sum(dtype=np.int64)), int(q.sum(dtype=np.int64)), percent))
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(good, pa.bool_())) for i in (0, 1)], ["a", "b"])
 
     return run
 
@@ -220,11 +225,11 @@ def link_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     """
     rows = texts(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     with Scratch(docs.sparkSession) as scratch:
-        described = rows.mapInArrow(_describe(n, percent, False, common_tokens(rows, n)), "doc_id long, row long, n long, set long, point binary, buckets array<long>")
+        described = rows.mapInArrow(_describe(n, percent, False, common_tokens(rows, n)), "doc_id long, row long, n long, set long, point binary, fine binary, buckets array<long>")
         every = scratch.written(described, "every")
         sizes = scratch.written(every.select("doc_id", "row", "n", "set"), "sizes", keep=True)
         head = F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "row")).alias("head")
-        names = scratch.written(every.filter("n > 0").groupBy("set").agg(head, F.min("point").alias("point")), "names")
+        names = scratch.written(every.filter("n > 0").groupBy("set").agg(head, F.min("point").alias("point"), F.min("fine").alias("fine")), "names")
         points = names.select("set", "head.row", "point")
         spread = every.select("set", F.explode("buckets").alias("bucket"))
         shared = scratch.written(spread.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket"), "shared")
@@ -239,14 +244,16 @@ def link_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
         stars = shares.groupBy("set").agg(F.max(F.struct("c", "end")).alias("best")).select(F.least("set", "best.end").alias("a"), F.greatest("set", "best.end").alias("b")).distinct()
 
         def bound(pairs: DataFrame) -> DataFrame:
-            p, q = points.select(F.col("set").alias("a"), F.col("point").alias("p")), points.select(F.col("set").alias("b"), F.col("point").alias("q"))
+            p, q = (names.select(F.col("set").alias(end), F.col("fine").alias(name)) for end, name in (("a", "p"), ("b", "q")))
             return pairs.join(p, "a").join(q, "b").select("a", "b", "p", "q").mapInArrow(_bounded(percent), PAIRS)
 
         def verify(pairs: DataFrame, name: str) -> DataFrame:
             pairs = scratch.written(pairs, f"{name}-pairs")
+            scratch.drop()
             ends = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(points.select("set", "row"), "set")
             bags = rows.join(ends, "row").select("set", "text").mapInArrow(_describe(n, percent, True), "set long, tokens binary")
             bags = scratch.written(bags, f"{name}-bags")
+            scratch.drop()
             p, q = bags.select(F.col("set").alias("a"), F.col("tokens").alias("p")), bags.select(F.col("set").alias("b"), F.col("tokens").alias("q"))
             links = scratch.written(pairs.join(p, "a").join(q, "b").select("a", "b", "p", "q").mapInArrow(_verified(percent), PAIRS), f"{name}-links")
             scratch.drop(pairs, bags)
@@ -256,7 +263,8 @@ def link_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
         found = components(scratch, links)
         again = scratch.written(_crossing(near, found, points, percent), "crossing")
         if not again.isEmpty():
-            found = components(scratch, links.unionByName(verify(again, "tree")))
+            scratch.drop()
+            found = components(scratch, links.unionByName(verify(bound(again), "tree")))
         found = names.select("set", "head").join(found.withColumnRenamed("node", "set"), "set", "left").select("set", "head", F.coalesce("component", "set").alias("component"))
         least = found.groupBy("component").agg(F.min("head").alias("least"))
         named = scratch.written(found.join(least, "component").select("set", "least"), "named", keep=True)
