@@ -13,8 +13,9 @@ How the work is spread:
    emit d + 1 tokens, common ones last. These are the buckets, kept apart by size level;
    a set close to the lower bound of its level emits for the level below as well.
    Buckets with one set are dropped.
-3. Each set is paired with one set: of the least and greatest sets of its buckets, the one that
-   shares most buckets with it. Pairs pass the count-vector bound, survivors are verified on their tokens, and components are found.
+3. The hub of a bucket is its set whose buckets are fullest, most likely the text that the others were
+   copied from. Each set is paired with the STARS hubs that share most buckets with it. Pairs pass the
+   count-vector bound, survivors are verified on their tokens, and components are found.
 4. Buckets that still hold several components are searched by the R-tree: every set
    outside the bucket's main component is looked up among all sets of the bucket,
    in blocks of bounded size, and survivors are verified. Pairs inside a component are
@@ -39,9 +40,11 @@ from pyspark.sql import functions as F
 
 from .common import RollingHash, Scratch, buffers, components, mixed, slices, table, texts, word_hashes
 
-DIMENSIONS = 32
+DIMENSIONS = 128
 #: Groups of the finer point that a pair has to pass before its tokens are fetched.
 FINE = 512
+#: Pairs that a set makes in step 3.
+STARS = 2
 #: Sets searched together in step 4, and entries of an R-tree node.
 BLOCK, NODE = 2048, 32
 #: Sets from this size on emit groups of tokens; documents and tokens of the list of common ones.
@@ -70,8 +73,14 @@ def _bags(batch: pa.RecordBatch, n: int, hashes: RollingHash) -> Iterator[np.nda
         yield shingles(words[cut[i] : cut[i + 1]], n)
 
 
-def _point(bag: np.ndarray) -> np.ndarray:
-    return np.bincount((bag >> np.uint64(59)).astype(np.int64), minlength=DIMENSIONS).astype(np.int32)
+def _point(bag: np.ndarray) -> bytes:
+    """Group counts, each in the fewest bytes that hold the greatest one."""
+    counts = np.bincount((bag >> np.uint64(57)).astype(np.int64), minlength=DIMENSIONS)
+    return counts.astype(np.min_scalar_type(counts.max())).tobytes()
+
+
+def _counts(point: bytes) -> np.ndarray:
+    return np.frombuffer(point, f"u{len(point) // DIMENSIONS}").astype(np.int32)
 
 
 def _fine(bag: np.ndarray) -> bytes:
@@ -138,7 +147,7 @@ def _describe(n: int, percent: int, wanted: bool, common: np.ndarray | None = No
             keys = [_buckets(b, percent, common) for b in bags]
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, keys)]).astype(np.int32), pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(b) for b in bags], pa.int64()), pa.array(names), pa.array([_point(b).tobytes() for b in bags], pa.binary()), pa.array([_fine(b) for b in bags], pa.binary()), lists],
+                [batch.column(0), batch.column(1), pa.array([len(b) for b in bags], pa.int64()), pa.array(names), pa.array([_point(b) for b in bags], pa.binary()), pa.array([_fine(b) for b in bags], pa.binary()), lists],
                 ["doc_id", "row", "n", "set", "point", "fine", "buckets"],
             )
 
@@ -192,9 +201,9 @@ def _search(percent: int):
         for batch in batches:
             pairs = []
             for members, visitors in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tree = CountTree(np.stack([np.frombuffer(x["point"], np.int32) for x in members]))
+                tree = CountTree(np.stack([_counts(x["point"]) for x in members]))
                 for v in visitors:
-                    pairs += [(v["set"], members[i]["set"]) for i in tree.search(np.frombuffer(v["point"], np.int32), percent) if members[i]["component"] != v["component"]]
+                    pairs += [(v["set"], members[i]["set"]) for i in tree.search(_counts(v["point"]), percent) if members[i]["component"] != v["component"]]
             yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in pairs], pa.int64()), pa.array([max(x) for x in pairs], pa.int64())], ["a", "b"])
 
     return run
@@ -232,16 +241,18 @@ def link_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
         names = scratch.written(every.filter("n > 0").groupBy("set").agg(head, F.min("point").alias("point"), F.min("fine").alias("fine")), "names")
         points = names.select("set", "head.row", "point")
         spread = every.select("set", F.explode("buckets").alias("bucket"))
-        shared = scratch.written(spread.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket"), "shared")
+        shared = scratch.written(spread.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1"), "shared")
         scratch.drop()
-        held = scratch.written(spread.join(shared, "bucket", "left_semi").groupBy("bucket", "set").agg(F.lit(1).alias("_")).drop("_"), "held")
+        held = scratch.written(spread.join(shared, "bucket").groupBy("bucket", "set").agg(F.max("c").alias("c")), "held")
         scratch.drop(every, shared)
-        ends = scratch.written(held.groupBy("bucket").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low < high"), "ends")
-        near = scratch.written(held.join(ends, "bucket"), "near")
-        scratch.drop(held, ends)
-        # For each set, of the ends of its buckets the one with which it shares most.
-        shares = near.select("set", F.explode(F.array("low", "high")).alias("end")).filter("set <> end").groupBy("set", "end").agg(F.count("*").alias("c"))
-        stars = shares.groupBy("set").agg(F.max(F.struct("c", "end")).alias("best")).select(F.least("set", "best.end").alias("a"), F.greatest("set", "best.end").alias("b")).distinct()
+        full = held.join(held.groupBy("set").agg(F.sum("c").alias("w")), "set")
+        hubs = scratch.written(full.groupBy("bucket").agg(F.max(F.struct("w", "set")).alias("hub"), F.count("*").alias("k")).filter("k > 1").select("bucket", F.col("hub.set").alias("hub")), "hubs")
+        near = scratch.written(held.drop("c").join(hubs, "bucket"), "near")
+        scratch.drop(held, hubs)
+        # A set has a bounded number of buckets, and no more hubs.
+        shares = near.filter("set <> hub").groupBy("set", "hub").agg(F.count("*").alias("c")).groupBy("set").agg(F.collect_list(F.struct("c", "hub")).alias("hubs"))
+        best = shares.select("set", F.explode(F.slice(F.sort_array("hubs", False), 1, STARS)).alias("best"))
+        stars = best.select(F.least("set", "best.hub").alias("a"), F.greatest("set", "best.hub").alias("b")).distinct()
 
         def bound(pairs: DataFrame) -> DataFrame:
             p, q = (names.select(F.col("set").alias(end), F.col("fine").alias(name)) for end, name in (("a", "p"), ("b", "q")))
