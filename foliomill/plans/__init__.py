@@ -1 +1,3 @@
-"""Jobs of the plans layer."""
+"""Queries over the given tables; importing the package registers all of them."""
+
+from . import publishing, registry  # noqa: F401
