@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from foliomill.functions import text as T
 
-#: Names that stand for no author.
-PLACEHOLDERS = ("admin", "administrator", "user", "unknown", "author", "anonymous", "root", "owner")
+from .records import PLACEHOLDERS
+
 AUTHOR = r"(?i)^(?:author|autor|autora|auteur|escrito por|written by)\s*:\s*(.{3,80})$"
 
 
