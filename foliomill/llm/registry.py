@@ -2,7 +2,7 @@
 
 from . import ann_partitions, language_id, ngram_join, packing, quality_cnn, quality_rules, secret_scan, sentence_pieces, suffix_dedup, toxicity
 
-MODULES = (suffix_dedup, ngram_join, toxicity, packing, quality_cnn, quality_rules, secret_scan, packing, quality_cnn, ann_partitions, sentence_pieces, language_id)
+MODULES = (suffix_dedup, ngram_join, toxicity, quality_rules, secret_scan, packing, quality_cnn, ann_partitions, sentence_pieces, language_id)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
