@@ -155,11 +155,11 @@ LOWER[65:91] += 32
 
 
 def word_hashes(data: np.ndarray, hashes: RollingHash, lower: bool = True, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of each word of a UTF-8 buffer; long buffers go through in blocks cut at white space."""
+    """(hash, start, end) of each word of a UTF-8 buffer; long buffers go through in blocks cut at white space, however far that is."""
     found, starts, stops, at = [], [], [], 0
     while at < len(data):
         end = min(at + block, len(data))
-        while end < len(data) and not SPACE[data[end - 1]] and end - at < hashes.up.size - 2:
+        while end < len(data) and not SPACE[data[end - 1]]:
             gap = np.flatnonzero(SPACE[data[end : end + 4096]])
             end = min(end + (int(gap[0]) + 1 if len(gap) else 4096), len(data))
         part = data[at:end]
