@@ -6,8 +6,10 @@ import pytest
 
 from foliomill.llm.common import RollingHash, word_hashes
 from foliomill.llm.ngram_join import link_components
+from foliomill.llm.packing import pack, tokenizer_path
 from foliomill.llm.quality_rules import ledger
 from tests.llm.test_ngram_join import brute
+from tests.llm.test_packing import check
 
 MIB = 1 << 20
 
@@ -46,3 +48,10 @@ def test_links_of_long_texts(spark):
     rows = [(1, long_text("")), (2, long_text("some 3 words ")), (3, "x" * (MIB + 9) + " one two"), (4, "x" * (MIB + 9) + " one two three")]
     got = link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(tuple(r)[:3] for r in got) == brute(rows)
+
+
+@pytest.mark.parametrize("text", ["日本語の文章はとても長い" * (3 * MIB // 36 + 1), "Zm9vYmFy,QmF6" * (3 * MIB // 13 + 1)], ids=["cjk", "ascii"])
+def test_ids_of_a_text_without_white_space(spark, text):
+    assert len(text.encode()) >= 3 * MIB
+    texts = [(1, text), (2, "a b"), (3, "some words, " + text + " and more")]
+    check(pack(spark.createDataFrame(texts, "doc_id long, text string"), tokenizer_path()).collect(), texts)
