@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -25,14 +27,29 @@ def admit(times: pd.Series, count: int, last: pd.Timestamp | None, most: int, se
     return out, count, last
 
 
-def quota(events: DataFrame, most: int, seconds: int) -> DataFrame:
-    """Events (reader, ts, event_id) with ``accepted``."""
+def _admitted(most: int, seconds: int):
+    """Rows (reader, event_id, ts) in order of reader, ts and event_id, with ``accepted``; between batches only the last reader's counter is carried."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, count, last = (), 0, None  # no reader is ()
+        for batch in batches:
+            times, accepted = batch.column(2).to_pandas(), []
+            for reader, same in groupby(batch.column(0).to_pylist()):
+                if reader != known:
+                    known, count, last = reader, 0, None
+                at = len(accepted)
+                good, count, last = admit(times[at : at + sum(1 for _ in same)], count, last, most, seconds)
+                accepted += good
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(accepted, pa.bool_())], [*batch.schema.names, "accepted"])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "event_id"])
-        return rows.assign(accepted=admit(rows["ts"], 0, None, most, seconds)[0])[["reader", "event_id", "ts", "accepted"]]
+    return run
 
-    return events.select("reader", "event_id", "ts").groupBy("reader").applyInPandas(run, SHAPE)
+
+def quota(events: DataFrame, most: int, seconds: int) -> DataFrame:
+    """Events (reader, ts, event_id) with ``accepted``; Spark sorts, so that no reader has to fit into a worker."""
+    rows = events.select(F.col("reader").cast("long").alias("reader"), F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"))
+    ordered = rows.repartition("reader").sortWithinPartitions("reader", F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
+    return ordered.mapInArrow(_admitted(most, seconds), SHAPE)
 
 
 def stream_quota(events: DataFrame, most: int, seconds: int, late: str = "10 minutes") -> DataFrame:
