@@ -11,7 +11,7 @@ block answers with its own best rows for a query.
 
 Defined results: vectors that are null, empty, all zero, or hold nulls or non-finite numbers,
 or whose length is not that of most of the sample, take no part; ties go to the smaller id; a row is
-no candidate for queries of its own id; rows with a null id take no part.
+no candidate for queries of its own id; rows with a null id take no part; equal queries are asked once.
 """
 
 from __future__ import annotations
@@ -136,16 +136,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _route(router: Router, scale: float, queries: bool):
+def _route(router: Router, scale: float, sizes: np.ndarray | None = None, need: int = 0):
+    """Rows to their part; with the ``sizes`` of the parts, queries to theirs, which hold ``need`` rows where there are so many."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             p = router.probabilities(_matrix(batch.column(1)) / scale)
-            if queries:
+            if sizes is not None:
                 order = np.argsort(-p, axis=1, kind="stable")
                 before = np.cumsum(np.take_along_axis(p, order, 1), 1) - np.take_along_axis(p, order, 1)
-                taken = ((before < MASS) | (np.arange(p.shape[1]) < LEAST)).sum(1)
+                rows_before = np.cumsum(sizes[order], 1) - sizes[order]
+                taken = ((before < MASS) | (np.arange(p.shape[1]) < LEAST) | (rows_before < need)).sum(1)
                 of = np.repeat(np.arange(len(p)), taken)
                 part = np.concatenate([o[:n] for o, n in zip(order, taken)])
             else:
@@ -194,7 +197,7 @@ def _blocks(rows: DataFrame, name: str) -> DataFrame:
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest rows found for each query (vec_id, embedding)."""
-    rows, asked = usable(vectors), usable(queries)
+    rows, asked = usable(vectors), usable(queries).distinct()
     picked = rows.select("vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
     sample = [np.array(r.embedding) for r in rows.join(F.broadcast(picked.distinct()), "vec_id", "left_semi").select("embedding").toLocalIterator()]  # SAMPLE ids at most
     shape = "query_id long, vec_id long, score double"
@@ -203,11 +206,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     lengths = [len(x) for x in sample]
     size = max(sorted(set(lengths)), key=lengths.count)
     rows, asked = (df.filter(F.size("embedding") == size) for df in (rows, asked))
-    parts = max(1, min(PARTS, rows.count() // PART_ROWS, SAMPLE // 32))
+    n, copies = rows.groupBy("vec_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    parts = max(1, min(PARTS, n // PART_ROWS, SAMPLE // 32))
     router, scale = train(np.array([x for x in sample if len(x) == size]), parts)
     columns = "vec_id long, embedding array<double>, part int"
-    held = _blocks(rows.mapInArrow(_route(router, scale, False), columns), "held")
-    wanted = _blocks(asked.mapInArrow(_route(router, scale, True), columns), "asked")
+    routed, sizes = rows.mapInArrow(_route(router, scale), columns), np.zeros(parts, np.int64)
+    for r in routed.groupBy("part").agg(F.count("*").alias("n")).collect():  # PARTS rows at most
+        sizes[r.part] = r.n
+    held = _blocks(routed, "held")
+    wanted = _blocks(asked.mapInArrow(_route(router, scale, sizes, k + copies), columns), "asked")  # a query's own rows do not count
     found = wanted.join(held, "part").select("asked", "held").mapInArrow(_rerank(k), shape)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
