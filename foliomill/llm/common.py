@@ -80,6 +80,18 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
+def names(docs: DataFrame, *but: str) -> list[str]:
+    """The columns of ``docs`` without ``but``, quoted."""
+    return [f"`{c.replace('`', '``')}`" for c in docs.columns if c.lower() not in but]
+
+
+def free_name(docs: DataFrame, wish: str) -> str:
+    """``wish``, or ``wish`` with more underscores, so that ``docs`` has no such column."""
+    while wish.lower() in map(str.lower, docs.columns):
+        wish += "_"
+    return wish
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column end to end, and the n + 1 offsets."""
     if isinstance(column, pa.ChunkedArray):

@@ -20,6 +20,8 @@ How the work is spread:
    outside the bucket's main component is looked up among all sets of the bucket,
    in blocks of bounded size, and survivors are verified. Pairs inside a component are
    never made, so a large group of near copies costs as many rows as it has members.
+   Sets that nearly link share most of their buckets; each set carries its ``EARLY`` first
+   buckets, and a pair known to meet in an earlier one is left to that one.
 
 No bucket is cut off and no candidate is dropped: links are complete.
 
@@ -38,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RollingHash, Scratch, buffers, components, mixed, slices, table, texts, word_hashes
+from .common import RollingHash, Scratch, buffers, components, free_name, mixed, names, slices, table, texts, word_hashes
 
 DIMENSIONS = 128
 #: Groups of the finer point that a pair has to pass before its tokens are fetched.
@@ -46,7 +48,9 @@ FINE = 512
 #: Pairs that a set makes in step 3.
 STARS = 2
 #: Sets searched together in step 4, and entries of an R-tree node.
-BLOCK, NODE = 2048, 32
+BLOCK, NODE = 1024, 32
+#: First buckets that a set carries in step 4.
+EARLY = 8
 #: Sets from this size on emit groups of tokens; documents and tokens of the list of common ones.
 GROUPED, SAMPLE, COMMON = 256, 8_192, 4_096
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -194,17 +198,39 @@ class CountTree:
         return self.order[at]
 
 
+def _met_before(early: np.ndarray, own: np.ndarray, bucket: int) -> np.ndarray:
+    """Which rows of ``early`` share a bucket before ``bucket`` with the set whose early buckets are ``own``."""
+    return np.isin(early, own[own < bucket]).any(1)
+
+
+def _entries(lists: pa.ListArray) -> list[tuple]:
+    """(sets, components, points, early buckets, padded with the greatest number) of each list."""
+    flat, cuts = lists.flatten(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
+    sets, component, points = flat.field("set").to_numpy(), flat.field("component").to_numpy(), flat.field("point")
+    early, size = flat.field("early"), flat.field("early").value_lengths().to_numpy()
+    padded = np.full((len(flat), EARLY), np.iinfo(np.int64).max)
+    padded[np.arange(EARLY) < size[:, None]] = early.flatten().to_numpy()
+    return [(sets[a:b], component[a:b], points[a:b].to_pylist(), padded[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+
+
 def _search(percent: int):
-    """Blocks (members, visitors) to candidate pairs of different components."""
+    """Blocks (bucket, main component, members, visitors) to candidate pairs of different components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = []
-            for members, visitors in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tree = CountTree(np.stack([_counts(x["point"]) for x in members]))
-                for v in visitors:
-                    pairs += [(v["set"], members[i]["set"]) for i in tree.search(_counts(v["point"]), percent) if members[i]["component"] != v["component"]]
-            yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in pairs], pa.int64()), pa.array([max(x) for x in pairs], pa.int64())], ["a", "b"])
+            pairs = [np.zeros((0, 2), np.int64)]
+            for bucket, main, held, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _entries(batch.column(2)), _entries(batch.column(3))):
+                sets, component, points, early = held
+                tree = CountTree(np.stack([_counts(x) for x in points]))
+                # A member outside the main component is a visitor too: the pair is made once.
+                once = component == main
+                for own, kind, point, first in zip(*asked):
+                    hits = tree.search(_counts(point), percent)
+                    hits = hits[(component[hits] != kind) & (once[hits] | (own < sets[hits]))]
+                    hits = hits[~_met_before(early[hits], first, bucket)]
+                    pairs.append(np.c_[np.full(len(hits), own), sets[hits]])
+            found = np.sort(np.concatenate(pairs), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     return run
 
@@ -238,8 +264,8 @@ def link_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
         every = scratch.written(described, "every")
         sizes = scratch.written(every.select("doc_id", "row", "n", "set"), "sizes", keep=True)
         head = F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "row")).alias("head")
-        names = scratch.written(every.filter("n > 0").groupBy("set").agg(head, F.min("point").alias("point"), F.min("fine").alias("fine")), "names")
-        points = names.select("set", "head.row", "point")
+        nodes = scratch.written(every.filter("n > 0").groupBy("set").agg(head, F.min("point").alias("point"), F.min("fine").alias("fine")), "nodes")
+        points = nodes.select("set", "head.row", "point")
         spread = every.select("set", F.explode("buckets").alias("bucket"))
         shared = scratch.written(spread.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1"), "shared")
         scratch.drop()
@@ -255,7 +281,7 @@ def link_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
         stars = best.select(F.least("set", "best.hub").alias("a"), F.greatest("set", "best.hub").alias("b")).distinct()
 
         def bound(pairs: DataFrame) -> DataFrame:
-            p, q = (names.select(F.col("set").alias(end), F.col("fine").alias(name)) for end, name in (("a", "p"), ("b", "q")))
+            p, q = (nodes.select(F.col("set").alias(end), F.col("fine").alias(name)) for end, name in (("a", "p"), ("b", "q")))
             return pairs.join(p, "a").join(q, "b").select("a", "b", "p", "q").mapInArrow(_bounded(percent), PAIRS)
 
         def verify(pairs: DataFrame, name: str) -> DataFrame:
@@ -276,7 +302,7 @@ def link_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
         if not again.isEmpty():
             scratch.drop()
             found = components(scratch, links.unionByName(verify(bound(again), "tree")))
-        found = names.select("set", "head").join(found.withColumnRenamed("node", "set"), "set", "left").select("set", "head", F.coalesce("component", "set").alias("component"))
+        found = nodes.select("set", "head").join(found.withColumnRenamed("node", "set"), "set", "left").select("set", "head", F.coalesce("component", "set").alias("component"))
         least = found.groupBy("component").agg(F.min("head").alias("least"))
         named = scratch.written(found.join(least, "component").select("set", "least"), "named", keep=True)
     alone = F.col("n") == 0
@@ -288,9 +314,10 @@ def link_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
 
 def keep_one(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """Rows of ``docs``, with all their columns: one of each group of linked documents."""
-    stays = link_components(docs, n, percent).filter("stays").select(F.col("row").alias("_row")).distinct()
+    own = free_name(docs, "row")
+    stays = link_components(docs, n, percent).filter("stays").select(F.col("row").alias(own)).distinct()
     row = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.withColumn("_row", row).join(stays, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns)
+    return docs.withColumn(own, row).join(stays, own, "left_semi").dropDuplicates([own]).select(names(docs))
 
 
 def _crossing(near: DataFrame, found: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -300,13 +327,15 @@ def _crossing(near: DataFrame, found: DataFrame, points: DataFrame, percent: int
     inside = labelled.join(mixed_, "bucket")
     kinds = inside.groupBy("bucket", "component").agg(F.count("*").alias("c"))
     main = kinds.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("main"), F.sum("c").alias("c")).select("bucket", F.col("main.component").alias("main"), F.ceil(F.col("c") / BLOCK).alias("blocks"), F.ceil((F.col("c") - F.col("main.c")) / BLOCK).alias("chunks"))
-    placed = inside.join(main, "bucket").join(points.select("set", "point"), "set")
-    entry, own = F.struct("set", "component", "point"), F.pmod(F.xxhash64("set"), F.col("blocks"))
+    # A set has a bounded number of buckets.
+    early = inside.groupBy("set").agg(F.slice(F.sort_array(F.collect_list("bucket")), 1, EARLY).alias("early"))
+    placed = inside.join(main, "bucket").join(points.select("set", "point").join(early, "set"), "set")
+    entry, own = F.struct("set", "component", "point", "early"), F.pmod(F.xxhash64("set"), F.col("blocks"))
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    members = placed.select("bucket", own.alias("block"), every("chunks").alias("chunk"), entry.alias("member"), F.lit(None).alias("visitor"))
-    visitors = placed.filter("component <> main").select("bucket", every("blocks").alias("block"), F.pmod(F.xxhash64("set"), F.col("chunks")).alias("chunk"), F.lit(None).alias("member"), entry.alias("visitor"))
-    blocks = members.unionByName(visitors).groupBy("bucket", "block", "chunk").agg(F.collect_list("member").alias("members"), F.collect_list("visitor").alias("visitors"))
-    return blocks.filter("size(members) > 0 and size(visitors) > 0").select("members", "visitors").mapInArrow(_search(percent), PAIRS).distinct()
+    members = placed.select("bucket", "main", own.alias("block"), every("chunks").alias("chunk"), entry.alias("member"), F.lit(None).alias("visitor"))
+    visitors = placed.filter("component <> main").select("bucket", "main", every("blocks").alias("block"), F.pmod(F.xxhash64("set"), F.col("chunks")).alias("chunk"), F.lit(None).alias("member"), entry.alias("visitor"))
+    blocks = members.unionByName(visitors).groupBy("bucket", "main", "block", "chunk").agg(F.collect_list("member").alias("members"), F.collect_list("visitor").alias("visitors"))
+    return blocks.filter("size(members) > 0 and size(visitors) > 0").select("bucket", "main", "members", "visitors").mapInArrow(_search(percent), PAIRS).distinct()
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
