@@ -42,8 +42,11 @@ def test_against_brute_force(spark, seed):
         if r.random() < 0.2:
             rows.append((d + 1000, rows[-1][1]))
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 as row", "2 as n", "3 as run")
-    got = sorted((tuple(x) for x in remove_repeats(df).collect()), key=str)
+    got = sorted((tuple(x)[:5] for x in remove_repeats(df).collect()), key=str)
     assert got == brute(rows, 400)
+    both = remove_repeats(df, narrow=250).collect()
+    assert sorted((tuple(x)[:5] for x in both), key=str) == got
+    assert sorted(((x.doc_id, x.n_bytes, x.n_repeated) for x in both), key=str) == sorted(((d, n, m) for d, n, m, _, _ in brute(rows, 250)), key=str)
 
 
 def test_long_text_in_blocks(spark):
@@ -51,12 +54,14 @@ def test_long_text_in_blocks(spark):
     a = "".join(r.choice("abcdefgh ") for _ in range(3000))
     rows = [(1, a + a[500:1700] + "zz" + a[:450]), (2, "q" + a[2000:] + "w"), (3, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((tuple(x) for x in remove_repeats(df, block=700).collect()), key=str)
-    assert got == brute(rows, 400)
+    got = remove_repeats(df, block=700, narrow=250).collect()
+    assert sorted(tuple(x)[:5] for x in got) == brute(rows, 400)
+    assert sorted((x.doc_id, x.n_repeated) for x in got) == [(d, m) for d, _, m, _, _ in brute(rows, 250)]
 
 
 def test_empty_table(spark):
-    assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert remove_repeats(none).count() == remove_repeats(none, narrow=250).count() == 0
 
 
 def test_text_that_is_left(spark):
@@ -65,3 +70,10 @@ def test_text_that_is_left(spark):
     out = without_repeats(rows, 400)
     assert out.columns == rows.columns
     assert sorted(tuple(x) for x in out.collect()) == [(1, "tail", "x"), (2, "", None), (3, "", "y")]
+
+
+def test_clashing_columns(spark):
+    a = "0123456789" * 40
+    rows = spark.createDataFrame([(1, a, 1, 2, 3), (2, a + "b", 4, 5, 6)], "doc_id long, text string, row int, spans int, _row int")
+    out = without_repeats(rows, 400)
+    assert out.columns == rows.columns and sorted(tuple(x) for x in out.collect()) == [(1, "", 1, 2, 3), (2, "b", 4, 5, 6)]
