@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm.common import written
+from foliomill.llm.common import Scratch
 from foliomill.llm.language_id import keep_identified
 from foliomill.llm.ngram_join import keep_one
 from foliomill.llm.packing import pack, tokenizer_path
 from foliomill.llm.secret_scan import redact
 from foliomill.llm.suffix_dedup import without_repeats
 
+#: Bytes of a repeated string: about 50 short words.
+WIDTH = 250
+
 
 def _counted(docs: DataFrame) -> DataFrame:
     """n_chars after a change of texts."""
@@ -29,8 +32,8 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes in strings of 400 that stand elsewhere go."""
-    return _counted(without_repeats(docs, 400))
+    """Bytes in strings of WIDTH that stand elsewhere go, all copies of them."""
+    return _counted(without_repeats(docs, WIDTH))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +55,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies STAGES to the documents table; each stage is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Scratch(spark) as scratch:
+        for i, (name, stage) in enumerate(STAGES[:-1]):
+            after = scratch.written(stage(spark, docs, sf_dir), name)
+            if i:
+                scratch.drop(docs)
+            docs = after
+        return STAGES[-1][1](spark, docs, sf_dir)  # has written its pieces
