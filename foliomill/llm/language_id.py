@@ -4,12 +4,13 @@ A profile is the ranked list of the most frequent 1- to 3-grams of a language's
 a document's own ranked list is compared with each by the out-of-place distance: the sum of
 rank differences, a missing n-gram costing the length of the profile.
 
-Profiles come from at most ``sample`` labelled rows (chosen by a hash of their id); every
-document is judged by its whole text. Ties between n-grams go by the n-gram, ties between
-languages by the name.
+Profiles come from at most ``sample`` labelled rows of each language (chosen by a hash of the row), so
+that a rare language has one too, and of at most ``LANGUAGES`` languages, those with most labelled rows,
+which is the size of the model. Every document is judged by its whole text. Ties between n-grams go by
+the n-gram, ties between languages by the name.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; if no row can
-be learned from, every document is ``und``; repeated rows each get a row.
+be learned from, every document is ``und``; repeated rows each get a row, and are learned once.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, table, texts
+from .common import held_out, names, slices, table, texts
 
 PROFILE = 400
-#: Labelled rows that profiles are learned from, and languages that can be learned.
-SAMPLE, LANGUAGES = 20_000, 500
+#: Labelled rows that a profile is learned from, and languages that can be learned.
+SAMPLE, LANGUAGES = 2_000, 300
 
 
 @cache
@@ -67,30 +68,35 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn_profiles(labelled: DataFrame, sample: int = SAMPLE, size: int = PROFILE) -> dict[str, list[int]]:
     """Language to ranked n-grams, from rows (doc_id, text, lang) without nulls in lang."""
-    picked = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = labelled.join(F.broadcast(picked), "doc_id", "left_semi").select("lang", "text")  # at most ``sample`` ids
+    named = labelled.select("lang", "text", F.xxhash64("doc_id", "text").alias("row"))
+    most = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
+    keys = named.select("lang", "row").join(F.broadcast(most), "lang", "left_semi").distinct()  # LANGUAGES rows at most
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("row"))
+    picked = keys.withColumn("place", first).filter(F.col("place") <= sample).select("lang", "row")
+    # LANGUAGES x ``sample`` rows at most; copies of a row are one.
+    rows = named.join(F.broadcast(picked), ["lang", "row"], "left_semi").groupBy("lang", "row").agg(F.min("text").alias("text")).select("lang", "text")
     counts = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # Code points make an n-gram positive, so that its order is that of unsigned numbers.
     top = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("place") <= size)
     out: dict[str, list[int]] = {}
-    for row in top.limit(LANGUAGES * size).orderBy("lang", "place").collect():
+    for row in top.orderBy("lang", "place").collect():
         out.setdefault(row.lang, []).append(row.gram)
     return out
 
 
 def _judge(profiles: dict[str, list[int]], size: int):
-    names = sorted(profiles)
+    spoken = sorted(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unique(np.array([g for n in names for g in profiles[n]], np.uint64))
-        places = np.full((len(names), len(known) + 1), -1, np.int64)
-        for i, name in enumerate(names):
+        known = np.unique(np.array([g for n in spoken for g in profiles[n]], np.uint64))
+        places = np.full((len(spoken), len(known) + 1), -1, np.int64)
+        for i, name in enumerate(spoken):
             places[i, np.searchsorted(known, np.array(profiles[name], np.uint64))] = np.arange(len(profiles[name]))
         for batch in slices(batches, "text", 1 << 20):
             langs, scores = [], []
             for text in batch.column(1).to_pylist():
                 own = ranked(*grams(text), size)
-                if not len(own) or not names:
+                if not len(own) or not spoken:
                     langs.append("und")
                     scores.append(0.0)
                     continue
@@ -99,7 +105,7 @@ def _judge(profiles: dict[str, list[int]], size: int):
                 place = places[:, at]
                 away = np.where(place < 0, size, np.abs(place - np.arange(len(own)))).sum(1) / (size * len(own))
                 best = int(np.argmin(away))
-                langs.append(names[best])
+                langs.append(spoken[best])
                 scores.append(float(max(0.0, min(1.0, 1 - away[best]))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -130,8 +136,8 @@ def _keep(profiles: dict[str, list[int]], least: float):
 
 def keep_identified(docs: DataFrame, least: float = 0.1) -> DataFrame:
     """Rows of ``docs``, with all their columns, whose language is known and whose likeness to it is ``least`` or more."""
-    rows = texts(docs, *[c for c in docs.columns if c not in ("doc_id", "text")])
-    return rows.mapInArrow(_keep(_learned(docs), least), rows.schema).select(docs.columns)
+    rows = texts(docs, *names(docs, "doc_id", "text"))
+    return rows.mapInArrow(_keep(_learned(docs), least), rows.schema).select(names(docs))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

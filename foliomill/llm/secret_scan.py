@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import buffers, slices, table, texts
+from .common import buffers, names, slices, table, texts
 
 KINDS = ("assign", "access", "hex", "entropy")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -127,8 +127,8 @@ def scan(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
 def _redact(allowed: tuple[str, ...], mark: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _scan(allowed)(batches):
-            out = []
-            for text, starts, ends in zip(batch.column(1).to_pylist(), batch.column("starts").to_pylist(), batch.column("ends").to_pylist()):
+            out, n = [], batch.num_columns
+            for text, starts, ends in zip(*(batch.column(i).to_pylist() for i in (1, n - 3, n - 1))):
                 parts, at = [], 0
                 for a, b in zip(starts, ends):
                     if b > at:
@@ -141,10 +141,9 @@ def _redact(allowed: tuple[str, ...], mark: str):
 
 
 def redact(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED, mark: str = "[secret]") -> DataFrame:
-    """The rows of ``docs`` with ``mark`` in the place of every span; the other columns stay."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = texts(docs, *others)
-    return rows.mapInArrow(_redact(allowed, mark), rows.schema).select(docs.columns)
+    """The rows of ``docs`` with ``mark`` in the place of every span; the other columns stay, a null text comes back empty."""
+    rows = texts(docs, *names(docs, "doc_id", "text"))
+    return rows.mapInArrow(_redact(allowed, mark), rows.schema).select(names(docs))
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

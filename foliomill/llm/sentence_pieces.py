@@ -2,14 +2,15 @@
 
 Texts are cut into words (a run of word marks and what follows up to the next one). Words of
 equal length advance together through a Viterbi pass: at each end, the hashes of all substrings
-that end there probe the sorted keys of the pieces, the candidates' values come from the
-state before them, and vectorised maxima store the backpointers.
+that end there probe the sorted keys of the pieces, and the piece that may stand last on the path
+to that end is stored as its backpointer, for all words at once.
 
-The models at hand merge (BPE), so a candidate's value is not a sum of scores, which would give
+The models at hand merge (BPE), so there is no sum of scores to take the maximum of, which would give
 other ids than the model: a piece may follow another only if merging the two texts gives back
-just the two. Then one path at most reaches each end with a value at all, and following its
+just the two. Then one path at most reaches each end, and following its
 backpointers gives the model's own encoding. Characters without a piece become byte pieces.
-Models of other kinds are refused.
+Models of other kinds (their scores are no merge ranks, or they have no byte pieces) are refused.
+A run without spaces is one word, and its pass takes a step for each character.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; repeated rows each
 get a row. Decoding gives the text back but for U+2581, which the model cannot tell from a space.
@@ -47,7 +48,8 @@ class Pieces:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        if not any(model.is_byte(i) for i in range(model.vocab_size())):
+        scores = [model.get_score(i) for i in range(model.vocab_size())]
+        if not any(model.is_byte(i) for i in range(model.vocab_size())) or any(s != int(s) for s in scores):
             raise ValueError("a merge model with byte pieces is needed")
         n = model.vocab_size()
         self.names = [model.id_to_piece(i) for i in range(n)]

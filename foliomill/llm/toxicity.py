@@ -127,10 +127,11 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, exceptions: tuple[str, ...]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, sample: int) -> DataFrame:
-    """(doc_id, label, text) of at most ``sample`` labelled documents, chosen by a hash of the id."""
+    """(doc_id, label, text) of at most ``sample`` labelled documents, chosen by a hash of the id; of several texts of an id, the least."""
     ids = labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(column).cast("int").alias("label"))
     picked = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return texts(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text")  # ``sample`` ids at most
+    found = texts(docs).join(F.broadcast(picked), "doc_id")  # ``sample`` ids at most
+    return found.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text"))
 
 
 def score(docs: DataFrame, lexicon: dict[str, float], weights: list[float], exceptions: tuple[str, ...] = EXCEPTIONS) -> DataFrame:
