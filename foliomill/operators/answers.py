@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from foliomill.functions import text as T
 
@@ -16,23 +21,57 @@ def terms(col: Column) -> Column:
     return F.regexp_extract_all(T.fold(col), F.lit(r"([\p{L}\p{N}]{3,})"), 1)
 
 
+def _first_places(needles: list[tuple[int, str]]):
+    """Blocks with folded text to (block, query, first place) by one automaton for all needles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ahocorasick.Automaton()
+        for query, needle in needles:
+            found.add_word(needle, (*found.get(needle, ()), query))
+        if not len(found):
+            return
+        found.make_automaton()
+        size = dict(needles)
+        for batch in batches:
+            row, query_id, place = [], [], []
+            for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                first: dict[int, int] = {}
+                for end, queries in found.iter(text or ""):
+                    for q in queries:
+                        first.setdefault(q, end - len(size[q]) + 2)
+                row += [i] * len(first)
+                query_id += first.keys()
+                place += first.values()
+            kept = batch.take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns[:-1], pa.array(query_id, pa.int64()), pa.array(place, pa.int32())], [*batch.schema.names[:-1], "query_id", "at"])
+
+    return run
+
+
 def search_blocks(blocks: DataFrame, queries: DataFrame) -> DataFrame:
     """Blocks (doc_id, block_no, text) that hold a query (query_id, needle), without regard to case and accents, with the text around the first place.
 
-    ``queries`` is a stated set: the caller bounds it.
+    ``queries`` is a stated set that the caller bounds: it goes to every task. Needles that are
+    null or empty find nothing. A block is folded once and read once, however many needles there are.
     """
-    hit = blocks.join(F.broadcast(queries), T.fold(F.col("text")).contains(T.fold(F.col("needle"))))
-    at, size = F.instr(T.fold(F.col("text")), T.fold(F.col("needle"))), F.length("needle")
+    needles = queries.select(F.col("query_id").cast("long"), T.fold(F.col("needle")).alias("needle"), F.length("needle").alias("size")).filter("needle <> ''")
+    folded = blocks.select("doc_id", "block_no", "text", T.fold(F.col("text")).alias("_folded"))
+    places = _first_places(sorted((r.query_id, r.needle) for r in needles.collect()))
+    hit = folded.mapInArrow(places, StructType([*folded.schema.fields[:-1], StructField("query_id", LongType()), StructField("at", IntegerType())]))
+    hit = hit.join(F.broadcast(needles.select("query_id", "size")), "query_id")  # the stated set
+    at = F.col("at")
     before = F.substring("text", F.greatest(at - 70, F.lit(1)), F.least(at - 1, F.lit(70)))
-    return hit.select("query_id", "doc_id", "block_no", before.alias("before"), F.substring("text", at, size).alias("match"), F.substring("text", at + size, F.lit(90)).alias("after"))
+    return hit.select("query_id", "doc_id", "block_no", before.alias("before"), F.substring("text", at, F.col("size")).alias("match"), F.substring("text", at + F.col("size"), F.lit(90)).alias("after"))
 
 
 def passage_terms(passages: DataFrame) -> DataFrame:
-    """doc_id, passage_no, term, tf, df (passages of the document with the term) and n (its passages)."""
-    n = passages.groupBy("doc_id").agg(F.count("*").alias("n"))
-    tf = passages.select("doc_id", "passage_no", F.explode(terms(F.col("text"))).alias("term")).groupBy("doc_id", "passage_no", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("doc_id", "term").agg(F.count("*").alias("df"))
-    return tf.join(df, ["doc_id", "term"]).join(n, "doc_id")
+    """doc_id, passage_no, term, tf, df (passages of the document with the term) and n (its passages).
+
+    The passages of a document meet once; what is counted of them needs no further shuffle.
+    """
+    rows = passages.select("doc_id", "passage_no", "text").repartition("doc_id").withColumn("n", F.count("*").over(Window.partitionBy("doc_id")))
+    tf = rows.select("doc_id", "passage_no", "n", F.explode(terms(F.col("text"))).alias("term")).groupBy("doc_id", "passage_no", "term").agg(F.count("*").alias("tf"), F.max("n").alias("n"))
+    return tf.withColumn("df", F.count("*").over(Window.partitionBy("doc_id", "term"))).select("doc_id", "term", "passage_no", "tf", "df", "n")
 
 
 def rank_passages(questions: DataFrame, found: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ AUTHOR = r"(?i)^(?:author|autor|autora|auteur|escrito por|written by)\s*:\s*(.{3
 
 def detect_language(docs: DataFrame) -> DataFrame:
     """doc_id and detected language tag."""
-    return docs.select("doc_id", T.language(T.collapse(F.col("text"))).alias("tag"))
+    return T.with_language(docs.select("doc_id", "text"), F.col("text")).select("doc_id", "tag")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def text_flags(docs: DataFrame) -> DataFrame:
     """Unreadable texts, and texts with glyphs that have no meaning of their own."""
-    return docs.select("doc_id", T.unreadable(F.col("text")).alias("unreadable"), T.count(F.col("text"), "[�-]").alias("noise"))
+    return docs.select("doc_id", T.unreadable(F.col("text")).alias("unreadable"), T.count(F.col("text"), "[\ufffd\ue000-\uf8ff]").alias("noise"))
 
 
 def leading_lines(docs: DataFrame, chars: int = 1500, lines: int = 40) -> DataFrame:
@@ -46,9 +46,11 @@ def suggest_author(docs: DataFrame) -> DataFrame:
 
 def descriptions(docs: DataFrame) -> DataFrame:
     """doc_id and description: prose paragraphs of 40 characters or more, cut to 155; without prose, any text."""
-    found = F.filter(F.transform(F.split(T.strip(F.col("text")), f"\n{T.BLANK}*\n"), T.prose), lambda x: F.length(x) >= 40)
-    joined = F.array_join(found, " ")
-    return docs.select("doc_id", T.shorten(F.when(joined != "", joined).otherwise(T.collapse(F.col("text")))).alias("description"))
+    paragraphs = F.split(T.strip(F.col("text")), f"\n{T.BLANK}*\n")
+    found = F.array_join(F.filter(T.prose(paragraphs), lambda x: F.length(x) >= 40), " ")
+    rows = docs.select("doc_id", "text", found.alias("_prose"))
+    rows = rows.select("doc_id", F.when(F.col("_prose") != "", F.col("_prose")).otherwise(T.collapse(F.col("text"))).alias("_lead"))
+    return rows.select("doc_id", F.trim("_lead").alias("_lead")).select("doc_id", T.shorten(F.col("_lead")).alias("description"))
 
 
 def fit_titles(docs: DataFrame, title: str, site: str, limit: int = 75) -> DataFrame:

@@ -53,13 +53,13 @@ def clean_metadata(raw: DataFrame) -> DataFrame:
     given = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
     author, language = line(given("author"), 120), F.trim(given("language"))
     words = F.filter(F.transform(F.split(given("keywords"), "[;,\n]+"), lambda x: line(x, 60)), lambda x: x != "")
-    raw = raw.withColumn("_words", words)
-    low = F.transform("_words", F.lower)
-    # array_position counts from 1, the index of filter from 0.
-    distinct = F.slice(F.filter("_words", lambda x, i: F.array_position(low, F.lower(x)) == i + 1), 1, 10)
+    # A fold that stops taking words at ten: (words, the same in lower case).
+    start = F.struct(F.array().cast("array<string>").alias("w"), F.array().cast("array<string>").alias("low"))
+    taken = lambda acc, x: F.struct(F.array_append(acc["w"], x).alias("w"), F.array_append(acc["low"], F.lower(x)).alias("low"))
+    distinct = F.aggregate(words, start, lambda acc, x: F.when((F.size(acc["w"]) >= 10) | F.array_contains(acc["low"], F.lower(x)), acc).otherwise(taken(acc, x)), lambda acc: acc["w"])
     return raw.withColumns(
         {"author": F.when(F.lower(author).isin(*PLACEHOLDERS), "").otherwise(author), "subject": line(given("subject"), 300), "keywords": distinct, "language": F.when(language.rlike(LANGUAGE_TAG), language).otherwise("")}
-    ).drop("_words")
+    )
 
 
 def share_images(docs: DataFrame, width: int = 300, height: int = 150, first: int = 20) -> DataFrame:

@@ -30,7 +30,8 @@ _REGION = "CASE base " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in records.R
 s AS (SELECT doc_id, tag, string_split(replace(tag, '_', '-'), '-') AS parts, lower(string_split(replace(tag, '_', '-'), '-')[1]) AS base FROM r) SELECT doc_id, tag, base || '_' || CASE WHEN length(parts[2]) = 2 THEN upper(parts[2]) ELSE {_REGION} END AS locale, base AS subtag FROM s""")
 def resolve_language(spark, sf):
     docs = t.documents(spark, sf)
-    rows = docs.select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.col("lang")).alias("saved"), F.when(F.col("doc_id") % 3 == 0, F.lit("es_mx")).alias("chosen"), T.language(T.collapse(F.col("text"))).alias("detected"))
+    rows = docs.select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.col("lang")).alias("saved"), F.when(F.col("doc_id") % 3 == 0, F.lit("es_mx")).alias("chosen"), "text")
+    rows = T.with_language(rows, F.col("text"), "detected")
     return records.resolve_language(rows, "pt-BR").select("doc_id", "tag", "locale", "subtag")
 
 
@@ -41,16 +42,19 @@ def _line(x: str, most: int) -> str:
 _PLACEHOLDERS = ", ".join(f"'{x}'" for x in records.PLACEHOLDERS)
 
 
-@query("clean_metadata", t.sql("d") + f""", r AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'Admin' ELSE coalesce(source, '') || ' <b>' || left(text, 150) END AS author, left(text, 400) AS subject, replace(left(text, 300), ' ', ', ') AS keywords, CASE WHEN doc_id % 4 = 0 THEN lang || '?' ELSE lang END AS language FROM d),
+@query("clean_metadata", t.sql("d") + f""", r AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'Admin' ELSE coalesce(source, '') || ' <b>' || text END AS author, text AS subject, replace(text, ' ', ', ') AS keywords, CASE WHEN doc_id % 4 = 0 THEN lang || '?' ELSE lang END AS language FROM d),
 w AS (SELECT *, list_filter(list_transform(regexp_split_to_array(keywords, '[;,\\n]+'), lambda x: {_line('x', 60)}), lambda x: x <> '') AS ws FROM r),
-v AS (SELECT *, list_transform(ws, lambda x: lower(x)) AS low FROM w)
-SELECT doc_id, CASE WHEN lower({_line('author', 120)}) IN ({_PLACEHOLDERS}) THEN '' ELSE {_line('author', 120)} END AS author, {_line('subject', 300)} AS subject, coalesce(array_to_string(list_filter(ws, lambda x, i: list_position(low, lower(x)) = i)[1:10], '; '), '') AS keywords,
-CASE WHEN regexp_matches(coalesce(trim(language), ''), '{records.LANGUAGE_TAG}') THEN trim(language) ELSE '' END AS language FROM v""")
+k AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w),
+k1 AS (SELECT doc_id, lower(word) AS low, min(i) AS i, arg_min(word, i) AS word FROM k GROUP BY doc_id, low),
+k2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM k1),
+k3 AS (SELECT doc_id, string_agg(word, '; ' ORDER BY i) AS ten FROM k2 WHERE n <= 10 GROUP BY doc_id)
+SELECT doc_id, CASE WHEN lower({_line('author', 120)}) IN ({_PLACEHOLDERS}) THEN '' ELSE {_line('author', 120)} END AS author, {_line('subject', 300)} AS subject, coalesce(ten, '') AS keywords,
+CASE WHEN regexp_matches(coalesce(trim(language), ''), '{records.LANGUAGE_TAG}') THEN trim(language) ELSE '' END AS language FROM w LEFT JOIN k3 USING (doc_id)""")
 def clean_metadata(spark, sf):
     text = F.col("text")
-    author = F.when(F.col("doc_id") % 7 == 0, "Admin").otherwise(F.concat(F.coalesce("source", F.lit("")), F.lit(" <b>"), F.substring(text, 1, 150)))
+    author = F.when(F.col("doc_id") % 7 == 0, "Admin").otherwise(F.concat(F.coalesce("source", F.lit("")), F.lit(" <b>"), text))
     raw = t.documents(spark, sf).select(
-        "doc_id", author.alias("author"), F.substring(text, 1, 400).alias("subject"), F.replace(F.substring(text, 1, 300), F.lit(" "), F.lit(", ")).alias("keywords"),
+        "doc_id", author.alias("author"), text.alias("subject"), F.replace(text, F.lit(" "), F.lit(", ")).alias("keywords"),
         F.when(F.col("doc_id") % 4 == 0, F.concat("lang", F.lit("?"))).otherwise(F.col("lang")).alias("language"),
     )
     return records.clean_metadata(raw).withColumn("keywords", F.array_join("keywords", "; "))
@@ -131,11 +135,11 @@ def trim_answers(spark, sf):
     return records.trim_answers(answers, current).select("answer_id", "doc_id")
 
 
-@query("allowed_terms", t.sql("d") + f""", x AS (SELECT doc_id, (['tag', 'topic'])[doc_id % 2 + 1] AS taxonomy, (['page', 'post', 'book'])[doc_id % 3 + 1] AS type, string_split(replace(left(text, 200), ' ', ' , '), ',') AS ws FROM d)
+@query("allowed_terms", t.sql("d") + f""", x AS (SELECT doc_id, (['tag', 'topic'])[doc_id % 2 + 1] AS taxonomy, (['page', 'post', 'book'])[doc_id % 3 + 1] AS type, string_split(replace(text, ' ', ' , '), ',') AS ws FROM d)
 SELECT DISTINCT doc_id, taxonomy, unnest(list_filter(list_transform(ws, lambda x: {_COLLAPSE.format('x')}), lambda x: x <> '')) AS term FROM x WHERE (type = 'page' AND taxonomy = 'tag') OR type = 'post'""")
 def allowed_terms(spark, sf):
     pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % len(names) + 1).cast("int"))
-    docs = t.documents(spark, sf).select("doc_id", pick(("tag", "topic")).alias("taxonomy"), pick(("page", "post", "book")).alias("type"), F.replace(F.substring("text", 1, 200), F.lit(" "), F.lit(" , ")).alias("terms"))
+    docs = t.documents(spark, sf).select("doc_id", pick(("tag", "topic")).alias("taxonomy"), pick(("page", "post", "book")).alias("type"), F.replace("text", F.lit(" "), F.lit(" , ")).alias("terms"))
     return records.allowed_terms(docs, spark.createDataFrame([("page", "tag"), ("post", "tag"), ("post", "topic")], "type string, taxonomy string"))
 
 

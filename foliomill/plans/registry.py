@@ -79,7 +79,7 @@ SELECT tag, count(*) AS documents, sum(words)::BIGINT AS words, sum(CASE WHEN wo
 def corpus_report(spark, sf):
     """Content checks of the scorecard by detected language."""
     text = F.col("text")
-    rows = t.documents(spark, sf).select(T.language(T.collapse(text)).alias("tag"), T.words(text).alias("words"), T.unreadable(text).alias("unreadable"))
+    rows = T.with_language(t.documents(spark, sf).select(T.words(text).alias("words"), T.unreadable(text).alias("unreadable"), "text"), text)
     points = F.when(F.col("words") >= 300, 10).otherwise(0) + F.when(~F.col("unreadable"), 5).otherwise(0)
     return rows.groupBy("tag").agg(F.count("*").alias("documents"), F.sum("words").alias("words"), F.sum(points).alias("points"))
 
@@ -116,11 +116,11 @@ def normalize_ligatures(spark, sf):
 _ENTRY = "^(.*?)[ \\t]*(?:(?:\\.[ \\t]?){4,}|…{2,}|_{4,})[ \\t]*(\\d{1,4})$"
 
 
-@query("extract_toc_entries", t.sql("d", "lines") + f", e AS (SELECT doc_id, block_no, left(text, 40) || CASE WHEN block_no % 3 = 0 THEN ' ..... ' || (block_no + 1) ELSE '' END AS text FROM rows WHERE block_no < 1000) SELECT doc_id, block_no, text, regexp_extract(text, '{_ENTRY}', 1) AS title, regexp_extract(text, '{_ENTRY}', 2)::INT AS toc_page FROM e WHERE regexp_matches(text, '{_ENTRY}')")
+@query("extract_toc_entries", t.sql("d", "lines") + f", e AS (SELECT doc_id, block_no, text || CASE WHEN block_no % 3 = 0 THEN ' ..... ' || (block_no % 9999 + 1) ELSE '' END AS text FROM rows) SELECT doc_id, block_no, text, regexp_extract(text, '{_ENTRY}', 1) AS title, regexp_extract(text, '{_ENTRY}', 2)::INT AS toc_page FROM e WHERE regexp_matches(text, '{_ENTRY}')")
 def extract_toc_entries(spark, sf):
-    lines = t.documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text")).filter("n < 1000")
-    tail = F.when(F.col("n") % 3 == 0, F.concat(F.lit(" ..... "), F.col("n") + 1)).otherwise("")
-    return structure.extract_toc_entries(lines.select("doc_id", F.col("n").cast("long").alias("block_no"), F.concat(F.substring("text", 1, 40), tail).alias("text")))
+    lines = t.documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    tail = F.when(F.col("n") % 3 == 0, F.concat(F.lit(" ..... "), F.col("n") % 9999 + 1)).otherwise("")
+    return structure.extract_toc_entries(lines.select("doc_id", F.col("n").cast("long").alias("block_no"), F.concat("text", tail).alias("text")))
 
 
 @query("printed_toc_runs", t.sql("d", "lines") + ", e AS (SELECT doc_id, block_no, length(text) % 4 < 2 AS is_toc FROM rows), s AS (SELECT *, CASE WHEN is_toc AND NOT coalesce(lag(is_toc) OVER (PARTITION BY doc_id ORDER BY block_no), false) THEN 1 ELSE 0 END AS st FROM e) SELECT doc_id, block_no, is_toc, run FROM (SELECT *, sum(st) OVER (PARTITION BY doc_id ORDER BY block_no)::BIGINT AS run FROM s) WHERE is_toc")
@@ -129,30 +129,40 @@ def printed_toc_runs(spark, sf):
     return structure.printed_toc_runs(lines.select("doc_id", F.col("n").cast("long").alias("block_no"), (F.length("text") % 4 < 2).alias("is_toc")))
 
 
-_BULLET, _NUM, _LET = f"^[{structure.BULLETS}-]{_B}*([^ \\t\\n\\f\\r].*)$".replace("-", "-"), "^(\\d{1,2})([.)])[ \\t]+[^ \\t]", "^([a-zA-Z])\\)[ \\t]+[^ \\t]"
+_BULLET, _NUM, _LET = f"^[{structure.BULLETS}{structure.SYMBOLS}]{_B}*([^ \\t\\n\\f\\r].*)$", "^(\\d{1,2})([.)])[ \\t]+[^ \\t]", "^([a-zA-Z])\\)[ \\t]+[^ \\t]"
 
 
-@query("list_markers", t.sql("d", "lines") + f""", e AS (SELECT doc_id, block_no, CASE block_no % 4 WHEN 0 THEN '• ' || left(text, 60) WHEN 1 THEN (block_no % 120) || '. ' || left(text, 60) WHEN 2 THEN 'B) ' || left(text, 60) ELSE left(text, 60) END AS text FROM rows),
-l AS (SELECT *, regexp_replace(text, '^{_B}+|{_B}+$', '', 'g') AS x FROM e),
+@query("list_markers", t.sql("d", "lines") + f"""
+, e AS (
+  SELECT doc_id, block_no, CASE block_no % 6 WHEN 0 THEN '• ' || text WHEN 1 THEN (block_no % 120) || '. ' || text WHEN 2 THEN 'B) ' || text
+    WHEN 3 THEN '- ' || text WHEN 4 THEN '\uf0b7' || text ELSE text END AS text
+  FROM rows
+), l AS (SELECT *, regexp_replace(text, '^{_B}+|{_B}+$', '', 'g') AS x FROM e),
 k AS (SELECT *, regexp_matches(x, '{_BULLET}') AS b, regexp_matches(x, '{_NUM}') AS n, regexp_matches(x, '{_LET}') AS a, regexp_extract(x, '{_LET}', 1) AS g FROM l)
-SELECT doc_id, block_no, text, CASE WHEN b THEN 'ul' ELSE 'ol' END AS kind, CASE WHEN b THEN 'bullet' WHEN n THEN 'number' || regexp_extract(x, '{_NUM}', 2) WHEN lower(g) = g THEN 'lower' ELSE 'upper' END AS family,
-CASE WHEN b THEN 0 WHEN n THEN regexp_extract(x, '{_NUM}', 1)::INT ELSE ascii(lower(g)) - 96 END AS value, CASE WHEN b THEN regexp_extract(x, '{_BULLET}', 1) ELSE x END AS item FROM k WHERE b OR n OR a""")
+SELECT doc_id, block_no, text, CASE WHEN b THEN 'ul' ELSE 'ol' END AS kind,
+  CASE WHEN b THEN 'bullet' WHEN n THEN 'number' || regexp_extract(x, '{_NUM}', 2) WHEN lower(g) = g THEN 'lower' ELSE 'upper' END AS family,
+  CASE WHEN b THEN 0 WHEN n THEN regexp_extract(x, '{_NUM}', 1)::INT ELSE ascii(lower(g)) - 96 END AS value,
+  CASE WHEN b THEN regexp_extract(x, '{_BULLET}', 1) ELSE x END AS item
+FROM k WHERE b OR n OR a""")
 def list_markers(spark, sf):
-    lines = t.documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text")).select("doc_id", F.col("n").cast("long").alias("block_no"), F.substring("text", 1, 60).alias("x"))
-    k = F.col("block_no") % 4
-    text = F.when(k == 0, F.concat(F.lit("• "), "x")).when(k == 1, F.concat((F.col("block_no") % 120).cast("string"), F.lit(". "), F.col("x"))).when(k == 2, F.concat(F.lit("B) "), "x")).otherwise(F.col("x"))
-    return structure.list_markers(lines.select("doc_id", "block_no", text.alias("text")))
+    """Lines with a bullet, a number, a letter, a dash (which is none), a bullet of a symbol font, or nothing in front."""
+    lines = t.documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text")).select("doc_id", F.col("n").cast("long").alias("block_no"), F.col("text").alias("x"))
+    k, marks = F.col("block_no") % 6, {0: F.lit("• "), 1: F.concat((F.col("block_no") % 120).cast("string"), F.lit(". ")), 2: F.lit("B) "), 3: F.lit("- "), 4: F.lit("\uf0b7")}
+    mark = F.lit("")
+    for number, sign in marks.items():
+        mark = F.when(k == number, sign).otherwise(mark)
+    return structure.list_markers(lines.select("doc_id", "block_no", F.concat(mark, "x").alias("text")))
 
 
 @query("promote_headings", t.sql("d", "lines") + r""", e AS (SELECT doc_id, block_no AS para_no, trim(text) AS text, coalesce(lead(trim(text)) OVER w, '') AS nx, coalesce(lag(trim(text)) OVER w, '') AS pv FROM rows WINDOW w AS (PARTITION BY doc_id ORDER BY block_no)),
 h AS (SELECT *, CASE WHEN length(text) < 3 OR length(text) > 80 OR regexp_matches(text, '[.,;:!?…]$') OR NOT regexp_matches(text, '\p{L}') THEN 0
- WHEN regexp_matches(text, '(?i)^(?:cap[ií]tulo|chapter|parte|part|se[cç][aã]o|section|livro|book|anexo|appendix|unidade|aula|chapitre)[ \t]+[\p{L}\d.]+') THEN 2
+ WHEN regexp_matches(text, '@CHAPTER@') THEN 2
  WHEN regexp_matches(text, '^(\d{1,2}(?:\.\d{1,2}){0,3})[.)]?[ \t]+\p{Lu}') THEN CASE WHEN contains(regexp_extract(text, '^(\d{1,2}(?:\.\d{1,2}){0,3})[.)]?[ \t]+\p{Lu}', 1), '.') THEN 3 ELSE 2 END
  WHEN regexp_matches(text, '^[IVXLC]{1,6}[.)][ \t]+\p{Lu}') THEN 2
  WHEN length(text) <= 60 AND len(regexp_extract_all(text, '\p{L}')) >= 3 AND NOT regexp_matches(text, '\p{Ll}') AND regexp_matches(text, '\p{Lu}') THEN 2
  WHEN length(text) <= 50 AND len(regexp_extract_all(text, '\p{L}+')) <= 8 AND length(nx) >= 100 AND (pv = '' OR regexp_matches(pv, '[.!?…"”»)]$')) THEN 2 ELSE 0 END AS level FROM e),
 g AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, sum((level > 0)::INT) OVER (PARTITION BY doc_id) AS m FROM h)
-SELECT doc_id, para_no, text, level FROM g WHERE level > 0 AND m <= greatest(3, n * 2 // 5)""")
+SELECT doc_id, para_no, text, level FROM g WHERE level > 0 AND m <= greatest(3, n * 2 // 5)""".replace("@CHAPTER@", structure.CHAPTER))
 def promote_headings(spark, sf):
     lines = t.documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
     return structure.promote_headings(lines.select("doc_id", F.col("n").cast("long").alias("para_no"), F.trim("text").alias("text")))
@@ -191,9 +201,10 @@ def fit_titles(spark, sf):
     return enrich.fit_titles(rows, "title", "The Example Collection of Documents")
 
 
-@query("slugs", t.sql("d") + f", x AS (SELECT doc_id, lang, regexp_replace(regexp_replace({_FOLD.format('left(text, 12)')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS b FROM d), n AS (SELECT *, row_number() OVER (PARTITION BY lang, b ORDER BY doc_id) AS n FROM x) SELECT doc_id, lang, CASE WHEN n = 1 THEN b ELSE b || '-' || n END AS slug FROM n")
+@query("slugs", t.sql("d") + f", f0 AS (SELECT doc_id, lang, string_split(text, chr(10))[1] AS name FROM d), x AS (SELECT doc_id, lang, regexp_replace(regexp_replace({_FOLD.format(chr(34) + 'name' + chr(34))}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS b FROM f0), n AS (SELECT *, row_number() OVER (PARTITION BY lang, b ORDER BY doc_id) AS n FROM x) SELECT doc_id, lang, CASE WHEN n = 1 THEN b ELSE b || '-' || n END AS slug FROM n")
 def slugs(spark, sf):
-    return enrich.slugs(t.documents(spark, sf).withColumn("name", F.substring("text", 1, 12)), "name", "lang", "doc_id")
+    """The first line of a text is its name."""
+    return enrich.slugs(t.documents(spark, sf).withColumn("name", F.split("text", "\n")[0]), "name", "lang", "doc_id")
 
 
 _HEADS = f"""h0 AS (SELECT page_id, regexp_extract_all(html, '(?is)<h([1-6])\\b[^>]*>(.*?)</h[1-6]>', 1) AS l, regexp_extract_all(html, '(?is)<h([1-6])\\b[^>]*>(.*?)</h[1-6]>', 2) AS b, html FROM p),
@@ -314,13 +325,14 @@ def page_scores(spark, sf):
     return quality.page_scores(audit_pages(spark, sf))
 
 
-@query("search_blocks", t.sql("d", "lines") + f""", n AS (SELECT item_id AS query_id, list_extract(string_split(text, ' '), 2) || ' ' || list_extract(string_split(text, ' '), 3) AS needle FROM benchmark WHERE item_id % 20 = 0 AND len(string_split(text, ' ')) >= 3),
-h AS (SELECT query_id, doc_id, block_no, text, instr({_FOLD.format('text')}, {_FOLD.format('needle')}) AS pos, length(needle) AS k FROM rows, n WHERE contains({_FOLD.format('text')}, {_FOLD.format('needle')}))
+@query("search_blocks", t.sql("d", "lines") + f""", n AS (SELECT item_id AS query_id, list_extract(string_split(text, ' '), 2) || ' ' || list_extract(string_split(text, ' '), 3) AS needle FROM benchmark WHERE len(string_split(text, ' ')) >= 3),
+n1 AS (SELECT query_id, needle, {_FOLD.format('needle')} AS low FROM n), b1 AS (SELECT *, {_FOLD.format('text')} AS low FROM rows),
+h AS (SELECT query_id, doc_id, block_no, text, instr(b1.low, n1.low) AS pos, length(needle) AS k FROM b1, n1 WHERE contains(b1.low, n1.low))
 SELECT query_id, doc_id, block_no, substring(text, greatest(pos - 70, 1), least(pos - 1, 70)) AS before, substring(text, pos, k) AS match, substring(text, pos + k, 90) AS after FROM h""")
 def search_blocks(spark, sf):
-    """The query set: two words of every benchmark item whose id is divisible by 20."""
+    """The query set: two words of every benchmark item."""
     words = F.split("text", " ")
-    needles = t.table(spark, sf, "benchmark").filter((F.col("item_id") % 20 == 0) & (F.size(words) >= 3)).select(F.col("item_id").alias("query_id"), F.concat_ws(" ", words[1], words[2]).alias("needle"))
+    needles = t.table(spark, sf, "benchmark").filter(F.size(words) >= 3).select(F.col("item_id").alias("query_id"), F.concat_ws(" ", words[1], words[2]).alias("needle"))
     blocks = t.documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text")).select("doc_id", F.col("n").cast("long").alias("block_no"), "text")
     return answers.search_blocks(blocks, needles)
 
@@ -344,7 +356,9 @@ def passage_terms(spark, sf):
 
 @query("rank_passages", t.sql("d", "lines", "q") + f", {_INDEX}, a AS (SELECT question_id, doc_id, unnest(list_distinct({_terms('text')})) AS term FROM q), s AS (SELECT question_id, passage_no, round(sum((1 + ln(tf)) * ln(1 + n / df)), 6) AS score FROM a JOIN idx USING (doc_id, term) GROUP BY ALL) SELECT question_id, passage_no, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, passage_no)::INT AS rank FROM s")
 def rank_passages(spark, sf):
-    return answers.rank_passages(t.questions(spark, sf), passage_terms(spark, sf))
+    questions = t.questions(spark, sf)
+    asked = _passages(spark, sf).join(questions.select("doc_id").distinct(), "doc_id", "left_semi")
+    return answers.rank_passages(questions, answers.passage_terms(asked))
 
 
 _COMMON = "[" + ", ".join(f"'{w}'" for w in answers.COMMON) + "]"

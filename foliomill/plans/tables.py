@@ -27,9 +27,9 @@ def hosts(spark, sf, shift: int = 0) -> DataFrame:
 
 
 def referenced(spark, sf) -> DataFrame:
-    """Documents: the references whose length is no multiple of 3."""
-    refs = pages(spark, sf).select(F.explode(F.regexp_extract_all("html", F.lit(HREF), 1)).alias("doc")).distinct()
-    return refs.filter(F.length("doc") % 3 != 0)
+    """Documents: what two pages or more refer to."""
+    refs = pages(spark, sf).select("page_id", F.explode(F.regexp_extract_all("html", F.lit(HREF), 1)).alias("doc")).distinct()
+    return refs.groupBy("doc").agg(F.count("*").alias("n")).filter("n >= 2").select("doc")
 
 
 def log_raw(spark, sf) -> DataFrame:
@@ -64,7 +64,7 @@ SQL = {
     "d": "d AS (SELECT doc_id, coalesce(text, '') AS text, lang, source, n_chars FROM documents)",
     "p": "p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages)",
     "hosts": "hosts AS (SELECT page_id AS host_id, (['publish', 'draft', 'trash', 'private', 'future'])[page_id % 5 + 1] AS status, html AS content FROM p)",
-    "refs": """docs AS (SELECT DISTINCT unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS doc FROM p), refs AS (SELECT doc FROM docs WHERE length(doc) % 3 <> 0)""",
+    "refs": """docs AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS doc FROM p), refs AS (SELECT doc FROM docs GROUP BY doc HAVING count(*) >= 2)""",
     "edges": """edges AS (SELECT DISTINCT doc, host_id, status FROM (SELECT host_id, status, unnest(regexp_extract_all(content, 'href="([^"]+)"', 1)) AS doc FROM hosts WHERE status IN ('publish', 'draft', 'pending', 'private', 'future')) WHERE doc IN (SELECT doc FROM refs))""",
     "raw": """raw AS (SELECT event_id AS id, ts, CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'trace' ELSE 'warning' END AS level, 'Page.' || event_type AS event, ' =<b>user</b>  ' || user_id AS message, props AS context FROM events)""",
     "log": """log AS (SELECT id, ts, CASE WHEN level IN ('info', 'warning', 'error') THEN level ELSE 'info' END AS level, replace(lower(event), '.', '_') AS event, '=' || substr(message, 6, 4) || '  ' AS m0, trim(regexp_replace(regexp_replace(message, '<[^>]*>', '', 'g'), '[ \\t\\n\\f\\r]+', ' ', 'g')) AS message, json_extract_string(context, '$.k') AS k FROM raw)""",
