@@ -230,8 +230,10 @@ def _starts(size: int, spans: pa.Array) -> np.ndarray:
     np.add.at(step, begin[whole], 1)
     np.add.at(step, begin[whole] + n[whole], -1)
     out = np.cumsum(step[:size]) > 0
-    for j in range(CELL):
-        out[begin[~whole & (n > j) & ((bits >> j) & 1 == 1)] + j] = True
+    if not whole.all():
+        place = np.arange(CELL)
+        row, j = np.nonzero(((bits[~whole][:, None] >> place) & 1 == 1) & (place < n[~whole][:, None]))
+        out[begin[~whole][row] + j] = True
     return out
 
 
