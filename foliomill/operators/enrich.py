@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliomill.functions import text as T
@@ -65,3 +65,77 @@ def slugs(docs: DataFrame, name: str, kind: str, key: str) -> DataFrame:
     rows = docs.select(key, kind, slug.alias("base"))
     n = F.row_number().over(Window.partitionBy(kind, "base").orderBy(key))
     return rows.select(key, kind, F.when(n == 1, F.col("base")).otherwise(F.concat_ws("-", "base", n)).alias("slug"))
+
+
+#: Labels of lines that name a title or a summary.
+TITLE_LABELS = "Title|Título|Titulo|Documento|Titre|Titel"
+SUMMARY_LABELS = "Summary|Abstract|Resumo|Sinopse|Resumen|Résumé|Resumé|Résume|Resume|Zusammenfassung"
+#: Characters of a title, of a labelled summary and of a paragraph that can be one; paragraphs looked at.
+TITLE_MIN, TITLE_MAX, SUMMARY_MIN, SUMMARY_MAX, PROSE_MIN, PROSE_FIRST = 10, 70, 30, 300, 70, 40
+
+
+def _labelled(lines: DataFrame, labels: str, least: int, most: int) -> DataFrame:
+    """doc_id and the value of the first line ``label: value``."""
+    value = F.regexp_extract("text", rf"(?i)^(?:{labels})[ \t]*[:\-–—][ \t]*(.{{{least},{most}}})$", 1)
+    rows = lines.select("doc_id", "line_no", F.regexp_replace(value, "^[ \t,;]+|[ \t,;]+$", "").alias("value"))
+    return rows.filter("value <> ''").groupBy("doc_id").agg(F.min_by("value", "line_no").alias("value"))
+
+
+def fit_title(title: Column) -> Column:
+    """Cut to TITLE_MAX characters at a word; '' under TITLE_MIN."""
+    cut = F.substring(title, 1, TITLE_MAX)
+    space = F.length(cut) - F.instr(F.reverse(cut), " ")
+    word = F.when((F.instr(cut, " ") > 0) & (space >= TITLE_MIN), F.substring(cut, F.lit(1), space)).otherwise(cut)
+    fitted = F.when(F.length(title) > TITLE_MAX, F.regexp_replace(word, "[ ,;:.–—-]+$", "")).otherwise(title)
+    return F.when(F.length(fitted) >= TITLE_MIN, fitted).otherwise("")
+
+
+def suggest_title(docs: DataFrame, headings: DataFrame) -> DataFrame:
+    """doc_id and title: a labelled line, else the first of the ``headings`` (doc_id, seq, level 1 to 3, text), else the first line.
+
+    ``docs`` are doc_id, text and current, the title that is not suggested again; without a title, no row.
+    """
+    lines = leading_lines(docs)
+    labelled = _labelled(lines, TITLE_LABELS, TITLE_MIN, 200).select("doc_id", F.rtrim(F.regexp_replace("value", "[.]+$", "")).alias("a"))
+    heads = headings.filter("level <= 3").groupBy("doc_id").agg(F.min_by("text", "seq").alias("b"))
+    first = lines.filter("line_no = 1").select("doc_id", F.col("text").alias("c"))
+    rows = docs.select("doc_id", F.trim(F.coalesce("current", F.lit(""))).alias("current")).join(labelled, "doc_id", "left").join(heads, "doc_id", "left").join(first, "doc_id", "left")
+    rows = rows.select("doc_id", "current", *(T.collapse(F.coalesce(c, F.lit(""))).alias(c) for c in "abc"))
+    fits = rows.select("doc_id", "current", *(fit_title(F.col(c)).alias(c) for c in "abc"))
+    picked = F.coalesce(*(F.when((F.col(c) != "") & (F.col(c) != F.col("current")), F.col(c)) for c in "abc"))
+    return fits.select("doc_id", picked.alias("title")).filter("title is not null")
+
+
+def suggest_summary(docs: DataFrame) -> DataFrame:
+    """doc_id and summary: a labelled line, else the first prose paragraph of 70 characters among the first 40, cut to 155; without one, no row."""
+    paragraphs = F.slice(F.split(T.strip(F.col("text")), f"\n{T.BLANK}*\n"), 1, PROSE_FIRST)
+    found = F.filter(T.prose(paragraphs), lambda x: F.length(x) >= PROSE_MIN)
+    rows = docs.select("doc_id", F.get(found, F.lit(0)).alias("prose")).join(_labelled(leading_lines(docs), SUMMARY_LABELS, SUMMARY_MIN, SUMMARY_MAX), "doc_id", "left")
+    rows = rows.select("doc_id", F.trim(F.coalesce("value", "prose")).alias("lead")).filter("lead is not null")
+    return rows.select("doc_id", T.shorten(F.col("lead")).alias("summary"))
+
+
+def learn_language_by_page(pages: DataFrame, first: int = 3_000) -> DataFrame:
+    """doc_id, page_no and language (subtag, '' while unknown) as known after each page (doc_id, page_no, text) of a document.
+
+    The first ``first`` characters decide; where they say nothing, reading goes on to the
+    size of the language sample. Once there are enough of them, or a longer sample was needed,
+    the language is settled.
+    """
+    order = Window.partitionBy("doc_id").orderBy("page_no")
+    text = T.collapse(F.coalesce("text", F.lit("")))
+    rows = pages.select("doc_id", "page_no", text.alias("text"))
+    before = F.coalesce(F.sum(F.length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("_before", before)
+    # Pages beyond the sample cannot change it, so that a prefix is no longer than the sample and a page.
+    read = rows.filter(F.col("_before") < T.SAMPLE).withColumn("_parts", F.collect_list("text").over(order))
+    read = read.select("doc_id", "page_no", F.substring(F.trim(F.array_join("_parts", " ")), 1, T.SAMPLE).alias("_sample"))
+    read = read.withColumn("_first", F.substring("_sample", 1, first))
+    read = T.with_language(T.with_language(read, F.col("_first"), "_short"), F.col("_sample"), "_long")
+    long_full = F.length("_sample") >= T.SAMPLE
+    settled = F.when(F.col("_short") != "", F.length("_first") >= first).otherwise((F.col("_long") != "") | long_full)
+    tag = F.when(F.col("_short") != "", F.col("_short")).otherwise(F.col("_long"))
+    read = read.select("doc_id", "page_no", F.lower(F.split(tag, "-")[0]).alias("own"), settled.alias("settled"))
+    known = rows.select("doc_id", "page_no").join(read, ["doc_id", "page_no"], "left")
+    kept = F.first(F.when(F.col("settled"), F.col("own")), ignorenulls=True).over(order)
+    return known.select("doc_id", "page_no", F.coalesce(kept, "own", F.last("own", ignorenulls=True).over(order), F.lit("")).alias("language"))

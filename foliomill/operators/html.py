@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliomill.functions import text as T
@@ -62,3 +62,9 @@ def structure_counts(docs: DataFrame) -> DataFrame:
     html = F.col("html")
     heads = F.size(F.filter(F.regexp_extract_all(html, F.lit(HEADING), 2), lambda x: T.collapse(T.no_tags(x)) != "")).cast("long")
     return docs.select("page_id", heads.alias("headings"), T.count(html, r"(?i)<img\b").alias("images"), T.count(html, r'(?i)<img\b[^>]*\balt=""').alias("missing_alt"))
+
+
+def shift_title_headings(headings: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Where a document has a title above its headings (``level`` 0), every level goes one down; 6 stays."""
+    titled = F.min("level").over(Window.partitionBy(key)) == 0
+    return headings.withColumn("level", F.when(titled, F.least(F.col("level") + 1, F.lit(6))).otherwise(F.col("level")))

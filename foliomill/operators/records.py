@@ -140,3 +140,30 @@ def search_page(hits: DataFrame, offset: int, size: int = 20) -> DataFrame:
     order, whole = Window.partitionBy("query_id", "doc_id").orderBy("block_no"), Window.partitionBy("query_id", "doc_id")
     rows = hits.withColumn("total", F.count("*").over(whole)).withColumn("n", F.row_number().over(order))
     return rows.filter((F.col("n") > offset) & (F.col("n") <= offset + size))
+
+
+def jsonld_records(docs: DataFrame) -> DataFrame:
+    """doc_id and record: an Article of schema.org as JSON.
+
+    ``docs`` are doc_id, title, description, language, url, published, modified, image, author, site,
+    words, minutes, keywords (array), headings, images, missing_alt and reader. What is null or empty is
+    left out, and a feature is named only where the document has it.
+    """
+    given = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c))
+    when = lambda test, *names: F.when(test, F.array(*map(F.lit, names))).otherwise(F.array().cast("array<string>"))
+    heads, images, reader = F.col("headings"), F.col("images"), F.coalesce("reader", F.lit(False))
+    features = F.concat(
+        F.array(F.lit("readingOrder")), when(heads > 0, "structuralNavigation"), when(heads > 1, "tableOfContents"), when((images > 0) & (F.col("missing_alt") == 0), "alternativeText"),
+        when(reader, "displayTransformability", "highContrastDisplay"),
+    )
+    record = F.struct(
+        F.lit("https://schema.org").alias("@context"), F.lit("Article").alias("@type"), F.substring("title", 1, 110).alias("headline"), F.col("description"), F.col("language").alias("inLanguage"),
+        F.struct(F.lit("WebPage").alias("@type"), F.col("url").alias("@id")).alias("mainEntityOfPage"), F.col("published").alias("datePublished"), F.col("modified").alias("dateModified"), F.lit(True).alias("isAccessibleForFree"),
+        F.when(given("author").isNotNull(), F.struct(F.lit("Person").alias("@type"), F.col("author").alias("name"))).alias("author"), F.struct(F.lit("Organization").alias("@type"), F.col("site").alias("name")).alias("publisher"),
+        F.when(F.col("words") > 0, F.col("words")).alias("wordCount"), F.when(F.col("words") > 0, F.concat(F.lit("PT"), F.greatest(F.lit(1), F.col("minutes")).cast("string"), F.lit("M"))).alias("timeRequired"),
+        F.when(F.size("keywords") > 0, F.array_join("keywords", ", ")).alias("keywords"),
+        F.concat(F.array(F.lit("textual")), when(images > 0, "visual")).alias("accessMode"),
+        F.array(F.struct(F.lit("ItemList").alias("@type"), F.array(F.lit("textual")).alias("itemListElement"))).alias("accessModeSufficient"),
+        F.when(reader, F.array(*map(F.lit, ("fullKeyboardControl", "fullMouseControl", "fullTouchControl")))).alias("accessibilityControl"), features.alias("accessibilityFeature"), given("image").alias("image"),
+    )
+    return docs.select("doc_id", F.to_json(record).alias("record"))

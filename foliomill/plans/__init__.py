@@ -1,3 +1,3 @@
 """Queries over the given tables; importing the package registers all of them."""
 
-from . import publishing, reading, registry  # noqa: F401
+from . import publishing, reading, rebuilding, registry  # noqa: F401
