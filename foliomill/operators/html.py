@@ -24,13 +24,15 @@ def build_toc(docs: DataFrame) -> DataFrame:
 
 
 def toc_tree(docs: DataFrame) -> DataFrame:
-    """page_id, seq and depth: one step deeper than the entry before at most."""
+    """page_id, seq and depth: one step deeper than the entry before at most.
+
+    An entry's depth is the least of its own level and, for every entry before it, that one's level and the
+    steps since: a running minimum.
+    """
     levels = F.transform(F.regexp_extract_all("html", F.lit(HEADING), 1), lambda x: x.cast("int"))
-    depth = F.aggregate(
-        F.col("levels"), F.array().cast("array<int>"),
-        lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, 0).otherwise(F.least(x - F.array_min("levels"), F.try_element_at(acc, F.lit(-1)) + 1)))),
-    )
-    return docs.select("page_id", levels.alias("levels")).filter(F.size("levels") > 1).select("page_id", F.posexplode(depth).alias("n", "depth")).select("page_id", (F.col("n") + 1).alias("seq"), "depth")
+    rows = docs.select("page_id", levels.alias("levels")).filter(F.size("levels") > 1).select("page_id", F.array_min("levels").alias("top"), F.posexplode("levels").alias("n", "level"))
+    own = F.when(F.col("n") == 0, 0).otherwise(F.col("level") - F.col("top")) - F.col("n")
+    return rows.select("page_id", (F.col("n") + 1).alias("seq"), (F.col("n") + F.min(own).over(Window.partitionBy("page_id").orderBy("n"))).cast("int").alias("depth"))
 
 
 def demote_headings(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +36,8 @@ def export_rows(log: DataFrame) -> DataFrame:
 
 
 def latest_log(log: DataFrame, n: int = 200) -> DataFrame:
-    """The last ``n`` entries."""
-    return log.orderBy(F.desc("id")).limit(n)
+    """The last ``n`` entries, oldest first."""
+    return log.orderBy(F.desc("id")).limit(n).orderBy("id")
 
 
 def log_since(log: DataFrame, last: int) -> DataFrame:
@@ -107,3 +110,53 @@ def image_alts(images: DataFrame, descriptions: DataFrame) -> DataFrame:
     """Images with the description of the same content: none is missing, '' is decorative."""
     joined = images.join(descriptions.select("doc_id", "md5", "alt"), ["doc_id", "md5"], "left")
     return joined.withColumn("state", F.when(F.col("alt").isNull(), "missing").when(F.col("alt") == "", "decorative").otherwise("described"))
+
+
+#: Images of a document at most, whatever is asked for.
+MOST_IMAGES = 300
+
+
+def _image_verdicts(most: int, total: int, biggest: int):
+    """Images in order of document and place, with a verdict; between batches only the last document's counters are carried."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, kept, used = (), set(), 0  # no document is ()
+        for batch in batches:
+            verdicts = []
+            for own, md5, size, valid in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4))):
+                if own != doc:
+                    doc, kept, used = own, set(), 0
+                if md5 in kept:
+                    verdict = "repeat"
+                elif len(kept) >= min(most, MOST_IMAGES):
+                    verdict = "limit_count"
+                elif used >= total:
+                    verdict = "limit_total"
+                elif not valid or size is None:
+                    verdict = "invalid"
+                elif size > biggest:
+                    verdict = "too_big"
+                elif used + size > total:
+                    verdict = "limit_total"
+                else:
+                    verdict, used = "included", used + size
+                    kept.add(md5)
+                verdicts.append(verdict)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5), pa.array(verdicts, pa.string())], ["doc_id", "alt", "verdict"])
+
+    return run
+
+
+def image_report(images: DataFrame, most: int = 100, total: int = 60 << 20, biggest: int = 15 << 20) -> DataFrame:
+    """doc_id, included, missing_alt, skipped and reasons (map of counts) of images (doc_id, ord, md5, bytes, valid, alt).
+
+    A repeat of an image that was included is neither included again nor skipped. The images of a document are judged
+    one after the other (those of one place by all their columns), in Spark's order, so that no document has to fit into a worker.
+    """
+    rows = images.select(F.col("doc_id").cast("long"), "ord", "md5", F.col("bytes").cast("long"), "valid", "alt")
+    judged = rows.repartition("doc_id").sortWithinPartitions("doc_id", "ord", "md5", "bytes", "alt", "valid").mapInArrow(_image_verdicts(most, total, biggest), "doc_id long, alt string, verdict string")
+    counts = judged.groupBy("doc_id", "verdict").agg(F.count("*").alias("n"), F.sum(F.col("alt").isNull().cast("int")).alias("bare"))
+    new, skipped = F.col("verdict") == "included", ~F.col("verdict").isin("included", "repeat")
+    total_of = lambda test, c: F.coalesce(F.sum(F.when(test, F.col(c))), F.lit(0)).cast("long")
+    reasons = F.map_from_entries(F.array_sort(F.collect_list(F.when(skipped, F.struct("verdict", "n")))))  # four reasons at most
+    return counts.groupBy("doc_id").agg(total_of(new, "n").alias("included"), total_of(new, "bare").alias("missing_alt"), total_of(skipped, "n").alias("skipped"), reasons.alias("reasons"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliomill.functions import text as T
-from foliomill.operators import enrich, html, paragraphs, records, structure
+from foliomill.operators import enrich, html, markdown, operations, paragraphs, records, speech, structure
 
 from . import tables as t
 from .registry import _BULLET, _COLLAPSE, _LET, _NUM, _PROSE, _SAMPLES, _short, query
@@ -135,7 +135,7 @@ def suggest_title(spark, sf):
     return enrich.suggest_title(rows, heads)
 
 
-@query("suggest_summary", t.sql("d", "paras") + f"""
+@query("suggest_summary", t.sql("ds", "paras") + f"""
 , q0 AS (SELECT doc_id, para_no, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_COLLAPSE.format('x')}), lambda x: x <> '') AS lines FROM paras WHERE para_no <= 40),
 q1 AS (SELECT doc_id, para_no, lines, array_to_string(lines, ' ') AS txt, len(list_filter(lines, lambda x: length(x) <= 80 AND regexp_matches(x, '^\\p{{L}}[\\p{{L}} ._-]{{0,24}}:[ \\t]*[^ \\t]'))) AS sheet FROM q0),
 q2 AS (SELECT *, {_COLLAPSE.format("regexp_replace(txt, '={3,}|" + chr(92) + "*{3,}|_{3,}|~{3,}|#{3,}|-{3,}', ' ', 'g')")} AS clean FROM q1),
@@ -143,7 +143,7 @@ q3 AS (SELECT *, len(regexp_extract_all(clean, '\\p{{L}}')) AS letters, length(r
 q4 AS (SELECT doc_id, para_no, {_PROSE} AS prose FROM q3), q5 AS (SELECT doc_id, arg_min(prose, para_no) AS x FROM q4 WHERE length(prose) >= 70 GROUP BY doc_id)
 SELECT doc_id, {_short('x')} AS summary FROM q5""")
 def suggest_summary(spark, sf):
-    return enrich.suggest_summary(t.documents(spark, sf))
+    return enrich.suggest_summary(t.spaced_documents(spark, sf))
 
 
 @query("learn_language_by_page", f"""
@@ -180,3 +180,57 @@ def jsonld_records(spark, sf):
         F.when(i % 5 > 0, F.col("source")).alias("author"), F.lit("E").alias("site"), "words", F.floor(F.col("words") / 200).alias("minutes"),
         F.when(i % 2 == 0, F.array("lang", F.lit("corpus"))).otherwise(F.array().cast("array<string>")).alias("keywords"), (i % 3).alias("headings"), (i % 4).alias("images"), (i % 2).alias("missing_alt"), (i % 7 == 0).alias("reader"),
     ))
+
+
+@query("spoken_elements")
+def spoken_elements(spark, sf):
+    return speech.spoken_elements(t.rich_pages(spark, sf).withColumnRenamed("page_id", "doc_id"))
+
+
+@query("speech_pieces")
+def speech_pieces(spark, sf):
+    """Every line of the documents."""
+    lines = t.documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    return speech.speech_pieces(lines.select("doc_id", (F.col("n") + 1).alias("block_no"), "text"))
+
+
+def _markdown(spark, sf):
+    """Documents as Markdown: some lines become headings, items, quotes, code, or rows of a table."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 7 == 0, F.concat(F.repeat(F.lit("#"), (i / 7 % 6 + 1).cast("int")), F.lit(" "), x)).when(i % 7 == 1, F.concat(F.lit("- "), x)).when(i % 7 == 2, F.concat(F.lit("  1. "), x))
+        .when(i % 7 == 3, F.concat(F.lit("\n> "), x)).when(i % 7 == 4, F.concat(F.lit("\nA | b \\| c\n--- | :--:\n"), F.replace(x, F.lit(" "), F.lit(" | ")))).when(i % 7 == 5, F.concat(F.lit("\n```\n"), x, F.lit("\n```"))).otherwise(x))
+    return t.documents(spark, sf).select("doc_id", F.array_join(lines, "\n").alias("text"))
+
+
+@query("markdown_blocks")
+def markdown_blocks(spark, sf):
+    return markdown.markdown_blocks(_markdown(spark, sf))
+
+
+@query("markdown_table_cells")
+def markdown_table_cells(spark, sf):
+    return markdown.markdown_table_cells(markdown_blocks(spark, sf))
+
+
+@query("image_report", """
+WITH RECURSIVE i AS (
+  SELECT l_orderkey AS doc_id, md5((l_partkey % 5)::VARCHAR) AS m, l_quantity::BIGINT AS size, l_linenumber % 6 <> 0 AS ok, l_suppkey % 2 = 0 AS bare,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, md5((l_partkey % 5)::VARCHAR), l_quantity, l_suppkey % 2 = 0 DESC) AS k FROM lineitem
+), f AS (
+  SELECT doc_id, 0::BIGINT AS k, []::VARCHAR[] AS kept, 0::BIGINT AS used, NULL::VARCHAR AS verdict, false AS bare FROM i GROUP BY doc_id
+  UNION ALL
+  SELECT doc_id, k, CASE WHEN v = 'included' THEN list_append(kept, m) ELSE kept END, used + CASE WHEN v = 'included' THEN size ELSE 0 END, v, bare FROM (
+    SELECT i.doc_id, i.k, kept, used, m, size, i.bare, CASE WHEN list_contains(kept, m) THEN 'repeat' WHEN len(kept) >= 3 THEN 'limit_count' WHEN used >= 90 THEN 'limit_total' WHEN NOT ok THEN 'invalid'
+      WHEN size > 40 THEN 'too_big' WHEN used + size > 90 THEN 'limit_total' ELSE 'included' END AS v FROM f JOIN i ON i.doc_id = f.doc_id AND i.k = f.k + 1)
+), c AS (SELECT doc_id, verdict, count(*) AS n FROM f WHERE k > 0 GROUP BY ALL),
+s AS (SELECT doc_id, count(*) FILTER (verdict = 'included') AS included, count(*) FILTER (verdict = 'included' AND bare) AS missing_alt, count(*) FILTER (verdict NOT IN ('included', 'repeat')) AS skipped FROM f WHERE k > 0 GROUP BY doc_id),
+r AS (SELECT doc_id, string_agg(verdict || '=' || n, ' ' ORDER BY verdict) AS reasons FROM c WHERE verdict NOT IN ('included', 'repeat') GROUP BY doc_id)
+SELECT doc_id, included, missing_alt, skipped, coalesce(reasons, '') AS reasons FROM s LEFT JOIN r USING (doc_id)""")
+def image_report(spark, sf):
+    """Order lines as images, with small limits."""
+    n = F.col("l_linenumber")
+    rows = t.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), n.alias("ord"), F.md5((F.col("l_partkey") % 5).cast("string")).alias("md5"), F.col("l_quantity").cast("long").alias("bytes"), (n % 6 != 0).alias("valid"),
+        F.when(F.col("l_suppkey") % 2 != 0, "x").alias("alt"),
+    )
+    report = operations.image_report(rows, 3, 90, 40)
+    return report.withColumn("reasons", F.array_join(F.transform(F.array_sort(F.map_entries("reasons")), lambda e: F.concat_ws("=", e["key"], e["value"])), " "))

@@ -29,6 +29,8 @@ def query(name: str, sql: str | None = None):
 _B = r"[ \t\n\f\r]"
 _COLLAPSE = "trim(regexp_replace({0}, '[ \\t\\n\\f\\r]+', ' ', 'g'))"
 _NOTAGS = "regexp_replace(regexp_replace({0}, '(?is)<script\\b[^>]*>.*?</script>|<style\\b[^>]*>.*?</style>', '', 'g'), '<[^>]*>', '', 'g')"
+for _name, _char in T.ENTITIES.items():
+    _NOTAGS = f"replace({_NOTAGS}, '&{_name};', '{_char.replace(chr(39), chr(39) * 2)}')"
 _COUNT = "len(regexp_extract_all({0}, '{1}'))::BIGINT"
 _FOLD = f"translate(lower({{0}}), '{T.ACCENTED}', '{T.PLAIN}')"
 
@@ -49,9 +51,9 @@ _PROSE = f"""CASE WHEN regexp_matches(txt, '^(?:[=*_~#-][ \\t]*){{3,}}') OR (she
  OR vis = 0 OR words < 8 OR letters * 100 < vis * 75 OR (words < 20 AND NOT regexp_matches(clean, '[.!?…:;»”")]$')) THEN '' ELSE clean END"""
 
 
-@query("split_paragraphs", t.sql("d", "paras") + "SELECT doc_id, para_no, text FROM paras")
+@query("split_paragraphs", t.sql("ds", "paras") + "SELECT doc_id, para_no, text FROM paras")
 def split_paragraphs(spark, sf):
-    return structure.split_paragraphs(t.documents(spark, sf))
+    return structure.split_paragraphs(t.spaced_documents(spark, sf))
 
 
 _SAMPLES = f"""c AS (SELECT doc_id, {_COLLAPSE.format('text')} AS x FROM d),
@@ -154,7 +156,10 @@ def list_markers(spark, sf):
     return structure.list_markers(lines.select("doc_id", "block_no", F.concat(mark, "x").alias("text")))
 
 
-@query("promote_headings", t.sql("d", "lines") + r""", e AS (SELECT doc_id, block_no AS para_no, trim(text) AS text, coalesce(lead(trim(text)) OVER w, '') AS nx, coalesce(lag(trim(text)) OVER w, '') AS pv FROM rows WINDOW w AS (PARTITION BY doc_id ORDER BY block_no)),
+@query("promote_headings", t.sql("d", "lines") + r""", 
+e0 AS (SELECT doc_id, block_no, trim(CASE WHEN block_no % 5 <> 0 THEN text ELSE CASE (doc_id + block_no // 5) % 6 WHEN 0 THEN 'Chapter ' || (block_no + 1) WHEN 1 THEN '2.1 Method' WHEN 2 THEN 'IV. Part of it'
+  WHEN 3 THEN 'ALL OF THE REST' WHEN 4 THEN 'A short line' ELSE 'Not one, by its end.' END END) AS text FROM rows),
+e AS (SELECT doc_id, block_no AS para_no, text, coalesce(lead(text) OVER w, '') AS nx, coalesce(lag(text) OVER w, '') AS pv FROM e0 WINDOW w AS (PARTITION BY doc_id ORDER BY block_no)),
 h AS (SELECT *, CASE WHEN length(text) < 3 OR length(text) > 80 OR regexp_matches(text, '[.,;:!?…]$') OR NOT regexp_matches(text, '\p{L}') THEN 0
  WHEN regexp_matches(text, '@CHAPTER@') THEN 2
  WHEN regexp_matches(text, '^(\d{1,2}(?:\.\d{1,2}){0,3})[.)]?[ \t]+\p{Lu}') THEN CASE WHEN contains(regexp_extract(text, '^(\d{1,2}(?:\.\d{1,2}){0,3})[.)]?[ \t]+\p{Lu}', 1), '.') THEN 3 ELSE 2 END
@@ -164,8 +169,14 @@ h AS (SELECT *, CASE WHEN length(text) < 3 OR length(text) > 80 OR regexp_matche
 g AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, sum((level > 0)::INT) OVER (PARTITION BY doc_id) AS m FROM h)
 SELECT doc_id, para_no, text, level FROM g WHERE level > 0 AND m <= greatest(3, n * 2 // 5)""".replace("@CHAPTER@", structure.CHAPTER))
 def promote_headings(spark, sf):
+    """Every fifth line is a heading of some kind, or just none."""
     lines = t.documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
-    return structure.promote_headings(lines.select("doc_id", F.col("n").cast("long").alias("para_no"), F.trim("text").alias("text")))
+    kind = (F.col("doc_id") + F.floor(F.col("n") / 5)) % 6
+    line = F.when(kind == 0, F.concat(F.lit("Chapter "), F.col("n") + 1)).otherwise("Not one, by its end.")
+    for k, words in ((1, "2.1 Method"), (2, "IV. Part of it"), (3, "ALL OF THE REST"), (4, "A short line")):
+        line = F.when(kind == k, words).otherwise(line)
+    text = F.when(F.col("n") % 5 == 0, line).otherwise(F.col("text"))
+    return structure.promote_headings(lines.select("doc_id", F.col("n").cast("long").alias("para_no"), F.trim(text).alias("text")))
 
 
 @query("leading_lines", t.sql("d", "lines") + f""", c AS (SELECT doc_id, block_no, {_COLLAPSE.format('text')} AS x FROM rows), n AS (SELECT doc_id, x AS text, row_number() OVER (PARTITION BY doc_id ORDER BY block_no) AS line_no, block_no FROM c WHERE x <> ''),
@@ -181,7 +192,7 @@ def suggest_author(spark, sf):
     return enrich.suggest_author(docs)
 
 
-@query("descriptions", t.sql("d", "paras") + f""", q0 AS (SELECT doc_id, para_no, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_COLLAPSE.format('x')}), lambda x: x <> '') AS lines FROM paras),
+@query("descriptions", t.sql("ds", "paras") + f""", q0 AS (SELECT doc_id, para_no, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_COLLAPSE.format('x')}), lambda x: x <> '') AS lines FROM paras),
 q1 AS (SELECT doc_id, para_no, lines, array_to_string(lines, ' ') AS txt, len(list_filter(lines, lambda x: length(x) <= 80 AND regexp_matches(x, '^\\p{{L}}[\\p{{L}} ._-]{{0,24}}:[ \\t]*[^ \\t]'))) AS sheet FROM q0),
 q2 AS (SELECT *, {_COLLAPSE.format("regexp_replace(txt, '={3,}|" + chr(92) + "*{3,}|_{3,}|~{3,}|#{3,}|-{3,}', ' ', 'g')")} AS clean FROM q1),
 q3 AS (SELECT *, {_c('clean', chr(92) + 'p{L}')} AS letters, length(replace(clean, ' ', '')) AS vis, {_c('clean', chr(92) + 'p{L}{2,}')} AS words FROM q2),
@@ -189,7 +200,7 @@ q4 AS (SELECT doc_id, para_no, {_PROSE} AS prose FROM q3), q5 AS (SELECT doc_id,
 q6 AS (SELECT d.doc_id, coalesce(j, {_COLLAPSE.format('text')}) AS x FROM d LEFT JOIN q5 USING (doc_id))
 SELECT doc_id, {_short('x')} AS description FROM q6""")
 def descriptions(spark, sf):
-    return enrich.descriptions(t.documents(spark, sf))
+    return enrich.descriptions(t.spaced_documents(spark, sf))
 
 
 _TITLE = _COLLAPSE.format(_NOTAGS.format("regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title>', 1)"))
@@ -211,9 +222,9 @@ _HEADS = f"""h0 AS (SELECT page_id, regexp_extract_all(html, '(?is)<h([1-6])\\b[
 h1 AS (SELECT page_id, unnest(range(1, len(l) + 1)) AS i, unnest(l)::INT AS level, unnest(b) AS body FROM h0), h2 AS (SELECT page_id, i, level, {_COLLAPSE.format(_NOTAGS.format('body'))} AS text FROM h1)"""
 
 
-@query("build_toc", t.sql("p") + f", {_HEADS}, h3 AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i)::INT AS seq, count(*) OVER (PARTITION BY page_id) AS n FROM h2 WHERE text <> '') SELECT page_id, seq, 'section-' || seq AS id, level, text FROM h3 WHERE n > 1")
+@query("build_toc", t.sql("pr") + f", {_HEADS}, h3 AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i)::INT AS seq, count(*) OVER (PARTITION BY page_id) AS n FROM h2 WHERE text <> '') SELECT page_id, seq, 'section-' || seq AS id, level, text FROM h3 WHERE n > 1")
 def build_toc(spark, sf):
-    return html.build_toc(t.pages(spark, sf))
+    return html.build_toc(t.rich_pages(spark, sf))
 
 
 @query("html_blocks", t.sql("p") + f", b0 AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?is)<(?:p|li|h[1-6]|figcaption)\\b[^>]*>(.*?)</(?:p|li|h[1-6]|figcaption)>', 1), lambda x: {_COLLAPSE.format(_NOTAGS.format('x'))}), lambda x: x <> '') AS bs FROM p) SELECT page_id, unnest(range(1, len(bs) + 1))::INT AS block_no, unnest(bs) AS text FROM b0")
@@ -221,9 +232,11 @@ def html_blocks(spark, sf):
     return html.html_blocks(t.pages(spark, sf))
 
 
-@query("toc_tree")
+@query("toc_tree", t.sql("pr") + f"""
+, {_HEADS}, k AS (SELECT page_id, i AS seq, level - min(level) OVER (PARTITION BY page_id) AS a, count(*) OVER (PARTITION BY page_id) AS n FROM h2)
+SELECT page_id, seq::INT AS seq, (seq + min(CASE WHEN seq = 1 THEN 0 ELSE a END - seq) OVER (PARTITION BY page_id ORDER BY seq))::INT AS depth FROM k WHERE n > 1""")
 def toc_tree(spark, sf):
-    return html.toc_tree(t.pages(spark, sf).withColumn("html", F.concat("html", F.lit("<h4>a</h4><h6>b</h6><h2>c</h2>"))))
+    return html.toc_tree(t.rich_pages(spark, sf))
 
 
 @query("demote_headings", t.sql("p") + "SELECT page_id, CASE WHEN regexp_matches(html, '(?i)<h1\\b') THEN " + "".join("regexp_replace(" for _ in range(5)) + "html" + "".join(f", '(?i)<(/?)h{k}\\b', '<\\1h{k + 1}', 'g')" for k in range(5, 0, -1)) + " ELSE html END AS html FROM p")
@@ -244,9 +257,9 @@ def same_titles(spark, sf):
 _ALT = '(?i)<img\\b[^>]*\\balt=""'
 
 
-@query("structure_counts", t.sql("p") + f", {_HEADS}, hc AS (SELECT page_id, count(*) FILTER (text <> '') AS headings FROM h2 GROUP BY page_id) SELECT p.page_id, coalesce(headings, 0) AS headings, {_c('html', '(?i)<img' + chr(92) + 'b')} AS images, {_c('html', _ALT)} AS missing_alt FROM p LEFT JOIN hc USING (page_id)")
+@query("structure_counts", t.sql("pr") + f", {_HEADS}, hc AS (SELECT page_id, count(*) FILTER (text <> '') AS headings FROM h2 GROUP BY page_id) SELECT p.page_id, coalesce(headings, 0) AS headings, {_c('html', '(?i)<img' + chr(92) + 'b')} AS images, {_c('html', _ALT)} AS missing_alt FROM p LEFT JOIN hc USING (page_id)")
 def structure_counts(spark, sf):
-    return html.structure_counts(t.pages(spark, sf))
+    return html.structure_counts(t.rich_pages(spark, sf))
 
 
 @query("usage_edges", t.sql("p", "hosts", "refs", "edges") + "SELECT doc, host_id, status FROM edges")
@@ -287,24 +300,24 @@ checks AS (SELECT page_id, words, unnest(['title', 'description', 'author', 'hea
  CASE WHEN words >= 300 THEN 10 ELSE 0 END, CASE WHEN NOT unreadable THEN 5 ELSE 0 END, CASE WHEN missing = 0 THEN 10 ELSE 0 END, CASE WHEN published THEN 15 ELSE 0 END, CASE WHEN indexable THEN 5 ELSE 0 END, CASE WHEN seo THEN 5 ELSE 0 END]) AS points FROM f)"""
 
 
-@query("scorecard", t.sql("p") + f", {_FACTS} SELECT page_id, words, check_id, grp, most, points FROM checks")
+@query("scorecard", t.sql("pr") + f", {_FACTS} SELECT page_id, words, check_id, grp, most, points FROM checks")
 def scorecard(spark, sf):
-    return quality.scorecard(quality.page_facts(t.pages(spark, sf)))
+    return quality.scorecard(quality.page_facts(t.rich_pages(spark, sf)))
 
 
-@query("score_totals", t.sql("p") + f", {_FACTS}, s AS (SELECT page_id, CASE WHEN max(words) < 300 THEN least(sum(points), 70) ELSE sum(points) END::BIGINT AS score FROM checks GROUP BY page_id) SELECT page_id, score, CASE WHEN score >= 85 THEN 'good' WHEN score >= 60 THEN 'fair' ELSE 'poor' END AS grade FROM s")
+@query("score_totals", t.sql("pr") + f", {_FACTS}, s AS (SELECT page_id, CASE WHEN max(words) < 300 THEN least(sum(points), 70) ELSE sum(points) END::BIGINT AS score FROM checks GROUP BY page_id) SELECT page_id, score, CASE WHEN score >= 85 THEN 'good' WHEN score >= 60 THEN 'fair' ELSE 'poor' END AS grade FROM s")
 def score_totals(spark, sf):
     return quality.totals(scorecard(spark, sf))
 
 
-@query("score_rollup", t.sql("p") + f", {_FACTS} SELECT grp, check_id, grouping_id(grp, check_id)::INT AS gid, sum(points)::BIGINT AS points, sum((points = most)::INT)::BIGINT AS passed FROM checks GROUP BY ROLLUP (grp, check_id)")
+@query("score_rollup", t.sql("pr") + f", {_FACTS} SELECT grp, check_id, grouping_id(grp, check_id)::INT AS gid, sum(points)::BIGINT AS points, sum((points = most)::INT)::BIGINT AS passed FROM checks GROUP BY ROLLUP (grp, check_id)")
 def score_rollup(spark, sf):
     return quality.score_rollup(scorecard(spark, sf))
 
 
-@query("heading_jumps", t.sql("p") + f", {_FACTS} SELECT page_id, jumps::INT AS jumps FROM f")
+@query("heading_jumps", t.sql("pr") + f", {_FACTS} SELECT page_id, jumps::INT AS jumps FROM f")
 def heading_jumps(spark, sf):
-    return quality.page_facts(t.pages(spark, sf)).select("page_id", quality.jumps(F.col("levels")).alias("jumps"))
+    return quality.page_facts(t.rich_pages(spark, sf)).select("page_id", quality.jumps(F.col("levels")).alias("jumps"))
 
 
 _AUDIT = f"""a0 AS (SELECT page_id, html, {_TITLE} AS title, {_PAGE} AS text FROM p),
@@ -315,12 +328,12 @@ CASE WHEN {_c('html', '(?i)<h1' + chr(92) + 'b')} = 1 THEN 'PASS' ELSE 'FAIL' EN
 CASE WHEN {_c('text', chr(92) + 'p{L}+')} >= 300 THEN 'PASS' ELSE 'WARN' END, CASE WHEN length(text) * 10 >= length(html) THEN 'PASS' ELSE 'WARN' END, CASE WHEN {_c('html', '(?i)<a' + chr(92) + 'b')} <= 300 THEN 'PASS' ELSE 'WARN' END]) AS result FROM a0)"""
 
 
-@query("audit_pages", t.sql("p") + f", {_AUDIT} SELECT page_id, check_id, result FROM audit")
+@query("audit_pages", t.sql("pr") + f", {_AUDIT} SELECT page_id, check_id, result FROM audit")
 def audit_pages(spark, sf):
-    return quality.audit_pages(t.pages(spark, sf))
+    return quality.audit_pages(t.rich_pages(spark, sf))
 
 
-@query("page_scores", t.sql("p") + f", {_AUDIT} SELECT page_id, greatest(0, 100 - 8 * sum((result = 'FAIL')::INT) - 3 * sum((result = 'WARN')::INT))::BIGINT AS score FROM audit GROUP BY page_id")
+@query("page_scores", t.sql("pr") + f", {_AUDIT} SELECT page_id, greatest(0, 100 - 8 * sum((result = 'FAIL')::INT) - 3 * sum((result = 'WARN')::INT))::BIGINT AS score FROM audit GROUP BY page_id")
 def page_scores(spark, sf):
     return quality.page_scores(audit_pages(spark, sf))
 

@@ -21,6 +21,44 @@ def pages(spark, sf) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
 
 
+def spaced_documents(spark, sf) -> DataFrame:
+    """Documents with a blank line after every sentence in two, and lines of a sheet at the end of some."""
+    docs = documents(spark, sf)
+    text = F.regexp_replace("text", r"([.!?]) ([^.!?]*[.!?]) ", "$1\n \t\n$2 ")
+    sheet = F.when(F.col("doc_id") % 4 == 0, "\n\nName: one\nYear: two\n\nSee https://e.org/a for more of this and of that and all the other things").otherwise("")
+    return docs.withColumn("text", F.concat(text, sheet))
+
+
+#: What pages get, by their number: (every, pattern, what stands there afterwards) and (every, what comes at the end).
+_HEAD = (
+    (2, "<head>", '<head><meta name="description" content="Of things.">'), (3, "<head>", '<head><meta name="author" content="A. Writer">'), (4, "<head>", '<head><script type="application/ld+json">{}</script>'),
+    (5, "<head>", '<head><meta property="og:title" content="T">'), (7, "<head>", '<head><link rel="canonical" href="/c">'), (11, "<head>", '<head><meta name="robots" content="noindex">'), (6, "<html lang", "<html data_lang"),
+)
+_TAIL = ((3, '<img src="a.png" alt="">'), (4, '<img src="b.png" alt="A view">'), (13, "<h1>Again</h1>"), (8, "<h6>Deep</h6><p>x</p><h2>  </h2><h3>Up</h3>"), (17, '<a href="#n">x</a>' * 301))
+
+
+def rich_pages(spark, sf) -> DataFrame:
+    """Pages with more headings, images, links and tags in their heads, in many combinations."""
+    html, n = F.col("html"), F.col("page_id")
+    for every, old, new in _HEAD:
+        html = F.when(n % every == 0, F.replace(html, F.lit(old), F.lit(new))).otherwise(html)
+    level = lambda x: (x % 5 + 2).cast("string")
+    one, two = level(n), level(F.floor(n / 5))
+    parts = [F.lit("<h"), one, F.lit(' id="own">Part <b>one</b></h'), one, F.lit("><p>x</p><h"), two, F.lit(">Two &amp; more&hellip;</h"), two, F.lit(">")]
+    tails = [F.when(n % every == 0, F.lit(tail)).otherwise("") for every, tail in _TAIL]
+    return pages(spark, sf).select("page_id", "url", html.alias("html")).select("page_id", "url", F.concat("html", *parts, *tails).alias("html"))
+
+
+def _rich_sql() -> str:
+    html = "coalesce(html, '')"
+    for every, old, new in _HEAD:
+        html = f"CASE WHEN page_id % {every} = 0 THEN replace({html}, '{old}', '{new}') ELSE {html} END" if every == _HEAD[0][0] else f"replace({html}, '{old}', CASE WHEN page_id % {every} = 0 THEN '{new}' ELSE '{old}' END)"
+    one, two = "(page_id % 5 + 2)", "(page_id // 5 % 5 + 2)"
+    parts = f"""'<h' || {one} || ' id="own">Part <b>one</b></h' || {one} || '><p>x</p><h' || {two} || '>Two &amp; more&hellip;</h' || {two} || '>'"""
+    tails = " || ".join(f"CASE WHEN page_id % {every} = 0 THEN '{tail}' ELSE '' END" for every, tail in _TAIL)
+    return f"p AS (SELECT page_id, url, {html} || {parts} || {tails} AS html FROM pages)"
+
+
 def hosts(spark, sf, shift: int = 0) -> DataFrame:
     status = F.element_at(F.array(*map(F.lit, STATUS)), ((F.col("page_id") + shift) % 5 + 1).cast("int"))
     return pages(spark, sf).select(F.col("page_id").alias("host_id"), status.alias("status"), F.col("html").alias("content"))
@@ -61,6 +99,9 @@ def questions(spark, sf) -> DataFrame:
 
 
 SQL = {
+    "ds": r"""d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '([.!?]) ([^.!?]*[.!?]) ', '\1' || chr(10) || ' ' || chr(9) || chr(10) || '\2 ', 'g')
+      || CASE WHEN doc_id % 4 = 0 THEN chr(10) || chr(10) || 'Name: one' || chr(10) || 'Year: two' || chr(10) || chr(10) || 'See https://e.org/a for more of this and of that and all the other things' ELSE '' END AS text, lang, source, n_chars FROM documents)""",
+    "pr": _rich_sql(),
     "d": "d AS (SELECT doc_id, coalesce(text, '') AS text, lang, source, n_chars FROM documents)",
     "p": "p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages)",
     "hosts": "hosts AS (SELECT page_id AS host_id, (['publish', 'draft', 'trash', 'private', 'future'])[page_id % 5 + 1] AS status, html AS content FROM p)",
