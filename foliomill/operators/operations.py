@@ -88,16 +88,35 @@ def fragment_images(images: DataFrame, side: int = 100, near: int = 2, least: in
     return sent.groupBy("doc_id", "w", "h").agg(F.sum("c").alias("c")).filter(F.col("c") >= least).join(sizes.drop("c"), ["doc_id", "w", "h"], "left_semi").select("doc_id", "w", "h", "c")
 
 
-def live_highlights(marks: DataFrame, width: int = 16) -> DataFrame:
+def live_highlights(marks: DataFrame, least: int = 4) -> DataFrame:
     """Marks (action 'mark') that no later action of the same reader overlaps.
 
-    Positions fall into buckets of ``width``, so that a busy reader's marks meet only their neighbours.
+    A mark lies in two cells at most of the grid whose step is the power of two that its length fits
+    into; two marks that overlap share a cell of the longer one's grid. So a mark makes two rows for each
+    grid in use, however long it is, and a busy reader's marks meet only their neighbours.
     """
-    spread = lambda df: df.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("s") / width), F.floor((F.greatest("e", F.col("s") + 1) - 1) / width))))
-    later = spread(marks).select("reader_id", "bucket", F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("ts").alias("ts2"), F.col("mark_id").alias("id2"))
-    own = spread(marks.filter((F.col("action") == "mark") & (F.col("s") < F.col("e"))))
-    hit = own.join(later, ["reader_id", "bucket"]).filter("s2 < e and e2 > s and (ts2 > ts or (ts2 = ts and id2 > mark_id))").select("mark_id").distinct()
-    return marks.filter((F.col("action") == "mark") & (F.col("s") < F.col("e"))).join(hit, "mark_id", "left_anti")
+    end = F.greatest("e", F.col("s") + 1)
+    size = (end - F.col("s")).cast("long")
+    rows = marks.withColumns({"_end": end.cast("long"), "_level": F.greatest(F.lit(least), F.when(size > 1, F.length(F.bin(size - 1))).otherwise(0))})
+    live = rows.filter((F.col("action") == "mark") & (F.col("s") < F.col("e")))
+    grids = sorted(r[0] for r in rows.select("_level").distinct().collect())  # 64 at most
+    if not grids:
+        return live.select(marks.columns)
+
+    def cells(df: DataFrame, above: int | None) -> DataFrame:
+        """A row for each cell in the own grid (``above`` None), or in those that are ``above`` steps coarser or more."""
+        wanted = F.array(F.col("_level")) if above is None else F.filter(F.array(*map(F.lit, grids)), lambda g: g >= F.col("_level") + above)
+        df = df.withColumn("_grid", F.explode(wanted))
+        step = F.expr("shiftleft(1L, _grid)")
+        at = lambda x: F.floor(x / step)
+        return df.withColumn("_cell", F.explode(F.sequence(at(F.col("s")), at(F.col("_end") - 1))))
+
+    named = rows.select("reader_id", "_level", "s", "e", "_end", "ts", "mark_id")
+    later = lambda df: df.select("reader_id", "_grid", "_cell", F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("ts").alias("ts2"), F.col("mark_id").alias("id2"))
+    over = "s2 < e and e2 > s and (ts2 > ts or (ts2 = ts and id2 > mark_id))"
+    pairs = ((cells(live, 0), cells(named, None)), (cells(live, None), cells(named, 1)))
+    first, second = (own.join(later(others), ["reader_id", "_grid", "_cell"]).filter(over).select("mark_id") for own, others in pairs)
+    return live.join(first.unionByName(second).distinct(), "mark_id", "left_anti").select(marks.columns)
 
 
 def publication_times(batch: DataFrame, hours: int) -> DataFrame:

@@ -110,3 +110,50 @@ def confirm_lists(items: DataFrame) -> DataFrame:
     under = numbered & (F.col("first") == 1) & F.col("family").isin("lower", "upper") & F.col("even")
     good = groups.withColumn("_good", F.col("_sure") | under).filter("_good").select(*key)
     return rows.join(good, list(key)).select(*items.columns, "list_no")
+
+
+def _outlined(blocks: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+    """One page: each entry, in order, takes its title off the first paragraph from the cursor on that starts with it."""
+    flat = lambda x: " ".join(x.split())
+    rows = [(kind, None, text) for kind, text in blocks.sort_values("block_no")[["kind", "text"]].itertuples(index=False)]
+    cursor, key = 0, blocks if len(blocks) else entries
+    for title, level in entries.sort_values("entry_no")[["title", "level"]].itertuples(index=False):
+        heading, name = ("h", level, title), flat(title).lower()
+        at = next((i for i in range(cursor, len(rows)) if rows[i][0] == "p" and flat(rows[i][2]).lower().startswith(name)), None)
+        if at is None:
+            rows.insert(cursor, heading)
+            cursor += 1
+            continue
+        rest = flat(rows[at][2])[len(name) :].strip()
+        rows[at : at + 1] = [heading, *([("p", None, rest)] if rest else [])]
+        cursor = at + 1
+    out = pd.DataFrame(rows, columns=["kind", "level", "text"])
+    out["level"] = out["level"].astype("Int32")
+    return out.assign(doc_id=key["doc_id"].iloc[0], page_no=key["page_no"].iloc[0], block_no=range(1, len(out) + 1))[["doc_id", "page_no", "block_no", "kind", "level", "text"]]
+
+
+def merge_outline(blocks: DataFrame, outline: DataFrame) -> DataFrame:
+    """doc_id, page_no, block_no, kind, level and text of pages with the headings that their outline names.
+
+    ``blocks`` are doc_id, page_no, block_no, kind and text, ``outline`` doc_id, page_no, entry_no, title and level.
+    A title that no paragraph starts with is put in where the entry before it stands. Null texts count as empty; a page
+    is what meets in one task.
+    """
+    rows = blocks.select("doc_id", "page_no", "block_no", "kind", F.coalesce("text", F.lit("")).alias("text"))
+    entries = outline.select("doc_id", "page_no", "entry_no", F.coalesce("title", F.lit("")).alias("title"), F.col("level").cast("int").alias("level"))
+    shape = "doc_id long, page_no long, block_no long, kind string, level int, text string"
+    return rows.groupBy("doc_id", "page_no").cogroup(entries.groupBy("doc_id", "page_no")).applyInPandas(_outlined, shape)
+
+
+def keep_reordered_text(pages: DataFrame, share: float = 0.9, probes: int = 5, text: int = 200) -> DataFrame:
+    """doc_id, page_no and text: the reordered text of pages (doc_id, page_no, plain, ordered) where it can be trusted, else the plain one.
+
+    It needs ``share`` of the letters and digits of the plain text. A document whose first ``probes`` pages of more
+    than ``text`` characters have none is read as it is to the end.
+    """
+    marks = lambda c: T.count(F.coalesce(F.col(c), F.lit("")), r"[\p{L}\p{N}]")
+    rows = pages.withColumn("_good", F.col("ordered").isNotNull() & (marks("ordered") >= share * marks("plain")))
+    rows = rows.withColumn("_first", F.min(F.when(F.col("_good"), F.col("page_no"))).over(Window.partitionBy("doc_id")))
+    probe = (F.col("page_no") < F.col("_first")) & (F.length(F.trim("plain")) > text)
+    rows = rows.withColumn("_probed", F.sum(probe.cast("int")).over(Window.partitionBy("doc_id")))
+    return rows.select("doc_id", "page_no", F.when(F.col("_good") & (F.coalesce("_probed", F.lit(0)) < probes), F.col("ordered")).otherwise(F.col("plain")).alias("text"))

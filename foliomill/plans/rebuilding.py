@@ -234,3 +234,27 @@ def image_report(spark, sf):
     )
     report = operations.image_report(rows, 3, 90, 40)
     return report.withColumn("reasons", F.array_join(F.transform(F.array_sort(F.map_entries("reasons")), lambda e: F.concat_ws("=", e["key"], e["value"])), " "))
+
+
+@query("merge_outline")
+def merge_outline(spark, sf):
+    """Rebuilt pages whose outline names the first words of a paragraph and a title that is nowhere."""
+    blocks = paragraphs.rebuild_paragraphs(_pages(spark, sf)).withColumn("kind", F.lit("p")).drop("lang")
+    words = F.array_join(F.slice(F.split(F.upper("text"), " "), 1, 3), " ")
+    named = blocks.filter("block_no % 3 = 1").select("doc_id", "page_no", F.col("block_no").alias("entry_no"), F.when(F.col("block_no") % 2 == 0, "Nowhere to be found").otherwise(words).alias("title"), F.lit(2).alias("level"))
+    return paragraphs.merge_outline(blocks.withColumn("page_no", F.col("page_no").cast("long")), named.withColumn("page_no", F.col("page_no").cast("long")))
+
+
+@query("keep_reordered_text", t.sql("d", "lines") + """
+, g AS (SELECT doc_id, block_no AS page_no, text AS plain, CASE WHEN doc_id % 4 = 0 AND block_no < 6 THEN NULL WHEN (doc_id + block_no) % 3 = 0 THEN reverse(text) WHEN (doc_id + block_no) % 3 = 1 THEN left(text, length(text) // 2) END AS ordered FROM rows),
+h AS (SELECT *, ordered IS NOT NULL AND len(regexp_extract_all(ordered, '[\p{L}\p{N}]')) >= 0.9 * len(regexp_extract_all(plain, '[\p{L}\p{N}]')) AS good FROM g),
+i AS (SELECT *, min(CASE WHEN good THEN page_no END) OVER (PARTITION BY doc_id) AS first FROM h),
+j AS (SELECT *, sum((page_no < first AND length(trim(plain)) > 200)::INT) OVER (PARTITION BY doc_id) AS probed FROM i)
+SELECT doc_id, page_no, CASE WHEN good AND coalesce(probed, 0) < 5 THEN ordered ELSE plain END AS text FROM j""")
+def keep_reordered_text(spark, sf):
+    """Lines as pages; the other order is whole, half of the text, or missing, and missing on the first pages of every fourth document."""
+    lines = t.documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "plain"))
+    turn = (F.col("doc_id") + F.col("n")) % 3
+    half = F.substring(F.col("plain"), F.lit(1), F.floor(F.length("plain") / 2).cast("int"))
+    ordered = F.when((F.col("doc_id") % 4 == 0) & (F.col("n") < 6), None).when(turn == 0, F.reverse("plain")).when(turn == 1, half)
+    return paragraphs.keep_reordered_text(lines.select("doc_id", F.col("n").cast("long").alias("page_no"), "plain", ordered.alias("ordered")))

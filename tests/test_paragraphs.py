@@ -91,3 +91,31 @@ def test_language_by_page(spark):
 def test_rejoined_contents(spark):
     text = "One ......\n 12\nTwo ........ 30 Three …… 4"
     assert structure.rejoin_toc_breaks(spark.createDataFrame([(text,)], "text string")).first().text == "One ...... 12\nTwo ........ 30\nThree …… 4"
+
+
+def test_outline(spark):
+    blocks = [(1, 0, 1, "p", "Intro"), (1, 0, 2, "p", "the  BIG plan starts here."), (1, 0, 3, "toc", "Last"), (1, 0, 4, "p", "Last"), (2, 0, 1, "p", None)]
+    outline = [(1, 0, 1, "The big Plan", 2), (1, 0, 2, "Missing", 3), (1, 0, 3, "last", 2), (3, 5, 1, "Alone", 1)]
+    df = spark.createDataFrame(blocks, "doc_id long, page_no long, block_no long, kind string, text string")
+    entries = spark.createDataFrame(outline, "doc_id long, page_no long, entry_no long, title string, level int")
+    got = [tuple(r) for r in paragraphs.merge_outline(df, entries).orderBy("doc_id", "page_no", "block_no").collect()]
+    assert got == [
+        (1, 0, 1, "p", None, "Intro"), (1, 0, 2, "h", 2, "The big Plan"), (1, 0, 3, "h", 3, "Missing"), (1, 0, 4, "p", None, "starts here."), (1, 0, 5, "toc", None, "Last"), (1, 0, 6, "h", 2, "last"),
+        (2, 0, 1, "p", None, ""), (3, 5, 1, "h", 1, "Alone"),
+    ]
+
+
+def test_highlights_of_any_length(spark):
+    import random
+
+    from foliomill.operators import operations
+
+    r = random.Random(3)
+    rows = []
+    for i in range(400):
+        s = r.choice([r.randrange(-50, 400), r.randrange(1 << 40)])
+        rows.append((i, i % 3, s, s + r.choice([0, 1, 2, 15, 16, 17, 100, 1 << 20, 1 << 41]), r.choice(["mark", "mark", "remove"]), r.randrange(60)))
+    df = spark.createDataFrame(rows, "mark_id long, reader_id long, s long, e long, action string, ts long")
+    want = {a[0] for a in rows if a[4] == "mark" and a[2] < a[3] and not any(b[1] == a[1] and b[2] < a[3] and b[3] > a[2] and (b[5], b[0]) > (a[5], a[0]) for b in rows)}
+    assert {x.mark_id for x in operations.live_highlights(df).collect()} == want
+    assert operations.live_highlights(df.filter("false")).count() == 0
