@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliomill.functions import text as T
-from foliomill.operators import enrich, html, markdown, operations, paragraphs, records, speech, structure
+from foliomill.operators import enrich, html, markdown, operations, paragraphs, records, review, speech, structure
 
 from . import tables as t
 from .registry import _BULLET, _COLLAPSE, _LET, _NUM, _PROSE, _SAMPLES, _short, query
@@ -258,3 +258,13 @@ def keep_reordered_text(spark, sf):
     half = F.substring(F.col("plain"), F.lit(1), F.floor(F.length("plain") / 2).cast("int"))
     ordered = F.when((F.col("doc_id") % 4 == 0) & (F.col("n") < 6), None).when(turn == 0, F.reverse("plain")).when(turn == 1, half)
     return paragraphs.keep_reordered_text(lines.select("doc_id", F.col("n").cast("long").alias("page_no"), "plain", ordered.alias("ordered")))
+
+
+@query("audit_documents")
+def audit_documents(spark, sf):
+    return review.audit_documents(t.rich_pages(spark, sf).withColumnRenamed("page_id", "doc_id"))
+
+
+@query("fix_documents")
+def fix_documents(spark, sf):
+    return review.fix_documents(t.rich_pages(spark, sf).withColumnRenamed("page_id", "doc_id"))
