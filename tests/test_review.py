@@ -1,21 +1,10 @@
 """Goldens of the structure review."""
 
-import pytest
-
 from foliomill.operators import review
 from foliomill.plans import tables
 from tests.conftest import SF
 
 
-def found(spark, html):
-    rows = review.audit_documents(spark.createDataFrame([(1, html)], "doc_id long, html string")).collect()
-    return sorted((r.type, r.excerpt) for r in rows)
-
-
-def mended(spark, html):
-    return review.fix_documents(spark.createDataFrame([(1, html)], "doc_id long, html string")).first().html
-
-
 LONG = "word " * 40
 CASES = [
     ("<h1>A</h1><p>Just text.</p>", [], None), ("", [], ""), ("<p>Text</p><p> &nbsp;</p>", [("empty-block", "")], "<p>Text</p>"), ("<h2> </h2><p>x.</p>", [("empty-block", "")], "<p>x.</p>"),
@@ -30,12 +19,19 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize(("html", "issues", "fixed"), CASES)
-def test_issues(spark, html, issues, fixed):
-    assert found(spark, html) == issues
-    out = mended(spark, html)
-    assert out == (html if fixed is None else fixed)
-    assert found(spark, out) == []
+def by_document(rows):
+    out = {}
+    for r in rows.collect():
+        out.setdefault(r.doc_id, []).append((r.type, r.excerpt))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def test_issues(spark):
+    docs = spark.createDataFrame([(i, html) for i, (html, _, _) in enumerate(CASES)], "doc_id long, html string")
+    assert by_document(review.audit_documents(docs)) == {i: issues for i, (_, issues, _) in enumerate(CASES) if issues}
+    fixed = review.fix_documents(docs)
+    assert {r.doc_id: r.html for r in fixed.collect()} == {i: html if want is None else want for i, (html, _, want) in enumerate(CASES)}
+    assert by_document(review.audit_documents(fixed)) == {}
 
 
 def test_null_and_empty_tables(spark):
