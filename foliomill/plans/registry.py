@@ -482,13 +482,25 @@ def daily_cap(spark, sf):
     return quotas.daily_cap(t.table(spark, sf, "events"))
 
 
-@query("question_quota")
+def _quota(most: int, seconds: int) -> str:
+    return f"""WITH RECURSIVE e AS (SELECT user_id AS reader, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f AS (
+  SELECT reader, 0::BIGINT AS k, 0 AS used, NULL::TIMESTAMP AS last, event_id, ts, false AS accepted FROM e WHERE k = 1
+  UNION ALL
+  SELECT reader, k, before + good::INT, CASE WHEN good THEN ts ELSE last END, event_id, ts, good FROM (
+    SELECT *, before < {most} AS good FROM (
+      SELECT e.reader, e.k, e.event_id, e.ts, f.last, CASE WHEN f.last IS NULL OR e.ts - f.last >= INTERVAL {seconds} SECONDS THEN 0 ELSE f.used END AS before FROM f JOIN e ON e.reader = f.reader AND e.k = f.k + 1))
+)
+SELECT reader, event_id, ts, accepted FROM f WHERE k > 0"""
+
+
+@query("question_quota", _quota(20, 3600))
 def question_quota(spark, sf):
     events = t.table(spark, sf, "events").select(F.col("user_id").alias("reader"), "ts", "event_id")
     return quotas.quota(events, 20, 3600)
 
 
-@query("search_quota")
+@query("search_quota", _quota(30, 60))
 def search_quota(spark, sf):
     events = t.table(spark, sf, "events").select(F.col("user_id").alias("reader"), "ts", "event_id")
     return quotas.quota(events, 30, 60)
