@@ -9,9 +9,6 @@ from foliomill.functions import text as T
 
 from .records import PLACEHOLDERS
 
-AUTHOR = r"(?i)^(?:author|autor|autora|auteur|escrito por|written by)\s*:\s*(.{3,80})$"
-
-
 def detect_language(docs: DataFrame) -> DataFrame:
     """doc_id and detected language tag."""
     return T.with_language(docs.select("doc_id", "text"), F.col("text")).select("doc_id", "tag")
@@ -36,12 +33,17 @@ def leading_lines(docs: DataFrame, chars: int = 1500, lines: int = 40) -> DataFr
     return rows.withColumn("_before", before).filter(F.col("_before") < chars).select("doc_id", (F.col("n") + 1).alias("line_no"), "text")
 
 
+#: Labels of lines that name an author; the short ones count only where no line has another.
+AUTHOR_LABELS, SHORT_LABELS = "Author|Authors|Autor|Autores|Autora|Autoras|Autoria|Escrito por|Written by|Auteur|Auteurs|Autore|Verfasser", "By|Por"
+
+
 def suggest_author(docs: DataFrame) -> DataFrame:
-    """doc_id and author: the first labelled leading line that names one."""
+    """doc_id and author: the value of the first labelled leading line, else of the first "By:" line, if it is a name."""
+    lines = leading_lines(docs)
+    long, short = _labelled(lines, AUTHOR_LABELS, 3, 80), _labelled(lines, SHORT_LABELS, 3, 80, ":").withColumnRenamed("value", "other")
+    rows = long.join(short, "doc_id", "full").select("doc_id", F.regexp_replace(F.coalesce("value", "other"), "[.]+$", "").alias("author"))
     name = F.col("author")
-    good = (name != "") & ~F.lower(name).isin(*PLACEHOLDERS) & (T.count(name, r"\d") < 3) & name.rlike(r"\p{L}")
-    rows = leading_lines(docs).select("doc_id", "line_no", F.trim(F.regexp_extract("text", AUTHOR, 1)).alias("author"))
-    return rows.filter(good).groupBy("doc_id").agg(F.min_by("author", "line_no").alias("author"))
+    return rows.filter(~F.lower(name).isin(*PLACEHOLDERS) & ~name.rlike(r"\d{3}") & name.rlike(r"\p{L}{2}"))
 
 
 def descriptions(docs: DataFrame) -> DataFrame:
@@ -74,9 +76,9 @@ SUMMARY_LABELS = "Summary|Abstract|Resumo|Sinopse|Resumen|Résumé|Resumé|Résu
 TITLE_MIN, TITLE_MAX, SUMMARY_MIN, SUMMARY_MAX, PROSE_MIN, PROSE_FIRST = 10, 70, 30, 300, 70, 40
 
 
-def _labelled(lines: DataFrame, labels: str, least: int, most: int) -> DataFrame:
+def _labelled(lines: DataFrame, labels: str, least: int, most: int, signs: str = ":–—-") -> DataFrame:
     """doc_id and the value of the first line ``label: value``."""
-    value = F.regexp_extract("text", rf"(?i)^(?:{labels})[ \t]*[:\-–—][ \t]*(.{{{least},{most}}})$", 1)
+    value = F.regexp_extract("text", rf"(?i)^(?:{labels})[ \t]*[{signs}][ \t]*(.{{{least},{most}}})$", 1)
     rows = lines.select("doc_id", "line_no", F.regexp_replace(value, "^[ \t,;]+|[ \t,;]+$", "").alias("value"))
     return rows.filter("value <> ''").groupBy("doc_id").agg(F.min_by("value", "line_no").alias("value"))
 

@@ -27,7 +27,7 @@ def page_facts(pages: DataFrame) -> DataFrame:
     text = T.collapse(T.no_tags(html))
     meta = lambda name: F.regexp_extract(html, f'(?is)<meta[^>]*name="{name}"[^>]*content="([^"]*)"', 1)
     return pages.select(
-        "page_id", H.title_of(html).alias("title"), meta("description").alias("description"), meta("author").alias("author"),
+        "page_id", F.lower(F.regexp_extract(html, r"""(?i)<html\b[^>]*\blang=["']([A-Za-z]+)""", 1)).alias("lang"), H.title_of(html).alias("title"), meta("description").alias("description"), meta("author").alias("author"),
         F.transform(F.regexp_extract_all(html, F.lit(H.HEADING), 1), lambda x: x.cast("int")).alias("levels"), T.words(text).alias("words"), T.unreadable(text).alias("unreadable"),
         T.count(html, r'(?i)<img\b[^>]*\balt=""').alias("missing_alt"), (F.col("page_id") % 2 == 0).alias("published"), (~html.contains("noindex")).alias("indexable"), html.rlike('(?i)property="og:').alias("seo_tags"),
     )
@@ -51,9 +51,10 @@ def totals(checks: DataFrame) -> DataFrame:
     return score.withColumn("grade", F.when(F.col("score") >= 85, "good").when(F.col("score") >= 60, "fair").otherwise("poor"))
 
 
-def score_rollup(checks: DataFrame) -> DataFrame:
-    """Points and passes by group and check, with subtotals."""
-    return checks.rollup("grp", "check_id").agg(F.grouping_id().cast("int").alias("gid"), F.sum("points").alias("points"), F.sum((F.col("points") == F.col("most")).cast("int")).alias("passed"))
+def score_rollup(checks: DataFrame, languages: DataFrame) -> DataFrame:
+    """Points and passes by language, group and check, with subtotals; ``languages`` are page_id and lang ('' where none is named)."""
+    rows = checks.join(languages.select("page_id", "lang"), "page_id")
+    return rows.rollup("lang", "grp", "check_id").agg(F.grouping_id().cast("int").alias("gid"), F.sum("points").alias("points"), F.sum((F.col("points") == F.col("most")).cast("int")).alias("passed"))
 
 
 def audit_pages(pages: DataFrame) -> DataFrame:

@@ -14,11 +14,13 @@ def usage_edges(hosts: DataFrame, docs: DataFrame, reference: str) -> DataFrame:
     return found.join(docs.select("doc").distinct(), "doc", "left_semi")
 
 
-def hosts_of(edges: DataFrame, most: int = 100) -> DataFrame:
-    """Per document its hosts, published first, ``most`` at most: the count and the first one."""
+def hosts_of(edges: DataFrame, most: int = 100, shown: int = 5) -> DataFrame:
+    """Per document its hosts, published first, ``most`` at most: the count, the first one, the first ``shown``, and how many more there are."""
     rank = F.row_number().over(Window.partitionBy("doc").orderBy((F.col("status") != "publish").cast("int"), "host_id"))
     ranked = edges.withColumn("rank", rank).filter(F.col("rank") <= most)
-    return ranked.groupBy("doc").agg(F.count("*").alias("hosts"), F.min_by("host_id", "rank").alias("first_host"))
+    few = F.array_sort(F.collect_list(F.when(F.col("rank") <= shown, F.struct("rank", "host_id"))))
+    found = ranked.groupBy("doc").agg(F.count("*").alias("hosts"), F.min_by("host_id", "rank").alias("first_host"), F.transform(few, lambda x: x["host_id"]).alias("first_hosts"))
+    return found.withColumn("more", F.greatest(F.col("hosts") - shown, F.lit(0)))
 
 
 def orphans(docs: DataFrame, edges: DataFrame) -> DataFrame:

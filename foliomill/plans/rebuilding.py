@@ -245,7 +245,7 @@ def merge_outline(spark, sf):
     return paragraphs.merge_outline(blocks.withColumn("page_no", F.col("page_no").cast("long")), named.withColumn("page_no", F.col("page_no").cast("long")))
 
 
-@query("keep_reordered_text", t.sql("d", "lines") + """
+@query("keep_reordered_text", t.sql("d", "lines") + r"""
 , g AS (SELECT doc_id, block_no AS page_no, text AS plain, CASE WHEN doc_id % 4 = 0 AND block_no < 6 THEN NULL WHEN (doc_id + block_no) % 3 = 0 THEN reverse(text) WHEN (doc_id + block_no) % 3 = 1 THEN left(text, length(text) // 2) END AS ordered FROM rows),
 h AS (SELECT *, ordered IS NOT NULL AND len(regexp_extract_all(ordered, '[\p{L}\p{N}]')) >= 0.9 * len(regexp_extract_all(plain, '[\p{L}\p{N}]')) AS good FROM g),
 i AS (SELECT *, min(CASE WHEN good THEN page_no END) OVER (PARTITION BY doc_id) AS first FROM h),

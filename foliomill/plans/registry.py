@@ -118,11 +118,23 @@ def normalize_ligatures(spark, sf):
 _ENTRY = "^(.*?)[ \\t]*(?:(?:\\.[ \\t]?){4,}|…{2,}|_{4,})[ \\t]*(\\d{1,4})$"
 
 
-@query("extract_toc_entries", t.sql("d", "lines") + f", e AS (SELECT doc_id, block_no, text || CASE WHEN block_no % 3 = 0 THEN ' ..... ' || (block_no % 9999 + 1) ELSE '' END AS text FROM rows) SELECT doc_id, block_no, text, regexp_extract(text, '{_ENTRY}', 1) AS title, regexp_extract(text, '{_ENTRY}', 2)::INT AS toc_page FROM e WHERE regexp_matches(text, '{_ENTRY}')")
+_STUCK = f"^(?:(.+?)[ \\t]+)?({'|'.join(structure.CONTENTS)})[ \\t]+(.+)$"
+
+
+@query("extract_toc_entries", t.sql("d", "lines") + f"""
+, e AS (
+  SELECT doc_id, block_no, CASE WHEN block_no % 5 = 0 THEN 'Booklet Contents ' WHEN block_no % 7 = 0 THEN 'Índice ' ELSE '' END || text || CASE WHEN block_no % 5 < 2 THEN ' ..... ' || (block_no % 9999 + 1) ELSE '' END AS text FROM rows
+), g AS (SELECT *, regexp_matches(text, '{_ENTRY}') AS toc, regexp_replace(regexp_extract(text, '{_ENTRY}', 1), '^[ \\t.]+|[ \\t.]+$', '', 'g') AS raw FROM e),
+h AS (SELECT *, toc AND NOT coalesce(lag(toc) OVER (PARTITION BY doc_id ORDER BY block_no), false) AND regexp_matches(raw, '{_STUCK}') AS split FROM g)
+SELECT doc_id, block_no, text, regexp_extract(text, '{_ENTRY}', 2)::INT AS toc_page, CASE WHEN split THEN regexp_extract(raw, '{_STUCK}', 1) ELSE '' END AS lead,
+  CASE WHEN split THEN regexp_extract(raw, '{_STUCK}', 2) ELSE '' END AS heading, CASE WHEN split THEN regexp_extract(raw, '{_STUCK}', 3) ELSE raw END AS title
+FROM h WHERE toc""")
 def extract_toc_entries(spark, sf):
+    """Two lines of five are entries; some start with the word that stands over them."""
     lines = t.documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
-    tail = F.when(F.col("n") % 3 == 0, F.concat(F.lit(" ..... "), F.col("n") % 9999 + 1)).otherwise("")
-    return structure.extract_toc_entries(lines.select("doc_id", F.col("n").cast("long").alias("block_no"), F.concat("text", tail).alias("text")))
+    head = F.when(F.col("n") % 5 == 0, "Booklet Contents ").when(F.col("n") % 7 == 0, "Índice ").otherwise("")
+    tail = F.when(F.col("n") % 5 < 2, F.concat(F.lit(" ..... "), F.col("n") % 9999 + 1)).otherwise("")
+    return structure.extract_toc_entries(lines.select("doc_id", F.col("n").cast("long").alias("block_no"), F.concat(head, "text", tail).alias("text")))
 
 
 @query("printed_toc_runs", t.sql("d", "lines") + ", e AS (SELECT doc_id, block_no, length(text) % 4 < 2 AS is_toc FROM rows), s AS (SELECT *, CASE WHEN is_toc AND NOT coalesce(lag(is_toc) OVER (PARTITION BY doc_id ORDER BY block_no), false) THEN 1 ELSE 0 END AS st FROM e) SELECT doc_id, block_no, is_toc, run FROM (SELECT *, sum(st) OVER (PARTITION BY doc_id ORDER BY block_no)::BIGINT AS run FROM s) WHERE is_toc")
@@ -186,10 +198,18 @@ def leading_lines(spark, sf):
     return enrich.leading_lines(t.documents(spark, sf))
 
 
-@query("suggest_author", "SELECT doc_id, source || ' ' || lang AS author FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND len(regexp_extract_all(source, '\\d')) < 3")
+@query("suggest_author", """
+SELECT doc_id, author FROM (
+  SELECT doc_id, CASE WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN 'A. ' || source || ' B' ELSE source || ' ' || lang END AS author FROM documents
+) WHERE author IS NOT NULL AND NOT regexp_matches(author, '[0-9]{3}')""")
 def suggest_author(spark, sf):
-    docs = t.documents(spark, sf).select("doc_id", F.concat(F.lit("Written by: "), "source", F.lit(" "), "lang", F.lit("\nAutor: admin\n"), "text").alias("text"))
-    return enrich.suggest_author(docs)
+    """Labels of both kinds, a placeholder, and a number in the place of a name."""
+    n, name = F.col("doc_id"), F.concat("source", F.lit(" "), "lang")
+    line = (
+        F.when(n % 7 == 0, F.concat(F.lit("By: someone\nAuthor: Admin\nWritten by: "), name)).when(n % 11 == 0, "Verfasser: AB 12345")
+        .when(n % 3 == 0, F.concat(F.lit("By my friends\nPor: A. "), "source", F.lit(" B."))).when(n % 3 == 1, F.concat(F.lit("Written by – "), name)).otherwise(F.concat(F.lit("By: nobody\nAUTORES: "), name, F.lit(" ;\nAutor: admin")))
+    )
+    return enrich.suggest_author(t.documents(spark, sf).select("doc_id", F.concat(line, F.lit("\n"), "text").alias("text")))
 
 
 @query("descriptions", t.sql("ds", "paras") + f""", q0 AS (SELECT doc_id, para_no, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_COLLAPSE.format('x')}), lambda x: x <> '') AS lines FROM paras),
@@ -267,9 +287,9 @@ def usage_edges(spark, sf):
     return usage.usage_edges(t.hosts(spark, sf), t.referenced(spark, sf), t.HREF)
 
 
-@query("hosts_of", t.sql("p", "hosts", "refs", "edges") + ", r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY (status <> 'publish')::INT, host_id) AS k FROM edges) SELECT doc, count(*) AS hosts, min_by(host_id, k) AS first_host FROM r WHERE k <= 100 GROUP BY doc")
+@query("hosts_of", t.sql("p", "hosts", "refs", "edges") + ", r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY (status <> 'publish')::INT, host_id) AS k FROM edges) SELECT doc, count(*) AS hosts, min_by(host_id, k) AS first_host, string_agg(host_id::VARCHAR, ', ' ORDER BY k) FILTER (k <= 5) AS first_hosts, greatest(count(*) - 5, 0) AS more FROM r WHERE k <= 100 GROUP BY doc")
 def hosts_of(spark, sf):
-    return usage.hosts_of(usage_edges(spark, sf))
+    return usage.hosts_of(usage_edges(spark, sf)).withColumn("first_hosts", F.array_join(F.col("first_hosts").cast("array<string>"), ", "))
 
 
 @query("orphans", t.sql("p", "hosts", "refs", "edges") + "SELECT doc FROM refs WHERE doc NOT IN (SELECT doc FROM edges WHERE status = 'publish')")
@@ -310,9 +330,9 @@ def score_totals(spark, sf):
     return quality.totals(scorecard(spark, sf))
 
 
-@query("score_rollup", t.sql("pr") + f", {_FACTS} SELECT grp, check_id, grouping_id(grp, check_id)::INT AS gid, sum(points)::BIGINT AS points, sum((points = most)::INT)::BIGINT AS passed FROM checks GROUP BY ROLLUP (grp, check_id)")
+@query("score_rollup", t.sql("pr") + f", {_FACTS} SELECT lang, grp, check_id, grouping_id(lang, grp, check_id)::INT AS gid, sum(points)::BIGINT AS points, sum((points = most)::INT)::BIGINT AS passed FROM checks JOIN (SELECT page_id, lower(regexp_extract(html, '(?i)<html\\b[^>]*\\blang=.([A-Za-z]+)', 1)) AS lang FROM p) USING (page_id) GROUP BY ROLLUP (lang, grp, check_id)")
 def score_rollup(spark, sf):
-    return quality.score_rollup(scorecard(spark, sf))
+    return quality.score_rollup(scorecard(spark, sf), quality.page_facts(t.rich_pages(spark, sf)))
 
 
 @query("heading_jumps", t.sql("pr") + f", {_FACTS} SELECT page_id, jumps::INT AS jumps FROM f")

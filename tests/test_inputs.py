@@ -25,5 +25,6 @@ def test_branches(spark):
     assert set(values(spark, "list_markers", "family", "kind")) == {"bullet", "number.", "upper"}
     lists = values(spark, "confirm_lists", "family", "kind")
     assert {"bullet", "number.", "lower"} <= set(lists)
+    assert {"", "Contents", "Índice"} == {r.heading for r in QUERIES["extract_toc_entries"](spark, SF).select("heading").distinct().collect()}
     stitched, rebuilt = (QUERIES[q](spark, SF).count() for q in ("stitch_pages", "rebuild_paragraphs"))
     assert stitched < rebuilt
