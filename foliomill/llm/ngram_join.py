@@ -52,7 +52,7 @@ BLOCK, NODE = 1024, 32
 #: First buckets that a set carries in step 4.
 EARLY = 8
 #: Sets from this size on emit groups of tokens; documents and tokens of the list of common ones.
-GROUPED, SAMPLE, COMMON = 256, 8_192, 4_096
+GROUPED, SAMPLE, COMMON = 256, 2_048, 4_096
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -193,24 +193,44 @@ class CountTree:
         """Numbers of the points that may be linked with ``point``."""
         size, at = int(point.sum()), None
         for top, least in reversed(self.levels):
-            at = np.arange(len(top)) if at is None else np.concatenate([np.arange(i * NODE, min(i * NODE + NODE, len(top))) for i in at]) if len(at) else at
+            if at is None:
+                at = np.arange(len(top))
+            else:
+                at = (at[:, None] * NODE + np.arange(NODE)).ravel()
+                at = at[at < len(top)]
             at = at[np.minimum(top[at], point).sum(1) >= _need(size, least[at], percent)]
         return self.order[at]
 
 
-def _met_before(early: np.ndarray, own: np.ndarray, bucket: int) -> np.ndarray:
-    """Which rows of ``early`` share a bucket before ``bucket`` with the set whose early buckets are ``own``."""
-    return np.isin(early, own[own < bucket]).any(1)
+def _met_before(early: np.ndarray, own: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """For each pair, whether the early buckets of its two sets share one before ``bucket``."""
+    met = np.zeros(len(bucket), bool)
+    for k in range(EARLY):
+        met |= (own[:, k] < bucket) & (early == own[:, k, None]).any(1)
+    return met
 
 
-def _entries(lists: pa.ListArray) -> list[tuple]:
-    """(sets, components, points, early buckets, padded with the greatest number) of each list."""
-    flat, cuts = lists.flatten(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
-    sets, component, points = flat.field("set").to_numpy(), flat.field("component").to_numpy(), flat.field("point")
-    early, size = flat.field("early"), flat.field("early").value_lengths().to_numpy()
-    padded = np.full((len(flat), EARLY), np.iinfo(np.int64).max)
-    padded[np.arange(EARLY) < size[:, None]] = early.flatten().to_numpy()
-    return [(sets[a:b], component[a:b], points[a:b].to_pylist(), padded[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+class _Entries:
+    """Sets of many lists end to end, with the first and the number of each list."""
+
+    def __init__(self, lists: pa.ListArray):
+        flat, self.n = lists.flatten(), lists.value_lengths().to_numpy().astype(np.int64)
+        self.first = np.cumsum(self.n) - self.n
+        self.sets, self.component, self.points = flat.field("set").to_numpy(), flat.field("component").to_numpy(), flat.field("point")
+        early = flat.field("early")
+        self.early = np.full((len(flat), EARLY), np.iinfo(np.int64).max)
+        self.early[np.arange(EARLY) < early.value_lengths().to_numpy()[:, None]] = early.flatten().to_numpy()
+
+    def counts(self, which: np.ndarray) -> np.ndarray:
+        return np.stack([_counts(x) for x in self.points.take(pa.array(which)).to_pylist()])
+
+
+def _new_pairs(held: _Entries, asked: _Entries, member: np.ndarray, visitor: np.ndarray, bucket: np.ndarray, main: np.ndarray) -> np.ndarray:
+    """Which pairs are of different components, and made neither the other way round nor in an earlier bucket."""
+    kind = held.component[member]
+    # A member outside the main component is a visitor too: the pair is made once.
+    good = np.flatnonzero((kind != asked.component[visitor]) & ((kind == main) | (asked.sets[visitor] < held.sets[member])))
+    return good[~_met_before(held.early[member[good]], asked.early[visitor[good]], bucket[good])]
 
 
 def _search(percent: int):
@@ -218,17 +238,29 @@ def _search(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            bucket, main = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            held, asked = _Entries(batch.column(2)), _Entries(batch.column(3))
             pairs = [np.zeros((0, 2), np.int64)]
-            for bucket, main, held, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _entries(batch.column(2)), _entries(batch.column(3))):
-                sets, component, points, early = held
-                tree = CountTree(np.stack([_counts(x) for x in points]))
-                # A member outside the main component is a visitor too: the pair is made once.
-                once = component == main
-                for own, kind, point, first in zip(*asked):
-                    hits = tree.search(_counts(point), percent)
-                    hits = hits[(component[hits] != kind) & (once[hits] | (own < sets[hits]))]
-                    hits = hits[~_met_before(early[hits], first, bucket)]
-                    pairs.append(np.c_[np.full(len(hits), own), sets[hits]])
+            # Blocks of one leaf need no tree: their pairs are bounded together, after those that other blocks make are gone.
+            of = np.repeat(np.arange(len(bucket)), asked.n)
+            leaf = np.flatnonzero((held.n <= NODE)[of])
+            for at in range(0, len(leaf), 2_048):
+                some = leaf[at : at + 2_048]
+                size = held.n[of[some]]
+                visitor, block = np.repeat(some, size), np.repeat(of[some], size)
+                member = np.repeat(held.first[of[some]] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+                good = _new_pairs(held, asked, member, visitor, bucket[block], main[block])
+                if len(good):
+                    (m, where), (v, whose) = (np.unique(x[good], return_inverse=True) for x in (member, visitor))
+                    p, q = held.counts(m)[where], asked.counts(v)[whose]
+                    good = good[np.minimum(p, q).sum(1) >= _need(p.sum(1), q.sum(1), percent)]
+                pairs.append(np.c_[asked.sets[visitor[good]], held.sets[member[good]]])
+            for i in np.flatnonzero(held.n > NODE):
+                tree, own = CountTree(held.counts(held.first[i] + np.arange(held.n[i]))), asked.first[i] + np.arange(asked.n[i])
+                hits = [tree.search(point, percent) for point in asked.counts(own)]
+                member, visitor = held.first[i] + np.concatenate(hits), np.repeat(own, [len(x) for x in hits])
+                good = _new_pairs(held, asked, member, visitor, np.full(len(member), bucket[i]), np.full(len(member), main[i]))
+                pairs.append(np.c_[asked.sets[visitor[good]], held.sets[member[good]]])
             found = np.sort(np.concatenate(pairs), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 

@@ -2,7 +2,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
+from foliomill.llm import ngram_join
 from foliomill.llm.ngram_join import CountTree, keep_one, link_components
 
 
@@ -52,6 +54,40 @@ def test_against_brute_force(spark):
     assert sorted(tuple(x)[:3] for x in link_components(df, 2, 60).collect()) == brute(rows, 2, 60)
 
 
+def entries(sets, some):
+    return [{"set": s, "component": sets[s][1], "point": sets[s][0], "early": sets[s][2]} for s in some]
+
+
+def test_pairs_of_buckets(monkeypatch):
+    """Blocks of one leaf and of a deep tree give all pairs that the bound allows, each in the first bucket that both sets carry."""
+    entry = pa.struct([("set", pa.int64()), ("component", pa.int64()), ("point", pa.binary()), ("early", pa.list_(pa.int64()))])
+    r, rng = random.Random(1), np.random.default_rng(1)
+    base, sets = rng.integers(0, 2**63 - 1, (5, 120)).astype(np.uint64) * np.uint64(2), {}
+    for s in range(150):
+        bag = base[r.randrange(5)].copy()
+        bag[: r.randrange(30)] = rng.integers(0, 2**63 - 1)
+        sets[s] = (ngram_join._point(np.unique(bag)), r.randrange(6), sorted(r.sample(range(40), ngram_join.EARLY)))
+    blocks, want = [], set()
+    for bucket in range(40):
+        some = r.sample(sorted(sets), r.randrange(2, 60))
+        main = sets[some[0]][1]
+        others = [s for s in some if sets[s][1] != main]
+        blocks.append((bucket, main, entries(sets, some), entries(sets, others)))
+        for a in others:
+            for b in some:
+                p, q = (ngram_join._counts(sets[x][0]) for x in (a, b))
+                first = min(set(sets[a][2]) & set(sets[b][2]), default=bucket)
+                if sets[a][1] != sets[b][1] and first >= bucket and np.minimum(p, q).sum() >= -(-80 * (p.sum() + q.sum()) // 180):
+                    want.add((min(a, b), max(a, b), bucket))
+    columns = [pa.array([b[i] for b in blocks], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.list_(entry), pa.list_(entry)))]
+    batch = pa.RecordBatch.from_arrays(columns, ["bucket", "main", "members", "visitors"])
+    for node in (2, 32, 1000):
+        monkeypatch.setattr(ngram_join, "NODE", node)
+        found = [p for i in range(40) for out in ngram_join._search(80)(iter([batch.slice(i, 1)])) for p in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), [i] * out.num_rows)]
+        assert len(found) == len(set(found)) and set(found) == want
+    assert [x.num_rows for x in ngram_join._search(80)(iter([batch.slice(0, 0)]))] == [0]
+
+
 def test_tree_finds_what_the_bound_allows():
     rng = np.random.default_rng(0)
     points = rng.poisson(3, (500, 32)).astype(np.int32)
