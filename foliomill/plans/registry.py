@@ -123,17 +123,17 @@ _STUCK = f"^(?:(.+?)[ \\t]+)?({'|'.join(structure.CONTENTS)})[ \\t]+(.+)$"
 
 @query("extract_toc_entries", t.sql("d", "lines") + f"""
 , e AS (
-  SELECT doc_id, block_no, CASE WHEN block_no % 5 = 0 THEN 'Booklet Contents ' WHEN block_no % 7 = 0 THEN 'Índice ' ELSE '' END || text || CASE WHEN block_no % 5 < 2 THEN ' ..... ' || (block_no % 9999 + 1) ELSE '' END AS text FROM rows
+  SELECT doc_id, block_no, CASE WHEN block_no % 5 = 0 THEN 'Booklet Contents ' WHEN block_no % 7 = 0 THEN 'Índice ' ELSE '' END || text || CASE WHEN block_no % 5 IN (0, 2, 3) THEN ' ..... ' || (block_no % 9999 + 1) ELSE '' END AS text FROM rows
 ), g AS (SELECT *, regexp_matches(text, '{_ENTRY}') AS toc, regexp_replace(regexp_extract(text, '{_ENTRY}', 1), '^[ \\t.]+|[ \\t.]+$', '', 'g') AS raw FROM e),
 h AS (SELECT *, toc AND NOT coalesce(lag(toc) OVER (PARTITION BY doc_id ORDER BY block_no), false) AND regexp_matches(raw, '{_STUCK}') AS split FROM g)
 SELECT doc_id, block_no, text, regexp_extract(text, '{_ENTRY}', 2)::INT AS toc_page, CASE WHEN split THEN regexp_extract(raw, '{_STUCK}', 1) ELSE '' END AS lead,
   CASE WHEN split THEN regexp_extract(raw, '{_STUCK}', 2) ELSE '' END AS heading, CASE WHEN split THEN regexp_extract(raw, '{_STUCK}', 3) ELSE raw END AS title
 FROM h WHERE toc""")
 def extract_toc_entries(spark, sf):
-    """Two lines of five are entries; some start with the word that stands over them."""
+    """Three lines of five are entries; some start with the word that stands over them."""
     lines = t.documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
     head = F.when(F.col("n") % 5 == 0, "Booklet Contents ").when(F.col("n") % 7 == 0, "Índice ").otherwise("")
-    tail = F.when(F.col("n") % 5 < 2, F.concat(F.lit(" ..... "), F.col("n") % 9999 + 1)).otherwise("")
+    tail = F.when((F.col("n") % 5).isin(0, 2, 3), F.concat(F.lit(" ..... "), F.col("n") % 9999 + 1)).otherwise("")
     return structure.extract_toc_entries(lines.select("doc_id", F.col("n").cast("long").alias("block_no"), F.concat(head, "text", tail).alias("text")))
 
 
