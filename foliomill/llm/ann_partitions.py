@@ -246,10 +246,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     held = assigned.withColumn("group", F.floor(F.col("part") * groups / parts).cast("int")).select("group", F.pmod(place, mine).alias("block"), _every(chunks).alias("chunk"), "vec_id", "embedding", "part")
     wanted = asked.mapInArrow(_route(router, scale, sizes, k + copies, groups), "vec_id long, embedding array<double>, group int, visits array<int>")
     wanted = wanted.select("group", _every(mine).alias("block"), F.pmod(place, chunks).alias("chunk"), "vec_id", "embedding", "visits")
-    keys = ("group", "block", "chunk")
-    columns = ("vec_id", "embedding", "part"), ("vec_id", "embedding", "visits")
-    pairs = (df.select(*keys, *c).groupBy(*keys) for df, c in zip((held, wanted), columns))
-    found = next(pairs).cogroup(next(pairs)).applyInArrow(_answer(k), "query_id long, vec_id long, score double")
+    work = ("group", "block", "chunk")
+    found = held.groupBy(*work).cogroup(wanted.groupBy(*work)).applyInArrow(_answer(k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -240,6 +240,8 @@ def test_clashing_columns(spark):
     assert red.columns == rows.columns and sorted(tuple(r) for r in red.collect()) == [(1, "[secret]", "en", 1, 2, 3, 4), (2, "", None, 1, 2, 3, 4)]
     kept = language_id.keep_identified(rows)
     assert kept.columns == rows.columns
+    none = rows.filter("false")
+    assert secret_scan.redact(none).count() == language_id.keep_identified(none).count() == 0
 
 
 def test_rare_and_tied_languages(spark):

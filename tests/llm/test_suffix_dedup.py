@@ -61,7 +61,7 @@ def test_long_text_in_blocks(spark):
 
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
-    assert remove_repeats(none).count() == remove_repeats(none, narrow=250).count() == 0
+    assert remove_repeats(none).count() == remove_repeats(none, narrow=250).count() == without_repeats(none).count() == 0
 
 
 def test_text_that_is_left(spark):
