@@ -3,6 +3,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 from foliomill.llm.importance import keep_drawn, resample
 from tests.conftest import SF
@@ -18,9 +19,9 @@ def brute(rows, target, most=2, buckets=10_000, percent=25, least=20, seed=7):
         w = words(text)
         return [zlib.crc32(" ".join(w[i : i + k]).encode()) % buckets for k in range(1, most + 1) for i in range(len(w) - k + 1)]
 
-    count = lambda all_: [all_.count(b) for b in range(buckets)]
+    count = Counter
     s, t = count([f for _, x in rows for f in features(x)]), count([f for x in target for f in features(x)])
-    gain = [math.floor(1000 * math.log((t[b] + 1) * (sum(s) + buckets) / ((s[b] + 1) * (sum(t) + buckets)))) for b in range(buckets)]
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (sum(s.values()) + buckets) / ((s[b] + 1) * (sum(t.values()) + buckets)))) for b in range(buckets)]
     out = []
     for d, x in rows:
         f = features(x)
