@@ -16,9 +16,10 @@ How the work is spread:
 3. The hub of a bucket is its set whose buckets are fullest, most likely the text that the others were
    copied from. Each set is paired with the STARS hubs that share most buckets with it. Pairs pass the
    count-vector bound, survivors are verified on their tokens, and components are found.
-4. Buckets that still hold several components are searched by the R-tree: every set
-   outside the bucket's main component is looked up among all sets of the bucket,
-   in blocks of bounded size, and survivors are verified. Pairs inside a component are
+4. Buckets that still hold several components are searched by R-trees: the sets of a
+   bucket are dealt into blocks of bounded size, each block is a tree, and every set outside
+   the bucket's main component is looked up in the bucket's trees; survivors are verified.
+   A task packs the trees of its blocks together and searches them level by level. Pairs inside a component are
    never made, so a large group of near copies costs as many rows as it has members.
    Sets that nearly link share most of their buckets; each set carries its ``EARLY`` first
    buckets, and a pair known to meet in an earlier one is left to that one.
@@ -33,11 +34,12 @@ with a null doc_id take part, and a component of such rows alone has a null name
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import RollingHash, Scratch, buffers, components, free_name, mixed, names, slices, table, texts, word_hashes
@@ -47,8 +49,8 @@ DIMENSIONS = 128
 FINE = 512
 #: Pairs that a set makes in step 3.
 STARS = 2
-#: Sets searched together in step 4, and entries of an R-tree node.
-BLOCK, NODE = 1024, 32
+#: Sets of an R-tree, entries of one of its nodes, and pairs of members and visitors in the trees that a task searches at once.
+BLOCK, NODE, TOGETHER = 1024, 4, 1 << 20
 #: First buckets that a set carries in step 4.
 EARLY = 8
 #: Sets from this size on emit groups of tokens; documents and tokens of the list of common ones.
@@ -67,7 +69,7 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(out)
 
 
-def _bags(batch: pa.RecordBatch, n: int, hashes: RollingHash) -> Iterator[np.ndarray]:
+def bags(batch: pa.RecordBatch, n: int, hashes: RollingHash) -> Iterator[np.ndarray]:
     data, ends = buffers(batch.column(batch.schema.get_field_index("text")))
     # A space at each end keeps words inside their texts.
     spaced = np.insert(data, ends[1:], 32)
@@ -124,7 +126,7 @@ def _tokens(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = RollingHash(1 << 20)
         for batch in slices(batches, "text", 1 << 19):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*_bags(batch, n, hashes), np.zeros(0, np.uint64)]).view(np.int64))], ["token"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*bags(batch, n, hashes), np.zeros(0, np.uint64)]).view(np.int64))], ["token"])
 
     return run
 
@@ -137,21 +139,34 @@ def common_tokens(rows: DataFrame, n: int) -> np.ndarray:
     return np.sort(np.array([r.token for r in counts.orderBy(F.desc("c"), "token").limit(COMMON).collect()], np.int64).view(np.uint64))
 
 
-def _describe(n: int, percent: int, wanted: bool, common: np.ndarray | None = None):
-    """Texts to sets: with ``wanted``, the tokens; else size, name, point and buckets."""
+def tokens_of(n: int):
+    """Texts to the tokens of their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = RollingHash(1 << 20)
         for batch in slices(batches, "text", 1 << 19):
-            bags = list(_bags(batch, n, hashes))
-            if wanted:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.tobytes() for b in bags], pa.binary())], ["set", "tokens"])
-                continue
-            names = np.array([xxhash.xxh3_64_intdigest(b.tobytes()) for b in bags], np.uint64).view(np.int64)
-            keys = [_buckets(b, percent, common) for b in bags]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.tobytes() for b in bags(batch, n, hashes)], pa.binary())], ["set", "tokens"])
+
+    return run
+
+
+def name_of(bag: np.ndarray) -> int:
+    """Equal sets have equal names."""
+    return xxhash.xxh3_64_intdigest(bag.tobytes())
+
+
+def _describe(n: int, percent: int, common: np.ndarray):
+    """Texts to size, name, points and buckets of their sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = RollingHash(1 << 20)
+        for batch in slices(batches, "text", 1 << 19):
+            own = list(bags(batch, n, hashes))
+            names = np.array([name_of(b) for b in own], np.uint64).view(np.int64)
+            keys = [_buckets(b, percent, common) for b in own]
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, keys)]).astype(np.int32), pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(b) for b in bags], pa.int64()), pa.array(names), pa.array([_point(b) for b in bags], pa.binary()), pa.array([_fine(b) for b in bags], pa.binary()), lists],
+                [batch.column(0), batch.column(1), pa.array([len(b) for b in own], pa.int64()), pa.array(names), pa.array([_point(b) for b in own], pa.binary()), pa.array([_fine(b) for b in own], pa.binary()), lists],
                 ["doc_id", "row", "n", "set", "point", "fine", "buckets"],
             )
 
@@ -177,29 +192,42 @@ def _bounded(percent: int):
     return run
 
 
-class CountTree:
-    """R-tree over count vectors, packed by size; a box keeps the greatest count of each coordinate and the least size."""
+class CountForest:
+    """R-trees over the count vectors of blocks, packed by size; a box keeps the greatest count of each coordinate and the least size.
 
-    def __init__(self, points: np.ndarray):
-        self.order = np.argsort(points.sum(1), kind="stable")
-        self.points = points[self.order]
-        self.levels = [(self.points, self.points.sum(1))]
-        while len(self.levels[-1][0]) > NODE:
-            top, least = self.levels[-1]
-            cuts = np.arange(0, len(top), NODE)
-            self.levels.append((np.maximum.reduceat(top, cuts), np.minimum.reduceat(least, cuts)))
+    Entries of a level stand by block, so that one pass over a level serves the trees of all blocks.
+    """
 
-    def search(self, point: np.ndarray, percent: int) -> np.ndarray:
-        """Numbers of the points that may be linked with ``point``."""
-        size, at = int(point.sum()), None
-        for top, least in reversed(self.levels):
-            if at is None:
-                at = np.arange(len(top))
-            else:
-                at = (at[:, None] * NODE + np.arange(NODE)).ravel()
-                at = at[at < len(top)]
-            at = at[np.minimum(top[at], point).sum(1) >= _need(size, least[at], percent)]
-        return self.order[at]
+    def __init__(self, points: np.ndarray, block: np.ndarray):
+        size = points.sum(1)
+        self.order = np.lexsort((size, block))
+        top, least, of = points[self.order], size[self.order], block[self.order]
+        self.levels = [(top, least, None, None)]
+        while (of[1:] == of[:-1]).any():
+            starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            place = np.arange(len(of)) - np.repeat(starts, np.diff(np.r_[starts, len(of)]))
+            first = np.flatnonzero(place % NODE == 0)
+            self.levels.append((np.maximum.reduceat(top, first), np.minimum.reduceat(least, first), first, np.diff(np.r_[first, len(of)])))
+            top, least, of = *self.levels[-1][:2], of[first]
+        self.roots = of
+
+    def search(self, points: np.ndarray, block: np.ndarray, percent: int, fresh=None) -> tuple[np.ndarray, np.ndarray]:
+        """(visitor, member) of all pairs in a block that may be linked; ``fresh`` names those of given pairs that are asked for."""
+        size, at = points.sum(1), np.searchsorted(self.roots, block)
+        visitor = np.flatnonzero(at < len(self.roots))
+        visitor = visitor[self.roots[at[visitor]] == block[visitor]]
+        at = at[visitor]
+        for depth, (top, least, first, count) in reversed(list(enumerate(self.levels))):
+            if fresh and not depth:
+                asked = fresh(visitor, self.order[at])
+                visitor, at = visitor[asked], at[asked]
+            near = [np.minimum(top[at[i : i + 4_096]], points[visitor[i : i + 4_096]]).sum(1) for i in range(0, len(at), 4_096)]
+            good = np.concatenate([*near, np.zeros(0, np.int64)]) >= _need(size[visitor], least[at], percent)
+            visitor, at = visitor[good], at[good]
+            if depth:
+                n = count[at]
+                visitor, at = np.repeat(visitor, n), np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        return visitor, self.order[at]
 
 
 def _met_before(early: np.ndarray, own: np.ndarray, bucket: np.ndarray) -> np.ndarray:
@@ -210,22 +238,31 @@ def _met_before(early: np.ndarray, own: np.ndarray, bucket: np.ndarray) -> np.nd
     return met
 
 
-class _Entries:
+class Entries:
     """Sets of many lists end to end, with the first and the number of each list."""
 
     def __init__(self, lists: pa.ListArray):
-        flat, self.n = lists.flatten(), lists.value_lengths().to_numpy().astype(np.int64)
+        self.flat, self.n = lists.flatten(), lists.value_lengths().to_numpy().astype(np.int64)
         self.first = np.cumsum(self.n) - self.n
-        self.sets, self.component, self.points = flat.field("set").to_numpy(), flat.field("component").to_numpy(), flat.field("point")
-        early = flat.field("early")
-        self.early = np.full((len(flat), EARLY), np.iinfo(np.int64).max)
-        self.early[np.arange(EARLY) < early.value_lengths().to_numpy()[:, None]] = early.flatten().to_numpy()
+        self.sets, self.component = self.flat.field("set").to_numpy(), self.flat.field("component").to_numpy()
+
+    @cached_property
+    def early(self) -> np.ndarray:
+        lists = self.flat.field("early")
+        out = np.full((len(lists), EARLY), np.iinfo(np.int64).max)
+        out[np.arange(EARLY) < lists.value_lengths().to_numpy()[:, None]] = lists.flatten().to_numpy()
+        return out
+
+    def within(self, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of neighbouring lists, and the list of each."""
+        return np.arange(self.first[blocks[0]], self.first[blocks[-1]] + self.n[blocks[-1]]), np.repeat(blocks, self.n[blocks])
 
     def counts(self, which: np.ndarray) -> np.ndarray:
-        return np.stack([_counts(x) for x in self.points.take(pa.array(which)).to_pylist()])
+        points = self.flat.field("point").take(pa.array(which, pa.int64())).to_pylist()
+        return np.array([_counts(x) for x in points], np.int32).reshape(-1, DIMENSIONS)
 
 
-def _new_pairs(held: _Entries, asked: _Entries, member: np.ndarray, visitor: np.ndarray, bucket: np.ndarray, main: np.ndarray) -> np.ndarray:
+def _new_pairs(held: Entries, asked: Entries, member: np.ndarray, visitor: np.ndarray, bucket: np.ndarray, main: np.ndarray) -> np.ndarray:
     """Which pairs are of different components, and made neither the other way round nor in an earlier bucket."""
     kind = held.component[member]
     # A member outside the main component is a visitor too: the pair is made once.
@@ -239,28 +276,18 @@ def _search(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bucket, main = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            held, asked = _Entries(batch.column(2)), _Entries(batch.column(3))
+            held, asked = Entries(batch.column(2)), Entries(batch.column(3))
             pairs = [np.zeros((0, 2), np.int64)]
-            # Blocks of one leaf need no tree: their pairs are bounded together, after those that other blocks make are gone.
-            of = np.repeat(np.arange(len(bucket)), asked.n)
-            leaf = np.flatnonzero((held.n <= NODE)[of])
-            for at in range(0, len(leaf), 2_048):
-                some = leaf[at : at + 2_048]
-                size = held.n[of[some]]
-                visitor, block = np.repeat(some, size), np.repeat(of[some], size)
-                member = np.repeat(held.first[of[some]] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-                good = _new_pairs(held, asked, member, visitor, bucket[block], main[block])
-                if len(good):
-                    (m, where), (v, whose) = (np.unique(x[good], return_inverse=True) for x in (member, visitor))
-                    p, q = held.counts(m)[where], asked.counts(v)[whose]
-                    good = good[np.minimum(p, q).sum(1) >= _need(p.sum(1), q.sum(1), percent)]
-                pairs.append(np.c_[asked.sets[visitor[good]], held.sets[member[good]]])
-            for i in np.flatnonzero(held.n > NODE):
-                tree, own = CountTree(held.counts(held.first[i] + np.arange(held.n[i]))), asked.first[i] + np.arange(asked.n[i])
-                hits = [tree.search(point, percent) for point in asked.counts(own)]
-                member, visitor = held.first[i] + np.concatenate(hits), np.repeat(own, [len(x) for x in hits])
-                good = _new_pairs(held, asked, member, visitor, np.full(len(member), bucket[i]), np.full(len(member), main[i]))
-                pairs.append(np.c_[asked.sets[visitor[good]], held.sets[member[good]]])
+            part = np.cumsum(held.n * asked.n) // TOGETHER
+            for k in np.unique(part):
+                blocks = np.flatnonzero(part == k)
+                (members, tree), (visitors, of) = held.within(blocks), asked.within(blocks)
+
+                def fresh(visitor: np.ndarray, member: np.ndarray) -> np.ndarray:
+                    return _new_pairs(held, asked, members[member], visitors[visitor], bucket[of[visitor]], main[of[visitor]])
+
+                visitor, member = CountForest(held.counts(members), tree).search(asked.counts(visitors), of, percent, fresh)
+                pairs.append(np.c_[asked.sets[visitors[visitor]], held.sets[members[member]]])
             found = np.sort(np.concatenate(pairs), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
@@ -285,6 +312,37 @@ def _verified(percent: int):
 PAIRS = "a long, b long"
 
 
+def verified(scratch: Scratch, rows: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, percent: int, name: str) -> DataFrame:
+    """Those of the ``pairs`` (a, b) of sets that are linked by their whole sets; ``sets`` (set, row) names a text of each set."""
+    pairs = scratch.written(pairs, f"{name}-pairs")
+    scratch.drop()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(sets, "set")
+    held = rows.join(ends, "row").select("set", "text").mapInArrow(tokens_of(n), "set long, tokens binary")
+    held = scratch.written(held, f"{name}-bags")
+    scratch.drop()
+    p, q = held.select(F.col("set").alias("a"), F.col("tokens").alias("p")), held.select(F.col("set").alias("b"), F.col("tokens").alias("q"))
+    links = scratch.written(pairs.join(p, "a").join(q, "b").select("a", "b", "p", "q").mapInArrow(_verified(percent), PAIRS), f"{name}-links")
+    scratch.drop(pairs, held)
+    return links
+
+
+def head() -> Column:
+    """The smallest doc_id of a set, with the row that it stands in."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "row")).alias("head")
+
+
+def reported(scratch: Scratch, sizes: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, row and stays of each row of ``sizes``, by the components ``found`` of the sets in ``nodes``."""
+    found = nodes.select("set", "head").join(found.withColumnRenamed("node", "set"), "set", "left").select("set", "head", F.coalesce("component", "set").alias("component"))
+    least = found.groupBy("component").agg(F.min("head").alias("least"))
+    named = scratch.written(found.join(least, "component").select("set", "least"), "named", keep=True)
+    alone = F.col("n") == 0
+    return sizes.join(named, "set", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"),
+        "row", (alone | (F.col("row") == F.col("least.row"))).alias("stays"),
+    )
+
+
 def link_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """One row per document: doc_id, n_shingles and component_id, the smallest doc_id reachable by links.
 
@@ -292,56 +350,45 @@ def link_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     """
     rows = texts(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     with Scratch(docs.sparkSession) as scratch:
-        described = rows.mapInArrow(_describe(n, percent, False, common_tokens(rows, n)), "doc_id long, row long, n long, set long, point binary, fine binary, buckets array<long>")
+        described = rows.mapInArrow(_describe(n, percent, common_tokens(rows, n)), "doc_id long, row long, n long, set long, point binary, fine binary, buckets array<long>")
         every = scratch.written(described, "every")
         sizes = scratch.written(every.select("doc_id", "row", "n", "set"), "sizes", keep=True)
-        head = F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "row")).alias("head")
-        nodes = scratch.written(every.filter("n > 0").groupBy("set").agg(head, F.min("point").alias("point"), F.min("fine").alias("fine")), "nodes")
+        nodes = scratch.written(every.filter("n > 0").groupBy("set").agg(head(), F.min("point").alias("point"), F.min("fine").alias("fine")), "nodes")
         points = nodes.select("set", "head.row", "point")
         spread = every.select("set", F.explode("buckets").alias("bucket"))
         shared = scratch.written(spread.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1"), "shared")
         scratch.drop()
         held = scratch.written(spread.join(shared, "bucket").groupBy("bucket", "set").agg(F.max("c").alias("c")), "held")
         scratch.drop(every, shared)
-        full = held.join(held.groupBy("set").agg(F.sum("c").alias("w")), "set")
-        hubs = scratch.written(full.groupBy("bucket").agg(F.max(F.struct("w", "set")).alias("hub"), F.count("*").alias("k")).filter("k > 1").select("bucket", F.col("hub.set").alias("hub")), "hubs")
-        near = scratch.written(held.drop("c").join(hubs, "bucket"), "near")
-        scratch.drop(held, hubs)
-        # A set has a bounded number of buckets, and no more hubs.
-        shares = near.filter("set <> hub").groupBy("set", "hub").agg(F.count("*").alias("c")).groupBy("set").agg(F.collect_list(F.struct("c", "hub")).alias("hubs"))
-        best = shares.select("set", F.explode(F.slice(F.sort_array("hubs", False), 1, STARS)).alias("best"))
-        stars = best.select(F.least("set", "best.hub").alias("a"), F.greatest("set", "best.hub").alias("b")).distinct()
+        near, stars = starred(scratch, held, "bucket", STARS)
 
         def bound(pairs: DataFrame) -> DataFrame:
             p, q = (nodes.select(F.col("set").alias(end), F.col("fine").alias(name)) for end, name in (("a", "p"), ("b", "q")))
             return pairs.join(p, "a").join(q, "b").select("a", "b", "p", "q").mapInArrow(_bounded(percent), PAIRS)
 
-        def verify(pairs: DataFrame, name: str) -> DataFrame:
-            pairs = scratch.written(pairs, f"{name}-pairs")
-            scratch.drop()
-            ends = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(points.select("set", "row"), "set")
-            bags = rows.join(ends, "row").select("set", "text").mapInArrow(_describe(n, percent, True), "set long, tokens binary")
-            bags = scratch.written(bags, f"{name}-bags")
-            scratch.drop()
-            p, q = bags.select(F.col("set").alias("a"), F.col("tokens").alias("p")), bags.select(F.col("set").alias("b"), F.col("tokens").alias("q"))
-            links = scratch.written(pairs.join(p, "a").join(q, "b").select("a", "b", "p", "q").mapInArrow(_verified(percent), PAIRS), f"{name}-links")
-            scratch.drop(pairs, bags)
-            return links
-
-        links = verify(bound(stars), "star")
+        sets = points.select("set", "row")
+        links = verified(scratch, rows, sets, bound(stars), n, percent, "star")
         found = components(scratch, links)
         again = scratch.written(_crossing(near, found, points, percent), "crossing")
         if not again.isEmpty():
             scratch.drop()
-            found = components(scratch, links.unionByName(verify(bound(again), "tree")))
-        found = nodes.select("set", "head").join(found.withColumnRenamed("node", "set"), "set", "left").select("set", "head", F.coalesce("component", "set").alias("component"))
-        least = found.groupBy("component").agg(F.min("head").alias("least"))
-        named = scratch.written(found.join(least, "component").select("set", "least"), "named", keep=True)
-    alone = F.col("n") == 0
-    return sizes.join(named, "set", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"),
-        "row", (alone | (F.col("row") == F.col("least.row"))).alias("stays"),
-    )
+            found = components(scratch, links.unionByName(verified(scratch, rows, sets, bound(again), n, percent, "tree")))
+        return reported(scratch, sizes, nodes, found)
+
+
+def starred(scratch: Scratch, held: DataFrame, key: str, stars: int) -> tuple[DataFrame, DataFrame]:
+    """(key, set) of keys with several sets, and pairs of each set with the ``stars`` hubs that share most keys with it.
+
+    ``held``: key, set and c, the sets of the key. A key's hub is its set whose keys are fullest.
+    """
+    full = held.join(held.groupBy("set").agg(F.sum("c").alias("w")), "set")
+    hubs = scratch.written(full.groupBy(key).agg(F.max(F.struct("w", "set")).alias("hub"), F.count("*").alias("k")).filter("k > 1").select(key, F.col("hub.set").alias("hub")), "hubs")
+    near = scratch.written(held.drop("c").join(hubs, key), "near")
+    scratch.drop(held, hubs)
+    # A set has a bounded number of keys, and no more hubs.
+    shares = near.filter("set <> hub").groupBy("set", "hub").agg(F.count("*").alias("c")).groupBy("set").agg(F.collect_list(F.struct("c", "hub")).alias("hubs"))
+    best = shares.select("set", F.explode(F.slice(F.sort_array("hubs", False), 1, stars)).alias("best"))
+    return near, best.select(F.least("set", "best.hub").alias("a"), F.greatest("set", "best.hub").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -362,15 +409,24 @@ def _crossing(near: DataFrame, found: DataFrame, points: DataFrame, percent: int
     # A set has a bounded number of buckets.
     early = inside.groupBy("set").agg(F.slice(F.sort_array(F.collect_list("bucket")), 1, EARLY).alias("early"))
     placed = inside.join(main, "bucket").join(points.select("set", "point").join(early, "set"), "set")
-    entry, own = F.struct("set", "component", "point", "early"), F.pmod(F.xxhash64("set"), F.col("blocks"))
+    return dealt(placed, "bucket", F.struct("set", "component", "point", "early")).mapInArrow(_search(percent), PAIRS).distinct()
+
+
+def dealt(placed: DataFrame, key: str, entry: Column) -> DataFrame:
+    """Members and visitors of each key (those outside its main component) in lists: every visitor meets every member once.
+
+    ``placed``: key, main, set, component, the number of blocks that members go to, and of chunks of visitors.
+    """
+    own = F.pmod(F.xxhash64("set"), F.col("blocks"))
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    members = placed.select("bucket", "main", own.alias("block"), every("chunks").alias("chunk"), entry.alias("member"), F.lit(None).alias("visitor"))
-    visitors = placed.filter("component <> main").select("bucket", "main", every("blocks").alias("block"), F.pmod(F.xxhash64("set"), F.col("chunks")).alias("chunk"), F.lit(None).alias("member"), entry.alias("visitor"))
-    blocks = members.unionByName(visitors).groupBy("bucket", "main", "block", "chunk").agg(F.collect_list("member").alias("members"), F.collect_list("visitor").alias("visitors"))
-    return blocks.filter("size(members) > 0 and size(visitors) > 0").select("bucket", "main", "members", "visitors").mapInArrow(_search(percent), PAIRS).distinct()
+    members = placed.select(key, "main", own.alias("block"), every("chunks").alias("chunk"), entry.alias("member"), F.lit(None).alias("visitor"))
+    visitors = placed.filter("component <> main").select(key, "main", every("blocks").alias("block"), F.pmod(F.xxhash64("set"), F.col("chunks")).alias("chunk"), F.lit(None).alias("member"), entry.alias("visitor"))
+    blocks = members.unionByName(visitors).groupBy(key, "main", "block", "chunk").agg(F.collect_list("member").alias("members"), F.collect_list("visitor").alias("visitors"))
+    return blocks.filter("size(members) > 0 and size(visitors) > 0").select(key, "main", "members", "visitors")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size and component: three words a shingle, similarity 0.9 or more."""
     return link_components(table(spark, sf_dir, "documents"), 3, 90).select("doc_id", "n_shingles", "component_id")
 
 

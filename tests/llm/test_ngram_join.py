@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from foliomill.llm import ngram_join
-from foliomill.llm.ngram_join import CountTree, keep_one, link_components
+from foliomill.llm.ngram_join import CountForest, keep_one, link_components
 
 
 def brute(rows, n=3, percent=90):
@@ -81,20 +81,26 @@ def test_pairs_of_buckets(monkeypatch):
                     want.add((min(a, b), max(a, b), bucket))
     columns = [pa.array([b[i] for b in blocks], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.list_(entry), pa.list_(entry)))]
     batch = pa.RecordBatch.from_arrays(columns, ["bucket", "main", "members", "visitors"])
-    for node in (2, 32, 1000):
+    for node, together in ((2, 1), (4, 1 << 20), (32, 500), (1000, 1 << 20)):
         monkeypatch.setattr(ngram_join, "NODE", node)
+        monkeypatch.setattr(ngram_join, "TOGETHER", together)
+        assert {p[:2] for out in ngram_join._search(80)(iter([batch])) for p in zip(out.column(0).to_pylist(), out.column(1).to_pylist())} == {p[:2] for p in want}
         found = [p for i in range(40) for out in ngram_join._search(80)(iter([batch.slice(i, 1)])) for p in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), [i] * out.num_rows)]
         assert len(found) == len(set(found)) and set(found) == want
     assert [x.num_rows for x in ngram_join._search(80)(iter([batch.slice(0, 0)]))] == [0]
 
 
-def test_tree_finds_what_the_bound_allows():
+def test_trees_find_what_the_bound_allows():
     rng = np.random.default_rng(0)
-    points = rng.poisson(3, (500, 32)).astype(np.int32)
-    tree = CountTree(points)
-    for q in points[:20]:
-        need = -(-90 * (points.sum(1) + q.sum()) // 190)
-        assert set(tree.search(q, 90)) == set(np.flatnonzero(np.minimum(points, q).sum(1) >= need))
+    points, block = rng.poisson(3, (500, 32)).astype(np.int32), rng.integers(0, 9, 500) ** 2
+    forest = CountForest(points, block)
+    assert len(forest.levels) > 3 and all(len(top) > len(below) for (top, *_), (below, *_) in zip(forest.levels, forest.levels[1:]))
+    asked, of = points[:60], np.r_[block[:50], np.full(10, 7)]
+    got = list(zip(*(x.tolist() for x in forest.search(asked, of, 90))))
+    want = {(v, m) for v in range(60) for m in range(500) if of[v] == block[m] and np.minimum(asked[v], points[m]).sum() >= -(-90 * (asked[v].sum() + points[m].sum()) // 190)}
+    assert len(got) == len(set(got)) and set(got) == want
+    none = np.zeros(0, np.int64)
+    assert not len(CountForest(points[:0], none).search(asked, of, 90)[0]) and not len(forest.search(points[:0], none, 90)[0])
 
 
 def test_one_of_each_group_stays(spark):
