@@ -14,8 +14,8 @@ at a reach of (times - 1) 2^(o+1). What is cut off is longer than any run has to
 intervals that are too short are no part of one, and a period that a proper divisor explains
 isn't the smallest. Fragments meet by document and period, and touching ones are one run.
 
-Z-values come from prefix sums of word hashes, for all boundaries of a tile at once; every
-fragment is compared word by word before it leaves the tile.
+Z-values come from prefix sums of word hashes, for all boundaries of the tiles that a task
+holds at once; every fragment is compared word by word before it leaves its tile.
 
 How the work is spread: an octave costs a look at each third word and a logarithmic search
 where two words are equal, whatever the period; only fragments of runs and, to cut them out,
@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 
 from .common import RollingHash, Scratch, buffers, free_name, mixed, names, slices, table, texts, word_hashes
 
-#: Words of a tile's core; a tile's core is at least ``WIDE`` times its reach.
-TILE, WIDE = 8_192, 16
+#: Words of a tile's core, which is at least ``WIDE`` times its reach; words of the tiles that are solved together.
+TILE, WIDE, TOGETHER = 8_192, 16, 1 << 17
 TILES = "row long, low int, high int, most long, at long, first long, core_from long, core_to long, words binary"
 FRAGMENTS = "row long, period long, first long, last long"
 
@@ -84,13 +84,19 @@ def _tiles(times: int):
     return run
 
 
-class Tile:
-    """Words of a tile, and how far stretches of them are equal."""
+class Tiles:
+    """Words of tiles end to end, and how far stretches of them are equal."""
 
-    def __init__(self, words: np.ndarray, hashes: RollingHash):
-        self.words, self.hashes = words, hashes
+    def __init__(self, rows: list[dict], hashes: RollingHash):
+        self.words = np.concatenate([np.frombuffer(r["words"], f"u{r['at']}").astype(np.int64) for r in rows])
+        self.hashes = hashes
+        size = np.array([len(r["words"]) // r["at"] for r in rows])
+        self.stop = np.cumsum(size)
+        self.start = self.stop - size
+        self.first, self.core_from, self.core_to, self.most, self.low, self.high = (np.array([r[k] for r in rows], np.int64) for k in ("first", "core_from", "core_to", "most", "low", "high"))
+        words = self.words
         self.sums = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(mixed(words.astype(np.uint64) + np.uint64(1)) * hashes.up[: len(words)], out=self.sums[1:])
+        np.cumsum(mixed(words.view(np.uint64) + np.uint64(1)) * hashes.up[: len(words)], out=self.sums[1:])
 
     def same(self, a: np.ndarray, b: np.ndarray, size: np.ndarray | int) -> np.ndarray:
         """Whether the ``size`` words from a and from b on are equal."""
@@ -118,22 +124,34 @@ class Tile:
         out[some] += step
         return some
 
-    def intervals(self, octave: int, most: int, start: int, stop: int, first: int, times: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(period, from, to) of the fragments around the boundaries in the core [start, stop) of a tile that begins at ``first``."""
-        stride, n = (times - 1) << octave, len(self.words)
-        marks = np.arange(-(-start // stride) * stride, stop, stride) - first
-        periods = np.arange(1 << octave, min(most + 1, 2 << octave))
-        beyond = np.r_[self.words.astype(np.int64), np.full(2 << octave, -1)]
+    def intervals(self, octave: int, times: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(period, from, to) of the fragments around the boundaries in the cores of all tiles of an octave, as places in ``words``."""
+        stride, tiles = (times - 1) << octave, np.flatnonzero((self.low <= octave) & (octave <= self.high))
+        mark = -(-self.core_from[tiles] // stride) * stride
+        many = np.maximum(0, -(-(self.core_to[tiles] - mark) // stride))
+        tile = np.repeat(tiles, many)
+        marks = np.repeat(mark - self.first[tiles] + self.start[tiles] - (np.cumsum(many) - many) * stride, many) + np.arange(len(tile)) * stride
+        periods = np.arange(1 << octave, min(int(self.most[tiles].max(initial=0)) + 1, 2 << octave))
+        beyond = np.r_[self.words, np.full(2 << octave, -1)]
         where, which = np.nonzero(beyond[np.add.outer(marks, periods)] == beyond[marks, None])
-        at, q = marks[where], periods[which]
-        reach = np.full(len(at), stride * 2)
-        ahead = self.z(at, at + q, np.minimum(reach, n - at - q))
-        behind = self.z(at, at + q, np.minimum(reach, at), back=True)
+        inside = (periods[which] <= self.most[tile[where]]) & (marks[where] + periods[which] < self.stop[tile[where]])
+        at, q, tile = marks[where[inside]], periods[which[inside]], tile[where[inside]]
+        ahead = self.z(at, at + q, np.minimum(2 * stride, self.stop[tile] - at - q))
+        behind = self.z(at, at + q, np.minimum(2 * stride, at - self.start[tile]), back=True)
         long = np.flatnonzero(ahead + behind >= (times - 1) * q)
         q, low, high = q[long], (at - behind)[long], (at + ahead)[long]
         own = self.smallest(q, low, high)
         return q[own], low[own], high[own]
 
+    def fragments(self, times: int) -> Iterator[tuple[int, int, int, int]]:
+        """(tile, period, from, to) of all fragments, as word numbers of the documents."""
+        for octave in range(int(self.low.min()), int(self.high.max()) + 1):
+            for q, low, high in merged(*self.intervals(octave, times)):
+                tile = int(np.searchsorted(self.stop, low, "right"))
+                moved = int(self.first[tile] - self.start[tile])
+                for a, b in self.compared(q, low, high):
+                    yield tile, q, a + moved, b + moved
+
     def smallest(self, q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Whether no period q / r explains the words from low to high + q, r being the primes of q."""
         out, rest, r = np.ones(len(q), bool), q.copy(), 2
@@ -174,33 +192,40 @@ def merged(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[i
 
 def _solve(times: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = RollingHash(1 << 16)
+        hashes = RollingHash(2 * TOGETHER)
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                words = np.frombuffer(r["words"], f"u{r['at']}")
-                if len(words) >= hashes.up.size:
-                    hashes = RollingHash(2 * len(words))
-                tile = Tile(words, hashes)
-                for octave in range(r["low"], r["high"] + 1):
-                    for q, low, high in merged(*tile.intervals(octave, r["most"], r["core_from"], r["core_to"], r["first"], times)):
-                        rows += [(r["row"], q, a + r["first"], b + r["first"]) for a, b in tile.compared(q, low, high)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in range(4)], ["row", "period", "first", "last"])
+            rows, found = batch.to_pylist(), []
+            ends = np.cumsum([len(r["words"]) // r["at"] for r in rows])
+            for k in np.unique(ends // TOGETHER):
+                some = [rows[i] for i in np.flatnonzero(ends // TOGETHER == k)]
+                size = sum(len(r["words"]) // r["at"] for r in some)
+                if size >= hashes.up.size:
+                    hashes = RollingHash(2 * size)
+                found += [(some[tile]["row"], *x) for tile, *x in Tiles(some, hashes).fragments(times)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(4)], ["row", "period", "first", "last"])
 
     return run
 
 
-def find_runs(rows: DataFrame, least: int = 6, times: int = 4) -> DataFrame:
-    """One row per run of ``rows`` (row, text): row, start, length and period."""
-    tiles = rows.select("row", "text").mapInArrow(_tiles(times), TILES).repartition("row", "low", "first")
-    found = tiles.mapInArrow(_solve(times), FRAGMENTS).distinct()
+def fragments(rows: DataFrame, times: int) -> DataFrame:
+    """Fragments (row, period, first, last) of the runs of ``rows`` (row, text), as intervals of places whose word is found a period on."""
+    return rows.select("row", "text").mapInArrow(_tiles(times), TILES).repartition("row", "low", "first").mapInArrow(_solve(times), FRAGMENTS)
+
+
+def stitched(found: DataFrame, least: int, times: int) -> DataFrame:
+    """Fragments that touch put together: row, start, length and period of each run."""
     of = Window.partitionBy("row", "period").orderBy("first", "last")
     apart = F.col("first") > F.max("last").over(of.rowsBetween(Window.unboundedPreceding, -1))
-    numbered = found.withColumn("apart", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("run", F.sum("apart").over(of))
+    numbered = found.distinct().withColumn("apart", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("run", F.sum("apart").over(of))
     whole = numbered.groupBy("row", "period", "run").agg(F.min("first").alias("start"), F.max("last").alias("last"))
     return whole.select("row", "start", (F.col("last") - F.col("start") + F.col("period")).alias("length"), "period").filter(F.col("length") >= F.greatest(F.lit(least), times * F.col("period")))
 
 
+def find_runs(rows: DataFrame, least: int = 6, times: int = 4) -> DataFrame:
+    """One row per run of ``rows`` (row, text): row, start, length and period."""
+    return stitched(fragments(rows, times), least, times)
+
+
 def _kept(text: bytes, runs: list[dict]) -> bytes:
     """The words that no run holds behind its first period, joined by one space."""
     words = text.split()
@@ -220,9 +245,10 @@ def with_runs(docs: DataFrame, row: str, runs: str, least: int, times: int) -> D
     """``docs`` with a column ``runs``: (start, period, length) of each run by start and period; null without runs."""
     keyed = docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     with Scratch(docs.sparkSession) as scratch:
-        found = find_runs(texts(docs).select(F.xxhash64("doc_id", "text").alias("row"), "text"), least, times)
-        lists = scratch.written(found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "period", "length"))).alias("runs")), "runs", keep=True)
-    return keyed.join(lists.select(F.col("row").alias(row), F.col("runs").alias(runs)), row, "left")
+        found = scratch.written(fragments(texts(docs).select(F.xxhash64("doc_id", "text").alias("row"), "text"), times), "fragments")
+        lists = scratch.written(stitched(found, least, times).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "period", "length"))).alias("runs")), "runs", keep=True)
+    # Lists grow with the documents, so they are never sent out whole.
+    return keyed.join(lists.select(F.col("row").alias(row), F.col("runs").alias(runs)).hint("merge"), row, "left")
 
 
 def collapse(docs: DataFrame, least: int = 6, times: int = 4) -> DataFrame:
