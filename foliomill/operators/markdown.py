@@ -3,137 +3,183 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-#: Quotes and lists inside one another that are taken apart.
+#: Quotes and items inside one another that are taken apart.
 DEEPEST = 8
-_FRONT = re.compile(r"\A---\n.*?\n---[ \t]*(?:\n|\Z)", re.S)
-_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
-_HEADING = re.compile(r" {0,3}(#{1,6})\s+(.*?)\s*#*\s*$")
-_RULE = re.compile(r" {0,3}([-*_])(?:\s*\1){2,}\s*$")
-_QUOTE = re.compile(r" {0,3}>\s?(.*)$")
-_ITEM = re.compile(r"(\s*)([-*+]|\d{1,9}[.)])\s+(.*)$")
-_BREAKS = re.compile(r" {0,3}(?:`{3,}|~{3,}|#{1,6}\s|>|(?:[-*+]|1[.)])\s+)")
-_UNDER = re.compile(r" {0,3}(=+|-+)\s*$")
-_DASHES = re.compile(r"\s*\|?\s*:?-{2,}:?\s*(?:\|\s*:?-{2,}:?\s*)*\|?\s*$")
-
-Block = tuple[str, int, int, str]  # kind, level, depth, text
-
-
-class _Lines:
-    """Lines of one nesting level, read from the front."""
-
-    def __init__(self, lines: list[str], depth: int):
-        self.lines, self.at, self.depth = lines, 0, depth
-
-    def blocks(self) -> Iterator[Block]:
-        while self.at < len(self.lines):
-            line = self.lines[self.at]
-            if not line.strip():
-                self.at += 1
-            elif self.depth > DEEPEST:
-                yield "paragraph", 0, self.depth, "\n".join(self.lines[self.at :])
-                return
-            elif m := _FENCE.match(line):
-                yield "code", 0, self.depth, self.code(m[1])
-            elif m := _HEADING.match(line):
-                self.at += 1
-                yield "heading", len(m[1]), self.depth, m[2]
-            elif _RULE.match(line):
-                self.at += 1
-                yield "rule", 0, self.depth, ""
-            elif _QUOTE.match(line):
-                yield from self.quote()
-            elif _ITEM.match(line):
-                yield from self.items()
-            elif "|" in line and self.at + 1 < len(self.lines) and _DASHES.match(self.lines[self.at + 1]):
-                yield "table", 0, self.depth, self.table()
-            else:
-                yield self.paragraph()
-
-    def code(self, fence: str) -> str:
-        end, self.at = re.compile(rf" {{0,3}}{re.escape(fence[0])}{{{len(fence)},}}\s*$"), self.at + 1
-        start = self.at
-        while self.at < len(self.lines) and not end.match(self.lines[self.at]):
-            self.at += 1
-        self.at += 1
-        return "\n".join(self.lines[start : self.at - 1])
-
-    def quote(self) -> Iterator[Block]:
-        inside = []
-        while self.at < len(self.lines) and (m := _QUOTE.match(self.lines[self.at])):
-            inside.append(m[1])
-            self.at += 1
-        for kind, level, depth, text in _Lines(inside, self.depth + 1).blocks():
-            yield ("quote" if kind == "paragraph" else kind), level, depth, text
-
-    def table(self) -> str:
-        start = self.at
-        self.at += 2
-        while self.at < len(self.lines) and "|" in self.lines[self.at]:
-            self.at += 1
-        return "\n".join(self.lines[start : self.at])
-
-    def paragraph(self) -> Block:
-        text: list[str] = []
-        while self.at < len(self.lines) and (line := self.lines[self.at]).strip():
-            if text and (m := _UNDER.match(line)):
-                self.at += 1
-                return "heading", 1 if m[1][0] == "=" else 2, self.depth, "\n".join(text)
-            if text and (_BREAKS.match(line) or (_RULE.match(line) and line.strip()[0] != "-")):
+_MATTER = re.compile("---\n(?:.*\n)*?---[ \t]*(?:\n|$)")
+# Starts of blocks, as the public description of CommonMark has them.
+_FENCE = re.compile(r" {0,3}(?P<marks>(?P<mark>`)`{2,}(?=[^`]*$)|(?P<wave>~)~{2,})")
+_ATX = re.compile(r" {0,3}(?P<level>#{1,6})(?:[ \t]+(?P<text>.*?))??(?:[ \t]+#+)?[ \t]*$")
+_SETEXT = re.compile(r" {0,3}(?:(?P<first>=+)|-+)[ \t]*$")
+_THEMATIC = re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
+_MARKER = re.compile(r"(?P<indent> *)(?:[-+*]|(?P<number>\d{1,9})[.)])[ \t]+(?P<text>\S.*)")
+_DELIMITERS = re.compile(r"[ \t|]*:?--+:?[ \t]*(?:\|[ \t]*:?--+:?[ \t]*)*\|?[ \t]*$")
+
+
+@dataclass
+class _Container:
+    """A quote, or an item with its indent and kind of marker."""
+
+    kind: str
+    indent: int = 0
+    ordered: bool = False
+
+    def enter(self, line: str) -> str | None:
+        """What is left of a line that belongs inside; None if it doesn't."""
+        bare = line.lstrip(" ")
+        indent = len(line) - len(bare)
+        if self.kind == "quote":
+            return bare[1:].removeprefix(" ") if indent < 4 and bare.startswith(">") else None
+        if not bare:
+            return ""
+        inside = indent > self.indent + bool(_MARKER.match(line))
+        return line[min(indent, self.indent + 2) :] if inside else None
+
+
+@dataclass
+class _Block:
+    """A block in the order of its opening; ``lines`` grow while it is open."""
+
+    kind: str
+    level: int
+    depth: int
+    lines: list[str] = field(default_factory=list)
+
+
+class _Walk:
+    """Each line walks down the open containers, then opens new ones, and what is left of it goes to a leaf."""
+
+    def __init__(self) -> None:
+        self.blocks: list[_Block] = []
+        self.inside: list[_Container] = []
+        self.leaf: _Block | None = None
+        self.fence = ""
+        self.empty = False  # whether the line before was blank
+
+    def open(self, kind: str, *lines: str, level: int = 0) -> _Block:
+        self.blocks.append(_Block(kind, level, len(self.inside), list(lines)))
+        return self.blocks[-1]
+
+    def line(self, line: str) -> None:
+        bare = line.lstrip(" \t")
+        line = line[: len(line) - len(bare)].expandtabs(4) + bare
+        held = 0
+        for container in self.inside:
+            rest = container.enter(line)
+            if rest is None:
                 break
-            text.append(line)
-            self.at += 1
-        return "paragraph", 0, self.depth, "\n".join(text)
-
-    def items(self) -> Iterator[Block]:
-        """Items of one list; what is indented under an item belongs to it."""
-        first = _ITEM.match(self.lines[self.at].expandtabs(4))
-        base, ordered, own = len(first[1]), first[2][0].isdigit(), []
-        while self.at < len(self.lines):
-            line = self.lines[self.at].expandtabs(4)
-            indent, m = len(line) - len(line.lstrip()), _ITEM.match(line)
-            if not line.strip():
-                after = self.lines[self.at + 1].expandtabs(4) if self.at + 1 < len(self.lines) else ""
-                deeper, sibling = len(after) - len(after.lstrip()) > base, _ITEM.match(after)
-                if not after.strip() or not (deeper or (sibling and len(sibling[1]) == base)):
-                    break
-                own.append("")
-            elif m and indent <= base + 1:
-                if indent < base or m[2][0].isdigit() != ordered:
-                    break
-                if own:
-                    yield from self.item(own, ordered)
-                own = [m[3]]
-            elif indent > base:
-                own.append(line[min(indent, base + 2) :])
-            elif own and not _BREAKS.match(line) and not _RULE.match(line):
-                own.append(line.lstrip())
+            line, held = rest, held + 1
+        outside = self.inside[held:]
+        if self.fence and not outside:
+            self.code(line)
+        elif not line.strip():
+            self.blank(held)
+        elif not (outside and self.lazy(line, outside)):
+            if outside:
+                self.leave(held)
+            self.start(line)
+        self.empty = not line.strip()
+
+    def leave(self, held: int) -> None:
+        del self.inside[held:]
+        self.leaf, self.fence = None, ""
+
+    def blank(self, held: int) -> None:
+        """Ends text and the quotes that the line is outside of; an item waits for the next line."""
+        quote = next((i for i in range(held, len(self.inside)) if self.inside[i].kind == "quote"), None)
+        if quote is not None:
+            self.leave(quote)
+        self.leaf = None
+
+    def code(self, line: str) -> None:
+        bare = line.strip()
+        if len(bare) >= len(self.fence) and not bare.strip(self.fence[0]) and len(line) - len(line.lstrip(" ")) < 4:
+            self.leaf, self.fence = None, ""
+        else:
+            self.leaf.lines.append(line)
+
+    def lazy(self, line: str, outside: list[_Container]) -> bool:
+        """Text of a paragraph in an item may go on without its indent."""
+        goes_on = self.in_text and not self.empty and all(c.kind == "item" for c in outside) and not _MARKER.match(line) and not self.interrupts(line)
+        if goes_on:
+            self.leaf.lines.append(line.lstrip())
+        return goes_on
+
+    @property
+    def in_text(self) -> bool:
+        return self.leaf is not None and self.leaf.kind not in ("code", "table")
+
+    @staticmethod
+    def interrupts(line: str) -> bool:
+        marker = _MARKER.match(line)
+        listed = marker and len(marker["indent"]) < 4 and marker["number"] in (None, "1")
+        return bool(listed or _FENCE.match(line) or _ATX.match(line) or _THEMATIC.match(line) or re.match(" {0,3}>", line))
+
+    def start(self, line: str) -> None:
+        if self.leaf and self.leaf.kind == "table":
+            if "|" in line:
+                return self.leaf.lines.append(line)
+            self.leaf = None
+        if self.in_text:
+            if self.becomes(line):
+                return None
+            if not self.interrupts(line):
+                return self.leaf.lines.append(line)
+            self.leaf = None
+        lead = None  # the item that this line opened last, while it has no text
+        while len(self.inside) <= DEEPEST:
+            if (m := _FENCE.match(line)) and not lead:
+                self.leaf, self.fence = self.open("code"), m["marks"]
+            elif m := _ATX.match(line):
+                self.open("heading", m["text"] or "", level=len(m["level"]))
+            elif _THEMATIC.match(line):
+                self.open("rule")
+            elif (rest := _Container("quote").enter(line)) is not None:
+                self.inside.append(_Container("quote"))
+                line, lead = rest, None
+                if line.strip():
+                    continue
+            elif m := _MARKER.match(line):
+                lead = self.open("number" if m["number"] else "bullet")
+                self.inside.append(_Container("item", len(m["indent"]), bool(m["number"])))
+                line = m["text"]
+                continue
             else:
                 break
-            self.at += 1
-        if own:
-            yield from self.item(own, ordered)
-
-    def item(self, lines: list[str], ordered: bool) -> Iterator[Block]:
-        kind = "number" if ordered else "bullet"
-        if any(not x.strip() or _ITEM.match(x) for x in lines[1:]):
-            inner = list(_Lines(lines, self.depth + 1).blocks())
-            lead = inner.pop(0)[3] if inner and inner[0][0] == "paragraph" else ""
-            yield kind, 0, self.depth, lead
-            yield from inner
+            return None
+        if lead:
+            lead.lines.append(line)
+        self.leaf = lead or self.open("quote" if any(c.kind == "quote" for c in self.inside) else "paragraph", line)
+        return None
+
+    def becomes(self, line: str) -> bool:
+        """A line of delimiters makes a table of the one line above, an underline a heading of all."""
+        own = self.leaf.kind not in ("bullet", "number")
+        if own and len(self.leaf.lines) == 1 and "|" in self.leaf.lines[0] and _DELIMITERS.match(line):
+            self.leaf.kind = "table"
+            self.leaf.lines.append(line)
+        elif own and (m := _SETEXT.match(line)):
+            self.leaf.kind, self.leaf.level, self.leaf = "heading", 1 if m["first"] else 2, None
         else:
-            yield kind, 0, self.depth, "\n".join(lines)
+            return False
+        return True
+
+
+Block = tuple[str, int, int, str]  # kind, level, depth, text
 
 
 def blocks(text: str) -> list[Block]:
-    text = re.sub("\r\n?", "\n", text.removeprefix("﻿"))
-    return list(_Lines(_FRONT.sub("", text, count=1).split("\n"), 0).blocks())
+    text = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
+    matter, walk = _MATTER.match(text), _Walk()
+    for line in text[matter.end() if matter else 0 :].split("\n"):
+        walk.line(line)
+    return [(b.kind, b.level, b.depth, "\n".join(b.lines)) for b in walk.blocks]
 
 
 _SHAPE = ArrayType(StructType([StructField("kind", StringType()), StructField("level", IntegerType()), StructField("depth", IntegerType()), StructField("text", StringType())]))

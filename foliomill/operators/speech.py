@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right as bisect
+from collections.abc import Iterable
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -12,20 +14,23 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 #: Elements that are read; of images, the description.
 READ = frozenset("h1 h2 h3 h4 h5 h6 p li blockquote figcaption".split())
+#: Attributes of images whose description is still to be written.
+MISSING = ("data-alt-missing",)
 #: Elements whose text nobody reads, and elements that end an open paragraph.
 _SILENT, _ENDS_P = frozenset(("script", "style")), READ | frozenset("div ul ol table section article figure".split())
 #: Full stops that need no space after them, marks that may follow a stop, pause marks, scripts without spaces.
 WIDE_STOPS, CLOSING, PAUSES, WIDE_PAUSES = "。！？।॥", "\"'”’»」）)]", ",;", "，；、"
 _WIDE = re.compile("[　-〿぀-ヿ一-鿿＀-￯]")
-_STOP = re.compile(f"[.!?{WIDE_STOPS}][.!?{WIDE_STOPS}{re.escape(CLOSING)}]*")
-_PAUSE, _SPACE = re.compile(rf"[{WIDE_PAUSES}]|[{PAUSES}](?=\s)"), re.compile(r"\s")
+#: Places where a text may be cut; the group says how well.
+_MARK = re.compile(rf"(?P<stop>[.!?{WIDE_STOPS}][.!?{WIDE_STOPS}{re.escape(CLOSING)}]*)|(?P<pause>[{WIDE_PAUSES}]|[{PAUSES}](?= ))|(?P<space> )")
 
 
 class _Reader(HTMLParser):
     """Collects (tag, parts of text); an element's text holds that of the elements inside it."""
 
-    def __init__(self) -> None:
+    def __init__(self, missing: Iterable[str]) -> None:
         super().__init__(convert_charrefs=True)
+        self.missing = frozenset(missing)
         self.found: list[tuple[str, list[str]]] = []
         self.open: list[tuple[str, list[str]]] = []
         self.silent = 0
@@ -33,7 +38,7 @@ class _Reader(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         given = dict(attrs)
         self.silent += tag in _SILENT
-        if tag == "img" and (given.get("alt") or "") and "data-jimca-alt-missing" not in given and "data-alt-missing" not in given:
+        if tag == "img" and given.get("alt") and not self.missing & given.keys():
             self.found.append((tag, ["Image: ", given["alt"] or ""]))
         if tag in _ENDS_P:
             self.close_one("p")
@@ -66,8 +71,8 @@ class _Reader(HTMLParser):
                 parts.append(data)
 
 
-def elements(html: str) -> list[tuple[str, str]]:
-    reader = _Reader()
+def elements(html: str, missing: Iterable[str] = MISSING) -> list[tuple[str, str]]:
+    reader = _Reader(missing)
     reader.feed(html)
     reader.close()
     rows = ((tag, " ".join("".join(parts).split())) for tag, parts in reader.found)
@@ -77,51 +82,64 @@ def elements(html: str) -> list[tuple[str, str]]:
 _SPOKEN = ArrayType(StructType([StructField("tag", StringType()), StructField("text", StringType())]))
 
 
-@F.pandas_udf(_SPOKEN)
-def _spoken(html: pd.Series) -> pd.Series:
-    return pd.Series([[{"tag": a, "text": b} for a, b in elements(x or "")] for x in html], dtype=object)
+def spoken_elements(docs: DataFrame, key: str = "doc_id", missing: Iterable[str] = MISSING) -> DataFrame:
+    """key, seq (from 1), tag and text of what is read aloud of HTML documents (key, html).
 
+    Images without a description, and those with an attribute of ``missing`` that says so, are left out.
+    """
+    missing = tuple(missing)
 
-def spoken_elements(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, seq (from 1), tag and text of what is read aloud of HTML documents (key, html); images without a description are left out."""
-    rows = docs.select(key, F.posexplode(_spoken("html")).alias("n", "x"))
-    return rows.select(key, (F.col("n") + 1).alias("seq"), "x.tag", "x.text")
-
+    @F.pandas_udf(_SPOKEN)
+    def spoken(html: pd.Series) -> pd.Series:
+        return pd.Series([[{"tag": a, "text": b} for a, b in elements(x or "", missing)] for x in html], dtype=object)
 
-def sentences(text: str) -> list[str]:
-    """A stop ends a sentence at a space or the end of the text, a wide one always; closing quotes stay with it."""
-    out, start = [], 0
-    for m in _STOP.finditer(text):
-        if m[0][0] in WIDE_STOPS or m.end() == len(text) or text[m.end()].isspace():
-            out.append(text[start : m.end()])
-            start = m.end()
-    return [x.strip() for x in [*out, text[start:]] if x.strip()]
+    rows = docs.select(key, F.posexplode(spoken("html")).alias("n", "x"))
+    return rows.select(key, (F.col("n") + 1).alias("seq"), "x.tag", "x.text")
 
 
-def shortened(sentence: str, most: int) -> list[str]:
-    """A long sentence in parts: cut after the last pause mark of its second half, else the last space there, else at ``most``."""
-    out = []
-    while len(sentence) > most:
-        cuts = ([m.end() for m in pattern.finditer(sentence, most // 2, most + 1) if m.start() < most] for pattern in (_PAUSE, _SPACE))
-        cut = next((c[-1] for c in cuts if c), most)
-        out.append(sentence[:cut].strip())
-        sentence = sentence[cut:].strip()
-    return [*out, sentence] if sentence else out
+def joined(text: str) -> tuple[str, list[int]]:
+    """A text with single spaces, and the ends of its sentences.
+
+    A stop ends one before a space or at the end of the text, a wide one everywhere. No space stays beside
+    a character of a script without spaces where a sentence ends.
+    """
+    text = " ".join(text.split())
+    ends = {m.end() for m in _MARK.finditer(text) if m["stop"] and (m["stop"][0] in WIDE_STOPS or text[m.end() : m.end() + 1] in ("", " "))} | {len(text)}
+    dropped = [e for e in sorted(ends) if text[e : e + 1] == " " and (_WIDE.match(text, e - 1) or _WIDE.match(text, e + 1))]
+    kept, last = [], 0
+    for e in dropped:
+        kept.append(text[last:e])
+        last = e + 1
+    return "".join([*kept, text[last:]]), [e - bisect(dropped, e - 1) for e in sorted(ends)]
+
+
+def cuts(text: str, most: int) -> list[tuple[int, int]]:
+    """(from, to) of the pieces of a :func:`joined` text, each as long as ``most`` allows.
+
+    A piece ends with a sentence if one ends within reach; else behind the last pause mark of its second half, else
+    at the last space there, else at ``most``.
+    """
+    text, ends = joined(text)
+    marks: dict[str, list[int]] = {"stop": ends, "pause": [], "space": []}
+    for m in _MARK.finditer(text):
+        if not m["stop"]:
+            marks[m.lastgroup].append(m.end())
+    out, at = [], 0
+    while at < len(text):
+        reach = at + most
+        for kind, least in (("stop", at + 1), ("pause", at + most // 2 + 1), ("space", at + most // 2 + 1)):
+            k = bisect(marks[kind], reach)
+            if k and marks[kind][k - 1] >= least:
+                reach = marks[kind][k - 1]
+                break
+        out.append((at, reach))
+        at = reach + (text[reach : reach + 1] == " ")
+    return out
 
 
 def pieces(text: str, most: int) -> list[str]:
-    """Whole sentences together while they fit into ``most`` characters."""
-    out: list[str] = []
-    current = ""
-    for sentence in sentences(" ".join(text.split())):
-        glue = "" if not current or _WIDE.match(current[-1]) or _WIDE.match(sentence[0]) else " "
-        if current and len(current) + len(glue) + len(sentence) <= most:
-            current += glue + sentence
-            continue
-        *whole, last = shortened(sentence, most)
-        out += [*([current] if current else []), *whole]
-        current = last
-    return [*out, current] if current else out
+    whole = joined(text)[0]
+    return [x for x in (whole[a:b].strip() for a, b in cuts(text, most)) if x]
 
 
 def speech_pieces(blocks: DataFrame, most: int = 220) -> DataFrame:

@@ -14,8 +14,9 @@ def test_elements():
 
 
 def test_sentences_and_pieces():
-    assert speech.sentences('It costs 1.250,00 now. "Really?" he said... Yes!') == ["It costs 1.250,00 now.", '"Really?"', "he said...", "Yes!"]
-    assert speech.sentences("今天。明天！”好") == ["今天。", "明天！”", "好"]
+    assert speech.pieces('It costs 1.250,00 now. "Really?" he said... Yes!', 24) == ["It costs 1.250,00 now.", '"Really?" he said...', "Yes!"]
+    assert speech.joined("今天。 明天！”好. 今  x") == ("今天。明天！”好.今 x", [3, 7, 9, 12])
+    assert speech.pieces("今天。明天！”好", 4) == ["今天。", "明天！”", "好"]
     assert speech.pieces("", 220) == speech.pieces(" \n ", 220) == []
     assert speech.pieces("One. Two. Three.", 10) == ["One. Two.", "Three."]
     assert speech.pieces("今天。明天。", 20) == ["今天。明天。"]
@@ -41,6 +42,11 @@ def test_markdown():
         ("rule", 0, 0, ""), ("code", 0, 0, "# no heading"), ("number", 0, 0, "two"), ("paragraph", 0, 0, "end\n2. no list inside"),
     ]
     assert markdown.blocks("") == markdown.blocks("\r\n \r") == []
+    more = "| a | b |\n|--|--|\n| 1 | 2 |\nText\n===\n1. one\n2. two\n   > in\n\n   ## Sub\n   ```\n   x\n   ```\n\t- deep\n* * *\n> a\nb"
+    assert markdown.blocks(more) == [
+        ("table", 0, 0, "| a | b |\n|--|--|\n| 1 | 2 |"), ("heading", 1, 0, "Text"), ("number", 0, 0, "one"), ("number", 0, 0, "two"), ("quote", 0, 2, "in"), ("heading", 2, 1, "Sub"), ("code", 0, 1, " x"),
+        ("bullet", 0, 1, "deep"), ("rule", 0, 0, ""), ("quote", 0, 1, "a"), ("paragraph", 0, 0, "b"),
+    ]
     deep = markdown.blocks(">" * 40 + " x")
     assert deep[-1][2] == markdown.DEEPEST + 1 and deep[-1][3].endswith("x")
     assert markdown.blocks("```\nopen") == [("code", 0, 0, "open")]
