@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import held_out, names, slices, table, texts
 
 PROFILE = 400
-#: Labelled rows that a profile is learned from, and languages that can be learned.
-SAMPLE, LANGUAGES = 2_000, 300
+#: Labelled rows of a language that its profile is learned from, and the parts that a language's rows are dealt into to find them.
+SAMPLE, SALTS = 2_000, 64
 
 
 @cache
@@ -66,16 +66,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
 
 
-def learn_profiles(labelled: DataFrame, sample: int = SAMPLE, size: int = PROFILE) -> dict[str, list[int]]:
-    """Language to ranked n-grams, from rows (doc_id, text, lang) without nulls in lang."""
+def sampled(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """lang and text of the ``sample`` rows of each language with the smallest hashes; copies of a row are one.
+
+    Each of SALTS parts of a language keeps so many of its own before the parts meet.
+    """
     named = labelled.select("lang", "text", F.xxhash64("doc_id", "text").alias("row"))
-    most = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
-    keys = named.select("lang", "row").join(F.broadcast(most), "lang", "left_semi").distinct()  # LANGUAGES rows at most
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("row"))
-    picked = keys.withColumn("place", first).filter(F.col("place") <= sample).select("lang", "row")
-    # LANGUAGES x ``sample`` rows at most; copies of a row are one.
-    rows = named.join(F.broadcast(picked), ["lang", "row"], "left_semi").groupBy("lang", "row").agg(F.min("text").alias("text")).select("lang", "text")
-    counts = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    keys = named.select("lang", "row").distinct().withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("row"))
+    few = keys.withColumn("place", first("lang", "salt")).filter(F.col("place") <= sample)
+    last = few.withColumn("place", first("lang")).filter(F.col("place") <= sample).groupBy("lang").agg(F.max("row").alias("last"))
+    # One row a language goes out, so that texts stay where they are.
+    return named.join(last, "lang").filter("row <= last").groupBy("lang", "row").agg(F.min("text").alias("text")).select("lang", "text")
+
+
+def learn_profiles(labelled: DataFrame, sample: int = SAMPLE, size: int = PROFILE) -> dict[str, list[int]]:
+    """Language to ranked n-grams, from rows (doc_id, text, lang) without nulls in lang; the model grows with the languages alone."""
+    counts = sampled(labelled, sample).mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # Code points make an n-gram positive, so that its order is that of unsigned numbers.
     top = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("place") <= size)
     out: dict[str, list[int]] = {}
@@ -84,28 +91,40 @@ def learn_profiles(labelled: DataFrame, sample: int = SAMPLE, size: int = PROFIL
     return out
 
 
-def _judge(profiles: dict[str, list[int]], size: int):
-    spoken = sorted(profiles)
+class Profiles:
+    """Places of n-grams in the profiles of all languages, by n-gram."""
+
+    def __init__(self, profiles: dict[str, list[int]], size: int):
+        self.spoken, self.size = sorted(profiles), size
+        n = [len(profiles[x]) for x in self.spoken]
+        grams_ = np.array([g for x in self.spoken for g in profiles[x]], np.uint64)
+        order = np.argsort(grams_, kind="stable")
+        self.grams, self.lang = grams_[order], np.repeat(np.arange(len(n)), n)[order]
+        self.place = np.concatenate([*map(np.arange, n), np.zeros(0, np.int64)])[order]
+
+    def distances(self, own: np.ndarray) -> np.ndarray:
+        """Out-of-place distance of a ranked list to each language; an n-gram that a profile lacks costs its size."""
+        low, high = (np.searchsorted(self.grams, own, side) for side in ("left", "right"))
+        n = high - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        rank = np.repeat(np.arange(len(own)), n)
+        return self.size * len(own) + np.bincount(self.lang[at], np.abs(self.place[at] - rank) - self.size, len(self.spoken))
 
+
+def _judge(profiles: dict[str, list[int]], size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unique(np.array([g for n in spoken for g in profiles[n]], np.uint64))
-        places = np.full((len(spoken), len(known) + 1), -1, np.int64)
-        for i, name in enumerate(spoken):
-            places[i, np.searchsorted(known, np.array(profiles[name], np.uint64))] = np.arange(len(profiles[name]))
+        known = Profiles(profiles, size)
         for batch in slices(batches, "text", 1 << 20):
             langs, scores = [], []
             for text in batch.column(1).to_pylist():
                 own = ranked(*grams(text), size)
-                if not len(own) or not spoken:
+                if not len(own) or not profiles:
                     langs.append("und")
                     scores.append(0.0)
                     continue
-                at = np.searchsorted(known, own)
-                at[(at == len(known)) | (known[np.minimum(at, len(known) - 1)] != own)] = len(known)
-                place = places[:, at]
-                away = np.where(place < 0, size, np.abs(place - np.arange(len(own)))).sum(1) / (size * len(own))
+                away = known.distances(own) / (size * len(own))
                 best = int(np.argmin(away))
-                langs.append(spoken[best])
+                langs.append(known.spoken[best])
                 scores.append(float(max(0.0, min(1.0, 1 - away[best]))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -141,6 +160,7 @@ def keep_identified(docs: DataFrame, least: float = 0.1) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language by profiles of the documents that aren't held out."""
     docs = table(spark, sf_dir, "documents")
     return identify(docs, _learned(docs)).select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score")
 
