@@ -89,14 +89,50 @@ def question_vectors(questions: DataFrame) -> DataFrame:
     return counts.withColumn("w", F.col("c") / F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy("question_id")))).drop("c")
 
 
+def _prefixes(vectors: DataFrame, counts: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """The rarest stems of each vector (keys, id, stem, w), so many that what is left of it is shorter than ``least``.
+
+    Two vectors of length 1 with a cosine of ``least`` share a stem; their first one, in the order of rarity, stands
+    in the prefixes of both, for what comes behind a prefix can't reach that cosine alone.
+    """
+    ranked = vectors.join(counts, [*keys, "stem"])
+    common = Window.partitionBy(*keys, "id").orderBy(F.desc("n"), F.desc("stem")).rowsBetween(Window.unboundedPreceding, 0)
+    return ranked.withColumn("rest", F.sum(F.col("w") * F.col("w")).over(common)).filter(F.col("rest") >= least * least - 1e-9).select(*keys, "id", "stem")
+
+
+def answer_candidates(questions: DataFrame, answers: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """keys, id and other: pairs of vectors (keys, id, stem, w) that may have a cosine of ``least``."""
+    counts = questions.select(*keys, "stem").unionAll(answers.select(*keys, "stem")).groupBy(*keys, "stem").agg(F.count("*").alias("n"))
+    asked, saved = (_prefixes(v, counts, keys, least) for v in (questions, answers))
+    return asked.join(saved.withColumnRenamed("id", "other"), [*keys, "stem"]).select(*keys, "id", "other").distinct()
+
+
 def reuse_answers(questions: DataFrame, answers: DataFrame, least: float = 0.85) -> DataFrame:
-    """question_id, answer_id and cosine: the best saved answer of the same document."""
-    q = question_vectors(questions).join(questions.select("question_id", "doc_id"), "question_id")
-    saved = answers.select(F.col("answer_id").alias("question_id"), F.col("question").alias("text"))
-    a = question_vectors(saved).select(F.col("question_id").alias("answer_id"), "stem", F.col("w").alias("v")).join(answers.select("answer_id", "doc_id"), "answer_id")
-    cosine = q.join(a, ["doc_id", "stem"]).groupBy("question_id", "answer_id").agg(F.round(F.sum(F.col("w") * F.col("v")), 6).alias("cosine")).filter(F.col("cosine") >= least)
-    best = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("cosine"), "answer_id"))
-    return cosine.withColumn("_r", best).filter("_r = 1").drop("_r")
+    """question_id, answer_id and cosine: the best saved answer of the same document, the smallest answer_id among equals.
+
+    ``questions``: question_id, doc_id, text; ``answers``: answer_id, doc_id, question. Where both have a column
+    ``sig`` (of the document's state and the assistant's settings), only an answer with the question's own counts.
+    Equal texts are one vector; pairs are made where prefixes of rare stems meet, and their cosines are exact. A null
+    document or text finds nothing.
+    """
+    keys = ["doc_id", *(["sig"] if "sig" in questions.columns and "sig" in answers.columns else [])]
+    # A number for each text of a document, on both sides.
+    named = lambda df, text: df.withColumn("id", F.xxhash64(*keys, text))
+    asked = named(questions.select("question_id", *keys, F.col("text")), "text")
+    saved = named(answers.select("answer_id", *keys, F.col("question").alias("text")), "text")
+
+    def vectors(rows: DataFrame) -> DataFrame:
+        once = rows.groupBy(*keys, "id").agg(F.first("text").alias("text"))
+        return question_vectors(once.withColumnRenamed("id", "question_id")).withColumnRenamed("question_id", "id").join(once.select(*keys, "id"), "id")
+
+    q, a = vectors(asked), vectors(saved)
+    maps = lambda v, name: v.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("stem", "w"))).alias(name))
+    pairs = answer_candidates(q, a, keys, least).select("id", "other").join(maps(q, "v"), "id").join(maps(a, "u").withColumnRenamed("id", "other"), "other")
+    shared = F.transform(F.array_sort(F.array_intersect(F.map_keys("v"), F.map_keys("u"))), lambda x: F.col("v")[x] * F.col("u")[x])
+    near = pairs.select("id", "other", F.round(F.aggregate(shared, F.lit(0.0), lambda s, x: s + x), 6).alias("cosine")).filter(F.col("cosine") >= least)
+    first = saved.groupBy(F.col("id").alias("other")).agg(F.min("answer_id").alias("answer_id"))
+    best = near.join(first, "other").groupBy("id").agg(F.max(F.struct("cosine", (-F.col("answer_id")).alias("back"))).alias("best"))
+    return asked.select("question_id", "id").join(best, "id").select("question_id", (-F.col("best.back")).alias("answer_id"), "best.cosine")
 
 
 def trim_history(turns: DataFrame, last: int = 4, chars: int = 2000) -> DataFrame:

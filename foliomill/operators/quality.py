@@ -21,16 +21,24 @@ def jumps(levels: Column) -> Column:
     return F.size(F.filter(pairs, lambda x: x))
 
 
-def page_facts(pages: DataFrame) -> DataFrame:
-    """Quality facts of web pages, a row each."""
+def page_facts(pages: DataFrame, shown: DataFrame | None = None) -> DataFrame:
+    """Quality facts of web pages, a row each.
+
+    ``shown`` (page_id, page) is the page that shows what ``page_id`` is about, as :func:`records.host_page` finds it;
+    without a row, or with the page 0, it isn't published. All facts stand on one exchange of the pages at most.
+    """
     html = F.col("html")
     text = T.collapse(T.no_tags(html))
     meta = lambda name: F.regexp_extract(html, f'(?is)<meta[^>]*name="{name}"[^>]*content="([^"]*)"', 1)
-    return pages.select(
+    facts = pages.select(
         "page_id", F.lower(F.regexp_extract(html, r"""(?i)<html\b[^>]*\blang=["']([A-Za-z]+)""", 1)).alias("lang"), H.title_of(html).alias("title"), meta("description").alias("description"), meta("author").alias("author"),
         F.transform(F.regexp_extract_all(html, F.lit(H.HEADING), 1), lambda x: x.cast("int")).alias("levels"), T.words(text).alias("words"), T.unreadable(text).alias("unreadable"),
-        T.count(html, r'(?i)<img\b[^>]*\balt=""').alias("missing_alt"), (F.col("page_id") % 2 == 0).alias("published"), (~html.contains("noindex")).alias("indexable"), html.rlike('(?i)property="og:').alias("seo_tags"),
+        T.count(html, r'(?i)<img\b[^>]*\balt=""').alias("missing_alt"), (~html.contains("noindex")).alias("indexable"), html.rlike('(?i)property="og:').alias("seo_tags"),
     )
+    if shown is None:
+        return facts.withColumn("published", F.lit(False))
+    live = shown.select("page_id", (F.coalesce("page", F.lit(0)) != 0).alias("_live")).groupBy("page_id").agg(F.bool_or("_live").alias("_live"))
+    return facts.join(live, "page_id", "left").withColumn("published", F.coalesce("_live", F.lit(False))).drop("_live")
 
 
 def scorecard(facts: DataFrame) -> DataFrame:

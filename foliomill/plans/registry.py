@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliomill.functions import text as T
-from foliomill.operators import answers, enrich, html, operations, quality, structure, usage
+from foliomill.operators import answers, enrich, html, operations, quality, records, structure, usage
 from foliomill.streaming import quotas
 
 from . import tables as t
@@ -311,8 +311,11 @@ def usage_changes(spark, sf):
 
 _META = "regexp_extract(html, '(?is)<meta[^>]*name=\"{0}\"[^>]*content=\"([^\"]*)\"', 1)"
 _PAGE = _COLLAPSE.format(_NOTAGS.format("html"))
-_FACTS = f"""f0 AS (SELECT page_id, html, {_TITLE} AS title, {_META.format('description')} AS description, {_META.format('author')} AS author, list_transform(regexp_extract_all(html, '(?is)<h([1-6])\\b[^>]*>(.*?)</h[1-6]>', 1), lambda x: x::INT) AS levels, {_PAGE} AS text FROM p),
-f AS (SELECT *, {_c('text', chr(92) + 'p{L}+')} AS words, {_UNREADABLE} AS unreadable, {_c('html', _ALT)} AS missing, page_id % 2 = 0 AS published, NOT contains(html, 'noindex') AS indexable, regexp_matches(html, '(?i)property="og:') AS seo,
+_FACTS = f"""r0 AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), 'href="([^"]+)"', 1) AS a FROM pages), r1 AS (SELECT page_id, unnest(range(0, len(a))) AS n, unnest(a) AS doc FROM r0),
+r2 AS (SELECT doc FROM r1 GROUP BY doc HAVING count(DISTINCT page_id) >= 2), r3 AS (SELECT page_id, min_by(doc, n) AS doc FROM r1 WHERE doc IN (SELECT doc FROM r2) GROUP BY page_id),
+shown AS (SELECT page_id FROM r3 WHERE doc IN (SELECT doc FROM r1 WHERE page_id % 5 = 0)),
+f0 AS (SELECT page_id, html, {_TITLE} AS title, {_META.format('description')} AS description, {_META.format('author')} AS author, list_transform(regexp_extract_all(html, '(?is)<h([1-6])\\b[^>]*>(.*?)</h[1-6]>', 1), lambda x: x::INT) AS levels, {_PAGE} AS text FROM p),
+f AS (SELECT *, {_c('text', chr(92) + 'p{L}+')} AS words, {_UNREADABLE} AS unreadable, {_c('html', _ALT)} AS missing, page_id IN (SELECT page_id FROM shown) AS published, NOT contains(html, 'noindex') AS indexable, regexp_matches(html, '(?i)property="og:') AS seo,
  len(list_filter(range(1, len(levels)), lambda i: levels[i + 1] > levels[i] + 1)) AS jumps FROM f0),
 checks AS (SELECT page_id, words, unnest(['title', 'description', 'author', 'headings', 'hierarchy', 'length', 'readable', 'alt', 'published', 'indexable', 'seo_tags']) AS check_id,
  unnest(['metadata', 'metadata', 'metadata', 'structure', 'structure', 'content', 'content', 'content', 'publish', 'publish', 'publish']) AS grp, unnest([5, 10, 10, 10, 15, 10, 5, 10, 15, 5, 5]) AS most,
@@ -320,9 +323,19 @@ checks AS (SELECT page_id, words, unnest(['title', 'description', 'author', 'hea
  CASE WHEN words >= 300 THEN 10 ELSE 0 END, CASE WHEN NOT unreadable THEN 5 ELSE 0 END, CASE WHEN missing = 0 THEN 10 ELSE 0 END, CASE WHEN published THEN 15 ELSE 0 END, CASE WHEN indexable THEN 5 ELSE 0 END, CASE WHEN seo THEN 5 ELSE 0 END]) AS points FROM f)"""
 
 
+def _facts(spark, sf):
+    """Facts of pages; a page is about the first document among its references, and published where a published page shows that."""
+    hosts, docs = t.hosts(spark, sf), t.referenced(spark, sf)
+    none = hosts.select("host_id", F.lit("").alias("doc"), F.lit(0).cast("long").alias("post_id"), "status").filter(F.lit(False))
+    edges = usage.usage_edges(hosts, docs, t.HREF).withColumn("host_id", F.col("host_id") + 1)  # the page 0 is none
+    on = records.host_page(docs, edges, none, none.select("host_id"))
+    about = usage.first_document_of(hosts, docs, t.HREF)
+    return quality.page_facts(t.rich_pages(spark, sf), about.join(on, "doc").select(F.col("host_id").alias("page_id"), "page"))
+
+
 @query("scorecard", t.sql("pr") + f", {_FACTS} SELECT page_id, words, check_id, grp, most, points FROM checks")
 def scorecard(spark, sf):
-    return quality.scorecard(quality.page_facts(t.rich_pages(spark, sf)))
+    return quality.scorecard(_facts(spark, sf))
 
 
 @query("score_totals", t.sql("pr") + f", {_FACTS}, s AS (SELECT page_id, CASE WHEN max(words) < 300 THEN least(sum(points), 70) ELSE sum(points) END::BIGINT AS score FROM checks GROUP BY page_id) SELECT page_id, score, CASE WHEN score >= 85 THEN 'good' WHEN score >= 60 THEN 'fair' ELSE 'poor' END AS grade FROM s")

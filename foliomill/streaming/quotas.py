@@ -7,7 +7,7 @@ from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -28,27 +28,46 @@ def admit(times: pd.Series, count: int, last: pd.Timestamp | None, most: int, se
 
 
 def _admitted(most: int, seconds: int):
-    """Rows (reader, event_id, ts) in order of reader, ts and event_id, with ``accepted``; between batches only the last reader's counter is carried."""
+    """Rows (reader, session, event_id, ts) in order of reader, session, ts and event_id to SHAPE; between batches only the last session's counter is carried."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count, last = (), 0, None  # no reader is ()
+        known, count, last = (), 0, None  # no session is ()
         for batch in batches:
-            times, accepted = batch.column(2).to_pandas(), []
-            for reader, same in groupby(batch.column(0).to_pylist()):
-                if reader != known:
-                    known, count, last = reader, 0, None
+            times, accepted = batch.column(3).to_pandas(), []
+            for session, same in groupby(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if session != known:
+                    known, count, last = session, 0, None
                 at = len(accepted)
                 good, count, last = admit(times[at : at + sum(1 for _ in same)], count, last, most, seconds)
                 accepted += good
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(accepted, pa.bool_())], [*batch.schema.names, "accepted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(accepted, pa.bool_())], ["reader", "event_id", "ts", "accepted"])
 
     return run
 
 
+def sessions(events: DataFrame, seconds: int) -> DataFrame:
+    """Events (reader, event_id, ts) with ``session``: a reader's events without a pause of ``seconds`` have one number.
+
+    Time is cut into cells of ``seconds``. Within a cell no pause is that long, so that a session only begins with the
+    first event of a cell, and cells, not events, are put in order. Events without a time belong to the last session.
+    """
+    rows = events.withColumn("cell", F.floor(F.unix_micros("ts") / (seconds * 1_000_000)))
+    cells = rows.groupBy("reader", "cell").agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
+    of = Window.partitionBy("reader").orderBy(F.asc_nulls_last("cell"))
+    pause = F.unix_micros("low") - F.unix_micros(F.lag("high").over(of)) >= seconds * 1_000_000
+    starts = cells.withColumn("opens", F.coalesce(pause, F.lit(False)).cast("int")).withColumn("session", F.sum("opens").over(of))
+    named = starts.select(F.col("reader").alias("_reader"), F.col("cell").alias("_cell"), "session")
+    return rows.join(named, F.col("reader").eqNullSafe(F.col("_reader")) & F.col("cell").eqNullSafe(F.col("_cell"))).select("reader", "session", "event_id", "ts")
+
+
 def quota(events: DataFrame, most: int, seconds: int) -> DataFrame:
-    """Events (reader, ts, event_id) with ``accepted``; Spark sorts, so that no reader has to fit into a worker."""
+    """Events (reader, ts, event_id) with ``accepted``.
+
+    A pause of ``seconds`` starts the counter anew whatever came before, so that sessions are judged apart, a reader's
+    in many tasks; Spark sorts them, and no session has to fit into a worker.
+    """
     rows = events.select(F.col("reader").cast("long").alias("reader"), F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"))
-    ordered = rows.repartition("reader").sortWithinPartitions("reader", F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
+    ordered = sessions(rows, seconds).repartition("reader", "session").sortWithinPartitions("reader", "session", F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
     return ordered.mapInArrow(_admitted(most, seconds), SHAPE)
 
 
@@ -74,8 +93,6 @@ def stream_quota(events: DataFrame, most: int, seconds: int, late: str = "10 min
 
 def daily_cap(events: DataFrame, most: int = 300) -> DataFrame:
     """The first ``most`` events of each UTC day; a task keeps no more than that before the days meet."""
-    from pyspark.sql import Window
-
     day = F.to_date("ts")
     rows = events.withColumn("day", day).withColumn("_salt", F.pmod(F.xxhash64("event_id"), F.lit(64)))
     part = F.row_number().over(Window.partitionBy("day", "_salt").orderBy("ts", "event_id"))
