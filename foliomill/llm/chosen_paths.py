@@ -19,13 +19,18 @@ How the work is spread:
    sizes and signatures, and survivors are verified on their whole sets. What is linked is
    one component, and no pair inside a component is made from here on, so that a large group
    of near copies costs as many rows as it has members.
-3. Nodes that hold several components go on. Where the product of all sets and of those outside
+3. Up to ROUNDS times, each set outside the largest component of its nodes looks at one block of
+   each node, and its STARS closest sets there by counts are verified. Near copies of
+   near copies come together this way, by a number of pairs that grows with their number.
+4. Nodes that hold several components go on. Where the product of all sets and of those outside
    the largest component is at most LEAF squared, the node is a leaf; other nodes branch. At
    DEPTH all nodes left are compared, in blocks of bounded size. Survivors are verified.
 
-No node is cut off and no candidate dropped but by the bounds: a signature rules out pairs
+No node is cut off and no candidate dropped but by the bounds. A signature rules out pairs
 whose agreement lies SLACK standard deviations under what the threshold makes likely, which
-a linked pair has a chance of about 3e-6 of. Every link is confirmed on whole sets.
+a linked pair has a chance of about 3e-6 of. What is left is bounded by counts: the tokens
+of a set fall into GROUPS groups by hash, and two sets share at most the sum of the smaller
+counts. Every link is confirmed on whole sets.
 
 Defined results: a null or empty text, or one without words, has an empty set, is linked with
 nothing and is its own component; a text of fewer words is one n-gram; repeated rows are
@@ -48,9 +53,11 @@ from .ngram_join import PAIRS, Entries, bags, dealt, head, name_of, reported, st
 
 COORDINATES, TREES, DEPTH = 64, 16, 8
 #: A node is a leaf up to the work of comparing so many sets with each other; sets of a block; standard deviations.
-LEAF, BLOCK, SLACK = 128, 1_024, 5.0
-#: Pairs that a set makes in step 2, and pairs that a task compares at once.
-STARS, TOGETHER = 2, 1 << 16
+LEAF, BLOCK, SLACK = 1_024, 1_024, 5.0
+#: Groups that tokens are counted in.
+GROUPS = 512
+#: Pairs that a set makes in steps 2 and 3, rounds of step 3, and pairs that a task compares at once.
+STARS, ROUNDS, TOGETHER = 2, 2, 1 << 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.random.default_rng(12).integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -87,6 +94,12 @@ def child(node: np.ndarray, coordinate: np.ndarray, token: np.ndarray) -> np.nda
     return mixed(mixed(node * _STEP + coordinate.astype(np.uint64) + np.uint64(1)) + token)
 
 
+def counted(bag: np.ndarray) -> bytes:
+    """Tokens by group, each count in the fewest bytes that hold the greatest one."""
+    counts = np.bincount((bag >> np.uint64(55)).astype(np.int64), minlength=GROUPS)
+    return counts.astype(np.min_scalar_type(counts.max())).tobytes()
+
+
 def _describe(n: int):
     """Texts to size, name and signature of their sets."""
 
@@ -96,8 +109,8 @@ def _describe(n: int):
             sets = list(bags(batch, n, hashes))
             own = np.array([name_of(b) for b in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(b) for b in sets], pa.int64()), pa.array(own), pa.array([x.tobytes() for x in signatures(sets)], pa.binary())],
-                ["doc_id", "row", "n", "set", "signature"],
+                [batch.column(0), batch.column(1), pa.array([len(b) for b in sets], pa.int64()), pa.array(own), pa.array([x.tobytes() for x in signatures(sets)], pa.binary()), pa.array([counted(b) for b in sets], pa.binary())],
+                ["doc_id", "row", "n", "set", "signature", "counts"],
             )
 
     return run
@@ -107,6 +120,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDINATES)
 
 
+def _counts(column: pa.Array) -> np.ndarray:
+    rows = [np.frombuffer(x, f"u{len(x) // GROUPS}") for x in column.to_pylist()]
+    return np.array(rows, np.result_type(np.uint8, *{x.dtype for x in rows})).reshape(-1, GROUPS)
+
+
 def _plant(trees: int, percent: int):
     """Sets to the first level of the trees; the trees' coordinates follow one another, so that they differ while there are enough."""
     seeds = mixed(np.arange(1, trees + 1, dtype=np.uint64) * _STEP)
@@ -152,14 +170,20 @@ def _alike(percent: int):
     return run
 
 
-def _compare(percent: int):
-    """Blocks (node, main component, members, visitors) to pairs of different components that sizes and signatures allow."""
+def _compare(percent: int, closest: bool = False):
+    """Blocks (node, main component, members, visitors) to pairs of different components that sizes and signatures allow.
+
+    ``closest``: only the best one of each visitor. Columns: visitor, member and the greatest similarity that the counts allow, in millionths.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             main, held, asked = batch.column(1).to_numpy(), Entries(batch.column(2)), Entries(batch.column(3))
-            sizes, points = ([x.flat.field("n").to_numpy() for x in (held, asked)], [_matrix(x.flat.field("signature")) for x in (held, asked)])
-            pairs = [np.zeros((0, 2), np.int64)]
+            sizes = [x.flat.field("n").to_numpy() for x in (held, asked)]
+            # The low byte of a coordinate tells nearly as much as all four.
+            points = [_matrix(x.flat.field("signature")).astype(np.uint8) for x in (held, asked)]
+            counts = [_counts(x.flat.field("counts")) for x in (held, asked)]
+            pairs = [np.zeros((0, 3), np.int64)]
             of = np.repeat(np.arange(len(main)), asked.n)
             part = np.cumsum(held.n[of]) // TOGETHER
             for k in np.unique(part):
@@ -173,26 +197,55 @@ def _compare(percent: int):
                 m, n = sizes[0][member], sizes[1][visitor]
                 good = np.flatnonzero(fresh & (100 * np.minimum(m, n) >= percent * np.maximum(m, n)))
                 good = good[(points[0][member[good]] == points[1][visitor[good]]).sum(1) >= agreeing(percent)]
-                pairs.append(np.c_[asked.sets[visitor[good]], held.sets[member[good]]])
-            found = np.sort(np.concatenate(pairs), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+                both = m[good] + n[good]
+                shared = np.concatenate([np.zeros(0, np.int64), *(np.minimum(counts[0][member[x]], counts[1][visitor[x]]).sum(1, dtype=np.int64) for x in np.split(good, range(4_096, len(good), 4_096)))])
+                near = 100 * shared >= percent * (both - shared)
+                good, agree = good[near], (1_000_000 * shared // np.maximum(both - shared, 1))[near]
+                if closest:
+                    order = np.lexsort((held.sets[member[good]], -agree, visitor[good]))
+                    order = order[np.r_[True, np.diff(visitor[good][order]) != 0][: len(order)]]
+                    good, agree = good[order], agree[order]
+                pairs.append(np.c_[asked.sets[visitor[good]], held.sets[member[good]], agree])
+            found = np.concatenate(pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(3)], ["visitor", "member", "agree"])
 
     return run
 
 
+MET = "visitor long, member long, agree long"
+ENTRY = ("set", "component", "n", "signature", "counts")
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """node, main, c and others: nodes of ``rows`` (node, set, component) that hold several components, the largest one, all sets and those outside it."""
+    kinds = rows.groupBy("node", "component").agg(F.count("*").alias("c"))
+    main = kinds.groupBy("node").agg(F.max(F.struct("c", "component")).alias("main"), F.sum("c").alias("c"), F.count("*").alias("kinds")).filter("kinds > 1")
+    return main.select("node", F.col("main.component").alias("main"), "c", (F.col("c") - F.col("main.c")).alias("others"))
+
+
+def _closest(rows: DataFrame, nodes: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of each set outside its nodes' largest components with the STARS sets closest to it, in one block of each node."""
+    placed = rows.join(_several(rows), "node").select("node", "main", "set", "component", F.ceil(F.col("c") / BLOCK).alias("blocks")).join(nodes.select("set", "n", "signature", "counts"), "set")
+    at = lambda *of: F.pmod(F.xxhash64("set", *of), F.col("blocks")).alias("block")
+    members = placed.select("node", "main", at(), F.struct(*ENTRY).alias("member"), F.lit(None).alias("visitor"))
+    visitors = placed.filter("component <> main").select("node", "main", at(F.lit(turn)), F.lit(None).alias("member"), F.struct(*ENTRY).alias("visitor"))
+    blocks = members.unionByName(visitors).groupBy("node", "main", "block").agg(F.collect_list("member").alias("members"), F.collect_list("visitor").alias("visitors"))
+    met = blocks.filter("size(members) > 0 and size(visitors) > 0").select("node", "main", "members", "visitors").mapInArrow(_compare(percent, True), MET).distinct()
+    # A set stands in a bounded number of nodes, and has one answer in each.
+    few = met.groupBy("visitor").agg(F.slice(F.sort_array(F.collect_list(F.struct("agree", "member")), False), 1, STARS).alias("best")).select("visitor", F.explode("best.member").alias("member"))
+    return few.select(F.least("visitor", "member").alias("a"), F.greatest("visitor", "member").alias("b")).distinct()
+
+
 def _candidates(scratch: Scratch, rows: DataFrame, nodes: DataFrame, percent: int, depth: int) -> DataFrame:
     """Pairs of different components that meet in a leaf under the nodes of ``rows`` (node, set, component)."""
-    entry = F.struct("set", "component", "n", "signature")
     found = []
     for level in range(1, depth + 1):
-        kinds = rows.groupBy("node", "component").agg(F.count("*").alias("c"))
-        main = kinds.groupBy("node").agg(F.max(F.struct("c", "component")).alias("main"), F.sum("c").alias("c"), F.count("*").alias("kinds")).filter("kinds > 1")
-        several = main.select("node", F.col("main.component").alias("main"), "c", (F.col("c") - F.col("main.c")).alias("others"))
-        inside = scratch.written(rows.join(several, "node"), "inside")
+        inside = scratch.written(rows.join(_several(rows), "node"), "inside")
         leaf = F.lit(True) if level == depth else F.col("c") * F.col("others") <= LEAF * LEAF
         placed = inside.filter(leaf).select("node", "main", "set", "component", F.ceil(F.col("c") / BLOCK).alias("blocks"), F.ceil(F.col("others") / BLOCK).alias("chunks"))
-        placed = placed.join(nodes.select("set", "n", "signature"), "set")
-        found.append(scratch.written(dealt(placed, "node", entry).mapInArrow(_compare(percent), PAIRS).distinct(), "met"))
+        placed = placed.join(nodes.select("set", "n", "signature", "counts"), "set")
+        met = dealt(placed, "node", F.struct(*ENTRY)).mapInArrow(_compare(percent), MET)
+        found.append(scratch.written(met.select(F.least("visitor", "member").alias("a"), F.greatest("visitor", "member").alias("b")).distinct(), "met"))
         large = inside.filter(~leaf).select("node", "set", "component")
         if level == depth or large.isEmpty():
             break
@@ -211,9 +264,9 @@ def near_groups(docs: DataFrame, n: int = 4, percent: int = 80, trees: int = TRE
     """
     rows = texts(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     with Scratch(docs.sparkSession) as scratch:
-        every = scratch.written(rows.mapInArrow(_describe(n), "doc_id long, row long, n long, set long, signature binary"), "every")
+        every = scratch.written(rows.mapInArrow(_describe(n), "doc_id long, row long, n long, set long, signature binary, counts binary"), "every")
         sizes = scratch.written(every.select("doc_id", "row", "n", "set"), "sizes", keep=True)
-        nodes = scratch.written(every.filter("n > 0").groupBy("set").agg(head(), F.min("n").alias("n"), F.min("signature").alias("signature")), "nodes")
+        nodes = scratch.written(every.filter("n > 0").groupBy("set").agg(head(), F.min("n").alias("n"), F.min("signature").alias("signature"), F.min("counts").alias("counts")), "nodes")
         scratch.drop(every)
         spread = nodes.select("set", "signature").mapInArrow(_plant(trees, percent), "node long, set long")
         shared = scratch.written(spread.groupBy("node").agg(F.count("*").alias("c")).filter("c > 1"), "shared")
@@ -224,12 +277,24 @@ def near_groups(docs: DataFrame, n: int = 4, percent: int = 80, trees: int = TRE
         sets = nodes.select("set", "head.row")
         alike = stars.join(p, "a").join(q, "b").select("a", "b", "m", "n", "p", "q").mapInArrow(_alike(percent), PAIRS)
         links = verified(scratch, rows, sets, alike, n, percent, "star")
-        found = components(scratch, links)
-        labelled = near.select("node", "set").join(found.withColumnRenamed("node", "set"), "set", "left").select("node", "set", F.coalesce("component", "set").alias("component"))
-        again = scratch.written(_candidates(scratch, scratch.written(labelled, "labelled"), nodes, percent, depth), "candidates")
+
+        def labelled() -> DataFrame:
+            found = components(scratch, links).withColumnRenamed("node", "set")
+            return scratch.written(near.select("node", "set").join(found, "set", "left").select("node", "set", F.coalesce("component", "set").alias("component")), "labelled")
+
+        own = labelled()
+        for turn in range(ROUNDS):
+            more = verified(scratch, rows, sets, _closest(own, nodes, percent, turn), n, percent, "close")
+            if more.isEmpty():
+                break
+            links = links.unionByName(more)
+            scratch.drop(own)
+            own = labelled()
+        again = scratch.written(_candidates(scratch, own, nodes, percent, depth), "candidates")
         if not again.isEmpty():
             scratch.drop()
-            found = components(scratch, links.unionByName(verified(scratch, rows, sets, again, n, percent, "leaf")))
+            links = links.unionByName(verified(scratch, rows, sets, again, n, percent, "leaf"))
+        found = components(scratch, links)
         return reported(scratch, sizes, nodes, found)
 
 
