@@ -1,3 +1,3 @@
 """Queries over the given tables; importing the package registers all of them."""
 
-from . import placing, publishing, reading, rebuilding, registry  # noqa: F401
+from . import placing, publishing, reading, rebuilding, registry, trees  # noqa: F401

@@ -1,6 +1,7 @@
 """Goldens of the structure review."""
 
 from foliomill.operators import review
+from foliomill.operators.tree import document_tree
 from foliomill.plans import tables
 from tests.conftest import SF
 
@@ -15,6 +16,9 @@ CASES = [
     ("<h2>A sentence that</h2><h2>goes on</h2>", [("split-heading", "A sentence that goes on")], "<h2>A sentence that goes on</h2>"), ("<h2>One</h2><h2>Two</h2>", [], None), ("<h2>One</h2><h3>two</h3>", [], None), ("<h2>One</h2>\n<p>x.</p><h2>two</h2>", [], None),
     (f"<h2>{LONG}</h2>", [("long-heading", LONG.strip()[:87] + "…")], f"<p>{LONG}</p>"), ("<h1>A</h1><h3>B</h3><h4>C</h4>", [("heading-skip", "B"), ("heading-skip", "C")], "<h1>A</h1><h2>B</h2><h3>C</h3>"),
     ("<h3>A</h3><h1>B</h1><h2>C</h2>", [], None), ("loose <b>text</b><p>x.</p>", [("loose-text", "loose text")], "<p>loose text</p><p>x.</p>"), ("<div>a<p>x.</p>b</div>", [("loose-text", "a"), ("loose-text", "b")], "<div><p>a</p><p>x.</p><p>b</p></div>"),
+    ("<div>a<section>b<p>x.</p></section><blockquote>c</blockquote></div>", [("loose-text", "a"), ("loose-text", "b"), ("loose-text", "c")], "<div><p>a</p><section><p>b</p><p>x.</p></section><blockquote><p>c</p></blockquote></div>"),
+    ("<ul><li>item <p>x.</p> tail</li><li>next</ul><p>y.</p>", [], None), ("<table><tr><td>a<div>b</div><p>x.</p>c</td></tr></table>", [], None), ("<div><li>alone</li></div>", [("loose-text", "alone")], "<div><li><p>alone</p></li></div>"),
+    ("<ul><li><h3>One</h3>text</li></ul>after", [("loose-text", "after")], "<ul><li><h3>One</h3>text</li></ul><p>after</p>"), ("</div><p>x.</p></ul>end", [("loose-text", "end")], "</div><p>x.</p></ul><p>end</p>"),
     ("<p>x.</p><ul><li>item</li></ul><table><tr><td>y</td></tr></table>", [], None),
 ]
 
@@ -46,3 +50,13 @@ def test_pages_have_no_issue_once_mended(spark):
     assert before.select("type").distinct().count() >= 3
     again = review.audit_documents(review.fix_documents(pages))
     assert again.count() == 0, again.limit(5).collect()
+
+
+def test_tree(spark):
+    html = "<div id=a><p>one<p>two <b>bold</b></div></section><ul><li>x<ul><li>y</ul></li></ul><br><i>open<h2>T</h2><!-- <p> --><script><p></script>"
+    docs = spark.createDataFrame([(1, html), (2, None), (3, "text")], "doc_id long, html string")
+    got = [(r.tag, r.node, r.last, r.depth, r.parent) for r in document_tree(docs).orderBy("node").collect()]
+    assert got == [
+        ("div", 0, 8, 0, None), ("p", 1, 2, 1, 0), ("p", 3, 7, 1, 0), ("b", 5, 7, 2, 3), ("ul", 10, 18, 0, None), ("li", 11, 17, 1, 10), ("ul", 13, 16, 2, 11), ("li", 14, 15, 3, 13),
+        ("i", 20, 21, 0, None), ("h2", 22, 24, 0, None),
+    ]
