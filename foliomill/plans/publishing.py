@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliomill.functions import text as T
-from foliomill.operators import records, usage
+from foliomill.operators import records, redaction, usage
 
 from . import tables as t
 from .registry import _COLLAPSE, _NOTAGS, _SAMPLES, ORACLE_SQL, query, search_blocks
@@ -108,16 +108,30 @@ def valid_highlights(spark, sf):
     return records.valid_highlights(marks, docs, ("yellow", "green", "blue", "pink")).select("mark_id", "doc_id", "s", "e")
 
 
-@query("redact_messages", """WITH x AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'short' ELSE 'k/' || user_id || '"abcdefg' END AS secret, user_id, event_type FROM events)
-SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type || ' short short short' ELSE left(event_type || ' •••• •••• ••••' || repeat('.', (event_id % 400)::INT), 300) || CASE WHEN length(event_type) + 15 + event_id % 400 > 300 THEN '…' ELSE '' END END AS message FROM x""")
+_REDACTED = """WITH x AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'short' ELSE 'k/' || user_id || '"abcdefg' END AS secret, user_id, event_type FROM events)
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type || ' short short short' ELSE left(event_type || ' •••• •••• ••••' || repeat('.', (event_id % 400)::INT), 300) || CASE WHEN length(event_type) + 15 + event_id % 400 > 300 THEN '…' ELSE '' END END AS message FROM x"""
+
+
+@query("redact_messages", _REDACTED)
 def redact_messages(spark, sf):
-    """Messages that hold a secret plain, URL-encoded and JSON-escaped."""
+    """Messages that hold a secret plain, URL-encoded and JSON-escaped; each row knows its own."""
+    return records.redact_messages(_messages(spark, sf), F.col("secret")).select("event_id", "message")
+
+
+@query("redact_set", _REDACTED)
+def redact_set(spark, sf):
+    """The same messages, from which the secrets of all rows are taken."""
+    rows = _messages(spark, sf)
+    return redaction.redact_set(rows, rows.select("secret")).select("event_id", "message")
+
+
+def _messages(spark, sf):
     rows = t.table(spark, sf, "events").withColumn("secret", F.when(F.col("event_id") % 3 == 0, "short").otherwise(F.concat(F.lit("k/"), "user_id", F.lit('"abcdefg'))))
     coded = F.concat(F.lit("k%2F"), F.col("user_id"), F.lit("%22abcdefg"))
     escaped = F.concat(F.lit("k\\/"), F.col("user_id"), F.lit('\\"abcdefg'))
     dots = F.repeat(F.lit("."), (F.col("event_id") % 400).cast("int"))
     message = F.when(F.col("event_id") % 3 == 0, F.concat("event_type", F.lit(" short short short"))).otherwise(F.concat("event_type", F.lit(" "), "secret", F.lit(" "), coded, F.lit(" "), escaped, dots))
-    return records.redact_messages(rows.withColumn("message", message), F.col("secret")).select("event_id", "message")
+    return rows.withColumn("message", message)
 
 
 @query("review_log_counts", "SELECT user_id AS doc, event_type AS origin, count(*) AS reviews, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS issues FROM events GROUP BY ALL")
