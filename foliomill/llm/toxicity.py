@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -71,9 +73,13 @@ def features(text: str, found: ahocorasick.Automaton) -> tuple[float, float]:
         start = end - size + 1
         if (start and low[start - 1].isalpha()) or (end + 1 < len(low) and low[end + 1].isalpha()):
             continue
-        (spared if weight is None else hits).append((start, end + 1, weight))
+        (spared if weight is None else hits).append((start, end + 1, weight or 0.0))
+    # The farthest end of the phrases that have begun tells whether one of them holds a hit.
+    spared.sort()
+    begun, reach = [a for a, _, _ in spared], [*accumulate((b for _, b, _ in spared), max)]
     for start, end, weight in hits:
-        if not any(a <= start and end <= b for a, b, _ in spared):
+        k = bisect_right(begun, start)
+        if not k or reach[k - 1] < end:
             total += weight
     return float(np.log1p(total)), float(np.log1p(1000 * total / (len(low) + 200)))
 
