@@ -19,7 +19,7 @@ How the work is spread:
    sizes and signatures, and survivors are verified on their whole sets. What is linked is
    one component, and no pair inside a component is made from here on, so that a large group
    of near copies costs as many rows as it has members.
-3. Up to ROUNDS times, each set outside the largest component of its nodes looks at one block of
+3. ROUNDS times, each set outside the largest component of its nodes looks at one block of
    each node, and its STARS closest sets there by counts are verified. Near copies of
    near copies come together this way, by a number of pairs that grows with their number.
 4. Nodes that hold several components go on. Where the product of all sets and of those outside
@@ -53,11 +53,11 @@ from .ngram_join import PAIRS, Entries, bags, dealt, head, name_of, reported, st
 
 COORDINATES, TREES, DEPTH = 64, 16, 8
 #: A node is a leaf up to the work of comparing so many sets with each other; sets of a block; standard deviations.
-LEAF, BLOCK, SLACK = 1_024, 1_024, 5.0
+LEAF, BLOCK, SLACK = 2_048, 1_024, 5.0
 #: Groups that tokens are counted in.
 GROUPS = 512
 #: Pairs that a set makes in steps 2 and 3, rounds of step 3, and pairs that a task compares at once.
-STARS, ROUNDS, TOGETHER = 2, 2, 1 << 16
+STARS, ROUNDS, TOGETHER = 2, 1, 1 << 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.random.default_rng(12).integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
