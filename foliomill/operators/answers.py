@@ -16,6 +16,10 @@ from foliomill.functions import text as T
 COMMON = "the what who how why when where which does did are was were this that and for with about can you que qual quais quem como por porque quando onde uma umas uns dos das para com sobre isso esse essa este esta foi sao ser tem del los las una cual quien esto eso fue".split()
 
 
+#: Needles of one automaton.
+PART = 20_000
+
+
 def terms(col: Column) -> Column:
     """Folded words of three letters or digits or more."""
     return F.regexp_extract_all(T.fold(col), F.lit(r"([\p{L}\p{N}]{3,})"), 1)
@@ -48,22 +52,36 @@ def _first_places(needles: list[tuple[int, str]]):
     return run
 
 
-def search_blocks(blocks: DataFrame, queries: DataFrame) -> DataFrame:
+def search_blocks(blocks: DataFrame, queries: DataFrame, part: int = PART) -> DataFrame:
     """Blocks (doc_id, block_no, text) that hold a query (query_id, needle), without regard to case and accents, with the text around the first place.
 
-    ``queries`` is a stated set that the caller bounds: it goes to every task. Needles that are
-    null or empty find nothing. A block is folded once and read once, however many needles there are.
+    Queries are counted before they go out: each ``part`` of them is one automaton, dealt by hash, and blocks are read
+    once for each. Needles that are null or empty find nothing.
     """
     needles = queries.select(F.col("query_id").cast("long"), T.fold(F.col("needle")).alias("needle"), F.length("needle").alias("size")).filter("needle <> ''")
     folded = blocks.select("doc_id", "block_no", "text", T.fold(F.col("text")).alias("_folded"))
-    places = _first_places(sorted((r.query_id, r.needle) for r in needles.collect()))
-    hit = folded.mapInArrow(places, StructType([*folded.schema.fields[:-1], StructField("query_id", LongType()), StructField("at", IntegerType())]))
-    hit = hit.join(F.broadcast(needles.select("query_id", "size")), "query_id")  # the stated set
+    shape = StructType([*folded.schema.fields[:-1], StructField("query_id", LongType()), StructField("at", IntegerType())])
+    parts = max(1, -(-needles.count() // part))
+    hit = None
+    for k in range(parts):
+        own = needles.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == k)
+        found = folded.mapInArrow(_first_places(sorted((r.query_id, r.needle) for r in own.collect())), shape)  # about ``part`` needles
+        found = found.join(F.broadcast(own.select("query_id", "size")), "query_id")  # the same
+        hit = found if hit is None else hit.unionByName(found)
     at = F.col("at")
     before = F.substring("text", F.greatest(at - 70, F.lit(1)), F.least(at - 1, F.lit(70)))
     return hit.select("query_id", "doc_id", "block_no", before.alias("before"), F.substring("text", at, F.col("size")).alias("match"), F.substring("text", at + F.col("size"), F.lit(90)).alias("after"))
 
 
+def block_prefixes(blocks: DataFrame, size: int = 60) -> DataFrame:
+    """doc_id, block_no, block (its first characters) and dup, the earlier blocks of the document that begin alike.
+
+    Together they name a block of :func:`search_blocks` for a reader who knows the document's text alone.
+    """
+    rows = blocks.select("doc_id", "block_no", F.substring("text", 1, size).alias("block"))
+    return rows.withColumn("dup", (F.row_number().over(Window.partitionBy("doc_id", "block").orderBy("block_no")) - 1).cast("long"))
+
+
 def passage_terms(passages: DataFrame) -> DataFrame:
     """doc_id, passage_no, term, tf, df (passages of the document with the term) and n (its passages).
 

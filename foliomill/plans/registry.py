@@ -247,11 +247,23 @@ def build_toc(spark, sf):
     return html.build_toc(t.rich_pages(spark, sf))
 
 
-@query("html_blocks", t.sql("p") + f", b0 AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?is)<(?:p|li|h[1-6]|figcaption)\\b[^>]*>(.*?)</(?:p|li|h[1-6]|figcaption)>', 1), lambda x: {_COLLAPSE.format(_NOTAGS.format('x'))}), lambda x: x <> '') AS bs FROM p) SELECT page_id, unnest(range(1, len(bs) + 1))::INT AS block_no, unnest(bs) AS text FROM b0")
+_HTML_BLOCKS = t.sql("p") + f", b0 AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?is)<(?:p|li|h[1-6]|figcaption)\\b[^>]*>(.*?)</(?:p|li|h[1-6]|figcaption)>', 1), lambda x: {_COLLAPSE.format(_NOTAGS.format('x'))}), lambda x: x <> '') AS bs FROM p) SELECT page_id, unnest(range(1, len(bs) + 1))::INT AS block_no, unnest(bs) AS text FROM b0"
+
+
+@query("html_blocks", _HTML_BLOCKS)
 def html_blocks(spark, sf):
     return html.html_blocks(t.pages(spark, sf))
 
 
+@query("numbered_characters", _HTML_BLOCKS)
+def numbered_characters(spark, sf):
+    """The blocks of pages whose letters with accents are written by number, every other letter in hexadecimal."""
+    text = F.col("html")
+    for i, letter in enumerate("äöüßéèêñóíáçëî"):
+        text = F.replace(text, F.lit(letter), F.lit(f"&#{ord(letter)};" if i % 2 else f"&#x{ord(letter):X};"))
+    return html.html_blocks(t.pages(spark, sf).withColumn("html", text))
+
+
 @query("toc_tree", t.sql("pr") + f"""
 , {_HEADS}, k AS (SELECT page_id, i AS seq, level - min(level) OVER (PARTITION BY page_id) AS a, count(*) OVER (PARTITION BY page_id) AS n FROM h2)
 SELECT page_id, seq::INT AS seq, (seq + min(CASE WHEN seq = 1 THEN 0 ELSE a END - seq) OVER (PARTITION BY page_id ORDER BY seq))::INT AS depth FROM k WHERE n > 1""")
@@ -287,6 +299,15 @@ def usage_edges(spark, sf):
     return usage.usage_edges(t.hosts(spark, sf), t.referenced(spark, sf), t.HREF)
 
 
+@query("builder_edges", t.sql("p", "hosts", "refs", "edges") + "SELECT doc, host_id, status FROM edges")
+def builder_edges(spark, sf):
+    """The same edges, from pages of which two in three are kept in the JSON of a page builder."""
+    hosts = t.hosts(spark, sf)
+    part = F.struct(F.lit("a1").alias("id"), F.array(F.struct(F.struct(F.col("content").alias("html"), F.lit('a "b" \\ c').alias("note")).alias("settings"))).alias("elements"))
+    built = F.when(F.col("host_id") % 3 > 0, F.to_json(F.array(part)))
+    return usage.usage_edges(hosts.select("host_id", "status", F.when(built.isNull(), F.col("content")).alias("content"), built.alias("builder")), t.referenced(spark, sf), t.HREF)
+
+
 @query("hosts_of", t.sql("p", "hosts", "refs", "edges") + ", r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY (status <> 'publish')::INT, host_id) AS k FROM edges) SELECT doc, count(*) AS hosts, min_by(host_id, k) AS first_host, string_agg(host_id::VARCHAR, ', ' ORDER BY k) FILTER (k <= 5) AS first_hosts, greatest(count(*) - 5, 0) AS more FROM r WHERE k <= 100 GROUP BY doc")
 def hosts_of(spark, sf):
     return usage.hosts_of(usage_edges(spark, sf)).withColumn("first_hosts", F.array_join(F.col("first_hosts").cast("array<string>"), ", "))
@@ -371,6 +392,15 @@ def page_scores(spark, sf):
     return quality.page_scores(audit_pages(spark, sf))
 
 
+def _blocks(spark, sf):
+    return t.documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text")).select("doc_id", F.col("n").cast("long").alias("block_no"), "text")
+
+
+@query("block_prefixes", t.sql("d", "lines") + "SELECT doc_id, block_no, left(text, 60) AS block, row_number() OVER (PARTITION BY doc_id, left(text, 60) ORDER BY block_no) - 1 AS dup FROM rows")
+def block_prefixes(spark, sf):
+    return answers.block_prefixes(_blocks(spark, sf))
+
+
 @query("search_blocks", t.sql("d", "lines") + f""", n AS (SELECT item_id AS query_id, list_extract(string_split(text, ' '), 2) || ' ' || list_extract(string_split(text, ' '), 3) AS needle FROM benchmark WHERE len(string_split(text, ' ')) >= 3),
 n1 AS (SELECT query_id, needle, {_FOLD.format('needle')} AS low FROM n), b1 AS (SELECT *, {_FOLD.format('text')} AS low FROM rows),
 h AS (SELECT query_id, doc_id, block_no, text, instr(b1.low, n1.low) AS pos, length(needle) AS k FROM b1, n1 WHERE contains(b1.low, n1.low))
@@ -379,7 +409,7 @@ def search_blocks(spark, sf):
     """The query set: two words of every benchmark item."""
     words = F.split("text", " ")
     needles = t.table(spark, sf, "benchmark").filter(F.size(words) >= 3).select(F.col("item_id").alias("query_id"), F.concat_ws(" ", words[1], words[2]).alias("needle"))
-    blocks = t.documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text")).select("doc_id", F.col("n").cast("long").alias("block_no"), "text")
+    blocks = _blocks(spark, sf)
     return answers.search_blocks(blocks, needles)
 
 
