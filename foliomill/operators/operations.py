@@ -13,6 +13,8 @@ from foliomill.functions import text as T
 FORBIDDEN = "(?i)key|token|secret|password|authorization|content|text|html"
 #: File types read, and why others are refused.
 READ = ("pdf", "docx", "txt", "md", "markdown")
+#: Memory that reading a PDF takes, as a multiple of its size and in bytes besides, the smallest ceiling, and bytes of a text that are looked at.
+PDF_FACTOR, PDF_BASE, PDF_LEAST, HEAD = 5.5, 20 << 20, 2 << 20, 8_192
 REASONS = {"doc": "old word processor", "rtf": "old word processor", "odt": "old word processor", "xls": "spreadsheet", "xlsx": "spreadsheet", "ppt": "slides", "pptx": "slides", "epub": "ebook", "html": "html", "htm": "html", "png": "image", "jpg": "image"}
 
 
@@ -58,12 +60,27 @@ def stuck_jobs(steps: DataFrame, retries: int = 3) -> DataFrame:
     return runs.filter(F.col("retries") >= retries).select("job_id", "_run", "page", "retries").withColumnRenamed("_run", "run")
 
 
-def gate_files(files: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """One verdict for each file, the first that holds."""
-    ext = F.lower("ext")
+def pdf_ceiling(memory: int) -> int:
+    """Bytes of the largest PDF that can be read in ``memory`` bytes; 0 for none."""
+    return max(PDF_LEAST, int((memory - PDF_BASE) / PDF_FACTOR)) if memory > 0 else 0
+
+
+def gate_files(files: DataFrame, most: int = 2_000_000, memory: int = 0, allowed: tuple[str, ...] = READ) -> DataFrame:
+    """One verdict for each file (ext, size), the first that holds.
+
+    Empty, unsupported (with a reason), too large, a PDF over what ``memory`` bytes can read (0: no ceiling), a Markdown
+    file with a NUL in the first HEAD bytes of its ``head`` (where there is such a column; null: not read), a type that
+    isn't among those ``allowed``, or accepted.
+    """
+    given = F.lower("ext")
+    ext = F.when(given == "markdown", "md").otherwise(given)
     kinds = F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])
-    verdict = F.when(F.col("size") == 0, "empty").when(~ext.isin(*READ), F.concat(F.lit("unsupported: "), F.coalesce(F.try_element_at(kinds, ext), F.lit("other")))).when(F.col("size") > most, "too large").otherwise("accepted")
-    return files.withColumn("verdict", verdict)
+    verdict = F.when(F.col("size") == 0, "empty").when(~ext.isin(*READ), F.concat(F.lit("unsupported: "), F.coalesce(F.try_element_at(kinds, ext), F.lit("other")))).when(F.col("size") > most, "too large")
+    if ceiling := pdf_ceiling(memory):
+        verdict = verdict.when((ext == "pdf") & (F.col("size") > ceiling), "too large for memory")
+    if "head" in files.columns:
+        verdict = verdict.when((ext == "md") & F.hex(F.substring("head", 1, HEAD)).rlike("^(?:..)*?00"), "no text")
+    return files.withColumn("verdict", verdict.when(~ext.isin(*allowed), "disabled").otherwise("accepted"))
 
 
 def gate_batches(files: DataFrame, most: int = 20) -> DataFrame:

@@ -502,6 +502,18 @@ def gate_files(spark, sf):
     return operations.gate_files(_files(spark, sf), 1_000_000)
 
 
+@query("gate_contents", t.sql("d") + """, f AS (SELECT doc_id, (['pdf', 'docx', 'txt', 'md', 'MARKDOWN', 'odt', 'html', 'png'])[doc_id % 8 + 1] AS ext, n_chars * 3000 AS size, doc_id % 5 = 0 OR instr(text, 'a') > 300 AS nul FROM d)
+SELECT doc_id, CASE WHEN size = 0 THEN 'empty' WHEN ext = 'odt' THEN 'unsupported: old word processor' WHEN ext = 'html' THEN 'unsupported: html' WHEN ext = 'png' THEN 'unsupported: image' WHEN size > 40000000 THEN 'too large'
+  WHEN ext = 'pdf' AND size > 2097152 THEN 'too large for memory' WHEN ext IN ('md', 'MARKDOWN') AND nul THEN 'no text' WHEN ext = 'txt' THEN 'disabled' ELSE 'accepted' END AS verdict FROM f""")
+def gate_contents(spark, sf):
+    """Files in little memory, with a zero byte in some heads, where plain texts are turned off."""
+    ext = F.element_at(F.array(*map(F.lit, ("pdf", "docx", "txt", "md", "MARKDOWN", "odt", "html", "png"))), (F.col("doc_id") % 8 + 1).cast("int"))
+    nul = (F.col("doc_id") % 5 == 0) | (F.instr("text", "a") > 300)
+    head = F.concat(F.col("text").cast("binary"), F.lit(b"x"))
+    files = t.documents(spark, sf).select("doc_id", ext.alias("ext"), (F.col("n_chars") * 3000).alias("size"), F.when(nul, F.concat(F.lit(b"\x00"), head)).otherwise(head).alias("head"))
+    return operations.gate_files(files, 40_000_000, 30 << 20, ("pdf", "docx", "md")).select("doc_id", "verdict")
+
+
 def _files(spark, sf):
     ext = F.element_at(F.array(*map(F.lit, ("pdf", "docx", "txt", "md", "doc", "odt", "html", "png"))), (F.col("doc_id") % 8 + 1).cast("int"))
     return t.documents(spark, sf).select("doc_id", ext.alias("ext"), (F.col("n_chars") * 100).alias("size"), F.floor(F.col("doc_id") / 15).alias("batch_id"))
