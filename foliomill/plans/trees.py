@@ -1,10 +1,10 @@
-"""Trees of web pages."""
+"""Trees and details of web pages."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliomill.operators import tree
+from foliomill.operators import pagecheck, tree
 
 from . import tables as t
 from .registry import query
@@ -39,3 +39,12 @@ SELECT a.doc_id, a.node::INT AS node, a.tag, a.last::INT AS last, a.depth::INT A
 def document_tree(spark, sf):
     """Elements of web pages as intervals, with what is around them."""
     return tree.document_tree(t.pages(spark, sf).select(F.col("page_id").alias("doc_id"), "html"))
+
+
+@query("page_details")
+def page_details(spark, sf):
+    """Checks of pages that get cards and JSON-LD, some of it broken, by their number."""
+    n = F.col("page_id")
+    article = F.concat(F.lit('{"@type": "Article", "inLanguage": "en", "timeRequired": "PT'), n % 9, F.when(n % 5 == 0, " min").otherwise("M"), F.lit('", "author": {"name": "'), F.when(n % 7 == 0, "Admin").otherwise("A. Writer"), F.lit('"}, "accessibilityFeature": ["readingOrder"]'), F.when(n % 3 == 0, "").otherwise("}"))
+    script = F.concat(F.lit('<script type="application/ld+json">'), article, F.lit('</script><meta name="twitter:card" content="summary"></head>'))
+    return pagecheck.page_details(t.rich_pages(spark, sf).withColumn("html", F.replace("html", F.lit("</head>"), script)))
