@@ -253,6 +253,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
 
 def op8_ann_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of each query, every twentieth vec_id."""
     rows = table(spark, sf_dir, "embeddings")
     return search(rows, rows.filter(F.col("vec_id") % 20 == 0), 20)
 

@@ -183,6 +183,7 @@ def tokenizer_path() -> str:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document's tokens in sequences of 2,048."""
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), 2048)
 
 

@@ -186,6 +186,7 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
 
 
 def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document, learned from the labelled ones that aren't held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     network = learn(labelled_sample(docs, labels.filter(~held_out(4, 2)), "quality", SAMPLE))
     return score(docs, network).select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

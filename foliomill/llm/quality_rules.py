@@ -123,12 +123,14 @@ def ablations(rows: DataFrame, version: int) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements of every document, and whether the base rules and the policy keep it."""
     rows = apply_policy(ledger(table(spark, sf_dir, "documents")), 2)
     base = F.col("failures").bitwiseAND(mask(1)) != 0
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failures")
 
 
 def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule rejects alone and with the others, counted from the bits of all documents."""
     return ablations(ledger(table(spark, sf_dir, "documents")), 2)
 
 

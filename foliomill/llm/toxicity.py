@@ -147,6 +147,7 @@ def score(docs: DataFrame, lexicon: dict[str, float], weights: list[float], exce
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document, learned from the labelled ones that aren't held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     lexicon, weights = learn(labelled_sample(docs, labels.filter(~held_out(5, 0)), "toxic", SAMPLE))
     return score(docs, lexicon, weights).select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
