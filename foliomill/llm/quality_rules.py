@@ -130,7 +130,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each rule rejects alone and with the others, counted from the bits of all documents."""
+    """For each rule of the policy, how many documents fail it, and how many it alone rejects."""
     return ablations(ledger(table(spark, sf_dir, "documents")), 2)
 
 
