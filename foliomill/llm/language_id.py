@@ -29,6 +29,8 @@ from .common import held_out, names, slices, table, texts
 PROFILE = 400
 #: Labelled rows of a language that its profile is learned from, and the parts that a language's rows are dealt into to find them.
 SAMPLE, SALTS = 2_000, 64
+#: Languages whose bounds are sent to every task; more of them are joined in parts.
+SENT = 50_000
 
 
 @cache
@@ -76,8 +78,15 @@ def sampled(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
     first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("row"))
     few = keys.withColumn("place", first("lang", "salt")).filter(F.col("place") <= sample)
     last = few.withColumn("place", first("lang")).filter(F.col("place") <= sample).groupBy("lang").agg(F.max("row").alias("last"))
-    # One row a language goes out, so that texts stay where they are.
-    return named.join(last, "lang").filter("row <= last").groupBy("lang", "row").agg(F.min("text").alias("text")).select("lang", "text")
+    # One row a language comes here and goes out, as the profiles do; texts stay where they are.
+    ends = last.collect()
+    rows = labelled.sparkSession.createDataFrame([tuple(r) for r in ends], "lang string, last long")
+    if len(ends) <= SENT:
+        picked = named.join(F.broadcast(rows), "lang")
+    else:
+        salted = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        picked = named.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS))).join(salted, ["lang", "salt"])
+    return picked.filter("row <= last").groupBy("lang", "row").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 def learn_profiles(labelled: DataFrame, sample: int = SAMPLE, size: int = PROFILE) -> dict[str, list[int]]:

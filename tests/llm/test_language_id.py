@@ -1,6 +1,8 @@
 import random
 
+import pytest
 
+from foliomill.llm import language_id
 from foliomill.llm.language_id import PROFILE, Profiles, grams, identify, learn_profiles, ranked, sampled
 
 LABELLED = "doc_id long, text string, lang string"
@@ -28,7 +30,9 @@ def test_any_number_of_languages(spark):
     assert got == {i: f"x{i:03}" for i in range(301)}
 
 
-def test_a_hot_language_is_sampled_in_parts(spark):
+@pytest.mark.parametrize("sent", [50_000, 0])
+def test_a_hot_language_is_sampled_in_parts(spark, monkeypatch, sent):
+    monkeypatch.setattr(language_id, "SENT", sent)
     rows = [(i // 2, f"t{i // 2}", "en") for i in range(4_000)] + [(9_000 + i, f"u{i}", "de") for i in range(5)]
     got = sampled(spark.createDataFrame(rows, LABELLED).repartition(4), 100).collect()
     by_hash = spark.createDataFrame(rows, LABELLED).selectExpr("lang", "text", "xxhash64(doc_id, text) as row").distinct().collect()
