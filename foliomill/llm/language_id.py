@@ -84,7 +84,7 @@ def sampled(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
     if len(ends) <= SENT:
         picked = named.join(F.broadcast(rows), "lang")
     else:
-        salted = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        salted = rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         picked = named.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS))).join(salted, ["lang", "salt"])
     return picked.filter("row <= last").groupBy("lang", "row").agg(F.min("text").alias("text")).select("lang", "text")
 
