@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from foliomill.functions import text as T
 from foliomill.functions.lines import join_lines, join_two, mend
+from foliomill.functions.rows import each
 
 from . import structure
 
@@ -24,33 +26,38 @@ _LEADER_END = re.compile(T.LEADER + r"[ \t]*[0-9]{1,4}$")
 
 def _opens(line: str, above: str, in_item: bool) -> bool:
     """Whether a line starts a paragraph of its own under the text ``above``."""
-    if _BULLET.search(line):
+    if _BULLET.match(line):
         return True
-    if _ORDERED.search(line):
+    if _ORDERED.match(line):
         return in_item or len(above) <= LABEL
     return in_item and not line[:1].islower()
 
 
-def _paragraphs(lines: list[str], lang: str) -> list[str]:
+def _closes(above: str) -> bool:
+    """The end of a sentence, or the page number of a contents entry; a text is searched only if it may have one."""
+    if above[-1] in TERMINAL:
+        return True
+    return above[-1] in "0123456789" and above.rstrip("0123456789").rstrip(" \t")[-1:] in ("…", "_", ".") and _LEADER_END.search(above) is not None
+
+
+def _paragraphs(text: str, lang: str) -> list[tuple[str]]:
     out, above, in_item = [], "", False
-    for line in [*(mend(x.strip(), lang) for x in lines), ""]:
+    for line in [*(mend(x.strip(), lang or "") for x in text.split("\n")), ""]:
         if above and (not line or _opens(line, above, in_item)):
             out.append(above)
             above = ""
         if not line:
             continue
         if not above:
-            in_item = bool(_BULLET.search(line) or _ORDERED.search(line))
-        above = join_two(above, line, lang) if above else line
-        if above[-1] in TERMINAL or _LEADER_END.search(above):
+            in_item = bool(_BULLET.match(line) or _ORDERED.match(line))
+        above = join_two(above, line, lang or "") if above else line
+        if _closes(above):
             out.append(above)
             above = ""
-    return [" ".join(x.split()) for x in out]
+    return [(" ".join(x.split()),) for x in out]
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _rebuilt(text: pd.Series, lang: pd.Series) -> pd.Series:
-    return pd.Series([_paragraphs(t.split("\n"), c or "") for t, c in zip(text, lang)], dtype=object)
+_TEXT = StructType([StructField("text", StringType())])
 
 
 def rebuild_paragraphs(pages: DataFrame) -> DataFrame:
@@ -60,8 +67,9 @@ def rebuild_paragraphs(pages: DataFrame) -> DataFrame:
     marker of a list opens one. A null text has no paragraphs; a page is what one row holds.
     """
     lines = structure.rejoin_toc_breaks(pages.withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n")))
-    rows = lines.select("doc_id", "page_no", "lang", F.posexplode(_rebuilt("text", "lang")).alias("n", "text"))
-    return rows.select("doc_id", "page_no", (F.col("n") + 1).alias("block_no"), "text", "lang")
+    rows = lines.select("doc_id", "page_no", F.col("lang").alias("_lang"), "lang", "text")
+    rows = each(rows, ["text", "_lang"], _TEXT, _paragraphs, "block_no")
+    return rows.select("doc_id", "page_no", "block_no", "text", "lang")
 
 
 def stitch_pages(blocks: DataFrame) -> DataFrame:
@@ -112,24 +120,58 @@ def confirm_lists(items: DataFrame) -> DataFrame:
     return rows.join(good, list(key)).select(*items.columns, "list_no")
 
 
-def _outlined(blocks: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+def _outlined(blocks: list[tuple[str, str]], entries: list[tuple[str, int]]) -> list[tuple[str, int | None, str]]:
     """One page: each entry, in order, takes its title off the first paragraph from the cursor on that starts with it."""
     flat = lambda x: " ".join(x.split())
-    rows = [(kind, None, text) for kind, text in blocks.sort_values("block_no")[["kind", "text"]].itertuples(index=False)]
-    cursor, key = 0, blocks if len(blocks) else entries
-    for title, level in entries.sort_values("entry_no")[["title", "level"]].itertuples(index=False):
-        heading, name = ("h", level, title), flat(title).lower()
-        at = next((i for i in range(cursor, len(rows)) if rows[i][0] == "p" and flat(rows[i][2]).lower().startswith(name)), None)
+    row = lambda kind, level, text: (kind, level, text, (even := flat(text)), even.lower())
+    rows, cursor = [row(kind, None, text) for kind, text in blocks], 0
+    for title, level in entries:
+        heading, name = row("h", level, title), flat(title).lower()
+        at = next((i for i in range(cursor, len(rows)) if rows[i][0] == "p" and rows[i][4].startswith(name)), None)
         if at is None:
             rows.insert(cursor, heading)
             cursor += 1
             continue
-        rest = flat(rows[at][2])[len(name) :].strip()
-        rows[at : at + 1] = [heading, *([("p", None, rest)] if rest else [])]
+        rest = rows[at][3][len(name) :].strip()
+        rows[at : at + 1] = [heading, *([row("p", None, rest)] if rest else [])]
         cursor = at + 1
-    out = pd.DataFrame(rows, columns=["kind", "level", "text"])
-    out["level"] = out["level"].astype("Int32")
-    return out.assign(doc_id=key["doc_id"].iloc[0], page_no=key["page_no"].iloc[0], block_no=range(1, len(out) + 1))[["doc_id", "page_no", "block_no", "kind", "level", "text"]]
+    return [x[:3] for x in rows]
+
+
+_OUTLINED = {"doc_id": pa.int64(), "page_no": pa.int64(), "block_no": pa.int64(), "kind": pa.string(), "level": pa.int32(), "text": pa.string()}
+#: Rows of the batches that go back.
+_ROWS = 4_096
+
+
+def _outlined_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks, then entries, of page after page; only the page at hand is kept between batches."""
+    made, page, blocks, entries = [], None, [], []
+
+    def close() -> None:
+        if page is not None:
+            made.extend((*page, n, *x) for n, x in enumerate(_outlined(blocks, entries), 1))
+            blocks.clear(), entries.clear()
+
+    def batch_of() -> pa.RecordBatch:
+        columns = zip(*made) if made else [()] * len(_OUTLINED)
+        out = pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, _OUTLINED.values())], list(_OUTLINED))
+        made.clear()
+        return out
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS):
+            for doc, number, entry, kind, level, text in zip(*(c.to_pylist() for c in batch.slice(at, _ROWS).columns)):
+                if (doc, number) != page:
+                    close()
+                    page = doc, number
+                    if len(made) >= _ROWS:
+                        yield batch_of()
+                if entry:
+                    entries.append((text, level))
+                else:
+                    blocks.append((kind, text))
+    close()
+    yield batch_of()
 
 
 def merge_outline(blocks: DataFrame, outline: DataFrame) -> DataFrame:
@@ -137,12 +179,13 @@ def merge_outline(blocks: DataFrame, outline: DataFrame) -> DataFrame:
 
     ``blocks`` are doc_id, page_no, block_no, kind and text, ``outline`` doc_id, page_no, entry_no, title and level.
     A title that no paragraph starts with is put in where the entry before it stands. Null texts count as empty; a page
-    is what meets in one task.
+    is what meets in one task. Pages come in Spark's order, one after the other.
     """
-    rows = blocks.select("doc_id", "page_no", "block_no", "kind", F.coalesce("text", F.lit("")).alias("text"))
-    entries = outline.select("doc_id", "page_no", "entry_no", F.coalesce("title", F.lit("")).alias("title"), F.col("level").cast("int").alias("level"))
-    shape = "doc_id long, page_no long, block_no long, kind string, level int, text string"
-    return rows.groupBy("doc_id", "page_no").cogroup(entries.groupBy("doc_id", "page_no")).applyInPandas(_outlined, shape)
+    page = [F.col("doc_id").cast("long").alias("doc_id"), F.col("page_no").cast("long").alias("page_no")]
+    rows = blocks.select(*page, F.lit(False).alias("entry"), F.col("block_no").cast("long").alias("n"), "kind", F.lit(None).cast("int").alias("level"), F.coalesce("text", F.lit("")).alias("text"))
+    entries = outline.select(*page, F.lit(True).alias("entry"), F.col("entry_no").cast("long").alias("n"), F.lit(None).cast("string").alias("kind"), F.col("level").cast("int").alias("level"), F.coalesce("title", F.lit("")).alias("text"))
+    both = rows.unionByName(entries).repartition("doc_id", "page_no").sortWithinPartitions("doc_id", "page_no", "entry", F.asc_nulls_last("n"), "kind", "level", "text").drop("n")
+    return both.mapInArrow(_outlined_pages, "doc_id long, page_no long, block_no long, kind string, level int, text string")
 
 
 def keep_reordered_text(pages: DataFrame, share: float = 0.9, probes: int = 5, text: int = 200) -> DataFrame:

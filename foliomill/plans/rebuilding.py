@@ -15,7 +15,7 @@ PAGE = 40
 
 def _pages(spark, sf):
     """Documents as pages of PAGE lines, in two languages; every twentieth space is a break after a hyphen."""
-    lines = F.split(F.regexp_replace("text", r"((?:\S+ ){19}\S+?)(\S{2}) ", "$1-\n$2 "), "\n")
+    lines = F.split(F.regexp_replace("text", r"(?<!\S)((?:\S++ ){19}+\S+?)(\S{2}) ", "$1-\n$2 "), "\n")
     rows = t.documents(spark, sf).select("doc_id", F.when(F.col("lang") == "en", "en").otherwise("pt").alias("lang"), lines.alias("lines"))
     pages = F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / PAGE).cast("int")), lambda i: F.array_join(F.slice("lines", i * PAGE + 1, PAGE), "\n"))
     return rows.select("doc_id", "lang", F.posexplode(pages).alias("page_no", "text"))
@@ -39,7 +39,7 @@ def join_cut_words(spark, sf):
     from foliomill.functions.lines import join_cut_words as mend
 
     docs = t.documents(spark, sf)
-    cut = F.regexp_replace("text", r"((?:\S+ ){9}\S{2,}?)(\S{2}) ", "$1- $2 ")
+    cut = F.regexp_replace("text", r"(?<!\S)((?:\S++ ){9}+\S{2,}?)(\S{2}) ", "$1- $2 ")
     return docs.select("doc_id", mend(cut, F.when(F.col("lang") == "en", "en").otherwise("pt")).alias("text"))
 
 
