@@ -89,8 +89,8 @@ def gate_batches(files: DataFrame, most: int = 20) -> DataFrame:
 
 
 def decorative_filter(images: DataFrame, least: int = 32) -> DataFrame:
-    """Without images under ``least`` pixels on a side, and without those seen on an earlier place of the document."""
-    n = F.row_number().over(Window.partitionBy("doc_id", "md5").orderBy("ord"))
+    """Without images under ``least`` pixels on a side, and without those seen on an earlier place of the document; of several on one place, the narrowest and lowest."""
+    n = F.row_number().over(Window.partitionBy("doc_id", "md5").orderBy("ord", "w", "h"))
     return images.filter((F.col("w") >= least) & (F.col("h") >= least)).withColumn("_n", n).filter("_n = 1").drop("_n")
 
 
