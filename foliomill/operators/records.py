@@ -130,9 +130,14 @@ def trim_answers(answers: DataFrame, current: DataFrame, size: int = 100) -> Dat
 
 
 def allowed_terms(docs: DataFrame, allowed: DataFrame) -> DataFrame:
-    """doc_id, taxonomy and term: ``terms`` cut at commas, trimmed, distinct, only taxonomies that the row's type allows."""
-    words = F.filter(F.transform(F.split("terms", ","), T.collapse), lambda x: x != "")
-    return docs.join(allowed, ["type", "taxonomy"], "left_semi").select("doc_id", "taxonomy", F.explode(F.array_distinct(words)).alias("term")).distinct()
+    """doc_id, taxonomy and term: ``terms`` cut at commas, trimmed, distinct, only taxonomies that the row's type allows.
+
+    The rows of a document and taxonomy meet as texts and are cut afterwards, so that no table of all terms is held.
+    """
+    rows = docs.join(allowed, ["type", "taxonomy"], "left_semi").select("doc_id", "taxonomy", "terms")
+    texts = rows.repartition("doc_id", "taxonomy").groupBy("doc_id", "taxonomy").agg(F.collect_list("terms").alias("terms"))
+    words = F.filter(F.transform(F.flatten(F.transform("terms", lambda x: F.split(x, ","))), T.collapse), lambda x: x != "")
+    return texts.select("doc_id", "taxonomy", F.explode(F.array_distinct(words)).alias("term"))
 
 
 def search_page(hits: DataFrame, offset: int, size: int = 20) -> DataFrame:
