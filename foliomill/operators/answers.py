@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from foliomill.functions import text as T
+from foliomill.functions.rows import each
 
 #: Words that say nothing about a question.
 COMMON = "the what who how why when where which does did are was were this that and for with about can you que qual quais quem como por porque quando onde uma umas uns dos das para com sobre isso esse essa este esta foi sao ser tem del los las una cual quien esto eso fue".split()
@@ -82,14 +84,24 @@ def block_prefixes(blocks: DataFrame, size: int = 60) -> DataFrame:
     return rows.withColumn("dup", (F.row_number().over(Window.partitionBy("doc_id", "block").orderBy("block_no")) - 1).cast("long"))
 
 
+def _passage_terms(passages: list[dict]) -> list[tuple]:
+    """(term, passage_no, tf, df, n) of one document."""
+    counts: dict[object, Counter] = {}
+    for p in passages:
+        counts.setdefault(p["passage_no"], Counter()).update(p["terms"] or ())
+    df = Counter(term for own in counts.values() for term in own)
+    return [(term, no, tf, df[term], len(passages)) for no, own in counts.items() for term, tf in own.items()]
+
+
 def passage_terms(passages: DataFrame) -> DataFrame:
     """doc_id, passage_no, term, tf, df (passages of the document with the term) and n (its passages).
 
-    The passages of a document meet once; what is counted of them needs no further shuffle.
+    The passages of a document meet once, as they are; its terms are counted one document after the other.
     """
-    rows = passages.select("doc_id", "passage_no", "text").repartition("doc_id").withColumn("n", F.count("*").over(Window.partitionBy("doc_id")))
-    tf = rows.select("doc_id", "passage_no", "n", F.explode(terms(F.col("text"))).alias("term")).groupBy("doc_id", "passage_no", "term").agg(F.count("*").alias("tf"), F.max("n").alias("n"))
-    return tf.withColumn("df", F.count("*").over(Window.partitionBy("doc_id", "term"))).select("doc_id", "term", "passage_no", "tf", "df", "n")
+    held = F.collect_list(F.struct("passage_no", terms(F.col("text")).alias("terms"))).alias("passages")
+    rows = passages.select("doc_id", "passage_no", "text").repartition("doc_id").groupBy("doc_id").agg(held)
+    made = StructType([StructField("term", StringType()), StructField("passage_no", passages.schema["passage_no"].dataType), *(StructField(c, LongType()) for c in ("tf", "df", "n"))])
+    return each(rows, ["passages"], made, _passage_terms, "number").drop("number")
 
 
 def rank_passages(questions: DataFrame, found: DataFrame) -> DataFrame:
