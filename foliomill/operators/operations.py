@@ -97,12 +97,14 @@ def decorative_filter(images: DataFrame, least: int = 32) -> DataFrame:
 def fragment_images(images: DataFrame, side: int = 100, near: int = 2, least: int = 3) -> DataFrame:
     """doc_id, w and h of small image sizes with ``least`` distinct images within ``near`` pixels both ways.
 
-    Each count is sent to the sizes around it, so that the band join is a sum by key.
+    The images of a document meet once. Each count is sent to the widths around its own, where a range of heights adds
+    it up, so that the band join is a window.
     """
-    sizes = images.filter((F.col("w") <= side) & (F.col("h") <= side)).select("doc_id", "md5", "w", "h").distinct().groupBy("doc_id", "w", "h").agg(F.count("*").alias("c"))
-    around = F.sequence(F.lit(-near), F.lit(near))
-    sent = sizes.select("doc_id", "w", "h", "c", F.explode(around).alias("dw")).select("doc_id", (F.col("w") + F.col("dw")).alias("w"), "h", "c", F.explode(around).alias("dh")).select("doc_id", "w", (F.col("h") + F.col("dh")).alias("h"), "c")
-    return sent.groupBy("doc_id", "w", "h").agg(F.sum("c").alias("c")).filter(F.col("c") >= least).join(sizes.drop("c"), ["doc_id", "w", "h"], "left_semi").select("doc_id", "w", "h", "c")
+    rows = images.filter((F.col("w") <= side) & (F.col("h") <= side)).select("doc_id", "md5", "w", "h").repartition("doc_id")
+    sizes = rows.distinct().groupBy("doc_id", "w", "h").agg(F.count("*").alias("c"))
+    sent = sizes.select("doc_id", "w", "h", "c", F.explode(F.sequence(F.lit(-near), F.lit(near))).alias("_off")).withColumn("w", F.col("w") + F.col("_off"))
+    around = F.sum("c").over(Window.partitionBy("doc_id", "w").orderBy("h").rangeBetween(-near, near))
+    return sent.withColumn("c", around).filter((F.col("_off") == 0) & (F.col("c") >= least)).select("doc_id", "w", "h", "c")
 
 
 def live_highlights(marks: DataFrame, least: int = 4) -> DataFrame:
