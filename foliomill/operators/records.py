@@ -52,13 +52,14 @@ def clean_metadata(raw: DataFrame) -> DataFrame:
     line = lambda c, most: F.substring(T.collapse(T.no_tags(c)), 1, most)
     given = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
     author, language = line(given("author"), 120), F.trim(given("language"))
-    words = F.filter(F.transform(F.split(given("keywords"), "[;,\n]+"), lambda x: line(x, 60)), lambda x: x != "")
-    # A fold that stops taking words at ten: (words, the same in lower case).
+    words = F.split(given("keywords"), "[;,\n]+")
+    # A fold that stops cleaning and taking words at ten: (words, the same in lower case).
     start = F.struct(F.array().cast("array<string>").alias("w"), F.array().cast("array<string>").alias("low"))
     taken = lambda acc, x: F.struct(F.array_append(acc["w"], x).alias("w"), F.array_append(acc["low"], F.lower(x)).alias("low"))
-    distinct = F.aggregate(words, start, lambda acc, x: F.when((F.size(acc["w"]) >= 10) | F.array_contains(acc["low"], F.lower(x)), acc).otherwise(taken(acc, x)), lambda acc: acc["w"])
-    return raw.withColumns(
-        {"author": F.when(F.lower(author).isin(*PLACEHOLDERS), "").otherwise(author), "subject": line(given("subject"), 300), "keywords": distinct, "language": F.when(language.rlike(LANGUAGE_TAG), language).otherwise("")}
+    once = lambda acc, word: F.transform(F.array(line(word, 60)), lambda x: F.when((x == "") | F.array_contains(acc["low"], F.lower(x)), acc).otherwise(taken(acc, x)))[0]
+    distinct = F.aggregate(words, start, lambda acc, x: F.when(F.size(acc["w"]) >= 10, acc).otherwise(once(acc, x)), lambda acc: acc["w"])
+    return raw.withColumn("author", author).withColumns(
+        {"author": F.when(F.lower("author").isin(*PLACEHOLDERS), "").otherwise(F.col("author")), "subject": line(given("subject"), 300), "keywords": distinct, "language": F.when(language.rlike(LANGUAGE_TAG), language).otherwise("")}
     )
 
 
