@@ -19,12 +19,14 @@ def runs(spark, sf):
 
     The stream goes across the columns, but in every third document down them; every other page is upside down.
     """
-    whole = t.documents(spark, sf).select("doc_id", T.collapse(F.col("text")).alias("whole"))
-    last = F.floor((F.length("whole") - 1) / LINE).cast("int")
-    rows = whole.select("doc_id", "whole", last.alias("last"), F.explode(F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).alias("n")).filter("last >= 0")
-    rows = rows.select("doc_id", "n", F.trim(F.substring("whole", F.col("n") * LINE + 1, F.lit(LINE))).alias("text"), (F.col("last") + 1).alias("all"))
-    many = F.least(F.lit(SHEET), F.col("all") - F.col("page_no") * SHEET)
-    rows = rows.withColumn("page_no", F.floor(F.col("n") / SHEET)).withColumn("at", F.col("n") % SHEET).withColumn("half", F.ceil(many / 2))
+    size = LINE * SHEET
+    whole = t.documents(spark, sf).select("doc_id", T.collapse(F.col("text")).alias("whole")).filter("whole <> ''")
+    # Pages are cut first, so that a line is no row with its whole document.
+    sheets = F.transform(F.sequence(F.lit(0), F.floor((F.length("whole") - 1) / size).cast("int")), lambda p: F.substring(F.col("whole"), p * size + 1, F.lit(size)))
+    rows = whole.select("doc_id", F.posexplode(sheets).alias("page_no", "sheet"))
+    last = F.floor((F.length("sheet") - 1) / LINE).cast("int")
+    lines = F.transform(F.sequence(F.lit(0), last), lambda n: F.trim(F.substring(F.col("sheet"), n * LINE + 1, F.lit(LINE))))
+    rows = rows.select("doc_id", F.col("page_no").cast("long").alias("page_no"), F.ceil((last + 1) / 2).alias("half"), F.posexplode(lines).alias("at", "text"))
     right = (F.col("at") >= F.col("half")).cast("int")
     row = F.col("at") - right * F.col("half")
     order = F.when(F.col("doc_id") % 3 == 0, F.col("at")).otherwise(2 * row + right)
