@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 #: Elements without content, elements that may hold loose text, and inline elements.
 VOID = "area base br col embed hr img input link meta source track wbr".split()
@@ -18,25 +24,55 @@ _TOKEN = r"(?s)<!--.*?-->|<[sS][cC][rR][iI][pP][tT]\b.*?</[sS][cC][rR][iI][pP][t
 SHELTER, OPEN_AIR = "\u0001", "\u0002"
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, pos (from 0), token, tag, and what it does: ``step`` is 1 for a start, -1 for an end that has one, else 0.
-
-    Comments, scripts and styles have no tag; neither have texts.
-    """
-    rows = docs.select("doc_id", F.posexplode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_TOKEN), 0)).alias("pos", "token"))
+def _tagged(docs: DataFrame) -> DataFrame:
+    """doc_id, final (the number of the last token), pos (from 0), token, tag, and way: 1 for a start, -1 for an end, else 0."""
+    found = docs.select("doc_id", F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_TOKEN), 0).alias("tokens"))
+    rows = found.select("doc_id", (F.size("tokens") - 1).alias("final"), F.posexplode("tokens").alias("pos", "token"))
     rows = rows.withColumn("tag", F.when(F.col("token").rlike(r"(?i)^<(?:script|style)\b"), "").otherwise(F.lower(F.regexp_extract("token", r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1))))
     alone = F.col("tag").isin(*VOID) | F.col("token").endswith("/>")
-    way = F.when((F.col("tag") == "") | alone, 0).when(F.col("token").startswith("</"), -1).otherwise(1)
+    return rows.withColumn("way", F.when((F.col("tag") == "") | alone, 0).when(F.col("token").startswith("</"), -1).otherwise(1))
+
+
+def _stepped(rows: DataFrame) -> DataFrame:
+    """Tags with their step, 1 for a start, -1 for an end that has one, else 0, and the level of their kind."""
     order = Window.partitionBy("doc_id", "tag").orderBy("pos")
-    rows = rows.withColumn("way", way).withColumn("balance", F.sum("way").over(order))
+    rows = rows.withColumn("balance", F.sum("way").over(order))
     # An end without a start takes the balance to a new low.
     low = F.least(F.lit(0), F.coalesce(F.min("balance").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rows = rows.withColumn("low", low).withColumn("step", F.when((F.col("way") < 0) & (F.col("balance") < F.col("low")), 0).otherwise(F.col("way")))
-    return rows.select("doc_id", "pos", "token", "tag", "step", (F.col("balance") - F.least("low", "balance") + F.when(F.col("step") < 0, 1).otherwise(0)).alias("level"))
+    return rows.withColumn("level", F.col("balance") - F.least("low", "balance") + F.when(F.col("step") < 0, 1).otherwise(0)).drop("way", "balance", "low")
 
 
-def _ends_paragraph() -> Column:
-    return (F.col("tag").isin(*ENDS_P) & ~F.col("token").startswith("</")) | (F.col("token").startswith("</") & (F.col("tag") != "") & ~F.col("tag").isin(*INLINE))
+def tokens(docs: DataFrame) -> DataFrame:
+    """doc_id, pos (from 0), token, tag, and what it does: ``step`` is 1 for a start, -1 for an end that has one, else 0.
+
+    Comments, scripts and styles have no tag; neither have texts.
+    """
+    return _stepped(_tagged(docs)).select("doc_id", "pos", "token", "tag", "step", "level")
+
+
+def _ends_paragraph(ends: Column) -> Column:
+    return (F.col("tag").isin(*ENDS_P) & ~ends) | (ends & (F.col("tag") != "") & ~F.col("tag").isin(*INLINE))
+
+
+def _nested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes of one document after the other, in their order, with their depth and parent; what is open in the document at hand is kept."""
+    doc, lasts, above = None, [], defaultdict(list)
+    for batch in batches:
+        depths, parents = [], []
+        for of, node, last in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "node", "last"))):
+            if of != doc:
+                doc, lasts, above = of, [], defaultdict(list)
+            while lasts and lasts[0] < node:
+                heappop(lasts)
+            depth, outer = len(lasts), above[len(lasts) - 1]
+            while outer and outer[-1][1] < node:
+                outer.pop()
+            depths.append(depth)
+            parents.append(outer[-1][0] if outer else None)
+            above[depth].append((node, last))
+            heappush(lasts, last)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(depths, pa.int32()), pa.array(parents, pa.int32())], [*batch.schema.names, "depth", "parent"])
 
 
 def document_tree(docs: DataFrame) -> DataFrame:
@@ -46,31 +82,30 @@ def document_tree(docs: DataFrame) -> DataFrame:
     around it, null at depth 0. A paragraph ends before the next block or at the end of one, an item before the next
     one of its list or at the list's end; another element without
     an end goes on to the end of the document, an inline one to the next start or end of a block. Ends without a start and
-    tags without content are no elements. A null document has none.
+    tags without content are no elements. A null document has none. Documents move once, as tags without their text.
     """
-    rows = tokens(docs)
-    pair, order = Window.partitionBy("doc_id", "tag", "level").orderBy("pos"), Window.partitionBy("doc_id").orderBy("pos")
-    after = order.rowsBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumn("end", F.when((F.col("step") == 1) & (F.lead("step").over(pair) == -1), F.lead("pos").over(pair)))
-    block_end = F.min(F.when(_ends_paragraph(), F.struct("pos", ((F.col("tag") == "p") & (F.col("step") == -1)).alias("own")))).over(after)
-    final = F.max("pos").over(Window.partitionBy("doc_id"))
-    # An item ends with the next item of its list, or with the list.
+    ends = F.col("token").startswith("</")
+    rows = _tagged(docs).filter("tag <> ''").select("doc_id", "final", "pos", "tag", "way", ends.alias("ends"))
+    # By its number, so that partitions aren't merged into few large ones, of which a task would hold every order.
+    rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    pair = Window.partitionBy("doc_id", "tag", "level", F.col("step") == 0).orderBy("pos")
+    rows = _stepped(rows).withColumn("end", F.when((F.col("step") == 1) & (F.lead("step").over(pair) == -1), F.lead("pos").over(pair)))
+    # From the end of the document: the next edge of a block, and the lists that are open, counted from those at the end.
+    later = Window.partitionBy("doc_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    edge = lambda x: F.last(F.when(_ends_paragraph(F.col("ends")), x), ignorenulls=True).over(later)
     listed = F.col("tag").isin("ul", "ol")
-    rows = rows.withColumns({"stop": block_end, "final": final, "lists": F.sum(F.when(listed, F.col("step")).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    rows = rows.withColumns({"stop": edge(F.col("pos")), "own": edge((F.col("tag") == "p") & (F.col("step") == -1)), "lists": -F.coalesce(F.sum(F.when(listed, F.col("step")).otherwise(0)).over(later), F.lit(0))})
+    # An item ends with the next item of its list, or with the list.
     of = F.when(F.col("tag") == "li", F.col("lists")).when(listed & (F.col("step") == -1), F.col("lists") + 1)
     own = Window.partitionBy("doc_id", of).orderBy("pos")
-    closed = (F.lead("tag").over(own) == "li") & F.lead("token").over(own).startswith("</")
+    closed = (F.lead("tag").over(own) == "li") & F.lead("ends").over(own)
     rows = rows.withColumn("item", F.lead("pos").over(own) - F.when(closed, 0).otherwise(1))
-    cut = F.when(F.col("stop").isNull(), F.col("final")).when(F.col("stop.own"), F.col("stop.pos")).otherwise(F.col("stop.pos") - 1)
-    last = F.when(F.col("tag") == "p", cut).when(F.col("tag") == "li", F.coalesce("item", "final")).otherwise(F.coalesce("end", F.when(F.col("tag").isin(*INLINE), F.coalesce(F.col("stop.pos") - 1, F.col("final"))).otherwise(F.col("final"))))
-    nodes = rows.filter("step = 1").select("doc_id", F.col("pos").alias("node"), "tag", last.cast("int").alias("last"))
-    # Starts and ends in one order: what is open at a start is its depth.
-    events = nodes.select("doc_id", F.col("node").alias("at"), F.lit(1).alias("opens"), "node", "tag", "last").unionByName(nodes.select("doc_id", (F.col("last") + 1).alias("at"), F.lit(-1).alias("opens"), F.lit(None).cast("int").alias("node"), F.lit(None).cast("string").alias("tag"), F.lit(None).cast("int").alias("last")))
-    depth = F.sum("opens").over(Window.partitionBy("doc_id").orderBy("at", "opens", "node").rowsBetween(Window.unboundedPreceding, 0)) - 1
-    deep = events.withColumn("depth", depth.cast("int")).filter("opens = 1").select("doc_id", "node", "tag", "last", "depth")
-    around = deep.select(F.col("doc_id").alias("_doc"), F.col("node").alias("_node"), F.col("last").alias("_last"), (F.col("depth") + 1).alias("_depth"))
-    inside = (F.col("doc_id") == F.col("_doc")) & (F.col("depth") == F.col("_depth")) & (F.col("node") > F.col("_node")) & (F.col("node") <= F.col("_last"))
-    return deep.join(around, inside, "left").groupBy("doc_id", "node", "tag", "last", "depth").agg(F.max("_node").alias("parent"))
+    before = F.coalesce(F.col("stop") - 1, F.col("final"))
+    cut = F.when(F.col("own"), F.col("stop")).otherwise(before)
+    last = F.when(F.col("tag") == "p", cut).when(F.col("tag") == "li", F.coalesce("item", "final")).otherwise(F.coalesce("end", F.when(F.col("tag").isin(*INLINE), before).otherwise(F.col("final"))))
+    nodes = rows.filter("step = 1").select("doc_id", F.col("pos").alias("node"), "tag", last.cast("int").alias("last")).sortWithinPartitions("doc_id", "node")
+    shape = StructType([StructField(f.name, f.dataType) for f in nodes.schema] + [StructField("depth", IntegerType()), StructField("parent", IntegerType())])
+    return nodes.mapInArrow(_nested, shape)
 
 
 def sheltered(docs: DataFrame) -> DataFrame:
@@ -81,7 +116,7 @@ def sheltered(docs: DataFrame) -> DataFrame:
     rows = tokens(docs.withColumn("html", F.translate(F.coalesce("html", F.lit("")), SHELTER + OPEN_AIR, "")))
     order = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     inside = lambda test: F.coalesce(F.sum(F.when(test, F.col("step")).otherwise(0)).over(order), F.lit(0)) > 0
-    paragraph = F.coalesce(F.last(F.when((F.col("tag") == "p") & (F.col("step") == 1), True).when(_ends_paragraph(), False), ignorenulls=True).over(order), F.lit(False))
+    paragraph = F.coalesce(F.last(F.when((F.col("tag") == "p") & (F.col("step") == 1), True).when(_ends_paragraph(F.col("token").startswith("</")), False), ignorenulls=True).over(order), F.lit(False))
     other = (F.col("tag") != "") & ~F.col("tag").isin("p", *HEADINGS, *CONTAINERS, *INLINE, *WRAPPERS)
     hidden = (F.col("tag") == "") & ~F.col("token").startswith("<") & inside(other) & ~inside(F.col("tag").isin(*HEADINGS)) & ~paragraph
     rows = rows.withColumn("part", F.when(hidden, F.concat(F.lit(SHELTER), "token", F.lit(OPEN_AIR))).otherwise(F.col("token")))
