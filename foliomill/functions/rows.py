@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 #: Bytes of the rows that are Python objects at a time.
 SLICE = 1 << 20
@@ -27,6 +27,20 @@ def mapped(function: Callable, *columns: pa.Array) -> pa.Array:
     return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
+def changed(rows: DataFrame, column: str, given: list[str], function: Callable) -> DataFrame:
+    """The rows, with the strings in ``column`` that ``function`` makes of the columns ``given``; they go back slice by slice."""
+    at, names = rows.columns.index(column), rows.columns
+    shape = StructType([StructField(f.name, StringType() if f.name == column else f.dataType) for f in rows.schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                made = pa.array(list(map(function, *(part.column(c).to_pylist() for c in given))), pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[:at], made, *part.columns[at + 1 :]], names)
+
+    return rows.mapInArrow(run, shape)
+
+
 def each(rows: DataFrame, given: list[str], made: StructType, function: Callable, number: str) -> DataFrame:
     """A row for every tuple (of columns ``made``) that ``function`` makes of the columns ``given`` of a row.
 

@@ -36,11 +36,11 @@ def stitch_pages(spark, sf):
 @query("join_cut_words")
 def join_cut_words(spark, sf):
     """Texts with a hyphen and a space in every tenth word or so."""
-    from foliomill.functions.lines import join_cut_words as mend
+    from foliomill.functions.lines import with_cut_words_joined
 
     docs = t.documents(spark, sf)
     cut = F.regexp_replace("text", r"(?<!\S)((?:\S++ ){9}+\S{2,}?)(\S{2}) ", "$1- $2 ")
-    return docs.select("doc_id", mend(cut, F.when(F.col("lang") == "en", "en").otherwise("pt")).alias("text"))
+    return with_cut_words_joined(docs.select("doc_id", cut.alias("text"), F.when(F.col("lang") == "en", "en").otherwise("pt").alias("lang"))).drop("lang")
 
 
 @query("join_lines", t.sql("d", "lines") + r"""
