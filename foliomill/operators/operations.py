@@ -88,9 +88,9 @@ def gate_batches(files: DataFrame, most: int = 20) -> DataFrame:
     return files.groupBy("batch_id").agg(F.count("*").alias("received"), F.max("expected").alias("expected")).withColumn("taken", (F.col("received") >= F.col("expected")) & (F.col("received") <= most))
 
 
-def decorative_filter(images: DataFrame, least: int = 32) -> DataFrame:
-    """Without images under ``least`` pixels on a side, and without those seen on an earlier place of the document; of several on one place, the narrowest and lowest."""
-    n = F.row_number().over(Window.partitionBy("doc_id", "md5").orderBy("ord", "w", "h"))
+def decorative_filter(images: DataFrame, least: int = 32, ties: tuple[str, ...] = ("w", "h")) -> DataFrame:
+    """Without images under ``least`` pixels on a side, and without those seen on an earlier place of the document; of several on one place, the first by the columns ``ties``."""
+    n = F.row_number().over(Window.partitionBy("doc_id", "md5").orderBy("ord", *ties))
     return images.filter((F.col("w") >= least) & (F.col("h") >= least)).withColumn("_n", n).filter("_n = 1").drop("_n")
 
 

@@ -526,7 +526,9 @@ def gate_batches(spark, sf):
 
 @query("decorative_filter", t.sql("images") + "SELECT doc_id, ord, md5, w, h FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, md5 ORDER BY ord) AS n FROM images WHERE w >= 32 AND h >= 32) WHERE n = 1")
 def decorative_filter(spark, sf):
-    return operations.decorative_filter(t.images(spark, sf))
+    """Order lines as images; of several on one place, the one that stands first in the table."""
+    ties = ("file_path", "row_index")
+    return operations.decorative_filter(t.images(spark, sf, *t.PLACE), ties=ties).drop(*ties)
 
 
 @query("fragment_images", t.sql("images") + ", s AS (SELECT doc_id, w, h, count(DISTINCT md5) AS c FROM images WHERE w <= 100 AND h <= 100 GROUP BY ALL) SELECT a.doc_id, a.w, a.h, sum(b.c)::BIGINT AS c FROM s a JOIN s b ON a.doc_id = b.doc_id AND abs(a.w - b.w) <= 2 AND abs(a.h - b.h) <= 2 GROUP BY ALL HAVING sum(b.c) >= 3")

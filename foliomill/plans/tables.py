@@ -86,9 +86,13 @@ def marks(spark, sf) -> DataFrame:
     return table(spark, sf, "events").select(F.col("event_id").alias("mark_id"), F.col("user_id").alias("reader_id"), s.alias("s"), (s + F.get_json_object("props", "$.k").cast("long") % 9).alias("e"), action.alias("action"), "ts")
 
 
-def images(spark, sf) -> DataFrame:
+#: Where a row stands in its table: the file, and its number there.
+PLACE = ("_metadata.file_path", "_metadata.row_index")
+
+
+def images(spark, sf, *more: str) -> DataFrame:
     return table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("ord"), F.md5(F.col("l_partkey").cast("string")).alias("md5"), (F.col("l_quantity").cast("long") + 20).alias("w"), (F.col("l_linenumber").cast("long") + 28).alias("h")
+        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("ord"), F.md5(F.col("l_partkey").cast("string")).alias("md5"), (F.col("l_quantity").cast("long") + 20).alias("w"), (F.col("l_linenumber").cast("long") + 28).alias("h"), *more
     )
 
 
