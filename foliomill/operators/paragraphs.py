@@ -72,26 +72,24 @@ def rebuild_paragraphs(pages: DataFrame) -> DataFrame:
     return rows.select("doc_id", "page_no", "block_no", "text", "lang")
 
 
-def stitch_pages(blocks: DataFrame) -> DataFrame:
-    """A sentence that goes on on the next page is one paragraph, on the page where it starts.
-
-    ``blocks`` are doc_id, page_no, block_no, kind ('p', 'toc' or other), text and lang. The last paragraph
-    of a page that ends no sentence takes in the first paragraph or contents entry of the page after it. A
-    paragraph that was taken in is closed; pages without blocks stop a sentence.
-    """
-    order = Window.partitionBy("doc_id").orderBy("page_no", "block_no")
-    last = F.coalesce(F.lead("page_no").over(order) != F.col("page_no"), F.lit(True))
-    open_ = last & (F.col("kind") == "p") & ~F.substring(F.rtrim("text"), -1, 1).isin(*TERMINAL)
-    rows = blocks.withColumn("_open", F.coalesce(open_, F.lit(False)))
-    after = F.lag("_open").over(order) & (F.lag("page_no").over(order) == F.col("page_no") - 1) & F.col("kind").isin("p", "toc")
-    rows = rows.withColumn("_link", F.coalesce(after, F.lit(False)))
-    # Along pages of one open paragraph each, every second one is taken in.
-    rows = rows.withColumn("_island", F.sum((~F.col("_link")).cast("int")).over(order))
-    steps = F.row_number().over(Window.partitionBy("doc_id", "_island").orderBy("page_no", "block_no")) - 1
-    rows = rows.withColumn("_taken", F.col("_link") & (steps % 2 == 1))
-    rows = rows.withColumns({"_next": F.lead("text").over(order), "_takes": F.coalesce(F.lead("_taken").over(order), F.lit(False))}).filter(~F.col("_taken"))
-    text = F.when(F.col("_takes"), F.trim(join_lines("text", F.when(F.col("_takes"), F.col("_next")), "lang"))).otherwise(F.col("text"))
-    return rows.withColumn("text", text).select(blocks.columns)
+def _judged(items: DataFrame) -> DataFrame:
+    """Items of pages with list_no and ``_good``, by the rules of ``confirm_lists``; rows without a family are no items and end a run."""
+    page = Window.partitionBy("doc_id", "page_no").orderBy("block_no")
+    item = F.col("family").isNotNull()
+    gap = ~item | F.coalesce(F.lag(F.when(item, F.col("block_no"))).over(page) != F.col("block_no") - 1, F.lit(True))
+    turn = gap | (F.lag("family").over(page) != F.col("family"))
+    step = F.coalesce(F.lag("value").over(page) + 1 == F.col("value"), F.lit(False))
+    rows = items.withColumns({"_gap": gap, "_turn": turn, "_step": turn | step})
+    rows = rows.withColumns({"_run": F.sum(F.col("_gap").cast("int")).over(page), "list_no": F.sum(F.col("_turn").cast("int")).over(page)})
+    before = F.lag("value").over(Window.partitionBy("doc_id", "page_no", "_run", "family").orderBy("block_no"))
+    rows = rows.withColumn("_goes_on", F.coalesce(F.col("_turn") & (before + 1 == F.col("value")) & (F.col("kind") == "ol"), F.lit(False)))
+    group = Window.partitionBy("doc_id", "page_no", "list_no")
+    rows = rows.withColumns({"_n": F.count("*").over(group), "_even": F.min("_step").over(group), "_from": F.max(F.when(F.col("_turn"), F.col("value"))).over(group), "_follows": F.max("_goes_on").over(group)})
+    rows = rows.withColumn("_sure", item & ((F.col("_n") >= 2) | F.col("_follows")) & ((F.col("kind") == "ul") | F.col("_even")))
+    numbered = F.coalesce(F.lag(F.col("_sure") & F.startswith("family", F.lit("number"))).over(page), F.lit(False))
+    rows = rows.withColumn("_numbered", F.col("_turn") & ~F.col("_gap") & numbered)
+    under = F.max("_numbered").over(group) & (F.col("_from") == 1) & F.col("family").isin("lower", "upper") & F.col("_even")
+    return rows.withColumn("_good", item & (F.col("_sure") | under)).drop("_gap", "_turn", "_step", "_run", "_goes_on", "_n", "_even", "_from", "_follows", "_sure", "_numbered")
 
 
 def confirm_lists(items: DataFrame) -> DataFrame:
@@ -102,22 +100,76 @@ def confirm_lists(items: DataFrame) -> DataFrame:
     the last value of its family in the run, or is a lone first letter right under a numbered list; the values of an
     ordered one must be consecutive.
     """
+    return _judged(items).filter("_good").select(*items.columns, "list_no")
+
+
+_MARKED = f"^(?:[{structure.BULLETS}{structure.SYMBOLS}]|[0-9]{{1,2}}[.)]|[a-zA-Z]\\))"
+
+
+def page_blocks(paragraphs: DataFrame) -> DataFrame:
+    """doc_id, page_no, block_no (from 1), kind, text, target and lang of rebuilt paragraphs.
+
+    Contents entries are 'toc', with their title as text and the page they name as ``target``; the word "Contents" that
+    stuck to the first one of a run is a 'toc-heading', and what stood before it a 'p'. Items of lists are 'ul', without
+    their bullet, or 'ol'. Everything else is 'p'.
+    """
+    page = Window.partitionBy("doc_id", "page_no")
+    text, title = F.col("text"), F.col("_title")
+    rows = paragraphs.withColumn("_toc", F.coalesce(F.substring(text, -1, 1).between("0", "9") & text.rlike(structure.ENTRY), F.lit(False)))
+    rows = rows.withColumn("_first", F.col("_toc") & ~F.coalesce(F.lag("_toc").over(page.orderBy("block_no")), F.lit(False)))
+    rows = rows.withColumns({"_title": F.when(F.col("_toc"), structure.entry_title()), "_target": F.when(F.col("_toc"), F.regexp_extract("text", structure.ENTRY, 2).cast("int"))})
+    part = lambda kind, text, target=None: F.struct(F.lit(kind).cast("string").alias("_kind"), text.alias("text"), F.lit(target).cast("int").alias("target"))
+    stuck = lambda i: F.regexp_extract(title, structure.STUCK, i)
+    lead = F.when(stuck(1) != "", F.array(part("p", stuck(1)))).otherwise(F.array().cast("array<struct<_kind:string,text:string,target:int>>"))
+    parts = F.when(~F.col("_toc"), F.array(part(None, text))).when(F.col("_first") & title.rlike(structure.STUCK), F.concat(lead, F.array(part("toc-heading", stuck(2)), part("toc", stuck(3), F.col("_target"))))).otherwise(F.array(part("toc", title, F.col("_target"))))
+    rows = rows.select("doc_id", "page_no", "block_no", "lang", F.posexplode(parts).alias("_at", "_part")).select("doc_id", "page_no", "block_no", "lang", "_at", "_part.*")
+    rows = rows.withColumn("block_no", F.row_number().over(page.orderBy("block_no", "_at")))
+    # What begins like no item isn't searched for one.
+    may = F.col("_kind").isNull() & F.substring(text, 1, 3).rlike(_MARKED)
+    rows = structure.with_markers(rows.withColumns({"_text": text, "text": F.when(may, text)}))
+    rows = _judged(rows.drop("text").withColumnRenamed("_text", "text"))
+    kind = F.when(F.col("_good"), F.col("kind")).otherwise(F.coalesce("_kind", F.lit("p")))
+    return rows.select("doc_id", "page_no", "block_no", kind.alias("kind"), F.when(F.col("_good"), F.col("item")).otherwise(text).alias("text"), "target", "lang")
+
+
+#: What is no text at the ends of one.
+_ENDS = " \t\n\r\0\v"
+
+
+def stitch_pages(blocks: DataFrame, markers: bool = False) -> DataFrame:
+    """A sentence that goes on on the next page is one paragraph, on the page where it starts.
+
+    ``blocks`` are doc_id, page_no, block_no, kind ('p', 'toc' or other), text and lang. The last paragraph
+    of a page that ends no sentence takes in the first paragraph or contents entry of the page after it. A
+    paragraph that was taken in is closed; pages without blocks stop a sentence. With a column ``target``, the page
+    that a contents entry names, a paragraph that takes in an entry is one, with its target. With ``markers`` between
+    the pages it takes in nothing but an entry without a title, whose title it is.
+
+    Only the first and the last block of each page meet by document; the others stay with their page.
+    """
     page = Window.partitionBy("doc_id", "page_no").orderBy("block_no")
-    gap = F.coalesce(F.lag("block_no").over(page) != F.col("block_no") - 1, F.lit(True))
-    turn = gap | (F.lag("family").over(page) != F.col("family"))
-    step = F.coalesce(F.lag("value").over(page) + 1 == F.col("value"), F.lit(False))
-    rows = items.withColumns({"_gap": gap.cast("int"), "_turn": turn.cast("int"), "_step": turn | step})
-    rows = rows.withColumns({"_run": F.sum("_gap").over(page), "list_no": F.sum("_turn").over(page)})
-    key = ("doc_id", "page_no", "_run", "list_no")
-    groups = rows.groupBy(*key).agg(F.first("kind").alias("kind"), F.first("family").alias("family"), F.count("*").alias("n"), F.min_by("value", "block_no").alias("first"), F.max_by("value", "block_no").alias("last"), F.min("_step").alias("even"))
-    run = Window.partitionBy("doc_id", "page_no", "_run")
-    follows = F.coalesce(F.lag("last").over(Window.partitionBy("doc_id", "page_no", "_run", "family").orderBy("list_no")) + 1 == F.col("first"), F.lit(False)) & (F.col("kind") == "ol")
-    ordered = (F.col("kind") == "ul") | F.col("even")
-    groups = groups.withColumn("_sure", ((F.col("n") >= 2) | follows) & ordered)
-    numbered = F.coalesce(F.lag(F.col("_sure") & F.startswith("family", F.lit("number"))).over(run.orderBy("list_no")), F.lit(False))
-    under = numbered & (F.col("first") == 1) & F.col("family").isin("lower", "upper") & F.col("even")
-    good = groups.withColumn("_good", F.col("_sure") | under).filter("_good").select(*key)
-    return rows.join(good, list(key)).select(*items.columns, "list_no")
+    edge = lambda other: other(F.lit(1)).over(page).isNull()
+    rows = blocks.withColumns({"_top": edge(F.lag), "_end": edge(F.lead)})
+    rows = rows.withColumn("_inner", F.when(~F.col("_top") & ~F.col("_end"), F.col("page_no")))
+    order = Window.partitionBy("doc_id", "_inner").orderBy("page_no", "block_no")
+    open_ = F.col("_end") & (F.col("kind") == "p") & ~F.substring(F.rtrim("text", F.lit(_ENDS)), -1, 1).isin(*TERMINAL)
+    rows = rows.withColumn("_open", F.coalesce(open_, F.lit(False)))
+    taken = (F.col("kind") == "toc") & (F.col("text") == "") if markers else F.col("kind").isin("p", "toc")
+    after = F.lag("_open").over(order) & (F.lag("page_no").over(order) == F.col("page_no") - 1) & taken
+    rows = rows.withColumn("_link", F.coalesce(after, F.lit(False)))
+    # Along pages of one open paragraph each, every second one is taken in.
+    rows = rows.withColumn("_island", F.sum((~F.col("_link")).cast("int")).over(order))
+    steps = F.row_number().over(Window.partitionBy("doc_id", "_inner", "_island").orderBy("page_no", "block_no")) - 1
+    rows = rows.withColumn("_taken", F.col("_link") & (steps % 2 == 1))
+    rows = rows.withColumn("_takes", F.coalesce(F.lead("_taken").over(order), F.lit(False)))
+    following = lambda c: F.when(F.col("_takes"), F.lead(c).over(order))
+    rows = rows.withColumn("_next", F.when(F.col("_takes"), F.coalesce(F.lead("text").over(order), F.lit(""))))
+    if "target" in blocks.columns:
+        rows = rows.withColumns({"_kind": following("kind"), "_target": following("target")})
+        entry = F.col("_kind") == "toc"
+        rows = rows.withColumns({"kind": F.when(entry, F.lit("toc")).otherwise(F.col("kind")), "target": F.when(entry, F.col("_target")).otherwise(F.col("target"))})
+    text = F.when(F.col("_takes"), F.trim(join_lines(F.when(F.col("_takes"), F.col("text")), "_next", "lang"), F.lit(_ENDS))).otherwise(F.col("text"))
+    return rows.filter(~F.col("_taken")).withColumn("text", text).select(blocks.columns)
 
 
 def _outlined(blocks: list[tuple[str, str]], entries: list[tuple[str, int]]) -> list[tuple[str, int | None, str]]:

@@ -26,11 +26,22 @@ def rebuild_paragraphs(spark, sf):
     return paragraphs.rebuild_paragraphs(_pages(spark, sf)).drop("lang")
 
 
+def _printed_pages(spark, sf):
+    """Pages with contents and lists at the breaks: a number whose title is on the page before, a list, a heading of contents, an entry at the end."""
+    turn, text = (F.col("doc_id") + F.col("page_no")) % 12, F.col("text")
+    top = (
+        F.when(turn == 0, F.concat(F.lit("........ "), F.col("page_no") % 900 + 40, F.lit(" "), text)).when(turn == 2, F.regexp_replace(text, "^([^\n]*)\n", "1. $1\n2. "))
+        .when(turn == 3, F.regexp_replace(text, "^([^\n]*)", "Contents $1 ..... 3")).otherwise(text)
+    )
+    text = F.when(turn == 6, F.concat(text, F.lit(" ..... 30"))).when(F.col("page_no") > 0, top).otherwise(text)
+    return _pages(spark, sf).withColumn("text", text)
+
+
 @query("stitch_pages")
 def stitch_pages(spark, sf):
-    """Rebuilt paragraphs, joined over page breaks."""
-    blocks = paragraphs.rebuild_paragraphs(_pages(spark, sf)).withColumn("kind", F.lit("p"))
-    return paragraphs.stitch_pages(blocks).drop("lang", "kind")
+    """Rebuilt paragraphs, contents entries and items of lists, joined over page breaks."""
+    blocks = paragraphs.page_blocks(paragraphs.rebuild_paragraphs(_printed_pages(spark, sf)))
+    return paragraphs.stitch_pages(blocks).drop("lang")
 
 
 @query("join_cut_words")
